@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup
+from quire.llm import exact_dedup, warc
 from quire.llm.common import table
 
 
@@ -12,9 +12,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {f.__name__: f for f in (op1_exact_dedup, op8_warc)}
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op8_warc": warc.SQL}
