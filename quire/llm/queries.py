@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, exact_dedup, warc
+from quire.llm import bpe, chat, exact_dedup, token_store, warc
 from quire.llm.common import table
 
 
@@ -21,12 +22,23 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(parts).withColumn("conv_id", F.col("conv").cast("long")).drop("conv")
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_store.token_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, path))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_formatting, op8_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_formatting, op6_token_store, op8_warc, op9_byte_bpe)}
 
 
 def oracle_sql():
