@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, exact_dedup, near_dedup, token_store, warc
+from quire.llm import bpe, chat, exact_dedup, near_dedup, token_store, toxicity, warc
 from quire.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_store.token_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -42,7 +46,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_formatting, op3_minhash_near_dedup, op6_token_store, op8_warc, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_formatting, op3_minhash_near_dedup, op4_toxicity, op6_token_store, op8_warc, op9_byte_bpe)}
 
 
 def oracle_sql():
