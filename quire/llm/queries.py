@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, exact_dedup, near_dedup, token_store, toxicity, warc
+from quire.llm import bpe, chat, exact_dedup, language, near_dedup, quality, token_store, toxicity, warc
 from quire.llm.common import table
 
 
@@ -30,11 +30,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_store.token_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -46,7 +54,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_formatting, op3_minhash_near_dedup, op4_toxicity, op6_token_store, op8_warc, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_formatting, op3_minhash_near_dedup, op4_toxicity, op5_quality_classifier, op6_token_store, op7_language_id, op8_warc, op9_byte_bpe)}
 
 
 def oracle_sql():
