@@ -25,7 +25,7 @@ from quire.llm.common import text_of
 CHUNK = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 #: White space, in one definition or another, beside that of CHUNK: texts with such characters are cut by the pattern.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-KNOWN_CHUNKS, KNOWN_CHARS = 250_000, 128
+KNOWN_CHUNKS, KNOWN_CHARS = 500_000, 128
 BATCH_CHARS = 1 << 20
 SHORT = 64
 NONE = 0xFFFF_FFFF
@@ -125,8 +125,8 @@ def encode_long(ranks: Ranks, piece: bytes) -> list[int]:
     return out
 
 
-def encode_short(ranks: Ranks, pieces: list[bytes]) -> list[np.ndarray]:
-    """Ids of pieces of fewer than 64 bytes: the same trees, one row of the arrays for each piece."""
+def encode_short(ranks: Ranks, pieces: list[bytes]) -> list[bytes]:
+    """Packed ids of pieces of fewer than 64 bytes: the same trees, one row of the arrays for each piece."""
     out: list = [None] * len(pieces)
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     low = 0
@@ -135,12 +135,13 @@ def encode_short(ranks: Ranks, pieces: list[bytes]) -> list[np.ndarray]:
         low = size
         for part in np.array_split(which, max(1, len(which) // 20_000)):
             if len(part):
-                for i, ids in zip(part, _rows(ranks, [pieces[k] for k in part], lengths[part], size), strict=True):
+                own = part.tolist()
+                for i, ids in zip(own, _rows(ranks, [pieces[k] for k in own], lengths[part], size), strict=True):
                     out[i] = ids
     return out
 
 
-def _rows(ranks: Ranks, pieces: list[bytes], lengths: np.ndarray, size: int) -> list[np.ndarray]:
+def _rows(ranks: Ranks, pieces: list[bytes], lengths: np.ndarray, size: int) -> list[bytes]:
     rows, dead = len(pieces), size - 1  # no piece uses the last position: it stands for "no neighbour"
     shift, mask = np.int64(size.bit_length()), np.int64((1 << size.bit_length()) - 1)
     at = np.arange(size)
@@ -185,8 +186,9 @@ def _rows(ranks: Ranks, pieces: list[bytes], lengths: np.ndarray, size: int) ->
                 tree[top + x] = np.minimum(tree[k], tree[k + 1])
         live = live[tree[top + 1] < INF]
     kept = tok.reshape(rows, size) != NONE
-    ids = tok.reshape(rows, size)[kept].astype(np.uint32)
-    return np.split(ids, np.cumsum(kept.sum(1))[:-1])
+    packed = tok.reshape(rows, size)[kept].astype("<u4").tobytes()
+    ends = (4 * np.cumsum(kept.sum(1))).tolist()
+    return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 class Encoder:
@@ -202,16 +204,16 @@ class Encoder:
         """For each text its ids as packed little-endian 32-bit integers."""
         cut = [self.chunks(x) for x in texts]
         known = self.known
-        new = {c for chunks in cut for c in chunks if c not in known}
+        new = set().union(*cut).difference(known)
         if new:
             if len(known) + len(new) > KNOWN_CHUNKS:
                 known.clear()
-                new = {c for chunks in cut for c in chunks}
+                new = set().union(*cut)
             new = list(new)
             known.update(zip(new, self.encode_chunks(new), strict=True))
         for chunks in cut:
-            yield b"".join([known[c] for c in chunks])
-        if len(known) > KNOWN_CHUNKS or any(len(c) > KNOWN_CHARS for c in new):
+            yield b"".join(map(known.__getitem__, chunks))
+        if max(map(len, new), default=0) > KNOWN_CHARS:
             for c in [c for c in new if len(c) > KNOWN_CHARS]:
                 del known[c]
 
@@ -221,13 +223,14 @@ def rank_encoder(path: str, pattern: str) -> Encoder:
     ranks, pat = Ranks(path), regex.compile(pattern)
 
     def encode_chunks(chunks: list[str]) -> list[bytes]:
-        pieces = [[x.encode("utf-8") for x in pat.findall(c)] for c in chunks]
-        table: dict[bytes, bytes] = {}
-        flat = list({x for own in pieces for x in own})
-        short = [x for x in flat if len(x) < SHORT]
-        table.update(zip(short, (x.astype("<u4").tobytes() for x in encode_short(ranks, short)), strict=True))
-        table.update((x, np.array(encode_long(ranks, x), "<u4").tobytes()) for x in flat if len(x) >= SHORT)
-        return [b"".join([table[x] for x in own]) for own in pieces]
+        pieces = [pat.findall(c) for c in chunks]
+        flat = list(set().union(*pieces))
+        coded = [x.encode("utf-8") for x in flat]
+        short = [i for i, x in enumerate(coded) if len(x) < SHORT]
+        table = {flat[i]: ids for i, ids in zip(short, encode_short(ranks, [coded[i] for i in short]), strict=True)}
+        table.update((x, np.array(encode_long(ranks, b), "<u4").tobytes()) for x, b in zip(flat, coded, strict=True) if len(b) >= SHORT)
+        get = table.__getitem__
+        return [get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for own in pieces]
 
     return Encoder(pattern, encode_chunks)
 
@@ -281,9 +284,13 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = once(Ranks, ranks_path).tokens
         for batch in batches:
-            column = batch.column(names.index(ids_col))
-            out = [None if x is None else b"".join([tokens[i] for i in x]) for x in (x.as_py() for x in column)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, out_col])
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                column = part.column(names.index(ids_col))
+                ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+                flat = list(map(tokens.__getitem__, column.flatten().to_pylist()))
+                out = [b"".join(flat[a:b]) if ok else None for a, b, ok in zip([0, *ends], ends, column.is_valid().to_pylist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*names, out_col])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
     return encoded.mapInArrow(run, f"{fields}, `{out_col}` binary")

@@ -57,5 +57,12 @@ def fold_bucket(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def hash_sample(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """The rows whose hash is among the ``n`` least distinct ones: a bounded sample that only depends on the rows. The
+    hashes alone are sorted; rows with equal keys (copies) come in together, so make them distinct where they may be many."""
+    least = rows.select(key.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.where(key <= F.lit(least)) if least is not None else rows.limit(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

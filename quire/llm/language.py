@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold_bucket, text_of
+from quire.llm.common import fold_bucket, hash_sample, text_of
 
 #: Orders of the n-grams that are blended.
 ORDERS = (1, 2, 3)
@@ -124,7 +124,8 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     rows = docs.select(F.col(id_col).alias("__id"), fold_bucket(id_col, 3).eqNullSafe(F.lit(1)).alias("held_out"), F.col(text_col).cast("string").alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
     able = rows.where("not held_out and __lang is not null").where(F.length("__text").between(1, SAMPLE_CHARS) & F.col("__text").rlike(r"\p{L}"))
-    sample = [(r[0], r[1]) for r in able.orderBy(F.xxhash64("__id"), "__text").limit(SAMPLE_DOCS).select("__text", "__lang").collect()]
+    picked = hash_sample(able, F.xxhash64("__id"), SAMPLE_DOCS).groupBy("__id").agg(F.min(F.struct("__text", "__lang")).alias("__x"))
+    sample = [(r[0], r[1]) for r in picked.orderBy(F.xxhash64("__id"), "__id").select("__x.__text", "__x.__lang").collect()]
     model = fit([t for t, _ in sample], [x for _, x in sample]) if sample else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -9,6 +9,7 @@ reader that wants one document reads the footer, the index and that document's f
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import CHUNK, OTHER_SPACE, Encoder, once, small_runs
-from quire.llm.common import fresh_dir, materialise, text_of
+from quire.llm.bpe import Encoder, once, small_runs
+from quire.llm.common import fresh_dir, hash_sample, materialise, text_of
 from quire.llm.files import RollingWriter, opened
 
 MAGIC = b"QTOKENS1"
@@ -36,6 +37,7 @@ LEVEL = 3
 def library_encoder(path: str, pattern: str) -> Encoder:
     """The tokenizers library over new chunks. Those that begin with white space are joined into long texts, which
     have the ids of their chunks in a row, and are told apart again by the lengths of their tokens."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -45,18 +47,20 @@ def library_encoder(path: str, pattern: str) -> Encoder:
 
     def encode_chunks(chunks: list[str]) -> list[bytes]:
         out: list = [None] * len(chunks)
-        joined = [i for i, c in enumerate(chunks) if c[0] in " \n\r\t" and CHUNK.fullmatch(c) and c[-1] not in " \n\r\t" and not OTHER_SPACE.search(c)]
-        alone = sorted(set(range(len(chunks))) - set(joined))
+        fit = [c[0] in " \n\r\t" and not c[-1].isspace() for c in chunks]
+        joined, alone = [i for i, x in enumerate(fit) if x], [i for i, x in enumerate(fit) if not x]
         groups = [joined[k : k + 2000] for k in range(0, len(joined), 2000)]
-        for own in groups:
-            ids = np.array(tokenizer.encode("".join([chunks[i] for i in own]), add_special_tokens=False).ids, np.int64)
-            ends = np.cumsum([len(chunks[i].encode("utf-8")) for i in own])
-            cuts = np.searchsorted(np.cumsum(lengths[ids]), ends, "left") + 1
+        texts = ["".join([chunks[i] for i in own]) for own in groups]
+        for own, text, encoded in zip(groups, texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            parts = [chunks[i] for i in own]
+            ids = np.array(encoded.ids, np.int64)
+            ends = np.cumsum([len(x) for x in parts] if text.isascii() else [len(x.encode("utf-8")) for x in parts])
+            cuts = (4 * np.searchsorted(np.cumsum(lengths[ids]), ends, "left") + 4).tolist()
             packed = ids.astype("<u4").tobytes()
-            for i, a, b in zip(own, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                out[i] = packed[4 * a : 4 * b]
-        for i in alone:
-            out[i] = np.array(tokenizer.encode(chunks[i], add_special_tokens=False).ids, "<u4").tobytes()
+            for i, a, b in zip(own, [0, *cuts[:-1]], cuts, strict=True):
+                out[i] = packed[a:b]
+        for i, encoded in zip(alone, tokenizer.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(encoded.ids, "<u4").tobytes()
         return out
 
     return Encoder(pattern, encode_chunks)
@@ -64,8 +68,8 @@ def library_encoder(path: str, pattern: str) -> Encoder:
 
 def train_dictionary(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> bytes:
     """A zstandard dictionary from a bounded sample; empty when there is too little to train on. It only affects sizes."""
-    text = text_of(text_col)
-    picked = docs.select(text.alias("text")).where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    texts = docs.select(text_of(text_col).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
+    picked = hash_sample(texts, F.xxhash64("text"), SAMPLE_DOCS).distinct()
     packed = picked.mapInPandas(_pack_sample(path, pattern), "ids binary")
     samples = [bytes(r.ids) for r in packed.toLocalIterator()]
     try:

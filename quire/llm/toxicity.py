@@ -243,13 +243,13 @@ class Scorer:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int, id_col: str, text_col: str) -> list:
     """At most ``per_class`` (text, label) of each class among the rows to learn from, in hash order of the id."""
-    text = text_of(text_col)
-    rows = docs.where(fold_bucket(id_col, 5) != 0).select(F.col(id_col).alias("__id"), text.alias("__text")).where(F.length("__text").between(1, chars))
+    rows = docs.where(fold_bucket(id_col, 5) != 0).select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
+    rows = rows.where(F.length("__text").between(1, chars))
     known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).where("__y in (0, 1)")
-    both = rows.join(known, "__id")
-    out = []
-    for y in (0, 1):
-        out += [(r[0], y) for r in both.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__text").limit(per_class).select("__text").collect()]
+    both = rows.select("__id").distinct().join(known.distinct(), "__id")
+    ids = [both.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for y in (0, 1)]
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for x in ids for r in x.select("__id", "__y").collect()], both.select("__id", "__y").schema)
+    out = [(r[0], r[1]) for r in rows.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).orderBy(F.xxhash64("__id"), "__y").select("__text", "__y").collect()]
     return out
 
 
