@@ -25,8 +25,8 @@ from quire.llm.common import text_of
 
 #: Edits allowed, as a share of the item's words; items with fewer words than MIN_WORDS prove nothing and never match.
 EDITS, MIN_WORDS = 0.2, 5
-#: Independent walks, samples of each, and positions in a sample.
-WALKS, SAMPLES, BITS = 1, 16, 4
+#: Independent walks, positions of each that samples are drawn from, samples of each walk, and positions in a sample.
+WALKS, POOL, SAMPLES, BITS = 2, 16, 12, 4
 #: Items are indexed and broadcast in blocks of so many words (an index takes about 400 bytes a word).
 BLOCK_WORDS = 100_000
 KNOWN_WORDS = 300_000
@@ -65,28 +65,27 @@ class SizeClass:
         self.window = low - self.stride + 1
         self.steps = 2 * self.window
         r = np.random.default_rng(low)
-        self.samples = [[np.sort(r.choice(self.steps, min(BITS, self.steps), replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
-
-    def keys(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(number of the sample, key of each start). ``words`` must go on with at least ``steps`` ends."""
-        for walk, samples in enumerate(self.samples):
-            at = starts.astype(np.int64)
-            keys = [np.full(len(at), walk * SAMPLES + s + 1, np.uint64) for s in range(SAMPLES)]
-            last = max(int(s[-1]) for s in samples)
-            bits = None
-            for j in range(last + 1):
+        self.pools = [np.sort(r.choice(self.steps, min(POOL, self.steps), replace=False)) for _ in range(WALKS)]
+        self.samples = [[r.choice(len(pool), min(BITS, len(pool)), replace=False) for _ in range(SAMPLES)] for pool in self.pools]
+        self.factors = r.integers(1 << 62, size=(WALKS, POOL), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def keys(self, words: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """For each sample the key of each start. ``words`` must go on with at least ``steps`` ends."""
+        for walk, pool in enumerate(self.pools):
+            at, taken = starts.astype(np.int32), []
+            for j in range(int(pool[-1]) + 1):
                 if j % 64 == 0:
-                    bits = _mix(words * np.uint64(2 * (walk * 1009 + j) + 0x9E37_79B9_7F4A_7C15))
-                    bits[words == END] = 0
-                taken = [s for s in range(SAMPLES) if j in samples[s]]
-                if taken:
-                    out = words[at]
-                    for s in taken:
-                        keys[s] = (keys[s] ^ out) * np.uint64(0xD6E8_FEB8_6659_FD93)
-                        keys[s] ^= keys[s] >> np.uint64(32)
-                at = at + ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-            for s, key in enumerate(keys):
-                yield walk * SAMPLES + s, key
+                    random = _mix(words * np.uint64(2 * (walk * 1009 + j) + 0x9E37_79B9_7F4A_7C15))
+                    random[words == END] = 0
+                    bits = random.view(np.uint8).reshape(-1, 8).T.copy()
+                if len(taken) < len(pool) and pool[len(taken)] == j:
+                    taken.append(words[at] * self.factors[walk, len(taken)])
+                at += (bits[j % 64 // 8][at] >> np.uint8(j % 8)) & np.uint8(1)
+            for s, places in enumerate(self.samples[walk]):
+                key = np.full(len(at), walk * SAMPLES + s + 1, np.uint64)
+                for k in places:
+                    key += taken[k]
+                yield (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8_FEB8_6659_FD93)
 
 
 def size_classes() -> Iterator[int]:
@@ -118,7 +117,7 @@ class Index:
         for k in own:
             w = self.items[k][1]
             starts = np.arange(len(w) - c.window + 1)
-            for _, key in c.keys(np.concatenate([w, pad]), starts):
+            for key in c.keys(np.concatenate([w, pad]), starts):
                 keys.append(key)
                 item.append(np.full(len(starts), k, np.int32))
                 offset.append(starts.astype(np.int32))
@@ -151,7 +150,7 @@ class Finder:
             counts = np.array([max(1, -(-(len(t) - c.window + 1) // c.stride)) if len(t) else 0 for t in texts])
             text = np.repeat(np.arange(len(texts)), counts)
             place = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * c.stride
-            for _, key in c.keys(words, begins[text] + place):
+            for key in c.keys(words, begins[text] + place):
                 hit = np.flatnonzero(there[(key >> shift).astype(np.int64)])
                 if not len(hit):
                     continue

@@ -225,3 +225,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
         sets = sketch(missing.select(F.lit(0).alias("id"), "text"), size, "id", "text")
         out = out.unionByName(sets.select(F.lit(None).cast("long").alias("id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that near_duplicates keeps, with their own columns: one id of each group stays."""
+    gone = near_duplicates(docs, size, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

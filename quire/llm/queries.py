@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, exact_dedup, language, near_dedup, quality, token_store, toxicity, warc
+from quire.llm import bpe, chat, decontam, exact_dedup, language, near_dedup, quality, token_store, toxicity, warc
 from quire.llm.common import table
 
 
@@ -53,8 +53,26 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_formatting, op3_minhash_near_dedup, op4_toxicity, op5_quality_classifier, op6_token_store, op7_language_id, op8_warc, op9_byte_bpe)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_exact_dedup,
+            op2_chat_formatting,
+            op3_minhash_near_dedup,
+            op4_toxicity,
+            op5_quality_classifier,
+            op6_token_store,
+            op7_language_id,
+            op8_warc,
+            op9_byte_bpe,
+            op10_decontamination,
+        )
+    }
 
 
 def oracle_sql():

@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.bpe import small_runs
 from quire.llm.common import fold_bucket, text_of
 
 WINDOW, STEP = 24, 16
@@ -287,3 +289,21 @@ def score_with(net: Network, docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("__id"), fold_bucket(id_col, 5).eqNullSafe(F.lit(0)).alias("held_out"), text_of(text_col).alias("__text"))
     scored = rows.mapInPandas(run, f"__id {dict(rows.dtypes)['__id']}, held_out boolean, score double")
     return scored.select(F.col("__id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, with their own columns. Scored row by row, so nothing
+    is shuffled; other columns pass through untouched."""
+    sample = labelled_sample(docs, labels, label, SAMPLE_DOCS, SAMPLE_CHARS, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(train([t for t, _ in sample], [y for _, y in sample]).p)
+    names, types = docs.columns, docs.dtypes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Network(shared.value))
+        for batch in batches:
+            texts = [x or "" for x in batch.column(names.index(text_col)).to_pylist()]
+            for part in small_runs(texts, RUN_CHARS):
+                clean = scorer.scores(texts[part]) < threshold
+                yield batch.slice(part.start, part.stop - part.start).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in types))
