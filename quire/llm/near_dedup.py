@@ -173,6 +173,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
+def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of buckets with members of several components, with ``label``, the member's component."""
+    labelled = rows.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    return labelled.join(several, "bucket")
+
+
+def _own_shingles(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, own): how many of its shingles a document has that no other of these documents has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                part = batch.iloc[at : at + 100]
+                yield pd.DataFrame({"id": part["id"], "shingles": [shingle_set(split_words(t), size).view(np.int64) for t in part["text"]]})
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(ids, "id").dropDuplicates(["id", "text"])
+    sets = texts.mapInPandas(run, "id long, shingles array<long>").select("id", F.explode("shingles").alias("s"))
+    once = sets.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -183,10 +205,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
     Rows with equal word sequences are one class from the start; rows that share an id are one node. A row without an
     id has component null and is kept. Other columns are ignored; an empty table gives none.
 
-    Candidates: within a bucket, first each member against the bucket's least id. What these links join needs no
-    further test with each other; then every member outside the bucket's most frequent component is tested against all
-    members of other components. So a bucket of many copies costs its size, and no candidate pair goes untested
-    unless its documents are already joined.
+    Candidates come from buckets in three rounds, and what links have joined needs no further test with each other:
+    1. each member against the bucket's least id;
+    2. in buckets that still hold several components, each member against the one with the smallest share of shingles
+       of its own, which is nearest to the origin of a group of copies. A shingle is a document's own if no other
+       document in these buckets has it; one with over a fifth of its set of its own can't be linked, and leaves;
+    3. in buckets that still hold several components, each member outside the most frequent one against all members
+       of other components whose sizes and own shingles allow the similarity.
+    So a bucket of many copies, or of many documents around one passage, costs about its size, and no candidate pair
+    goes untested unless its documents are joined already or can't be linked.
     """
     sketches = materialise(sketch(docs, size, id_col, text_col), "sketch")
     reps = materialise(sketches.where("n > 0").groupBy("key", "n", "sig").agg(F.min("id").alias("id")), "classes")
@@ -198,27 +225,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
 
     rows = _buckets(nodes)
     centre = rows.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    first = links(rows.join(centre, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    joined = materialise(components(first), "components")
-
-    labelled = rows.join(centre, "bucket").select("bucket", "id", "n").join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
-    labelled = materialise(labelled, "labelled")
-    counts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    mixed = labelled.join(main, "bucket")
-    others = mixed.where("label <> main").select("bucket", F.col("id").alias("o"), F.col("n").alias("o_n"), F.col("label").alias("o_label"))
-    fits = (F.col("o_label") != F.col("label")) & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")) & ((F.col("label") == F.col("main")) | (F.col("o") < F.col("id")))
-    rest = mixed.join(others, "bucket").where(fits).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-    second = links(rest)
-
-    label_of = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c"))
-    between = second.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("final"))
-
-    classes = sketches.where("n > 0").select("id", "key").join(reps.select("key", F.col("id").alias("node")), "key")
-    placed = classes.join(joined, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component")).join(merged, "component", "left")
-    linked = placed.select("id", "key", F.coalesce("final", "component").alias("component_id")).distinct()
-    whole = sketches.select("id", "key", "n").join(linked, ["id", "key"], "left")
+    found = links(rows.join(centre, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    joined = components(found)
+
+    mixed = materialise(_mixed(rows.join(centre.select("bucket"), "bucket"), joined), "mixed")
+    own = materialise(_own_shingles(docs, mixed.select("id").distinct(), size, id_col, text_col), "own")
+    able = mixed.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    able = materialise(_mixed(able.select("bucket", "id", "n", "own"), joined), "able")
+    middle = able.groupBy("bucket").agg(F.min_by("id", F.col("own") / F.col("n") + F.lit(0.0)).alias("a"))
+    found = found.unionByName(links(able.join(middle, "bucket").where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()))
+    joined = components(found)
+
+    left = materialise(_mixed(able.select("bucket", "id", "n", "own"), joined), "left")
+    main = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    left = left.join(main, "bucket")
+    others = left.where("label <> main").select("bucket", F.col("id").alias("o"), F.col("n").alias("o_n"), F.col("own").alias("o_own"), F.col("label").alias("o_label"))
+    common = F.least(F.col("n") - F.col("own"), F.col("o_n") - F.col("o_own"))
+    fits = (F.col("o_label") != F.col("label")) & (100 * common >= percent * (F.col("n") + F.col("o_n") - common)) & ((F.col("label") == F.col("main")) | (F.col("o") < F.col("id")))
+    rest = left.join(others, "bucket").where(fits).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    joined = components(found.unionByName(links(rest)))
+
+    classes = reps.select("key", F.col("id").alias("node")).join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    whole = sketches.select("id", "key", "n").join(classes, "key", "left")
     out = whole.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     missing = docs.where(F.col(id_col).isNull()).select(text_of(text_col).alias("text"))
     if not missing.isEmpty():
