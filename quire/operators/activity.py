@@ -70,3 +70,11 @@ def available_logs(nodes: DataFrame, logs: DataFrame, accesses: tuple = ("privat
     """(doc, node, lang, access): logs that exist, of all that a node's languages could have."""
     all_ = nodes.select("doc", "node", "lang", F.explode(F.array(*map(F.lit, accesses))).alias("access"))
     return all_.join(logs, ["doc", "node", "lang", "access"], "left_semi")
+
+
+def rebase_errors(errors: DataFrame, line_map: DataFrame, hidden: int) -> DataFrame:
+    """(doc, node, at, line): error lines of a language's text, less its hidden lines, as lines of the mixed text:
+    the first line there that has come so far; line_map(doc, node, line, to)."""
+    shown = errors.select("doc", "node", (F.col("at") - hidden).cast("long").alias("at"))
+    hits = shown.join(line_map.select("doc", "node", "line", F.col("to").alias("at")), ["doc", "node", "at"])
+    return hits.groupBy("doc", "node", "at").agg(F.min("line").alias("line"))
