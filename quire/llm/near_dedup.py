@@ -154,23 +154,24 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that are links on their full sets."""
+    """(a, b, both, link): how many shingles the full sets of each pair have in common, and whether that makes a link."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_text, last_set = None, None
         for batch in batches:
-            keep = []
+            counts, keep = [], []
             for x, y in zip(batch["text_a"], batch["text_b"], strict=True):
                 if x != last_text:
                     last_text, last_set = x, shingle_set(split_words(x), size)
                 other = shingle_set(split_words(y), size)
                 both = len(np.intersect1d(last_set, other, assume_unique=True))
+                counts.append(both)
                 keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch[["a", "b"]].assign(both=counts, link=keep)
 
     side = lambda x: docs.select(F.col(id_col).cast("long").alias(x), text_of(text_col).alias(f"text_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long, both long, link boolean")
 
 
 def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -206,12 +207,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
     id has component null and is kept. Other columns are ignored; an empty table gives none.
 
     Candidates come from buckets in three rounds, and what links have joined needs no further test with each other:
-    1. each member against the bucket's least id;
-    2. in buckets that still hold several components, each member against the one with the smallest share of shingles
-       of its own, which is nearest to the origin of a group of copies. A shingle is a document's own if no other
-       document in these buckets has it; one with over a fifth of its set of its own can't be linked, and leaves;
-    3. in buckets that still hold several components, each member outside the most frequent one against all members
-       of other components whose sizes and own shingles allow the similarity.
+    1. each member against the bucket's most typical one, which has the smallest share of shingles of its own and so is
+       nearest to the origin of a group of copies. A shingle is a document's own if no other document that shares any
+       bucket has it; a document with over a fifth of its set of its own can't be linked, and leaves first;
+    2. in buckets that still hold several components, the members outside the most frequent one against the most typical
+       of themselves;
+    3. in buckets that still do, each such member against all members of other components that it may be linked with:
+       two sets have no more in common than the lesser part of each within the typical member's set, plus the lesser
+       number of shingles outside it that aren't a document's own.
     So a bucket of many copies, or of many documents around one passage, costs about its size, and no candidate pair
     goes untested unless its documents are joined already or can't be linked.
     """
@@ -219,31 +222,50 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
     reps = materialise(sketches.where("n > 0").groupBy("key", "n", "sig").agg(F.min("id").alias("id")), "classes")
     nodes = reps.select("id", "n", "sig")
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def tested(pairs: DataFrame) -> DataFrame:
         likely = materialise(_likely(pairs, nodes, percent), "likely")
-        return materialise(_verified(likely, docs, size, percent, id_col, text_col), "links")
+        return materialise(_verified(likely, docs, size, percent, id_col, text_col), "tested")
+
+    def star(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The most typical member of each bucket, and all others paired with it."""
+        middle = rows.groupBy("bucket").agg(F.min_by("id", F.col("own") / F.col("n")).alias("a"))
+        return middle, rows.join(middle, "bucket").where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+    def outside(rows: DataFrame) -> DataFrame:
+        """Rows with ``main``, the most frequent label of their bucket."""
+        main = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+        return rows.join(main, "bucket")
 
     rows = _buckets(nodes)
-    centre = rows.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    found = links(rows.join(centre, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    joined = components(found)
-
-    mixed = materialise(_mixed(rows.join(centre.select("bucket"), "bucket"), joined), "mixed")
-    own = materialise(_own_shingles(docs, mixed.select("id").distinct(), size, id_col, text_col), "own")
-    able = mixed.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-    able = materialise(_mixed(able.select("bucket", "id", "n", "own"), joined), "able")
-    middle = able.groupBy("bucket").agg(F.min_by("id", F.col("own") / F.col("n") + F.lit(0.0)).alias("a"))
-    found = found.unionByName(links(able.join(middle, "bucket").where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()))
-    joined = components(found)
-
-    left = materialise(_mixed(able.select("bucket", "id", "n", "own"), joined), "left")
-    main = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    left = left.join(main, "bucket")
-    others = left.where("label <> main").select("bucket", F.col("id").alias("o"), F.col("n").alias("o_n"), F.col("own").alias("o_own"), F.col("label").alias("o_label"))
-    common = F.least(F.col("n") - F.col("own"), F.col("o_n") - F.col("o_own"))
-    fits = (F.col("o_label") != F.col("label")) & (100 * common >= percent * (F.col("n") + F.col("o_n") - common)) & ((F.col("label") == F.col("main")) | (F.col("o") < F.col("id")))
-    rest = left.join(others, "bucket").where(fits).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-    joined = components(found.unionByName(links(rest)))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
+    shared = materialise(rows.join(shared, "bucket"), "buckets")
+    own = materialise(_own_shingles(docs, shared.select("id").distinct(), size, id_col, text_col), "own")
+    able = shared.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    able = materialise(able, "able")
+    middle, pairs = star(able)
+    first = tested(pairs)
+    links = first.where("link").select("a", "b")
+    joined = materialise(components(links), "components")
+
+    # how much each member shares with its bucket's typical one, where that was counted
+    shares = first.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "both")
+    left = _mixed(able, joined).join(middle, "bucket").withColumn("lo", F.least("a", "id")).withColumn("hi", F.greatest("a", "id")).join(shares, ["lo", "hi"], "left")
+    inside = F.when(F.col("id") == F.col("a"), F.col("n")).otherwise(F.col("both"))
+    left = materialise(outside(left.select("bucket", "id", "n", "own", "label", inside.alias("inside"))), "left")
+    second = tested(star(left.where("label <> main"))[1])
+    links = links.unionByName(second.where("link").select("a", "b"))
+    joined = materialise(components(links), "components")
+
+    left = materialise(outside(_mixed(left.drop("label", "main"), joined)), "left")
+    others = left.where("label <> main").select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "own", "label", "inside")])
+    total = F.least(F.col("n") - F.col("own"), F.col("o_n") - F.col("o_own"))
+    beside = F.least(F.col("n") - F.col("own") - F.col("inside"), F.col("o_n") - F.col("o_own") - F.col("o_inside"))
+    common = F.least(total, F.coalesce(F.least("inside", "o_inside") + F.greatest(beside, F.lit(0)), total))
+    common = F.when(F.col("inside").isNull() | F.col("o_inside").isNull(), total).otherwise(common)
+    fits = (F.col("o_label") != F.col("label")) & (100 * common >= percent * (F.col("n") + F.col("o_n") - common)) & ((F.col("label") == F.col("main")) | (F.col("o_id") < F.col("id")))
+    third = tested(left.join(others, "bucket").where(fits).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()).where("link")
+    if not third.isEmpty():
+        joined = components(links.unionByName(third.select("a", "b")))
 
     classes = reps.select("key", F.col("id").alias("node")).join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     whole = sketches.select("id", "key", "n").join(classes, "key", "left")
