@@ -93,3 +93,21 @@ def unchecked(nodes: DataFrame, checked: DataFrame) -> DataFrame:
 def report(*problems: DataFrame) -> DataFrame:
     """One table of problems(doc, code, node, args)."""
     return reduce(DataFrame.unionByName, problems)
+
+
+def wrong_input(inputs: DataFrame) -> DataFrame:
+    """Inputs without a known target, or of another language's version: inputs(doc, node, lang, path, target)."""
+    told = F.regexp_extract("path", r"_([a-z]{3})(?:\.tex)?$", 1)
+    return problem(inputs.where(F.col("target").isNull() | ((told != "") & (told != F.col("lang")))), "WRONG_INPUT", "node", "lang", "path")
+
+
+def check_commands(inputs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """References whose command or surroundings don't fit what they bring in: inputs(doc, node, macro, context, target).
+    An environment needs its own begin around it, a picture its command, other nodes an input."""
+    child = nodes.select("doc", F.col("node").alias("target"), "environ")
+    fits = (
+        F.when(F.col("environ").startswith("E_"), (F.col("macro") == "input") & F.col("context").eqNullSafe(F.col("environ")))
+        .when(F.col("environ") == "graphic_file", F.col("macro") == "includegraphics")
+        .otherwise(F.col("macro").isin("input", "include"))
+    )
+    return problem(inputs.join(child, ["doc", "target"]).where(~fits), "CMD_PARENT_CHILD", "node", "macro", "context", "environ")

@@ -145,3 +145,11 @@ def with_index_key(hits: DataFrame, entry: DataFrame) -> DataFrame:
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def bibliography_nodes(nodes: DataFrame, staff: DataFrame) -> DataFrame:
+    """(user_id, doc, node): bibliographies of a document, all for editors and the first for others;
+    staff(user_id, doc, is_editor)."""
+    k = F.row_number().over(Window.partitionBy("doc").orderBy("node"))
+    rows = nodes.where(F.col("environ").contains("bibliography")).select("doc", "node", k.alias("k"))
+    return staff.join(rows, "doc").where("is_editor or k = 1").select("user_id", "doc", "node")

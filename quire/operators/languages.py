@@ -119,3 +119,19 @@ def prologue_length(lang: Column, environ: Column) -> Column:
     """Lines of a stored segment that editors don't see: one for the id, one more if a version is generated or the
     environ has a heading."""
     return F.lit(1) + F.when(lang.isin("mul", "und", "zxx"), 0).otherwise(1) + F.when(environ.isin("main_file", "preamble"), -1).otherwise(0)
+
+
+def add_language(segments: DataFrame, source: str, new: str) -> DataFrame:
+    """Segments with copies of one language's versions under another, where there are none yet."""
+    have = segments.where(F.col("lang") == new).select("doc", "node")
+    return segments.unionByName(segments.where(F.col("lang") == source).join(have, ["doc", "node"], "left_anti").withColumn("lang", F.lit(new)))
+
+
+def relabel(segments: DataFrame, old: str, new: str) -> DataFrame:
+    return segments.withColumn("lang", F.when(F.col("lang") == old, new).otherwise(F.col("lang")))
+
+
+def drop_language(segments: DataFrame, lang: str) -> DataFrame:
+    """Segments without a language's versions, except where a node has no other."""
+    others = segments.where(F.col("lang") != lang).select("doc", "node").distinct().withColumn("o", F.lit(True))
+    return segments.join(others, ["doc", "node"], "left").where((F.col("lang") != lang) | F.col("o").isNull()).drop("o")

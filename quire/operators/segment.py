@@ -163,3 +163,56 @@ def standalone(text: Column, environ: Column, title: Column) -> Column:
     name = F.regexp_replace(environ, "^E_", "")
     wrapped = F.when(environ.startswith("E_"), F.concat(F.lit("\\begin{"), name, F.lit("}\n"), text, F.lit("\n\\end{"), name, F.lit("}\n"))).otherwise(F.concat(text, F.lit("\n")))
     return F.concat(F.lit("\\documentclass{article}\n\\title{"), title, F.lit("}\n\\begin{document}\n"), wrapped, F.lit("\\end{document}\n"))
+
+
+def assemble_files(nodes: DataFrame, visits: DataFrame) -> DataFrame:
+    """(doc, file, text): original files: a node with a filename begins one, which takes all below it up to the next;
+    nodes(doc, node, text, original_filename)."""
+    rows = visits.where("is_first").select("doc", "node", "path", F.posexplode(F.concat("branch", F.array(F.col("node")))).alias("i", "above"))
+    named = nodes.where("original_filename is not null").select("doc", F.col("node").alias("above"), "original_filename")
+    file = rows.join(named, ["doc", "above"]).groupBy("doc", "node", "path").agg(F.max_by("original_filename", "i").alias("file"))
+    texts = file.join(nodes.select("doc", "node", "text"), ["doc", "node"])
+    ordered = F.sort_array(F.collect_list(F.struct("path", "node", "text")))
+    return texts.groupBy("doc", "file").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+
+
+def restore_commands(text: Column) -> Column:
+    """A stored segment without its id header, with pictures and bibliographies under their old commands."""
+    bare = F.regexp_replace(text, r"^\\uuid\{[^}]*\}%\n", "")
+    return F.regexp_replace(bare, r"\\(includegraphics|bibliography)\{UUID/[^{}]*/([^/{}]*)\}", r"\\$1{$2}")
+
+
+def mask_tree(nodes: DataFrame, edges: DataFrame, visits: DataFrame, lang: str | None = None) -> DataFrame:
+    """(doc, node, text): the masked corpus of reachable nodes; with a language, other versions become stubs too."""
+    reached = nodes.join(visits.select("doc", "node").distinct(), ["doc", "node"], "left_semi")
+    if lang:
+        reached = reached.withColumn("access", F.when(F.col("lang") == lang, F.col("access")).otherwise("private"))
+    return mask(reached, edges)
+
+
+def choose_preamble(candidates: DataFrame) -> DataFrame:
+    """(doc, node, preamble) from candidates(doc, node, preamble, rank): the least rank, then the first by name."""
+    return candidates.groupBy("doc", "node").agg(F.min(F.struct("rank", "preamble")).alias("c")).select("doc", "node", "c.preamble")
+
+
+def references(pieces: DataFrame, files: DataFrame, macro: str) -> DataFrame:
+    """(doc, node, name, target): each name in a list of bibliographies or packages; null for external ones."""
+    rows = pieces.where(F.col("macro") == macro).select("doc", "node", F.explode(F.split("arg", r"\s*,\s*", -1)).alias("name"))
+    return rows.join(files, ["doc", "name"], "left").select("doc", "node", "name", "target")
+
+
+def init_nodes(nodes: DataFrame, private: tuple, authors: DataFrame) -> DataFrame:
+    """(doc, node, access, extension, username): default fields of new nodes, and the run's authors (a short list)."""
+    access = F.when(F.col("environ").isin(*private), "private").otherwise("open")
+    return nodes.select("doc", "node", access.alias("access"), F.lit(".tex").alias("extension")).join(F.broadcast(authors))
+
+
+def split_header(text: Column, macro: str = "section") -> Column:
+    """struct(header, title, body): the hidden lines on top of a segment, its title, and what editors see."""
+    pattern = r"(?s)^((?:\\uuid\{[^}]*\}%?\n)?(?:\\" + macro + r"\{[^{}]*\}\n)?)(.*)$"
+    header = F.regexp_extract(text, pattern, 1)
+    return F.struct(header.alias("header"), F.regexp_extract(header, rf"\\{macro}\{{([^{{}}]*)\}}", 1).alias("title"), F.regexp_extract(text, pattern, 2).alias("body"))
+
+
+def join_header(parts: Column) -> Column:
+    return F.concat(parts["header"], parts["body"])
