@@ -192,30 +192,45 @@ def _rows(ranks: Ranks, pieces: list[bytes], lengths: np.ndarray, size: int) ->
 
 
 class Encoder:
-    """Texts to ids, with a bounded table of chunks met before."""
+    """Texts to ids, with bounded tables of chunks met before."""
 
     def __init__(self, pattern: str, encode_chunks: Callable[[list[str]], list[bytes]]):
-        self.pattern, self.encode_chunks, self.known = regex.compile(pattern), encode_chunks, {}
-
-    def chunks(self, text: str) -> list[str]:
-        return self.pattern.findall(text) if OTHER_SPACE.search(text) else CHUNK.findall(text)
+        self.pattern, self.encode_chunks = regex.compile(pattern), encode_chunks
+        self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def chunks(self, text: str) -> tuple[list[str], list[str]]:
+        """Chunks as they stand, then chunks without the space that each begins with. Where no space follows white space,
+        cutting at spaces gives chunks."""
+        if OTHER_SPACE.search(text):
+            return self.pattern.findall(text), []
+        if "  " in text or "\n " in text or "\t " in text or "\r " in text or text[:1] == " " or text[-1:] == " ":
+            return CHUNK.findall(text), []
+        first, *rest = text.split(" ")
+        return ([first] if first else []), rest
+
+    def _learn(self, table: dict[str, bytes], lists: list[list[str]], lead: str) -> list[str]:
+        """Put chunks into a table that aren't there; gives those that are too long to stay."""
+        new = set().union(*lists).difference(table)
+        if new:
+            if len(table) + len(new) > KNOWN_CHUNKS:
+                table.clear()
+                new = set().union(*lists)
+            new = list(new)
+            table.update(zip(new, self.encode_chunks([lead + c for c in new] if lead else new), strict=True))
+        return [c for c in new if len(c) > KNOWN_CHARS] if max(map(len, new), default=0) > KNOWN_CHARS else []
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as packed little-endian 32-bit integers."""
         cut = [self.chunks(x) for x in texts]
-        known = self.known
-        new = set().union(*cut).difference(known)
-        if new:
-            if len(known) + len(new) > KNOWN_CHUNKS:
-                known.clear()
-                new = set().union(*cut)
-            new = list(new)
-            known.update(zip(new, self.encode_chunks(new), strict=True))
-        for chunks in cut:
-            yield b"".join(map(known.__getitem__, chunks))
-        if max(map(len, new), default=0) > KNOWN_CHARS:
-            for c in [c for c in new if len(c) > KNOWN_CHARS]:
-                del known[c]
+        plain = self._learn(self.known, [x for x, _ in cut], "")
+        long = self._learn(self.spaced, [y for _, y in cut], " ")
+        for x, y in cut:
+            yield b"".join(map(self.known.__getitem__, x)) + b"".join(map(self.spaced.__getitem__, y))
+        for c in plain:
+            del self.known[c]
+        for c in long:
+            del self.spaced[c]
 
 
 def rank_encoder(path: str, pattern: str) -> Encoder:
