@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.protect import protect, restore, tokens
+
 HEADER = "\\CDL"
 
 
@@ -135,3 +137,16 @@ def drop_language(segments: DataFrame, lang: str) -> DataFrame:
     """Segments without a language's versions, except where a node has no other."""
     others = segments.where(F.col("lang") != lang).select("doc", "node").distinct().withColumn("o", F.lit(True))
     return segments.join(others, ["doc", "node"], "left").where((F.col("lang") != lang) | F.col("o").isNull()).drop("o")
+
+
+def translate(segments: DataFrame, translator, old: str, new: str) -> DataFrame:
+    """(doc, node, lang, text): versions in a new language by ``translator(text, old, new)``, a function of the caller's
+    that works on a worker; markup is protected on the way."""
+    rows = segments.where(F.col("lang") == old).withColumn("toks", tokens(F.col("text"))).select("doc", "node", "toks", protect(F.col("text"), F.col("toks")).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(text=[translator(t, old, new) for t in batch["text"]])
+
+    done = rows.mapInPandas(run, rows.schema)
+    return done.select("doc", "node", F.lit(new).alias("lang"), restore(F.col("text"), F.col("toks")).alias("text"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import tree
 from quire.plans.rules import SECTIONS
 
 COMMANDS = ("label", "ref", "eqref", "pageref", "index", "indexLeng", "indexLita", "cite", "author", "uuid", "replaces")
@@ -216,3 +217,18 @@ def split_header(text: Column, macro: str = "section") -> Column:
 
 def join_header(parts: Column) -> Column:
     return F.concat(parts["header"], parts["body"])
+
+
+def items(deep: DataFrame, lists: tuple = ("itemize", "enumerate", "description")) -> DataFrame:
+    """(doc, node, pos, number, text): list items with their number within their list, nested lists counted apart."""
+    rows = deep.where(F.col("env").isin(*lists))
+    start = F.when(F.col("macro") == "begin", F.col("pos"))
+    own = rows.withColumn("at", F.last(start, True).over(Window.partitionBy("doc", "node", "depth").orderBy("pos"))).where("macro = 'item'")
+    number = F.row_number().over(Window.partitionBy("doc", "node", "at").orderBy("pos"))
+    return own.select("doc", "node", "pos", number.alias("number"), F.trim(F.regexp_replace("raw", r"^\\item\s*", "")).alias("text"))
+
+
+def recursive_inputs(inputs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc, node, parent): inputs(doc, node, target) that bring in a file from within itself."""
+    edges = inputs.where("target is not null").select("doc", F.col("node").alias("parent"), F.col("target").alias("child"), F.col("target").alias("ordinal")).distinct()
+    return tree.loops(tree.walk(edges, roots)).select("doc", "node", "parent")

@@ -109,3 +109,27 @@ def search_index(spark: SparkSession, d: str) -> DataFrame:
     """SRCH-3: index entries that contain a token."""
     tokens = view(spark, d, "benchmark").where("item_id % 10 = 0").select(F.regexp_extract("text", "([A-Za-z]+)", 1).alias("token")).distinct()
     return index.entries(view(spark, d, "fx_attr")).join(F.broadcast(tokens), F.col("key").contains(F.col("token"))).select("token", "doc", "node", "lang").distinct()
+
+
+@query(f"""WITH {cte('fx_node')} SELECT n.doc, n.node, CAST(v.pos AS BIGINT) AS pos, v.number, CASE v.number WHEN 1 THEN 'first ' || n.r ELSE 'second' END AS text FROM fx_node n CROSS JOIN (VALUES (2, 1), (3, 2)) v(pos, number)""")
+def seg_items(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-4: list items."""
+    t = F.format_string("x\\begin{itemize}\\item first %d\n\\item second\\end{itemize}\\item stray", "r")
+    return segment.items(segment.with_depth(segment.explode_markers(view(spark, d, "fx_node").select("doc", "node", t.alias("text"))))).withColumn("text", F.regexp_replace("text", "\n$", ""))
+
+
+@query(f"WITH {cte('fx_node')} SELECT n.doc, t.node, n.node AS parent FROM fx_node n JOIN fx_node t ON t.doc = n.doc AND t.r = 1 WHERE n.r % 9 = 0")
+def seg_recursive(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-10: inputs that lead back to where they came from."""
+    n, e = view(spark, d, "fx_node"), view(spark, d, "fx_edge")
+    top = tree.roots_of(n)
+    back = n.where("r % 9 = 0").select("doc", "node").join(top, "doc").select("doc", "node", F.col("root").alias("target"))
+    i = e.select("doc", F.col("parent").alias("node"), F.col("child").alias("target")).unionByName(back)
+    return segment.recursive_inputs(i, top)
+
+
+@query(f"WITH {cte('fx_node')} SELECT doc, node, 'xxx' AS lang, 'SEE ' || chr(92) || 'ref{{doc:' || node || '}} AND $x$ HERE' AS text FROM fx_node".replace("{{", "{").replace("}}", "}"))
+def lang_translate(spark: SparkSession, d: str) -> DataFrame:
+    """UDF-3: a translator between protection and restoring (here one that shouts)."""
+    s = view(spark, d, "fx_node").select("doc", "node", F.lit("eng").alias("lang"), F.format_string("see \\ref{doc:%d} and $x$ here", "node").alias("text"))
+    return languages.translate(s, lambda t, old, new: t.upper(), "eng", "xxx")
