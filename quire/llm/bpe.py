@@ -25,8 +25,8 @@ from quire.llm.common import text_of
 CHUNK = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 #: White space, in one definition or another, beside that of CHUNK: texts with such characters are cut by the pattern.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-KNOWN_CHUNKS, KNOWN_CHARS = 500_000, 128
-BATCH_CHARS = 1 << 20
+KNOWN_CHUNKS, KNOWN_CHARS = 300_000, 128
+BATCH_CHARS = 1 << 19
 SHORT = 64
 NONE = 0xFFFF_FFFF
 INF = np.int64(1) << 60
@@ -213,15 +213,15 @@ class Encoder:
         """Put chunks into a table that aren't there; gives those that are too long to stay."""
         new = set().union(*lists).difference(table)
         if new:
-            if len(table) + len(new) > KNOWN_CHUNKS:
-                table.clear()
-                new = set().union(*lists)
             new = list(new)
             table.update(zip(new, self.encode_chunks([lead + c for c in new] if lead else new), strict=True))
         return [c for c in new if len(c) > KNOWN_CHARS] if max(map(len, new), default=0) > KNOWN_CHARS else []
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as packed little-endian 32-bit integers."""
+        if len(self.known) + len(self.spaced) > KNOWN_CHUNKS:
+            self.known.clear()
+            self.spaced.clear()
         cut = [self.chunks(x) for x in texts]
         plain = self._learn(self.known, [x for x, _ in cut], "")
         long = self._learn(self.spaced, [y for _, y in cut], " ")
@@ -257,6 +257,8 @@ def once(make: Callable, *args):
     """``make(*args)``, kept for the life of a worker process."""
     key = (make.__module__, make.__name__, *args)
     if key not in _made:
+        if len(_made) >= 4:
+            _made.clear()
         _made[key] = make(*args)
     return _made[key]
 
@@ -299,8 +301,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = once(Ranks, ranks_path).tokens
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
                 column = part.column(names.index(ids_col))
                 ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
                 flat = list(map(tokens.__getitem__, column.flatten().to_pylist()))

@@ -29,7 +29,7 @@ EDITS, MIN_WORDS = 0.2, 5
 WALKS, POOL, SAMPLES, BITS = 2, 16, 12, 4
 #: Items are indexed and broadcast in blocks of so many words (an index takes about 400 bytes a word).
 BLOCK_WORDS = 100_000
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 BATCH_WORDS = 40_000
 PUNCTUATION = string.punctuation.encode()
 END = np.uint64(0)
@@ -46,6 +46,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget_words() -> None:
+    """Free the table at the end of a task; workers live on and go to other work."""
+    _words.clear()
+
+
 def fingerprints(text: str) -> np.ndarray:
     """64-bit fingerprints of the words; 0 stands for the end of a text."""
     words = text.encode("utf-8").lower().split()
@@ -238,6 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         item, w = finder.items[k]
                         out.append((ids[start + t], item, d, len(w), end))
                 yield pd.DataFrame(out, columns=["id", "item_id", "edit_distance", "item_words", "end_word"])
+            forget_words()
 
         return rows.mapInPandas(run, schema)
 

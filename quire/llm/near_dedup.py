@@ -23,7 +23,7 @@ BASE, RATE, LIMIT = 1.02, 20.0, 4095
 #: A candidate pair goes on to verification unless the wanted similarity is less likely than the best by exp(-SLACK).
 SLACK = 14.0
 PERCENT = 80
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(b"register %d" % i) | 1 for i in range(REGISTERS)], np.uint64)
 
 
@@ -40,6 +40,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget_words() -> None:
+    """Free the table at the end of a task; workers live on and go to other work."""
+    _words.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58_476D_1CE4_E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D0_49BB_1331_11EB)
@@ -125,6 +130,7 @@ def sketch(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
                 for k, row in zip(full, registers([sets[k] for k in full]), strict=True):
                     sig[k] = row.tobytes()
                 yield pd.DataFrame({"id": batch["id"].iloc[at : at + 200].tolist(), "key": keys, "n": [len(s) for s in sets], "sig": sig})
+        forget_words()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).where("id is not null")
     return rows.mapInPandas(run, "id long, key binary, n long, sig binary")
@@ -168,6 +174,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
                 counts.append(both)
                 keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
             yield batch[["a", "b"]].assign(both=counts, link=keep)
+        forget_words()
 
     side = lambda x: docs.select(F.col(id_col).cast("long").alias(x), text_of(text_col).alias(f"text_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
@@ -189,6 +196,7 @@ def _own_shingles(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_
             for at in range(0, len(batch), 100):
                 part = batch.iloc[at : at + 100]
                 yield pd.DataFrame({"id": part["id"], "shingles": [shingle_set(split_words(t), size).view(np.int64) for t in part["text"]]})
+        forget_words()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(ids, "id").dropDuplicates(["id", "text"])
     sets = texts.mapInPandas(run, "id long, shingles array<long>").select("id", F.explode("shingles").alias("s"))

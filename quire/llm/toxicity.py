@@ -25,7 +25,7 @@ WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN = 1 << 13, 1 << 12, 8, 8
 #: The bounded sample: so many labelled documents of each class, in hash order, of at most so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 9000
 UPDATES, BATCH, RATE = 320, 40, 0.02
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 120_000
 RUN_CHARS = 1 << 19
 
 
