@@ -265,12 +265,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
     joined = materialise(components(links), "components")
 
     left = materialise(outside(_mixed(left.drop("label", "main"), joined)), "left")
-    others = left.where("label <> main").select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "own", "label", "inside")])
+    # each row carries its document's buckets (32 at most), so that a pair comes from the least one it shares alone
+    left = left.join(left.groupBy("id").agg(F.collect_set("bucket").alias("all")), "id")
+    others = left.where("label <> main").select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "own", "label", "inside", "all")])
     total = F.least(F.col("n") - F.col("own"), F.col("o_n") - F.col("o_own"))
     beside = F.least(F.col("n") - F.col("own") - F.col("inside"), F.col("o_n") - F.col("o_own") - F.col("o_inside"))
     common = F.least(total, F.coalesce(F.least("inside", "o_inside") + F.greatest(beside, F.lit(0)), total))
     common = F.when(F.col("inside").isNull() | F.col("o_inside").isNull(), total).otherwise(common)
     fits = (F.col("o_label") != F.col("label")) & (100 * common >= percent * (F.col("n") + F.col("o_n") - common)) & ((F.col("label") == F.col("main")) | (F.col("o_id") < F.col("id")))
+    fits = fits & (F.col("bucket") == F.array_min(F.array_intersect("all", "o_all")))
     third = tested(left.join(others, "bucket").where(fits).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()).where("link")
     if not third.isEmpty():
         joined = components(links.unionByName(third.select("a", "b")))
