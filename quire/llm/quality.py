@@ -19,16 +19,22 @@ TERMS, DIM = 1 << 14, 48
 #: The bounded sample: so many labelled documents of each class, in hash order, of at most so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
 NEIGHBOURS, BLOCK = 25, 256
-KNOWN_WORDS = 200_000
+#: The table of words met before: so many words of at most so many characters each; longer ones are cut up anew.
+KNOWN_WORDS, KNOWN_CHARS = 200_000, 64
+#: Longer shapes count as overlapping pieces of so many characters, each half a piece after the one before.
+PIECE = 12
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(word: str) -> list[int]:
-    """Buckets of a word's terms: its letters, its shape (letters and digits run together), its rarer marks and its
-    length class. Shapes let marks and layout count, whatever the words are."""
+    """Buckets of a word's terms: all its letter runs, its whole shape (letters and digits run together, marks as they
+    are) and its length class. Shapes let marks and layout count, whatever the words are."""
     low = word.lower()
-    shape = re.sub(r"\d+", "0", LETTERS.sub(lambda m: "A" if m[0].isupper() else "a", word))[:12]
-    names = [f"w {m}" for m in LETTERS.findall(low)[:8]] + [f"s {shape}", f"n {min(12, len(word))}"]
+    shape = re.sub(r"\d+", "0", LETTERS.sub(lambda m: "A" if m[0].isupper() else "a", word))
+    half = PIECE // 2
+    names = [f"w {m}" for m in LETTERS.findall(low)]
+    names += [f"s {shape[k : k + PIECE]}" for k in range(0, max(1, len(shape) - half), half)]
+    names.append(f"n {min(12, len(word))}")
     return [xxhash.xxh32_intdigest(x) % TERMS for x in names]
 
 
@@ -47,7 +53,9 @@ class Space:
         for w in words:
             own = known.get(w)
             if own is None:
-                own = known[w] = terms_of(w)
+                own = terms_of(w)
+                if len(w) <= KNOWN_CHARS:
+                    known[w] = own
             flat += own
         at, n = np.unique(np.array(flat, np.int64), return_counts=True)
         lines = [x for x in text.split("\n") if x]

@@ -121,3 +121,24 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == r.quality for r in q]) > 0.9
     x = language.languages(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r.lang_pred == r.lang for r in x]) > 0.95
+
+
+def test_quality_terms_cover_the_whole_word():
+    word = "-".join(f"p{chr(97 + k % 26)}{k}" for k in range(40))
+    for end in ("tail", "!?", "9"):
+        assert set(quality.terms_of(f"{word}-{end}")) != set(quality.terms_of(word))
+    for n in range(40):
+        shape = "".join(".:;,"[k * k % 4] for k in range(n))
+        want = {f"s {shape[k : k + 12]}" for k in range(0, max(1, n - 6), 6)} | {f"n {min(12, n)}"}
+        assert set(quality.terms_of(shape)) == {quality.xxhash.xxh32_intdigest(x) % quality.TERMS for x in want}
+        assert n == 0 or max(range(0, max(1, n - 6), 6)) + 12 >= n
+
+
+def test_quality_reads_behind_the_eighth_run():
+    head = "see,this,page,and,look,at,all,of,"
+    texts = [head + ("quiet,river,mill" if k % 2 else "cheap,pills,buy") + f",k{k}" for k in range(40)]
+    space = quality.fit_space(texts)
+    v = space.vectors([head + "river,mill,quiet", head + "buy,cheap,pills"])
+    got = quality.votes(v, space.vectors(texts), np.array([k % 2 for k in range(40)], float), 0.5)
+    assert got[0] > 0.9 and got[1] < 0.1
+    assert not any(len(w) > quality.KNOWN_CHARS for w in space.known)
