@@ -18,8 +18,7 @@ ARCHIVE_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 1000
 BLOCK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
-VERSION = re.compile(rb"WARC/\d\.\d\r\n")
-HEAD_LIMIT = 64 << 10
+VERSION, VERSION_BYTES = re.compile(rb"WARC/\d\.\d\r\n"), 10
 
 RECORD_SCHEMA = "uri string, kind string, page_id long, target string, payload_bytes long, payload_digest string, refers_to long, payload binary, offset long, length long, reason string"
 
@@ -116,12 +115,17 @@ class _Window:
                 return -1
 
 
-def parse_record(data: bytes) -> tuple[dict, bytes, int]:
-    """Headers, block and full length of the record at the start of ``data``; ValueError tells what is wrong."""
+def parse_record(data: bytes, whole: bool = True) -> tuple[dict, bytes, int]:
+    """Headers, block and full length of the record at the start of ``data``; ValueError tells what is wrong. EOFError:
+    the record goes on after ``data``; so may its header unless ``data`` is the ``whole`` rest."""
     if not VERSION.match(data):
+        if not whole and len(data) < VERSION_BYTES:
+            raise EOFError("version line is cut off")
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", 0, HEAD_LIMIT)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
+        if not whole and all(b":" in x for x in data.split(b"\r\n")[1:-1]):
+            raise EOFError("header is cut off")
         raise ValueError("header does not end")
     head = {}
     for line in data[:end].split(b"\r\n")[1:]:
@@ -172,19 +176,23 @@ def salvage(f) -> Iterator[tuple[str, int, int, object]]:
     while w.buf or w.more():
         at = w.base
         try:
-            if w.buf.startswith(MAGIC) or len(w.buf) < 3 and w.more() and w.buf.startswith(MAGIC):
+            while len(w.buf) < len(MAGIC) and w.more():
+                pass
+            if w.buf.startswith(MAGIC):
                 data, used = _member(w)
                 head, block, n = parse_record(data)
                 if n != len(data):
                     raise ValueError("bytes after the record in its member")
             else:
                 while True:
+                    ended = w.ended
                     try:
-                        head, block, used = parse_record(w.buf)
+                        head, block, used = parse_record(w.buf, ended)
                         break
                     except EOFError:
-                        if not w.more():
+                        if ended:
                             raise
+                        w.more()
         except (ValueError, EOFError, zlib.error) as e:
             gap = gap or (at, str(e))
             w.find(start, min(1, len(w.buf)), 16)
@@ -214,8 +222,9 @@ def _describe(uri: str, at: int, n: int, head: dict, block: bytes) -> tuple:
     return uri, kind, _page(head.get("warc-record-id")), head.get("warc-target-uri"), size, digest, _page(head.get("warc-refers-to")), payload if kind != "revisit" else None, at, n, None
 
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the archives named in column ``uri``, and rows of kind ``gap`` for quarantined byte ranges.
+def read_archives(archives: DataFrame, payloads: bool = True, strict: bool = False) -> DataFrame:
+    """The records of the archives named in column ``uri``, and rows of kind ``gap`` for quarantined byte ranges; if
+    ``strict``, a gap is an error instead.
 
     Each archive is read in blocks by one task; at most one record is held at a time. Payload digests of responses are
     computed from the payload that was read. An empty list of archives gives no rows; an empty archive neither.
@@ -229,6 +238,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 rows, size = [], 0
                 with opened(uri) as f:
                     for kind, at, length, what in salvage(f):
+                        if strict and kind == "gap":
+                            raise ValueError(f"{uri}: {length} bytes at {at} can't be read: {what}")
                         row = _describe(uri, at, length, *what) if kind == "record" else (uri, "gap", None, None, None, None, None, None, at, length, what)
                         rows.append(row if payloads else (*row[:7], None, *row[8:]))
                         size += len(row[7] or b"") if payloads else 200
@@ -247,10 +258,11 @@ def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` as archives, read them back, and describe every record."""
+    """Write ``pages`` as archives, read them back, and describe every record; a record that can't be read back is an
+    error."""
     spark = pages.sparkSession
     archives = materialise(write_archives(pages, fresh_dir(spark, "warc")), "warc-list")
-    return read_archives(archives, payloads=False).where("kind <> 'gap'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    return read_archives(archives, payloads=False, strict=True).select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
 SQL = """

@@ -122,6 +122,28 @@ def test_salvage_after_damage(compressed):
     assert sum(x[2] for x in out) == len(whole)
 
 
+@pytest.mark.parametrize("compressed", [True, False])
+@pytest.mark.parametrize("block", [1, 37, 1 << 20])
+def test_salvage_of_headers_across_reads(monkeypatch, compressed, block):
+    monkeypatch.setattr(warc, "BLOCK", block)
+    own = records(6) + [warc.build_record(6, "u" * (300 if block == 1 else 100_000), b"x", "", "response", None)] + records(2)
+    data = b"".join(warc.compress_member(r) if compressed else r for r in own)
+    out = list(warc.salvage(io.BytesIO(data)))
+    assert [x[0] for x in out] == ["record"] * 9 and sum(x[2] for x in out) == len(data)
+    assert block == 1 or out[6][3][0]["warc-target-uri"] == "u" * 100_000
+    assert [x[0] for x in warc.salvage(io.BytesIO(own[0] + own[1][:50]))] == ["record", "gap"]
+
+
+def test_warc_keeps_pages_with_long_urls(spark, tmp_path):
+    rows = [(1, "data:" + "x" * 200_000, "page"), (2, "u", "other")]
+    assert sorted(r.page_id for r in warc.warc_round_trip(pages(spark, rows)).collect()) == [1, 2]
+    (tmp_path / "a.warc").write_bytes(records(1)[0] + b"garbage")
+    list_ = spark.createDataFrame([(f"file://{tmp_path}/a.warc",)], "uri string")
+    assert [r.kind for r in warc.read_archives(list_).collect()] == ["response", "gap"]
+    with pytest.raises(Exception, match="7 bytes at .* can't be read"):
+        warc.read_archives(list_, strict=True).collect()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=300))
 def test_salvage_takes_anything(data):
