@@ -2,34 +2,68 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Comments, display and inline math, and macros with their arguments.
-TOKEN = r"(?s)(?<!\\)%[^\n]*\n?|\\\[.*?\\\]|\\\(.*?\\\)|\$\$.*?\$\$|\$[^$]*\$|\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})*|\\[^A-Za-z]"
-#: The private area of the basic plane: so many distinct tokens fit in a segment.
-FIRST, MOST = 0xE000, 6400
+#: Comments, display and inline math, macros with their arguments, and private characters that a text has already.
+TOKEN = re.compile(r"(?s)(?<!\\)%[^\n]*\n?|\\\[.*?\\\]|\\\(.*?\\\)|\$\$.*?\$\$|\$[^$]*\$|\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})*|\\[^A-Za-z]|[\uE000-\uF8FF]")
+#: The private area of the basic plane: its first character begins a code, the others are the digits of a number.
+FIRST, DIGITS = 0xE000, 6399
+CODE = re.compile(r"\uE000([\uE001-\uF8FF]+)")
+
+
+def _code(i: int) -> str:
+    digits = ""
+    while True:
+        i, k = divmod(i, DIGITS)
+        digits = chr(FIRST + 1 + k) + digits
+        if not i:
+            return chr(FIRST) + digits
+
+
+def _number(digits: str) -> int:
+    n = 0
+    for x in digits:
+        n = n * DIGITS + ord(x) - FIRST - 1
+    return n
+
+
+def _tokens(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: x if x is None else list(dict.fromkeys(m[0] for m in TOKEN.finditer(x))))
+
+
+def _protect(texts: pd.Series, toks: pd.Series) -> pd.Series:
+    def one(text: str | None, own: list[str] | None) -> str | None:
+        if text is None or own is None:
+            return None
+        codes = {t: _code(i) for i, t in enumerate(own)}
+        return TOKEN.sub(lambda m: codes[m[0]], text)
+
+    return pd.Series([one(x, own) for x, own in zip(texts, toks, strict=True)], dtype=object)
+
 
+def _restore(texts: pd.Series, toks: pd.Series) -> pd.Series:
+    def one(text: str | None, own: list[str] | None) -> str | None:
+        if text is None or own is None:
+            return None
+        return CODE.sub(lambda m: own[i] if (i := _number(m[1])) < len(own) else m[0], text)
 
-def _private(i: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(i + FIRST), 8, "0")), "UTF-32")
+    return pd.Series([one(x, own) for x, own in zip(texts, toks, strict=True)], dtype=object)
 
 
 def tokens(c: Column) -> Column:
-    """Distinct tokens of a text, the longest first; none if the text has private characters already or there are more
-    tokens than characters for them."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(TOKEN), 0))
-    ordered = F.transform(F.sort_array(F.transform(found, lambda x: F.struct(F.length(x).alias("n"), x.alias("t"))), False), lambda x: x["t"])
-    return F.when(c.rlike(r"[\uE000-\uF8FF]") | (F.size(found) > MOST), F.array().cast("array<string>")).otherwise(ordered)
+    """Distinct tokens of a text, in the order of their first places."""
+    return F.pandas_udf(_tokens, "array<string>")(c)
 
 
 def protect(c: Column, toks: Column) -> Column:
-    """The text with each token as one private character, by its place in ``toks``."""
-    pairs = F.transform(toks, lambda x, i: F.struct(x.alias("t"), _private(i).alias("p")))
-    return F.aggregate(pairs, c, lambda acc, x: F.replace(acc, x["t"], x["p"]))
+    """The text with each token as a code of private characters, by its place in ``toks``, the text's own tokens."""
+    return F.pandas_udf(_protect, "string")(c, toks)
 
 
 def restore(c: Column, toks: Column) -> Column:
     """The text with its tokens back."""
-    pairs = F.reverse(F.transform(toks, lambda x, i: F.struct(x.alias("t"), _private(i).alias("p"))))
-    return F.aggregate(pairs, c, lambda acc, x: F.replace(acc, x["p"], x["t"]))
+    return F.pandas_udf(_restore, "string")(c, toks)

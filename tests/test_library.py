@@ -236,3 +236,27 @@ def test_loops_and_federated_search(spark):
     hits = registry.QUERIES["search_federated"](spark, DATA).collect()
     labels = {r.node for r in hits if r.kind == "label"}
     assert all(r.token.startswith("doc:") for r in hits if r.kind == "label") and labels
+
+
+def test_protection_leaves_no_text_out(spark):
+    from quire.functions import protect
+
+    many = " ".join(f"word{k} \\ref{{x{k}}}" for k in range(7000))
+    texts = [many, "a \uE000\uE005 \\b{c} $x$ d% \uF8FF e\n\uE000\\f{\uE001}", "", "plain", "\\a\\b\\a$$y$$", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("toks", protect.tokens(F.col("text")))
+    df = df.withColumn("p", protect.protect(F.col("text"), F.col("toks")))
+    got = df.select("k", "p", protect.restore(F.col("p"), F.col("toks")).alias("back"), protect.restore(F.upper("p"), F.col("toks")).alias("loud")).orderBy("k").collect()
+    assert [r.back for r in got] == texts
+    assert not any(x in (r.p or "") for r in got for x in "\\$%")
+    assert got[0].loud == many.replace("word", "WORD") and got[1].loud == texts[1].replace("a ", "A ", 1).replace(" d", " D")
+
+
+@needs_data
+def test_protection_query_agrees_with_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.sql(registry.SQL["text_protect"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["text_protect"](spark, DATA).collect())) == sorted(want)
