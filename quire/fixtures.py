@@ -44,7 +44,7 @@ UNION ALL SELECT doc, node, CASE node % 3 WHEN 0 THEN 'M_indexLeng' WHEN 1 THEN
     "fx_markup": f"""
 SELECT n.doc, n.node, n.r, n.lang, concat(
   chr(92), 'section{{', n.doc, '}}', chr(10), chr(92), 'label{{doc:', n.node, '}}', chr(10),
-  chr(92), 'begin{{theorem}}[', n.lang, ']', chr(10), replace(substr(n.text, 1, 200), chr(10), ' '), chr(10),
+  chr(92), 'begin{{theorem}}[', n.lang, ']', chr(10), n.text, chr(10),
   chr(92), 'index{{', w.w1, '!', w.w2, '}}', chr(10), '% note', chr(10),
   chr(92), 'begin{{equation}}', chr(92), 'label{{eq:', n.node, '}} $x_', n.r, '$ ', chr(92), 'end{{equation}}', chr(10),
   chr(92), 'end{{theorem}}', chr(10), 'See ', chr(92), 'ref{{doc:', (n.node * 7) % {N} + 1, '}} and $$y$$.', chr(10),

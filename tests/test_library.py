@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quire import fixtures
 from quire.functions import ids
 from quire.functions import text as T
 from quire.operators import activity, attrs, index, languages, segment, tree
@@ -260,3 +261,24 @@ def test_protection_query_agrees_with_its_sql(spark):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.sql(registry.SQL["text_protect"]).fetchall()
     assert sorted(map(tuple, registry.QUERIES["text_protect"](spark, DATA).collect())) == sorted(want)
+
+
+MARKED = ("seg_markers", "seg_sections", "seg_environments", "seg_problems", "attr_reparse", "attr_reparse_all", "asm_squash", "text_break", "text_protect", "text_headers")
+
+
+@needs_data
+@pytest.mark.parametrize("name", MARKED)
+def test_marked_up_texts_are_whole(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    marked = fixtures.view(spark, DATA, "fx_markup").join(spark.read.parquet(f"{DATA}/documents.parquet").select((F.col("doc_id") + 1).alias("node"), F.col("text").alias("whole")), "node")
+    assert marked.count() == 200 and marked.where(~F.contains("text", "whole")).count() == 0
+    got = registry.QUERIES[name](spark, DATA)
+    want = con.sql(registry.SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    pick = lambda r, own: tuple(r[own.index(c)] for c in columns)
+    assert sorted(str(pick(r, got.columns)) for r in got.collect()) == sorted(str(pick(r, want.columns)) for r in want.fetchall())
