@@ -66,11 +66,18 @@ def library_encoder(path: str, pattern: str) -> Encoder:
     return Encoder(pattern, encode_chunks)
 
 
-def train_dictionary(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> bytes:
+def two_bytes(path: str, end_id: int) -> bool:
+    """Whether two bytes hold every id of the tokenizer and the end id."""
+    from tokenizers import Tokenizer
+
+    return max(end_id, *Tokenizer.from_file(path).get_vocab(True).values()) < 1 << 16
+
+
+def train_dictionary(docs: DataFrame, path: str, pattern: str, text_col: str = "text", end_id: int = 0) -> bytes:
     """A zstandard dictionary from a bounded sample; empty when there is too little to train on. It only affects sizes."""
     texts = docs.select(text_of(text_col).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
     picked = hash_sample(texts, F.xxhash64("text"), SAMPLE_DOCS).distinct()
-    packed = picked.mapInPandas(_pack_sample(path, pattern), "ids binary")
+    packed = picked.mapInPandas(_pack_sample(path, pattern, two_bytes(path, end_id)), "ids binary")
     samples = [bytes(r.ids) for r in packed.toLocalIterator()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 10)), samples).as_bytes()
@@ -78,11 +85,11 @@ def train_dictionary(docs: DataFrame, path: str, pattern: str, text_col: str = "
         return b""
 
 
-def _pack_sample(path: str, pattern: str):
+def _pack_sample(path: str, pattern: str, two: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = once(library_encoder, path, pattern)
         for batch in batches:
-            yield pd.DataFrame({"ids": [_narrow(x, True) for x in encoder.batch(batch["text"].tolist())]})
+            yield pd.DataFrame({"ids": [_narrow(x, two) for x in encoder.batch(batch["text"].tolist())]})
 
     return run
 
@@ -99,8 +106,8 @@ def write_tokens(docs: DataFrame, root: str, path: str, pattern: str, end_id: in
     of their texts. The rows are dealt out by ranges of the id, so files follow each other in (worker, seq).
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, path, pattern, text_col)
-    digest = hashlib.sha256(dictionary).digest()
+    dictionary = train_dictionary(docs, path, pattern, text_col, end_id)
+    digest, two = hashlib.sha256(dictionary).digest(), two_bytes(path, end_id)
     out = RollingWriter(root, "", 1)
     with out.store.open_output_stream(f"{out.path}/{digest.hex()}.dict", compression=None) as f:
         f.write(dictionary)
@@ -111,7 +118,7 @@ def write_tokens(docs: DataFrame, root: str, path: str, pattern: str, end_id: in
         encoder = once(library_encoder, path, pattern)
         params = {"level": LEVEL} | ({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {})
         frames, end = zstandard.ZstdCompressor(**params), np.array([end_id], "<u4").tobytes()
-        files, index, seq, two = RollingWriter(root, ".tokens", FILE_BYTES), [], 0, True
+        files, index, seq = RollingWriter(root, ".tokens", FILE_BYTES), [], 0
 
         def close() -> pd.DataFrame:
             nonlocal index, seq

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import json
 import random
 import zlib
 
@@ -122,6 +123,25 @@ def test_salvage_after_damage(compressed):
     assert sum(x[2] for x in out) == len(whole)
 
 
+@pytest.mark.parametrize("shift, end_id", [(0, 0), (0, 70_000), (30_000, 0)])
+def test_token_files_hold_wide_ids(spark, tmp_path, shift, end_id):
+    with open(JSON, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["vocab"] = {f"<unused {k}>": k for k in range(shift)} | {t: i + shift for t, i in spec["model"]["vocab"].items()}
+    spec["added_tokens"] = [x | {"id": x["id"] + shift} for x in spec["added_tokens"]]
+    path = str(tmp_path / "tokenizer.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    texts = ["some unusual words: zygote, quagmire, thunderstorm", "", "plain"]
+    own = {k: [*Tokenizer.from_file(JSON).encode(t, add_special_tokens=False).ids] for k, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = materialise(token_store.write_tokens(docs, fresh_dir(spark, "tokens"), path, PATTERN, end_id), "token-files")
+    want = {k: zlib.crc32(np.array([*(i + shift for i in x), end_id], "<u4").tobytes()) for k, x in own.items()}
+    assert {r.doc_id: r.ids_crc32 for r in token_store.read_tokens(files).collect()} == want
+    assert token_store.two_bytes(path, end_id) == (shift == end_id == 0)
+    assert shift == 0 or max(map(max, filter(None, own.values()))) + shift >= 1 << 16
+
+
 @pytest.mark.parametrize("compressed", [True, False])
 @pytest.mark.parametrize("block", [1, 37, 1 << 20])
 def test_salvage_of_headers_across_reads(monkeypatch, compressed, block):
