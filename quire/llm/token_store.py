@@ -9,6 +9,8 @@ reader that wants one document reads the footer, the index and that document's f
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 import struct
 import zlib
@@ -16,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import Encoder, once, small_runs
+from quire.llm.bpe import Encoder, Pieces, buffers, lists_of, once
 from quire.llm.common import fresh_dir, hash_sample, materialise, text_of
 from quire.llm.files import RollingWriter, opened
 
@@ -32,38 +36,77 @@ FILE_BYTES = 16 << 20
 #: The dictionary is trained on at most so many documents of at most so many characters each, taken in hash order.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
 LEVEL = 3
+FILES = pa.schema([("uri", pa.string()), ("worker", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def library_encoder(path: str, pattern: str) -> Encoder:
-    """The tokenizers library over new chunks. Those that begin with white space are joined into long texts, which
-    have the ids of their chunks in a row, and are told apart again by the lengths of their tokens."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+#: Characters whose classes no edition of Unicode and no regular expression library sees otherwise.
+PLAIN = r"^[\t\n\r -~\x{A1}-\x{AC}\x{AE}-\x{24F}]*$"
+
+
+class LibraryEncoder(Encoder):
+    """The tokenizers library over chunks that weren't met before.
+
+    With a byte-level pre-tokenizer and no normalizer, each piece of a plain chunk goes to the library's model; chunks
+    with other characters go through the library as they are. Texts that hold one of the tokenizer's added tokens do so
+    as a whole, and so do all texts for tokenizers of another kind.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec["pre_tokenizer"] or {}
+        self.by_pieces = before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not spec["normalizer"] and not spec["truncation"] and not spec["padding"]
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        self.model = self.tokenizer.model
+        self.pieces = Pieces(pattern, self._model)
+        super().__init__(self._chunks)
+
+    def _model(self, pieces: pa.Array) -> pa.ListArray:
+        data, offsets = buffers(pieces)
+        text, ends = data.tobytes().decode("latin-1").translate(BYTE_CHARS), offsets.tolist()
+        ids, counts, tokenize = [], [], self.model.tokenize
+        for a, b in itertools.pairwise(ends):
+            own = tokenize(text[a:b])
+            counts.append(len(own))
+            ids += [x.id for x in own]
+        return lists_of(np.array(ids, np.int32), np.array(counts, np.int64))
+
+    def _whole(self, texts: list[str]) -> pa.ListArray:
+        own = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return lists_of(np.array(list(itertools.chain.from_iterable(own)), np.int32), np.array([len(x) for x in own], np.int64))
+
+    def _chunks(self, chunks: pa.Array) -> pa.ListArray:
+        return _in_turn(chunks, pc.match_substring_regex(chunks, pattern=PLAIN), self.pieces, lambda x: self._whole(x.to_pylist()))
+
+    def batch(self, texts: pa.Array) -> pa.ListArray:
+        texts = texts.fill_null("")
+        apart = pa.array(np.full(len(texts), not self.by_pieces))
+        for token in self.added:
+            apart = pc.or_(apart, pc.match_substring(texts, pattern=token))
+        return _in_turn(texts, apart, lambda x: self._whole(x.to_pylist()), super().batch)
+
+
+def _in_turn(rows: pa.Array, which: pa.Array, yes, no) -> pa.ListArray:
+    """``yes`` of the rows that are marked and ``no`` of the others, in the rows' order."""
+    mark = which.to_numpy(zero_copy_only=False)
+    if mark.all() or not mark.any():
+        return (yes if mark.any() else no)(rows)
+    back = np.empty(len(mark), np.int64)
+    back[np.concatenate([np.flatnonzero(mark), np.flatnonzero(~mark)])] = np.arange(len(mark))
+    return pa.concat_arrays([yes(rows.filter(which)), no(rows.filter(pc.invert(which)))]).take(pa.array(back))
+
+
+def _byte_chars() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 characters for themselves,
+    the other bytes, in order, by the characters from 256 on."""
+    own = [i for i in range(256) if 33 <= i <= 126 or 161 <= i <= 172 or i >= 174]
+    return {i: i for i in own} | {i: 256 + k for k, i in enumerate(i for i in range(256) if i not in own)}
+
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    # every character of a byte-level vocabulary stands for one byte
-    lengths = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], np.int64)
-
-    def encode_chunks(chunks: list[str]) -> list[bytes]:
-        out: list = [None] * len(chunks)
-        fit = [c[0] in " \n\r\t" and not c[-1].isspace() for c in chunks]
-        joined, alone = [i for i, x in enumerate(fit) if x], [i for i, x in enumerate(fit) if not x]
-        groups = [joined[k : k + 2000] for k in range(0, len(joined), 2000)]
-        texts = ["".join([chunks[i] for i in own]) for own in groups]
-        for own, text, encoded in zip(groups, texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            parts = [chunks[i] for i in own]
-            ids = np.array(encoded.ids, np.int64)
-            ends = np.cumsum([len(x) for x in parts] if text.isascii() else [len(x.encode("utf-8")) for x in parts])
-            cuts = (4 * np.searchsorted(np.cumsum(lengths[ids]), ends, "left") + 4).tolist()
-            packed = ids.astype("<u4").tobytes()
-            for i, a, b in zip(own, [0, *cuts[:-1]], cuts, strict=True):
-                out[i] = packed[a:b]
-        for i, encoded in zip(alone, tokenizer.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False), strict=True):
-            out[i] = np.array(encoded.ids, "<u4").tobytes()
-        return out
-
-    return Encoder(pattern, encode_chunks)
+BYTE_CHARS = _byte_chars()
 
 
 def two_bytes(path: str, end_id: int) -> bool:
@@ -77,7 +120,7 @@ def train_dictionary(docs: DataFrame, path: str, pattern: str, text_col: str = "
     """A zstandard dictionary from a bounded sample; empty when there is too little to train on. It only affects sizes."""
     texts = docs.select(text_of(text_col).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
     picked = hash_sample(texts, F.xxhash64("text"), SAMPLE_DOCS).distinct()
-    packed = picked.mapInPandas(_pack_sample(path, pattern, two_bytes(path, end_id)), "ids binary")
+    packed = picked.mapInArrow(_pack_sample(path, pattern, two_bytes(path, end_id)), "ids binary")
     samples = [bytes(r.ids) for r in packed.toLocalIterator()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 10)), samples).as_bytes()
@@ -86,16 +129,20 @@ def train_dictionary(docs: DataFrame, path: str, pattern: str, text_col: str = "
 
 
 def _pack_sample(path: str, pattern: str, two: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = once(library_encoder, path, pattern)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = once(LibraryEncoder, path, pattern)
         for batch in batches:
-            yield pd.DataFrame({"ids": [_narrow(x, two) for x in encoder.batch(batch["text"].tolist())]})
+            for _, ids in encoder.batches(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(_packed(ids, two), pa.binary())], ["ids"])
 
     return run
 
 
-def _narrow(packed: bytes, two: bool) -> bytes:
-    return np.frombuffer(packed, "<u4").astype("<u2").tobytes() if two else packed
+def _packed(ids: pa.ListArray, two: bool) -> list[bytes]:
+    """The ids of each list as little-endian integers."""
+    flat = ids.flatten().to_numpy().astype("<u2" if two else "<u4").tobytes()
+    ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]) * (2 if two else 4)
+    return [flat[a:b] for a, b in itertools.pairwise(ends.tolist())]
 
 
 def write_tokens(docs: DataFrame, root: str, path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +150,9 @@ def write_tokens(docs: DataFrame, root: str, path: str, pattern: str, end_id: in
     (uri, worker, seq, n_docs, n_tokens) of each file.
 
     Null texts count as empty and have the end id alone; null ids come first; rows that repeat an id stand in the order
-    of their texts. The rows are dealt out by ranges of the id, so files follow each other in (worker, seq).
+    of their texts. Added tokens of the tokenizer that stand in a text get their one id, as in the library. An empty
+    table gives no files; other columns are left out, whatever their names. The rows are dealt out by ranges of the id,
+    so files follow each other in (worker, seq).
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, path, pattern, text_col, end_id)
@@ -114,35 +163,35 @@ def write_tokens(docs: DataFrame, root: str, path: str, pattern: str, end_id: in
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("__text"))
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "__id").sortWithinPartitions("__id", "__text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = once(library_encoder, path, pattern)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = once(LibraryEncoder, path, pattern)
         params = {"level": LEVEL} | ({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {})
-        frames, end = zstandard.ZstdCompressor(**params), np.array([end_id], "<u4").tobytes()
+        frames, end = zstandard.ZstdCompressor(**params), np.array([end_id], "<u2" if two else "<u4").tobytes()
         files, index, seq = RollingWriter(root, ".tokens", FILE_BYTES), [], 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             nonlocal index, seq
             table = np.array(index, INDEX).tobytes()
             files.write(table + struct.pack(FOOT, files.size, len(index), zlib.crc32(table)))
             uri, _ = files.close()
-            done = pd.DataFrame({"uri": [uri], "worker": [TaskContext.get().partitionId()], "seq": [seq], "n_docs": [len(index)], "n_tokens": [sum(x[4] for x in index)]})
+            done = pa.RecordBatch.from_pylist([{"uri": uri, "worker": TaskContext.get().partitionId(), "seq": seq, "n_docs": len(index), "n_tokens": sum(x[4] for x in index)}], FILES)
             index, seq = [], seq + 1
             return done
 
         for batch in batches:
-            ids, nulls, texts = batch["__id"].fillna(0).astype("int64").tolist(), batch["__id"].isna().tolist(), batch["__text"].tolist()
-            for part in small_runs(texts):
-                for i, null, packed in zip(ids[part], nulls[part], encoder.batch(texts[part]), strict=True):
+            keys, nulls = batch.column(0).fill_null(0).to_pylist(), batch.column(0).is_null().to_pylist()
+            for start, ids in encoder.batches(batch.column(1)):
+                for k, packed in enumerate(_packed(ids, two), start):
                     if not index:
-                        files.write(struct.pack(HEAD, MAGIC, digest, 2 if two else 4))
-                    frame = frames.compress(_narrow(packed + end, two))
-                    index.append((i, null, files.write(frame), len(frame), len(packed) // 4 + 1))
+                        files.write(struct.pack(HEAD, MAGIC, digest, len(end)))
+                    frame = frames.compress(packed + end)
+                    index.append((keys[k], nulls[k], files.write(frame), len(frame), len(packed) // len(end) + 1))
                     if files.full():
                         yield close()
         if index:
             yield close()
 
-    return dealt.mapInPandas(write, "uri string, worker int, seq int, n_docs long, n_tokens long")
+    return dealt.mapInArrow(write, "uri string, worker int, seq int, n_docs long, n_tokens long")
 
 
 class TokenFile:
@@ -187,7 +236,8 @@ def file_starts(files: DataFrame) -> DataFrame:
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files: one task reads a file, one frame at a time."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files: one task reads a file, one frame at a time.
+    No files give no rows; columns of ``files`` beside uri, worker, seq and n_tokens are ignored; a null id stays null."""
     n = max(1, files.count())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,6 +265,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
 
 def token_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Write all documents, read the files back, describe each document."""
+    """Write all documents, read the files back, describe each document: one row for each, repeats and null ids too; none
+    for an empty table."""
     root = fresh_dir(docs.sparkSession, "tokens")
     return read_tokens(materialise(write_tokens(docs, root, path, pattern), "token-files"))
