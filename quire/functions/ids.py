@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 CONV_DIGITS = "ABCDEFGHIJKLMNOPQRST"
 ID_DIGITS = "BCDFGHJKMNPQRSTVWXYZ"
 SLUG = r"^[-a-zA-Z0-9_]+$"
-RESERVED = ("admin", "static", "media", "doc", "ckeditor", "accounts", "login", "logout", "user")
+#: Names that documents can't have.
+RESERVED = ("static", "static_collect", "static_root", "static_local", "media", "all", "search", "http", "https", "html", "www", "usr", "var", "lib", "etc", "src", "tmp", "pdf", "doc", "jpeg", "jpg", "tiff", "tif", "gif", "svg")
 
 
 def int_to_id(c: Column) -> Column:
@@ -60,16 +61,36 @@ def valid_language(c: Column) -> Column:
 
 #: ISO 639 two-letter and three-letter codes and names.
 LANGUAGES = [
-    ("de", "deu", "German"), ("en", "eng", "English"), ("es", "spa", "Spanish"), ("fr", "fra", "French"), ("it", "ita", "Italian"),
-    ("nl", "nld", "Dutch"), ("pt", "por", "Portuguese"), ("ru", "rus", "Russian"), ("pl", "pol", "Polish"), ("sv", "swe", "Swedish"),
+    ("ar", "ara", "Arabic"), ("bg", "bul", "Bulgarian"), ("ca", "cat", "Catalan"), ("cs", "ces", "Czech"), ("cy", "cym", "Welsh"), ("da", "dan", "Danish"),
+    ("de", "deu", "German"), ("el", "ell", "Greek"), ("en", "eng", "English"), ("eo", "epo", "Esperanto"), ("es", "spa", "Spanish"), ("et", "est", "Estonian"),
+    ("eu", "eus", "Basque"), ("fa", "fas", "Persian"), ("fi", "fin", "Finnish"), ("fr", "fra", "French"), ("ga", "gle", "Irish"), ("gl", "glg", "Galician"),
+    ("he", "heb", "Hebrew"), ("hi", "hin", "Hindi"), ("hr", "hrv", "Croatian"), ("hu", "hun", "Hungarian"), ("hy", "hye", "Armenian"), ("id", "ind", "Indonesian"),
+    ("is", "isl", "Icelandic"), ("it", "ita", "Italian"), ("ja", "jpn", "Japanese"), ("ka", "kat", "Georgian"), ("ko", "kor", "Korean"), ("la", "lat", "Latin"),
+    ("lt", "lit", "Lithuanian"), ("lv", "lav", "Latvian"), ("mk", "mkd", "Macedonian"), ("ms", "msa", "Malay"), ("mt", "mlt", "Maltese"), ("nl", "nld", "Dutch"),
+    ("no", "nor", "Norwegian"), ("pl", "pol", "Polish"), ("pt", "por", "Portuguese"), ("ro", "ron", "Romanian"), ("ru", "rus", "Russian"), ("sk", "slk", "Slovak"),
+    ("sl", "slv", "Slovenian"), ("sq", "sqi", "Albanian"), ("sr", "srp", "Serbian"), ("sv", "swe", "Swedish"), ("sw", "swa", "Swahili"), ("ta", "tam", "Tamil"),
+    ("th", "tha", "Thai"), ("tr", "tur", "Turkish"), ("uk", "ukr", "Ukrainian"), ("ur", "urd", "Urdu"), ("vi", "vie", "Vietnamese"), ("zh", "zho", "Chinese"),
 ]
 
 
+def _lookup(c: Column, pairs: list[tuple[str, str]]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), c)
+
+
 def normalize_lang(c: Column) -> Column:
     """`ll`, `ll-LL` or `lll` to the three-letter code; unknown codes of three letters stay, others are null."""
     low = F.lower(F.regexp_extract(c, "^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
-    table = F.create_map(*[F.lit(x) for two, three, _ in LANGUAGES for x in (two, three)])
-    return F.coalesce(F.element_at(table, low), F.when(F.length(low) == 3, low))
+    return F.coalesce(_lookup(low, [(two, three) for two, three, _ in LANGUAGES]), F.when(F.length(low) == 3, low))
+
+
+def two_letter_lang(c: Column) -> Column:
+    """The two-letter code of a three-letter one; null where there is none."""
+    return _lookup(c, [(three, two) for two, three, _ in LANGUAGES])
+
+
+def name_of_lang(c: Column) -> Column:
+    """A language's English name by its three-letter code; null where it isn't known."""
+    return _lookup(c, [(three, name) for _, three, name in LANGUAGES])
 
 
 def strip_delims(c: Column, left: str = "{", right: str = "}") -> Column:

@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+import difflib
+import html
 import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.ids import two_letter_lang
+
 #: Accent macros and the combining characters they stand for.
 ACCENTS = {"`": "\u0300", "'": "\u0301", "^": "\u0302", "~": "\u0303", '"': "\u0308", "=": "\u0304", ".": "\u0307", "u": "\u0306", "v": "\u030c", "H": "\u030b", "c": "\u0327", "k": "\u0328", "r": "\u030a"}
 #: Greek letters by name.
 GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ϵ", "zeta": "ζ", "eta": "η", "theta": "θ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "phi": "ϕ", "chi": "χ", "psi": "ψ", "omega": "ω"}
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+#: Capital Greek letters, variants, and symbols of mathematics by name.
+MATHS = {
+    "Gamma": "Γ", "Delta": "Δ", "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π", "Sigma": "Σ", "Upsilon": "Υ", "Phi": "Φ", "Psi": "Ψ", "Omega": "Ω",
+    "iota": "ι", "kappa": "κ", "upsilon": "υ", "varepsilon": "ε", "vartheta": "ϑ", "varpi": "ϖ", "varrho": "ϱ", "varsigma": "ς", "varphi": "φ",
+    "int": "∫", "oint": "∮", "sum": "∑", "prod": "∏", "partial": "∂", "nabla": "∇", "infty": "∞", "forall": "∀", "exists": "∃", "in": "∈", "notin": "∉", "ni": "∋",
+    "subset": "⊂", "supset": "⊃", "subseteq": "⊆", "supseteq": "⊇", "cup": "∪", "cap": "∩", "emptyset": "∅", "le": "≤", "leq": "≤", "ge": "≥", "geq": "≥", "ne": "≠", "neq": "≠",
+    "equiv": "≡", "approx": "≈", "sim": "∼", "simeq": "≃", "cong": "≅", "propto": "∝", "pm": "±", "mp": "∓", "times": "×", "div": "÷", "cdot": "⋅", "ast": "∗", "star": "⋆",
+    "circ": "∘", "bullet": "∙", "oplus": "⊕", "otimes": "⊗", "wedge": "∧", "vee": "∨", "neg": "¬", "to": "→", "rightarrow": "→", "leftarrow": "←", "leftrightarrow": "↔",
+    "Rightarrow": "⇒", "Leftarrow": "⇐", "Leftrightarrow": "⇔", "mapsto": "↦", "ldots": "…", "cdots": "⋯", "aleph": "ℵ", "hbar": "ℏ", "ell": "ℓ", "Re": "ℜ", "Im": "ℑ",
+}
+ENTITY = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
+#: Bodies that are shown as they stand.
+VERBATIM = r"(\\begin\{verbatim\*?\}(?s:.*?)\\end\{verbatim\*?\}|\\begin\{Filesave\*?\}(?s:.*?)\\end\{Filesave\*?\}|\\verb\*?(?:\|[^|\n]*\||\+[^+\n]*\+|![^!\n]*!|/[^/\n]*/))"
 
 
 def dedollarize(c: Column) -> Column:
-    r"""`$x$` to `\(x\)` and `$$x$$` to `\[x\]`. Each kind alternates by itself, so one may stand in the other; `\$` stays."""
-    hidden = F.replace(c, F.lit("\\$"), F.lit("\x01"))
+    r"""`$x$` to `\(x\)` and `$$x$$` to `\[x\]`. Each kind alternates by itself, so one may stand in the other; `\$` and
+    verbatim bodies stay."""
+    marked = F.split(F.regexp_replace(F.translate(c, "\x01\x02\x03\x04\x05", ""), VERBATIM, "\x04$1\x05"), "\x04", -1)
+    body = lambda x: F.translate(F.substring_index(x, "\x05", 1), "$", "\x01")
+    hidden = F.array_join(F.transform(marked, lambda x: F.when(x.contains("\x05"), F.concat(body(x), F.substring_index(x, "\x05", -1))).otherwise(x)), "")
+    hidden = F.replace(hidden, F.lit("\\$"), F.lit("\\\x01"))
     hidden = F.replace(F.replace(hidden, F.lit("$$"), F.lit("\x02")), F.lit("$"), F.lit("\x03"))
     shown = _alternate(_alternate(hidden, "\x02", "\\[", "\\]"), "\x03", "\\(", "\\)")
-    return F.replace(shown, F.lit("\x01"), F.lit("\\$"))
+    return F.translate(shown, "\x01", "$")
 
 
 def _alternate(c: Column, mark: str, left: str, right: str) -> Column:
@@ -49,8 +72,9 @@ def accents_to_unicode(c: Column) -> Column:
 
 
 def symbols_to_unicode(c: Column, table: dict[str, str] | None = None) -> Column:
-    r"""Macros `\name` to symbols, the longest names first; a letter after the name makes it another macro."""
-    for name, symbol in sorted((GREEK | (table or {})).items(), key=lambda x: -len(x[0])):
+    r"""Macros `\name` to symbols, the longest names first; a letter after the name makes it another macro. ``table`` adds
+    to the known ones or overrides them."""
+    for name, symbol in sorted((GREEK | MATHS | (table or {})).items(), key=lambda x: -len(x[0])):
         c = F.regexp_replace(c, rf"\\{name}([^a-zA-Z]|$)", f"{symbol}$1")
     return c
 
@@ -66,18 +90,31 @@ def normalize_text(c: Column) -> Column:
     return F.concat(F.regexp_replace(s, "^\n+|\n+$", ""), F.lit("\n"))
 
 
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else ENTITY.sub(lambda m: html.unescape(m[0]), x))
+
+
 def html_to_text(c: Column) -> Column:
     """Strings of a page, entities decoded, joined by single spaces; scripts, styles and comments are left out."""
     s = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    # numeric and other named entities need Python's table of names; only texts that have any go there
+    rest = F.pandas_udf(_unescape, "string")(F.when(s.rlike("&(?:#(?!39;)|(?!lt;|gt;|quot;|nbsp;|copy;|middot;|amp;)[A-Za-z][A-Za-z0-9]*;)"), s))
     for entity, char in ENTITIES.items():
         s = F.replace(s, F.lit(entity), F.lit(char))
+    s = F.coalesce(rest, s)
     return F.trim(F.regexp_replace(s, r"[ \t\r\n]+", " "))
 
 
 def catalog_lines(c: Column) -> Column:
-    """Array of catalog lines: spaces collapsed, then a break after . ; ] ) and } where a space follows."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(c, r"\\label\{[^}]*\}", ""), r"\s+", " "))
-    return F.split(F.regexp_replace(s, r"([.;\])}]) ", "$1\n"), "\n", -1)
+    """Array of catalog lines: labels left out, spaces collapsed, math on lines of its own, and a break after . ; ] ) and
+    } elsewhere where a space follows."""
+    s = F.trim(F.regexp_replace(F.regexp_replace(F.translate(c, "\x01", ""), r"\\label\{[^}]*\}", " "), r"\s+", " "))
+    kinds = r"(?:equation|gather|math|displaymath|align|eqnarray)\*?"
+    math = r"(\\\(.*?\\\)|\\\[.*?\\\]|\\begin\{" + kinds + r"\}.*?\\end\{" + kinds + r"\})"
+    parts = F.split(F.regexp_replace(s, math, "\n\x01$1\n"), r" ?\n ?", -1)
+    broken = F.transform(parts, lambda x: F.when(x.startswith("\x01"), F.array(F.substr(x, F.lit(2)))).otherwise(F.split(F.regexp_replace(x, r"([.;\])}]) ", "$1\n"), "\n", -1)))
+    lines = F.flatten(broken)
+    return F.when(F.size(parts) > 1, F.filter(lines, lambda x: x != "")).otherwise(lines)
 
 
 def packed_lines(lines: Column, width: int = 60) -> Column:
@@ -105,9 +142,55 @@ def linechar_to_pos(c: Column, line: Column, char: Column) -> Column:
     return F.aggregate(before, F.lit(0), lambda n, x: n + F.length(x) + 1) + char
 
 
-def add_language(html: Column, lang: Column) -> Column:
+def add_language(page: Column, lang: Column) -> Column:
     """Links of a page with ?lang=xxx added, before any anchor; links to other hosts are left alone."""
-    return F.regexp_replace(html, F.lit(r'<a href="(/[^"#?]*)(#[^"]*)?"'), F.concat(F.lit('<a href="$1?lang='), lang, F.lit('$2"')))
+    return F.regexp_replace(page, F.lit(r'(<a [^>]*?href=")(/[^"#?]*|[^"#?:]*\.html)(#[^"]*)?"'), F.concat(F.lit('$1$2?lang='), lang, F.lit('$3"')))
+
+
+def rewrite_links(page: Column, placeholder: str, url: str, node: Column, lang: Column, children: Column, highlight: Column | None = None, alternates: Column | None = None) -> Column:
+    """A rendered page ready to be served. Links to the placeholder point below ``url``; those to other nodes than the
+    page's own say whether they lead to one of ``children`` and whether to the highlighted one. Pictures come from the
+    node's folder, links within the site get ?lang=, the page its two-letter language, and its head ``alternates``."""
+    parts = F.split(page, re.escape(placeholder), -1)
+
+    def link(x: Column) -> Column:
+        target = F.regexp_extract(x, '^([^"/#?]*)', 1)
+        kind = F.when(F.array_contains(children, target), "success").otherwise("dark")
+        mark = F.when(target == highlight, " bg-warning").otherwise("") if highlight is not None else F.lit("")
+        own = F.concat(F.lit('" class="btn btn-sm'), F.when(target == node, "").otherwise(F.concat(F.lit(" btn-outline-"), kind, mark)), F.lit('"'))
+        end = F.instr(x, '"')
+        return F.when(end > 0, F.concat(F.lit(url), F.substr(x, F.lit(1), end - 1), own, F.substr(x, end + 1))).otherwise(F.concat(F.lit(url), x))
+
+    out = F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(link(x))), "")
+    out = F.regexp_replace(out, F.lit('(<img [^>]*src=")images/'), F.concat(F.lit(f"$1{url}"), node, F.lit("/html/images/")))
+    out = add_language(out, lang)
+    if alternates is not None:
+        tags = F.transform(alternates, lambda x: F.concat(F.lit('<link rel="alternate" hreflang="'), x["lang"], F.lit('" href="'), x["href"], F.lit('"/>')))
+        out = F.replace(out, F.lit("</head>"), F.concat(F.array_join(tags, ""), F.lit("</head>")))
+    two = two_letter_lang(lang)
+    return F.when(two.isNotNull(), F.regexp_replace(out, F.lit("<html>"), F.concat(F.lit('<html lang="'), two, F.lit('">')))).otherwise(out)
+
+
+def _line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else list(difflib.ndiff(a.split("\n"), b.split("\n"))) for a, b in zip(old, new, strict=True)], dtype=object)
+
+
+def line_diff(old: Column, new: Column) -> Column:
+    """The difference of two texts as lines that begin with `- `, `+ `, two spaces, or `? ` for hints."""
+    return F.pandas_udf(_line_diff, "array<string>")(old, new)
+
+
+def patched(diff: Column, side: str = "+") -> Column:
+    """The newer text (with side `-`, the older) that a difference tells."""
+    own = F.filter(diff, lambda x: F.substr(x, F.lit(1), F.lit(2)).isin("  ", f"{side} "))
+    return F.array_join(F.transform(own, lambda x: F.substr(x, F.lit(3))), "\n")
+
+
+def line_changes(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
+    """(keys..., added, removed): how many lines each pair of texts adds and removes, without regard to their order."""
+    side = lambda c, n: pairs.select(*keys, F.explode(F.split(c, "\n", -1)).alias("x"), F.lit(n).alias("n"))
+    per = side(new, 1).unionByName(side(old, -1)).groupBy(*keys, "x").agg(F.sum("n").alias("c"))
+    return per.groupBy(*keys).agg(F.sum(F.greatest("c", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("c"), F.lit(0))).alias("removed"))
 
 
 #: Filters by name, for chains; users add their own.

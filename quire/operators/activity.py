@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.numbering import number_within
+
+
+def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is last in an order. A maximum, so rows are combined before they are shuffled."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*keys, "__row.*")
+
 
 def latest_edits(edits: DataFrame) -> DataFrame:
     """The newest edit of each (doc, node, user_id)."""
-    newest = F.row_number().over(Window.partitionBy("doc", "node", "user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return edits.withColumn("_k", newest).where("_k = 1").drop("_k")
+    return newest(edits, ["doc", "node", "user_id"], ["ts", "event_id"])
 
 
 def uncompiled_saves(edits: DataFrame, segments: DataFrame) -> DataFrame:
@@ -29,8 +36,7 @@ def apply_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
     """(doc, node, lang, text, previous, modified): segments after the newest edit that isn't in conflict."""
     now = segments.select("doc", "node", "lang", "text")
     able = edits.join(now.withColumn("now", F.md5("text")).drop("text"), ["doc", "node", "lang"]).where("base_md5 = now")
-    newest = F.row_number().over(Window.partitionBy("doc", "node", "lang").orderBy(F.desc("ts"), F.desc("event_id")))
-    last = able.withColumn("_k", newest).where("_k = 1").select("doc", "node", "lang", "content", "ts")
+    last = newest(able, ["doc", "node", "lang"], ["ts", "event_id"]).select("doc", "node", "lang", "content", "ts")
     both = now.join(last, ["doc", "node", "lang"], "left")
     changed = F.col("content").isNotNull() & (F.col("content") != F.col("text"))
     return both.select("doc", "node", "lang", F.coalesce("content", "text").alias("text"), F.when(changed, F.col("text")).alias("previous"), F.col("ts").alias("modified"))
@@ -58,12 +64,11 @@ def needs_rerun(text: str):
     return F.col(text).rlike("Rerun to get|Label\\(s\\) may have changed|undefined references")
 
 
-def worklist(nodes: DataFrame, visits: DataFrame, excluded: tuple) -> DataFrame:
-    """(doc, node, place): nodes to compile: reachable, of a kind that compiles, least recently compiled first and never
+def worklist(nodes: DataFrame, reached: DataFrame, excluded: tuple) -> DataFrame:
+    """(doc, node, place): nodes to compile: among reached(doc, node), of a kind that compiles, least recently compiled first and never
     compiled ones before all."""
-    able = nodes.where(~F.col("environ").isin(*excluded)).join(visits.select("doc", "node").distinct(), ["doc", "node"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("compiled").asc_nulls_first(), "node"))
-    return able.select("doc", "node", place.alias("place"))
+    able = nodes.where(~F.col("environ").isin(*excluded)).join(reached, ["doc", "node"], "left_semi")
+    return number_within(able.select("doc", "node", "compiled"), ["doc"], [F.col("compiled").asc_nulls_first(), "node"], "place").drop("compiled")
 
 
 def available_logs(nodes: DataFrame, logs: DataFrame, accesses: tuple = ("private", "public")) -> DataFrame:

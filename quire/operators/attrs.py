@@ -84,8 +84,10 @@ def replaces(attrs: DataFrame) -> DataFrame:
 
 
 def merge_status(status: DataFrame, results: DataFrame) -> DataFrame:
-    """(doc, node, status): status(map) after results(doc, node, prog, ok): a success drops its key, a failure sets it."""
-    per = results.groupBy("doc", "node").agg(F.map_from_entries(F.collect_list(F.struct("prog", "ok"))).alias("r"))
+    """(doc, node, status): status(map) after results(doc, node, prog, ok, seq), of which the last of a program counts: a
+    success drops its key, a failure sets it."""
+    last = results.groupBy("doc", "node", "prog").agg(F.max_by("ok", F.struct("seq", F.col("ok").cast("int"))).alias("ok"))
+    per = last.groupBy("doc", "node").agg(F.map_from_entries(F.collect_list(F.struct("prog", "ok"))).alias("r"))
     old = F.coalesce("status", F.expr("cast(map() as map<string,boolean>)"))
     both = status.join(per, ["doc", "node"], "full").withColumn("old", old).withColumn("r", F.coalesce("r", F.expr("cast(map() as map<string,boolean>)")))
     kept = F.map_filter("old", lambda k, v: ~F.map_contains_key("r", k))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.ids import id_to_int, strip_delims
+from quire.operators.numbering import number_within
 
 
 def parse_index(value: Column) -> Column:
@@ -54,12 +59,33 @@ def unpaired(entry: DataFrame) -> DataFrame:
     return lone.drop("n")
 
 
-def book_index(entry: DataFrame, order: DataFrame) -> DataFrame:
-    """(doc, lang, sortkey, key, places): each entry's nodes in document order; order(doc, node, order_in_document)."""
-    placed = entry.join(order, ["doc", "node"])
-    places = F.sort_array(F.collect_set(F.struct("order_in_document", "node", "see", "value")))
-    text = F.transform(places, lambda x: F.concat(x["node"].cast("string"), F.when(x["see"] != "", F.concat(F.lit(" see "), x["see"])).otherwise(F.lit("")), x["value"]))
-    return placed.groupBy("doc", "lang", "sortkey", "key").agg(F.array_join(text, ";").alias("places"))
+def range_attrs(attrs: DataFrame, closure: DataFrame) -> DataFrame:
+    """``attrs`` with range marks made anew: old rangeindex rows go, and every node below one that opens and closes a range
+    of a key gets (rangeindex[Lxxx], key)."""
+    below = ranges(entries(attrs), closure)
+    key = F.concat(F.lit("rangeindex"), F.when(F.col("lang") == "", "").otherwise(F.concat(F.lit("L"), F.col("lang"))))
+    return attrs.where(~F.col("key").startswith("rangeindex")).select("doc", "node", "key", "value").unionByName(below.select("doc", "node", key.alias("key"), F.col("key").alias("value")))
+
+
+def range_entries(attrs: DataFrame) -> DataFrame:
+    """Entries like those of ``entries`` for rangeindex rows, with a dash for value."""
+    rows = attrs.where(F.col("key").startswith("rangeindex"))
+    none = F.lit("")
+    return rows.select("doc", "node", F.regexp_extract("key", "L([a-z]{3})$", 1).alias("lang"), F.col("value").alias("sortkey"), F.col("value").alias("key"), none.alias("see"), F.lit("\u2014").alias("value"), none.alias("text_class"))
+
+
+def book_index(entry: DataFrame, visible: DataFrame, lang: str | None = None) -> DataFrame:
+    """(user_id, doc, lang, sortkey, key, place, node, marker): each entry's places in document order, a row for each,
+    since a key may have any number. visible(user_id, is_editor, doc, node, order_in_document) are the nodes that users
+    may view. Markers: `see x`, the node, a dash within a range, `n and following` where one begins, and, for editors
+    alone, `up to n` where it ends. With a language, its entries and those of any."""
+    rows = entry if lang is None else entry.where(F.col("lang").isin("", lang))
+    node = F.col("node").cast("string")
+    marker = F.when(F.col("see") != "", F.concat(F.lit("see "), "see")).when(F.col("value") == "(", F.concat(node, F.lit(" and following"))).when(F.col("value") == ")", F.concat(F.lit("up to "), node)).when(F.col("value") != "", F.col("value")).otherwise(node)
+    placed = rows.withColumn("marker", marker).join(visible, ["doc", "node"]).where("value <> ')' or is_editor")
+    placed = placed.select("user_id", "doc", "lang", "sortkey", "key", "order_in_document", "node", "marker").distinct()
+    keys = ["user_id", "doc", "lang", "sortkey", "key"]
+    return number_within(placed, keys, ["order_in_document", "node", "marker"], "place").drop("order_in_document")
 
 
 def merge_index(index: DataFrame, lang: str) -> DataFrame:
@@ -81,11 +107,27 @@ def node_bibliography(citations: DataFrame, items: DataFrame) -> DataFrame:
     return citations.where("key = 'M_cite'").select("doc", "node", "value").distinct().join(items, ["doc", "value"])
 
 
-def anchor_map(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, pos, href, anchor): links of a page in order with the part after #."""
-    tags = F.posexplode(F.regexp_extract_all(html_col, F.lit(r'<a href="([^"]*)"'), 1))
-    rows = pages.select(F.col(id_col).alias("id"), tags.alias("pos", "href"))
-    return rows.withColumn("anchor", F.regexp_extract("href", "#(.*)$", 1))
+def anchor_map(pages: DataFrame, id_col: str, html_col: str, placeholder: str) -> DataFrame:
+    """(id, target, anchor): where in the pages the nodes stand that links to the placeholder name: the last name= or id=
+    before the first link to each, null if there is none."""
+    pattern = r'(?s)<[A-Za-z][^>]*?\s(?:name|id|href)="[^"]*"'
+    tags = pages.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(html_col, F.lit(pattern), 0)).alias("pos", "tag"))
+    name = F.regexp_extract("tag", r'\s(?:name|id)="([^"]*)"$', 1)
+    last = F.last(F.when(name != "", name), True).over(Window.partitionBy("id").orderBy("pos"))
+    target = F.regexp_extract("tag", r'href="' + re.escape(placeholder) + r'([^"/#?]*)', 1)
+    return tags.select("id", "pos", last.alias("anchor"), target.alias("target")).where("target <> ''").groupBy("id", "target").agg(F.min_by("anchor", "pos").alias("anchor"))
+
+
+def languages_of_catalog(segments: DataFrame, languages: DataFrame) -> DataFrame:
+    """Segments to be put in a catalog: mixed ones count for each of their document's languages(doc, lang)."""
+    each = languages.where("lang not in ('mul', 'und', 'zxx')").select("doc", F.col("lang").alias("__lang")).distinct()
+    mixed = segments.where("lang = 'mul'").join(each, "doc").withColumn("lang", F.col("__lang")).drop("__lang")
+    return segments.where("lang <> 'mul'").unionByName(mixed.select(*segments.columns))
+
+
+def replace_lines(catalog: DataFrame, new: DataFrame) -> DataFrame:
+    """A catalog in which the lines of each (doc, node, lang) of ``new`` are those of ``new``."""
+    return catalog.join(new.select("doc", "node", "lang").distinct(), ["doc", "node", "lang"], "left_anti").unionByName(new)
 
 
 def build_catalog(segments: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
@@ -93,10 +135,50 @@ def build_catalog(segments: DataFrame, id_cols: list[str], text_col: str) -> Dat
     return segments.select(*id_cols, F.posexplode(F.split(text_col, "\n", -1)).alias("line", "text")).where(F.trim("text") != "")
 
 
+#: Terms of at most so many characters in all go to each task at once; more are matched in blocks of that size.
+TERM_BLOCK = 4 << 20
+
+
+def find_terms(rows: DataFrame, text: Column, terms: DataFrame) -> DataFrame:
+    """``rows`` with ``term``, a row for each distinct term(term) that ``text`` contains. All terms are looked for in one
+    pass over a text, by an automaton that is built once in each task; terms are a stated query set, and if there are more
+    than fit a block, the rows are read once for each block. Null and empty terms are found nowhere."""
+    import ahocorasick  # noqa: F401  (a missing matcher shows here, not in a task)
+
+    wanted = terms.select("term").where("term <> ''").distinct()
+    size = wanted.agg(F.sum(F.length("term"))).first()[0] or 0
+    blocks = size // TERM_BLOCK + 1
+    names = [*rows.columns, "term"]
+    fields = ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, ("term", "string")])
+    out = None
+    for k in range(blocks):
+        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
+        shared = rows.sparkSession.sparkContext.broadcast(sorted(r.term for r in own.collect()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for t in shared.value:
+                automaton.add_word(t, t)
+            if shared.value:
+                automaton.make_automaton()
+            for batch in batches if shared.value else ():
+                found = [sorted({t for _, t in automaton.iter(x)}) if x else [] for x in batch.column(batch.num_columns - 1).to_pylist()]
+                at = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+                hits = batch.take(at)
+                yield pa.RecordBatch.from_arrays([*hits.columns[:-1], pa.array([t for own in found for t in own], pa.string())], names)
+
+        part = rows.withColumn("__text", text).mapInArrow(run, fields)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def search_catalog(catalog: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """Catalog rows that contain a term(term) without regard to case, with the term. Terms are a stated query set of
-    bounded size and are broadcast; the catalog streams past them."""
-    return catalog.join(F.broadcast(terms), F.lower(text).contains(F.lower("term")))
+    """Catalog rows that contain a term(term) without regard to case and number of spaces, with the term as it was."""
+    plain = terms.select("term", F.regexp_replace(F.lower("term"), r"\s+", " ").alias("__low")).distinct()
+    hits = find_terms(catalog, F.lower(F.col(text)), plain.select(F.col("__low").alias("term"))).withColumnRenamed("term", "__low")
+    return hits.join(plain, "__low").drop("__low")
 
 
 def search_ids(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -110,46 +192,87 @@ def search_attrs(attrs: DataFrame, tokens: DataFrame, suffixes: tuple) -> DataFr
     kinds = F.lit(False)
     for x in suffixes:
         kinds = kinds | F.col("key").endswith(x)
-    return attrs.where(kinds).join(F.broadcast(tokens), F.col("value").contains(F.col("token"))).select("token", "doc", "node", "key", "value")
+    hits = find_terms(attrs.where(kinds), F.col("value"), tokens.select(F.col("token").alias("term")))
+    return hits.select(F.col("term").alias("token"), "doc", "node", "key", "value")
 
 
-def search(nodes: DataFrame, attrs: DataFrame, catalog: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(token, kind, doc, node): hits of all kinds; tokens of one character are refused. ``jump`` tells that a token
-    has one hit alone, which is an id."""
-    tokens = tokens.where(F.length("token") > 1)
-    hits = search_ids(nodes, tokens).select("token", F.lit("id").alias("kind"), "doc", "node")
-    for kind, ends in (("label", ("M_label",)), ("ref", ("M_ref", "M_eqref", "M_pageref"))):
-        hits = hits.unionByName(search_attrs(attrs, tokens, ends).select("token", F.lit(kind).alias("kind"), "doc", "node"))
-    by_index = entries(attrs).join(F.broadcast(tokens), F.col("key").contains(F.col("token"))).select("token", F.lit("index").alias("kind"), "doc", "node")
-    by_text = search_catalog(catalog, tokens.withColumnRenamed("token", "term")).select(F.col("term").alias("token"), F.lit("text").alias("kind"), "doc", "node")
-    hits = hits.unionByName(by_index).unionByName(by_text).distinct()
-    per = hits.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kind") == "id").alias("id"))
-    return hits.join(per, "token").select("token", "kind", "doc", "node", (F.col("id") & (F.col("n") == 1)).alias("jump"))
+def search_index(entry: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, doc, node, lang, key): index entries whose key contains the token."""
+    hits = find_terms(entry.select("doc", "node", "lang", "key"), F.col("key"), tokens.select(F.col("token").alias("term")))
+    return hits.select(F.col("term").alias("token"), "doc", "node", "lang", "key").distinct()
+
 
+#: A function from requests(user_id, perm, doc, node) to the same with ``ok``, such as ``access.allowed`` of a corpus.
+Rights = Callable[[DataFrame], DataFrame]
 
-def resolve_refs(attrs: DataFrame) -> DataFrame:
-    """(doc, node, value, target): references and the least other node of the document that has the label; null where
-    there is none."""
-    refs = attrs.where(F.col("key").endswith("M_ref")).select("doc", "node", "value").distinct()
-    labels = attrs.where(F.col("key").endswith("M_label")).select("doc", F.col("node").alias("at"), "value")
-    found = refs.join(labels, ["doc", "value"]).where("at <> node").groupBy("doc", "node", "value").agg(F.min("at").alias("target"))
-    return refs.join(found, ["doc", "node", "value"], "left")
 
+def _seen(hits: DataFrame, rights: Rights) -> DataFrame:
+    """The rows of hits(user_id, perm, doc, node, ...) whose user has the right."""
+    k = ["user_id", "perm", "doc", "node"]
+    return hits.join(rights(hits.select(*k).distinct()).where("ok").select(*k), k, "left_semi").drop("perm")
 
-def with_index_key(hits: DataFrame, entry: DataFrame) -> DataFrame:
-    """Hits with ``also``: one index key of the node, the least, as an extra line tells it."""
-    key = entry.groupBy("doc", "node").agg(F.min("key").alias("also"))
-    return hits.join(key, ["doc", "node"], "left")
 
+def search_text(catalog: DataFrame, entry: DataFrame, asked: DataFrame, rights: Rights) -> DataFrame:
+    """(user_id, token, doc, node, lang, line, text): what users find of asked(user_id, token) in catalog(doc, node, lang,
+    line, text), in nodes that they may view; and, once for each node and language with a hit, a line -1 for each key
+    under which the token also stands in the node's index (keys of no language count for every one)."""
+    tokens = asked.select("token").distinct()
+    found = search_catalog(catalog, tokens.select(F.col("token").alias("term"))).withColumnRenamed("term", "token")
+    seen = _seen(found.join(asked.select("user_id", "token").distinct(), "token").withColumn("perm", F.lit("view_view")), rights)
+    seen = seen.select("user_id", "token", "doc", "node", "lang", F.col("line").cast("long").alias("line"), "text")
+    keys = search_index(entry, tokens).withColumnRenamed("lang", "key_lang")
+    also = seen.select("user_id", "token", "doc", "node", "lang").distinct().join(keys, ["token", "doc", "node"]).where("key_lang = '' or key_lang = lang")
+    also = also.select("user_id", "token", "doc", "node", "lang", F.lit(-1).cast("long").alias("line"), F.concat(F.lit("also indexed by key: "), "key").alias("text")).distinct()
+    return seen.unionByName(also)
 
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+
+def search(nodes: DataFrame, attrs: DataFrame, catalog: DataFrame, asked: DataFrame, users: DataFrame, rights: Rights) -> DataFrame:
+    """(user_id, token, kind, doc, node, jump): hits of all kinds for asked(user_id, token); tokens of one character are
+    refused. Ids are shown to all; index entries and text with the right to view_view; labels, references and other
+    metadata with view_blob, to those of users(user_id, logged_in) who are logged in. ``jump`` tells that a user's token
+    has one hit alone, which is an id."""
+    asked = asked.where(F.length("token") > 1).select("user_id", "token").distinct()
+    tokens = asked.select("token").distinct()
+    refs = ("M_ref", "M_eqref", "M_pageref")
+    others = attrs.where(F.col("key").contains("M_") & ~F.col("key").rlike("M_(label|ref|eqref|pageref|index(L[a-z]{3})?)$"))
+    hit = lambda df, kind, perm: df.select("token", F.lit(kind).alias("kind"), F.lit(perm).alias("perm"), "doc", "node").distinct()
+    found = hit(search_index(entries(attrs), tokens), "index", "view_view")
+    found = found.unionByName(hit(search_catalog(catalog, tokens.select(F.col("token").alias("term"))).withColumnRenamed("term", "token"), "text", "view_view"))
+    for kind, rows, ends in (("label", attrs, ("M_label",)), ("ref", attrs, refs), ("meta", others, ("",))):
+        found = found.unionByName(hit(search_attrs(rows, tokens, ends), kind, "view_blob"))
+    wanted = found.join(asked, "token").join(users.select("user_id", "logged_in"), "user_id").where("perm = 'view_view' or logged_in").drop("logged_in")
+    ids = hit(search_ids(nodes, tokens), "id", "").drop("perm").join(asked, "token")
+    hits = _seen(wanted, rights).unionByName(ids)
+    per = hits.groupBy("user_id", "token").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kind") == "id").alias("id"))
+    return hits.join(per, ["user_id", "token"]).select("user_id", "token", "kind", "doc", "node", (F.col("id") & (F.col("n") == 1)).alias("jump"))
+
+
+def resolve_refs(attrs: DataFrame, printed: DataFrame) -> DataFrame:
+    """(doc, node, key, value, target, shown): references and what is shown in their place.
+
+    A value {UUID:x} is the node x. Else the least other node of the document that has the label is the target; null
+    where there is none, and labels of the same node are no targets. A label of a whole node shows the node; one within
+    an environment its printed number by printed(doc, node, label, number), the target's own if it has one; eqref puts it
+    in parentheses."""
+    kinds = F.col("key").endswith("M_ref") | F.col("key").endswith("M_eqref") | F.col("key").endswith("M_pageref")
+    refs = attrs.where(kinds).select("doc", "node", "key", "value").distinct()
+    labels = attrs.where(F.col("key").endswith("M_label")).select("doc", F.col("node").alias("at"), "value", F.col("key").alias("label_key"))
+    best = refs.join(labels, ["doc", "value"]).where("at <> node").groupBy("doc", "node", "key", "value").agg(F.min(F.struct("at", "label_key")).alias("b"))
+    found = refs.join(best, ["doc", "node", "key", "value"], "left")
+    own = printed.select("doc", F.col("node").alias("at"), F.col("label").alias("value"), "number").groupBy("doc", "at", "value").agg(F.min("number").alias("own"))
+    any_ = printed.groupBy("doc", F.col("label").alias("value")).agg(F.min("number").alias("any"))
+    found = found.select("*", F.col("b.at").alias("at"), F.col("b.label_key").alias("label_key")).drop("b").join(own, ["doc", "at", "value"], "left").join(any_, ["doc", "value"], "left")
+    number = F.coalesce("own", "any")
+    number = F.when(F.col("key").endswith("M_eqref"), F.concat(F.lit("("), number, F.lit(")"))).otherwise(number)
+    told = F.regexp_extract("value", r"^\{UUID:\s*([^{}]*?)\s*\}$", 1)
+    target = F.when(told != "", told).otherwise(F.col("at").cast("string"))
+    shown = F.when(told != "", told).when(F.col("label_key") == "M_label", F.col("at").cast("string")).otherwise(F.coalesce(number, F.col("at").cast("string")))
+    return found.select("doc", "node", "key", "value", target.alias("target"), shown.alias("shown"))
 
 
 def bibliography_nodes(nodes: DataFrame, staff: DataFrame) -> DataFrame:
     """(user_id, doc, node): bibliographies of a document, all for editors and the first for others;
     staff(user_id, doc, is_editor)."""
-    k = F.row_number().over(Window.partitionBy("doc").orderBy("node"))
-    rows = nodes.where(F.col("environ").contains("bibliography")).select("doc", "node", k.alias("k"))
-    return staff.join(rows, "doc").where("is_editor or k = 1").select("user_id", "doc", "node")
+    rows = nodes.where(F.col("environ").contains("bibliography")).select("doc", "node")
+    first = rows.groupBy("doc").agg(F.min("node").alias("first"))
+    return staff.join(rows.join(first, "doc"), "doc").where("is_editor or node = first").select("user_id", "doc", "node")

@@ -9,31 +9,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.protect import protect, restore, tokens
+from quire.operators.segment import NO_ID
 
 HEADER = "\\CDL"
 
 
-def language_lines(text: Column, lang: str) -> Column:
-    """The lines of one language of a mixed text: its own without their header, and those without any; a newline at the end."""
-    mine = HEADER + lang + " "
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x).startswith(mine) | ~F.ltrim(x).rlike(r"^\\CDL[a-z]{3}"))
-    bare = F.transform(lines, lambda x: F.when(F.ltrim(x).startswith(mine), F.substr(F.ltrim(x), F.lit(len(mine) + 1))).otherwise(x))
+#: What a line gets at its end that has a header elsewhere than at its beginning.
+MISPLACED = "%misplaced language header"
+#: Languages of nodes that aren't in one language of people.
+NEUTRAL = ("mul", "und", "zxx")
+
+
+def language_lines(text: Column, lang: Column) -> Column:
+    """The lines of one language of a mixed text: its own without their header, and those without any, marked where a
+    header stands within them; a newline at the end."""
+    mine = F.concat(F.lit(HEADER), lang, F.lit(" "))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x).startswith(mine) | ~F.ltrim(x).startswith(HEADER))
+    plain = lambda x: F.when(x.contains(HEADER), F.concat(x, F.lit(MISPLACED))).otherwise(x)
+    bare = F.transform(lines, lambda x: F.when(F.ltrim(x).startswith(mine), F.substr(F.ltrim(x), F.length(mine) + 1)).otherwise(plain(x)))
     return F.concat(F.regexp_replace(F.array_join(bare, "\n"), "\n$", ""), F.lit("\n"))
 
 
-def retarget_inputs(text: Column, old: str, new: str) -> Column:
+def retarget_inputs(text: Column, old: Column, new: Column) -> Column:
     """Input paths of one language version pointed at another's."""
-    return F.regexp_replace(text, rf"((?:UUID|SEC)/[^{{}}]*/blob)_{old}(\.tex)?\}}", f"$1_{new}$2}}")
+    return F.regexp_replace(text, F.concat(F.lit(r"((?:UUID|SEC)/[^{}]*/blob)_"), old, F.lit(r"(\.tex)?\}")), F.concat(F.lit("$1_"), new, F.lit("$2}")))
 
 
-def derive(segments: DataFrame, languages: list[str]) -> DataFrame:
-    """(doc, node, lang, text): every language version of mixed segments, with two lines that say so on top."""
-    out = None
-    for lang in languages:
-        head = F.lit(f"%% -*- lang: {lang} -*-\n%% generated file, edits are lost\n")
-        one = segments.select("doc", "node", F.lit(lang).alias("lang"), F.concat(head, retarget_inputs(language_lines(F.col("text"), lang), "mul", lang)).alias("text"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def derive(segments: DataFrame, languages: DataFrame) -> DataFrame:
+    """(doc, node, lang, text): mixed segments in every language of their document, by languages(doc, lang), with two
+    lines that say so on top. One scan, whatever the number of languages."""
+    each = languages.where(~F.col("lang").isin(*NEUTRAL)).select("doc", "lang").distinct()
+    head = F.concat(F.lit("%% -*- lang: "), F.col("lang"), F.lit(" -*-\n%% generated file, edits are lost\n"))
+    rows = segments.where("lang = 'mul'").select("doc", "node", "text").join(each, "doc")
+    return rows.select("doc", "node", "lang", F.concat(head, retarget_inputs(language_lines(F.col("text"), F.col("lang")), F.lit("mul"), F.col("lang"))).alias("text"))
 
 
 def map_lines(segments: DataFrame, lang: str) -> DataFrame:
@@ -46,6 +54,11 @@ def map_lines(segments: DataFrame, lang: str) -> DataFrame:
     return rows.select("doc", "node", (F.col("i") + 1).cast("long").alias("line"), F.when(mine, n).alias("to"))
 
 
+def map_lines_back(mapped: DataFrame) -> DataFrame:
+    """(doc, node, line, to): the reverse of map_lines: where each line of a language's text stands in the mixed one."""
+    return mapped.where("to is not null").select("doc", "node", F.col("to").alias("line"), F.col("line").alias("to"))
+
+
 def multimerge(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., place, lang, text): lines(keys..., source, lang, pos, text) of several versions merged in turn, the
     first of each, then the second of each."""
@@ -53,63 +66,111 @@ def multimerge(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, place.cast("long").alias("place"), "lang", "text")
 
 
-def lookahead(sources: list[list[str]], depth: int = 32) -> list[tuple[list[int], str]]:
-    """Lines of several versions merged: a line that is next in several comes once, with the numbers of its versions;
-    otherwise the version whose next line is furthest from turning up in the others gives its line first."""
+def lookahead(sources: list[list[str]], depth: int = 32, names: list[str] | None = None) -> list[tuple[list[int], str]]:
+    """Lines of several versions merged. When all versions that go on have the same next line, it comes once, with the
+    numbers of them all. Otherwise one version gives its line alone: the one whose lines ahead hold the nearest copy of
+    another version's next line, so that the copy comes nearer; ties go by the versions' names."""
+    names = names or [f"{k:06d}" for k in range(len(sources))]
     at, out = [0] * len(sources), []
-    while any(i < len(s) for i, s in zip(at, sources, strict=True)):
-        live = [k for k, s in enumerate(sources) if at[k] < len(s)]
+    live = [k for k, s in enumerate(sources) if s]
+    while live:
         heads = {k: sources[k][at[k]] for k in live}
-
-        def away(k: int, live=live, heads=heads) -> int:
-            near = [sources[j][at[j] : at[j] + depth].index(heads[k]) for j in live if j != k and heads[k] in sources[j][at[j] : at[j] + depth]]
-            return max(near, default=-1)
-
-        wait = {k: away(k) for k in live}
-        free = [k for k in live if wait[k] <= 0]
-        k = free[0] if free else min(live, key=lambda k: (wait[k], k))
-        same = [j for j in live if heads[j] == heads[k]]
-        out.append((same, heads[k]))
-        for j in same:
-            at[j] += 1
+        if len(live) == 1 or len(set(heads.values())) > 1:
+            gives = live[0]
+            if len(live) > 1:
+                gives = min((_distance(sources[z], at[z], heads[k], depth), names[z], names[k], z) for k in live for z in live if z != k)[3]
+            owners = [gives]
+        else:
+            owners = live
+        out.append((owners, heads[owners[0]]))
+        for k in owners:
+            at[k] += 1
+        live = [k for k in live if at[k] < len(sources[k])]
     return out
 
 
+def _distance(lines: list[str], at: int, wanted: str, depth: int) -> int:
+    """How many lines stand before a copy of ``wanted`` after the next line; more than the depth if there is none."""
+    for i in range(at + 1, min(at + depth, len(lines))):
+        if lines[i] == wanted:
+            return i - at - 1
+    return depth + 1
+
+
 def multimerge_lookahead(texts: DataFrame, depth: int = 32) -> DataFrame:
-    """(node, place, langs, text) from texts(node, source, lang, text): versions merged with common lines once. Each
-    node's versions are one small group (a merge is sequential within it)."""
+    """(doc, node, place, langs, text) from texts(doc, node, lang, text): the language versions of each node merged with
+    common lines once. A node's versions are a few texts of one segment; a merge is sequential within a node."""
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for node, langs, all_ in zip(batch["node"], batch["langs"], batch["texts"], strict=True):
-                rows = [(node, i, ",".join(langs[k] for k in same), line) for i, (same, line) in enumerate(lookahead([t.split("\n") for t in all_], depth))]
-                yield pd.DataFrame(rows, columns=["node", "place", "langs", "text"])
+            for doc, node, langs, all_ in zip(batch["doc"], batch["node"], batch["langs"], batch["texts"], strict=True):
+                merged = lookahead([t.split("\n") for t in all_], depth, list(langs))
+                rows = [(doc, node, i, ",".join(langs[k] for k in own), line) for i, (own, line) in enumerate(merged)]
+                yield pd.DataFrame(rows, columns=["doc", "node", "place", "langs", "text"])
 
-    ordered = F.sort_array(F.collect_list(F.struct("source", "lang", "text")))
-    per = texts.groupBy("node").agg(ordered.alias("v")).select("node", F.transform("v", lambda x: x["lang"]).alias("langs"), F.transform("v", lambda x: x["text"]).alias("texts"))
-    return per.mapInPandas(merge, "node long, place long, langs string, text string")
+    ordered = F.sort_array(F.collect_list(F.struct("lang", "text")))
+    per = texts.groupBy("doc", "node").agg(ordered.alias("v")).select("doc", "node", F.transform("v", lambda x: x["lang"]).alias("langs"), F.transform("v", lambda x: x["text"]).alias("texts"))
+    return per.mapInPandas(merge, "doc string, node long, place long, langs string, text string")
 
 
 def to_mul(segments: DataFrame) -> DataFrame:
-    """Segments of one language as mixed ones: lines that aren't blank get their language's header."""
-    tagged = F.transform(F.split("text", "\n", -1), lambda x: F.when(F.trim(x) == "", x).otherwise(F.concat(F.lit(HEADER), segments["lang"], F.lit(" "), x)))
-    return segments.select("doc", "node", F.lit("mul").alias("lang"), F.array_join(tagged, "\n").alias("text"))
+    """(doc, node, lang, text): all versions of each node as one mixed text. Of a node in one language, lines that aren't
+    blank get its header; of several, they are merged, lines of one version get its header and common ones none. Input
+    paths are pointed at the mixed versions."""
+    own = segments.select("doc", "node", "lang", retarget_inputs(F.col("text"), F.col("lang"), F.lit("mul")).alias("text"))
+    count = own.groupBy("doc", "node").agg(F.count(F.lit(1)).alias("versions"))
+    own = own.join(count, ["doc", "node"])
+    header = lambda lang: F.concat(F.lit(HEADER), lang, F.lit(" "))
+    tagged = F.transform(F.split("text", "\n", -1), lambda x: F.when(F.trim(x) == "", x).otherwise(F.concat(header(F.col("lang")), x)))
+    one = own.where("versions = 1").select("doc", "node", F.array_join(tagged, "\n").alias("text"))
+    merged = multimerge_lookahead(own.where("versions > 1"))
+    line = F.when(F.col("langs").contains(","), F.col("text")).otherwise(F.concat(header(F.col("langs")), "text"))
+    lines = F.sort_array(F.collect_list(F.struct("place", line.alias("x"))))
+    many = merged.groupBy("doc", "node").agg(F.array_join(F.transform(lines, lambda s: s["x"]), "\n").alias("text"))
+    return one.unionByName(many).select("doc", "node", F.lit("mul").alias("lang"), "text")
+
+
+def from_mul(segments: DataFrame, languages: DataFrame) -> DataFrame:
+    """(doc, node, lang, text): mixed segments as versions in each of the document's languages to be kept by hand: what
+    ``derive`` makes, without the lines that call it generated."""
+    return derive(segments, languages).withColumn("text", F.regexp_replace("text", r"^%% -\*- lang: .* -\*-\n%% generated file.*\n", ""))
+
+
+def complete(segments: DataFrame, languages: DataFrame) -> DataFrame:
+    """(doc, node): nodes that have a version in every language of languages(doc, lang), which is when they can turn into
+    mixed ones."""
+    wanted = languages.where(~F.col("lang").isin(*NEUTRAL)).select("doc", "lang").distinct()
+    n = wanted.groupBy("doc").agg(F.count(F.lit(1)).alias("wanted"))
+    have = segments.join(wanted, ["doc", "lang"], "left_semi").groupBy("doc", "node").agg(F.countDistinct("lang").alias("have"))
+    return have.join(n, "doc").where("have = wanted").select("doc", "node")
 
 
 def untranslated_chars(nodes: DataFrame, languages: list[str]) -> DataFrame:
-    """(doc, chars): characters of each node's first version times the languages it lacks, by document."""
+    """(doc, chars): characters to translate of each document: of a node's first version, with its markup as codes of
+    private characters, times the languages it lacks."""
     lack = F.size(F.array_except(F.array(*map(F.lit, languages)), "langs"))
-    return nodes.groupBy("doc").agg(F.sum(F.length("text") * lack).cast("long").alias("chars"))
+    hidden = nodes.where(lack > 0).select("doc", lack.alias("lack"), "text", tokens(F.col("text")).alias("toks"))
+    hidden = hidden.select("doc", "lack", protect(F.col("text"), F.col("toks")).alias("text"))
+    found = hidden.groupBy("doc").agg(F.sum(F.length("text") * F.col("lack")).cast("long").alias("chars"))
+    return nodes.select("doc").distinct().join(found, "doc", "left").select("doc", F.coalesce("chars", F.lit(0)).alias("chars"))
 
 
 def choose_version(requests: DataFrame, segments: DataFrame, weights: DataFrame) -> DataFrame:
-    """(request, node, lang): of a node's versions the language asked for, else the one with the most weight for the
-    user, else the first by code; null if there is none. requests(request, user_id, node, want),
-    weights(user_id, lang, weight)."""
-    versions = segments.select("node", "lang")
-    both = requests.join(versions, "node", "left").join(weights, ["user_id", "lang"], "left")
-    k = F.row_number().over(Window.partitionBy("request").orderBy(F.desc(F.coalesce(F.col("lang") == F.col("want"), F.lit(False))), F.desc(F.coalesce("weight", F.lit(0.0))), "lang"))
-    return both.withColumn("_k", k).where("_k = 1").select("request", "node", "lang")
+    """(request, doc, node, lang, ext): the version of a node that a request gets, null if there is none.
+
+    requests(request, user_id, doc, node, want, want_ext, edit), segments(doc, node, lang, ext), weights(user_id, lang,
+    weight). A language or extension that is asked for must be there. Else the language with the most weight for the user
+    comes first, then the first by code; of extensions pictures that scale, then pixels, pages and others. To edit a node
+    that has a mixed version is to edit that one, whatever language was asked for."""
+    versions = segments.select("doc", "node", "lang", "ext")
+    mixed = versions.where("lang = 'mul'").select("doc", "node").distinct().withColumn("mixed", F.lit(True))
+    asked = requests.join(mixed, ["doc", "node"], "left").withColumn("want", F.when(F.col("edit") & F.col("mixed"), F.lit("mul")).otherwise(F.col("want")))
+    fits = (F.col("want").isNull() | (F.col("want") == F.col("lang"))) & (F.col("want_ext").isNull() | (F.col("want_ext") == F.col("ext")))
+    able = asked.join(versions, ["doc", "node"]).where(fits).join(weights, ["user_id", "lang"], "left")
+    rank = F.when(F.col("ext") == ".svg", 2).when(F.col("ext").isin(".jpg", ".jpeg", ".png", ".tif", ".tiff", ".gif"), 4).when(F.col("ext") == ".pdf", 7).otherwise(10)
+    order = F.struct(-F.coalesce("weight", F.lit(0.0)), "lang", rank, "ext")
+    best = able.groupBy("request").agg(F.min_by(F.struct("lang", "ext"), order).alias("b"))
+    return requests.join(best, "request", "left").select("request", "doc", "node", "b.lang", "b.ext")
 
 
 def valid_languages(langs: Column) -> Column:
@@ -117,10 +178,15 @@ def valid_languages(langs: Column) -> Column:
     return F.filter(langs, lambda x: x.rlike("^[a-z]{3}$"))
 
 
+def malformed_languages(rows: DataFrame, langs: str = "langs") -> DataFrame:
+    """The rows whose language list has malformed codes, with ``bad``, those codes."""
+    return rows.withColumn("bad", F.array_except(langs, valid_languages(F.col(langs)))).where(F.size("bad") > 0)
+
+
 def prologue_length(lang: Column, environ: Column) -> Column:
-    """Lines of a stored segment that editors don't see: one for the id, one more if a version is generated or the
-    environ has a heading."""
-    return F.lit(1) + F.when(lang.isin("mul", "und", "zxx"), 0).otherwise(1) + F.when(environ.isin("main_file", "preamble"), -1).otherwise(0)
+    """Lines of a stored segment that editors don't see: two if it is mixed, and one for the id or a heading, which
+    environs without an id don't have."""
+    return F.when(lang == "mul", 2).otherwise(0) + F.when(environ.isin(*NO_ID), 0).otherwise(1)
 
 
 def add_language(segments: DataFrame, source: str, new: str) -> DataFrame:

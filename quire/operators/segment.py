@@ -10,25 +10,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators import tree
+from quire.operators.numbering import last_before, number_within
 from quire.plans.rules import SECTIONS
 
 COMMANDS = ("label", "ref", "eqref", "pageref", "index", "indexLeng", "indexLita", "cite", "author", "uuid", "replaces")
-MARKER = r"(\\(?:begin|end)\{[A-Za-z*]+\}(?:\[[^\]]*\])?|\\(?:" + "|".join(SECTIONS) + r")\{[^{}]*\}|\\item|\\(?:input|include|includegraphics)\{[^{}]*\}|\\(?:" + "|".join(COMMANDS) + r")\{[^{}]*\})"
-PIECE = r"^\\([A-Za-z]+)(?:\{([^{}]*)\})?(?:\[([^\]]*)\])?"
+INPUTS = ("input", "include", "includegraphics", "bibliography", "usepackage")
+VERBATIM = ("verbatim", "Filesave")
+#: An argument in braces, with two levels of braces inside.
+ARGUMENT = r"\{([^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*)\}"
+_INNER = ARGUMENT.replace("(", "(?:", 1)
+OPTION = r"\[[^\]]*\]"
+PIECE = r"^\\([A-Za-z]+)\*?(?:" + OPTION + r")*(?:" + ARGUMENT + r")?"
+BEGIN_OPTION = r"^\\begin\{[A-Za-z*]+\}\[([^\]]*)\]"
+HEAD = PIECE.replace(ARGUMENT, _INNER).replace("([A-Za-z]+)", "[A-Za-z]+")
+BEGIN_HEAD = r"^\\begin\{[A-Za-z*]+\}(?:" + OPTION + ")?"
+
+
+def marker_pattern(commands: tuple = COMMANDS, sections: tuple = SECTIONS, inputs: tuple = INPUTS, verbatim: tuple = VERBATIM) -> str:
+    """The regular expression of the markers that texts are cut at: in group 1 verbatim bodies, whole, and markers; in
+    group 2 what isn't the beginning of a comment; else it matches a comment. It means the same to Spark and DuckDB."""
+    bodies = "|".join(rf"\\begin\{{{v}\*?\}}(?s:.*?)\\end\{{{v}\*?\}}" for v in verbatim)
+    verb = r"\\verb\*?(?:\|[^|\n]*\||\+[^+\n]*\+|![^!\n]*!|/[^/\n]*/)"
+    with_arg = "|".join([*sections, *inputs, *commands])
+    markers = rf"\\(?:begin|end)\{{[A-Za-z*]+\}}(?:{OPTION})?|\\(?:{with_arg})\*?(?:{OPTION})*{_INNER}|\\(?:item|par)\b"
+    return rf"({bodies}|{verb}|{markers})|(\\[\\%])|%[^\n]*"
+
+
+MARKER = marker_pattern()
 
 
 def drop_comments(c: Column) -> Column:
     """Text without comments: from a percent sign that no backslash precedes to the end of its line."""
-    return F.regexp_replace(c, r"(?m)(^|[^\\])%.*$", "$1")
+    return F.regexp_replace(c, r"(\\[\\%])|%[^\n]*", "$1")
 
 
-def explode_markers(files: DataFrame, keys: tuple = ("doc", "node")) -> DataFrame:
-    """(keys..., pos, macro, arg, opt, raw): the pieces of each text in order; piece 0 is what stands before the first
-    marker, others begin with theirs."""
-    marked = F.regexp_replace(drop_comments(F.col("text")), MARKER, "\x01$1")
+def explode_markers(files: DataFrame, keys: tuple = ("doc", "node"), pattern: str = MARKER, verbatim: tuple = VERBATIM) -> DataFrame:
+    """(keys..., pos, macro, arg, opt, raw): the pieces of each text in order, comments left out; piece 0 is what stands
+    before the first marker, others begin with theirs. Verbatim bodies are pieces of their own with macro `verbatim`,
+    `\\verb` ones with `verb`; what stands in them is no marker. ``pattern`` is one of ``marker_pattern``. Arguments may
+    have two levels of braces in them."""
+    plain = F.translate(F.col("text"), "\x01\x02", "  ")
+    marked = F.replace(F.replace(F.regexp_replace(plain, pattern, "\x01$1\x02$2"), F.lit("\x01\x02"), F.lit("")), F.lit("\x02"), F.lit(""))
     rows = files.select(*keys, F.posexplode(F.split(marked, "\x01", -1)).alias("pos", "raw"))
-    part = lambda i: F.when(F.col("pos") > 0, F.regexp_extract("raw", PIECE, i)).otherwise("")
-    return rows.select(*keys, F.col("pos").cast("long").alias("pos"), part(1).alias("macro"), part(2).alias("arg"), part(3).alias("opt"), "raw")
+    part = lambda p, i: F.when(F.col("pos") > 0, F.regexp_extract("raw", p, i)).otherwise("")
+    macro, arg = part(PIECE, 1), part(PIECE, 2)
+    body = (macro == "begin") & F.regexp_replace(arg, r"\*$", "").isin(*verbatim)
+    macro = F.when(body, F.lit("verbatim")).otherwise(macro)
+    return rows.select(*keys, F.col("pos").cast("long").alias("pos"), macro.alias("macro"), arg.alias("arg"), part(BEGIN_OPTION, 1).alias("opt"), "raw")
 
 
 def with_depth(pieces: DataFrame, keys: tuple = ("doc", "node")) -> DataFrame:
@@ -41,7 +69,7 @@ def with_depth(pieces: DataFrame, keys: tuple = ("doc", "node")) -> DataFrame:
 
 
 def attributes(deep: DataFrame, commands: tuple = COMMANDS) -> DataFrame:
-    """(doc, node, key, value): metadata commands, with the innermost environment in the key."""
+    """(doc, node, key, value): metadata commands (SEG-13's scope prefix: the innermost environment in the key)."""
     key = F.concat(F.when(F.col("env").isNotNull(), F.concat(F.lit("S_E_"), "env", F.lit("_"))).otherwise(""), F.lit("M_"), "macro")
     return deep.where(F.col("macro").isin(*commands)).select("doc", "node", key.alias("key"), F.concat(F.lit("{"), F.regexp_replace("arg", "\n", " "), F.lit("}")).alias("value"))
 
@@ -52,16 +80,32 @@ def unbalanced(deep: DataFrame) -> DataFrame:
     return last.where("lowest < 0 or final <> 0").select("doc", "node", F.col("lowest").cast("long").alias("lowest"), F.col("final").cast("long").alias("final"))
 
 
-def sections(pieces: DataFrame, order: tuple = ("doc",)) -> DataFrame:
-    """(doc, node, pos, title, rank, parent_node, parent_pos): sections in document order; a section's parent is the
-    nearest one before it with a higher rank. Needs the pieces' order (node, pos) within a document."""
+def problems(deep: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc, node, code, detail): `unbalanced` texts; an `end` of another kind than the begin it closes; inputs and
+    pictures that are an `absolute` path or an `unknown` file, by files(doc, path)."""
+    rows = unbalanced(deep).select("doc", "node", F.lit("unbalanced").alias("code"), F.concat_ws(",", F.col("lowest").cast("string"), F.col("final").cast("string")).alias("detail"))
+    # the begin that an end closes is the last one at the depth that the end leaves
+    opened = F.when(F.col("macro") == "begin", F.col("arg"))
+    level = F.col("depth") + F.when(F.col("macro") == "end", 1).otherwise(0)
+    kinds = deep.where("macro in ('begin', 'end')").withColumn("level", level).withColumn("kind", F.last(opened, True).over(Window.partitionBy("doc", "node", "level").orderBy("pos")))
+    wrong = kinds.where("macro = 'end' and level > 0 and kind <> arg").select("doc", "node", F.lit("end").alias("code"), F.concat_ws(",", "kind", "arg").alias("detail"))
+    named = deep.where("macro in ('input', 'include', 'includegraphics')").select("doc", "node", F.trim("arg").alias("detail"), F.regexp_replace(F.trim("arg"), r"\.[A-Za-z]+$", "").alias("path"))
+    absolute = named.where("detail like '/%'").select("doc", "node", F.lit("absolute").alias("code"), "detail")
+    unknown = named.where("detail not like '/%'").join(files.select("doc", "path").distinct(), ["doc", "path"], "left_anti").select("doc", "node", F.lit("unknown").alias("code"), "detail")
+    return rows.unionByName(wrong).unionByName(absolute).unionByName(unknown)
+
+
+def sections(pieces: DataFrame) -> DataFrame:
+    """(doc, node, pos, title, rank, parent_node, parent_pos): sections in document order, (node, pos) within a document;
+    a section's parent is the nearest one before it of a higher rank, as one closes what is open of its own or a lower
+    rank. Documents may have any number of sections."""
     rank = F.coalesce(*[F.when(F.col("macro") == x, i) for i, x in enumerate(SECTIONS)])
-    s = pieces.where(F.col("macro").isin(*SECTIONS)).withColumn("rank", rank)
-    w = Window.partitionBy(*order).orderBy("node", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    above = [F.last(F.when(F.col("rank") == i, F.struct("node", "pos")), True).over(w) for i in range(len(SECTIONS))]
-    s = s.withColumn("above", F.array(*above))
-    parent = F.array_max(F.filter("above", lambda x, i: (i < F.col("rank")) & x.isNotNull()))
-    return s.withColumn("p", parent).select("doc", "node", "pos", F.col("arg").alias("title"), "rank", F.col("p.node").alias("parent_node"), F.col("p.pos").alias("parent_pos"))
+    s = pieces.where(F.col("macro").isin(*SECTIONS)).select("doc", "node", "pos", F.col("arg").alias("title"), rank.alias("rank"))
+    ranks = range(len(SECTIONS))
+    s = s.withColumns({f"at{i}": F.when(F.col("rank") == i, F.struct("node", "pos")) for i in ranks})
+    s = last_before(s, ["doc"], ["node", "pos"], [f"at{i}" for i in ranks])
+    parent = F.array_max(F.array(*[F.when(F.col("rank") > i, F.col(f"last_at{i}")) for i in ranks]))
+    return s.withColumn("p", parent).select("doc", "node", "pos", "title", "rank", F.col("p.node").alias("parent_node"), F.col("p.pos").alias("parent_pos"))
 
 
 def environments(deep: DataFrame, envs: tuple) -> DataFrame:
@@ -70,15 +114,25 @@ def environments(deep: DataFrame, envs: tuple) -> DataFrame:
     start = F.when((F.col("macro") == "begin") & (F.col("depth") == 1), F.col("pos"))
     rows = deep.withColumn("at", F.last(start, True).over(Window.partitionBy(*k).orderBy("pos"))).where("depth > 0")
     head = rows.where("pos = at").select(*k, "at", F.col("arg").alias("kind"), "opt").where(F.col("kind").isin(*envs))
-    bare = F.when(F.col("pos") == F.col("at"), F.regexp_replace("raw", PIECE, "")).otherwise(F.col("raw"))
+    bare = F.when(F.col("pos") == F.col("at"), F.regexp_replace("raw", BEGIN_HEAD, "")).otherwise(F.col("raw"))
     body = rows.groupBy(*k, "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", bare.alias("t")))), lambda x: x["t"]), "").alias("body"))
     return head.join(body, [*k, "at"]).select(*k, F.col("at").alias("pos"), F.col("kind").alias("env"), "opt", "body")
 
 
+BLANK = r"\n[ \t]*\n\s*"
+
+
 def paragraphs(files: DataFrame, shortest: int) -> DataFrame:
-    """(doc, node, pos, text): paragraphs of at least so many characters; shorter ones stay with the parent."""
-    rows = files.select("doc", "node", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
-    return rows.where(F.length("text") >= shortest).select("doc", "node", F.col("pos").cast("long").alias("pos"), "text")
+    """(doc, node, pos, text, child): the paragraphs of texts, between blank lines; those of at least ``shortest``
+    characters become children, shorter ones stay in their node."""
+    rows = files.select("doc", "node", F.posexplode(F.split("text", BLANK, -1)).alias("pos", "text"))
+    return rows.select("doc", "node", F.col("pos").cast("long").alias("pos"), "text", (F.length("text") >= shortest).alias("child"))
+
+
+def without_paragraphs(files: DataFrame, shortest: int) -> DataFrame:
+    """(doc, node, text): what stays in the nodes: short paragraphs, and an input in the place of each child."""
+    stub = lambda x, i: F.when(F.length(x) >= shortest, F.concat(F.lit("\\input{PAR/"), i.cast("string"), F.lit("}%"))).otherwise(x)
+    return files.select("doc", "node", F.array_join(F.transform(F.split("text", BLANK, -1), stub), "\n\n").alias("text"))
 
 
 def discover_environments(files: DataFrame) -> DataFrame:
@@ -90,7 +144,10 @@ def discover_environments(files: DataFrame) -> DataFrame:
 def front_matter(files: DataFrame, key: str) -> DataFrame:
     """(key, prologue, preamble, body, epilogue): a whole document's four parts; together they are the text."""
     begin, end = "\\begin{document}", "\\end{document}"
-    a, b, c = F.instr("text", "\\documentclass"), F.instr("text", begin), F.instr("text", end)
+    # a comment's sign is hidden with all that follows it on its line, at equal length
+    sign = lambda x: F.regexp_instr(x, F.lit(r"(^|[^\\])%"))
+    hidden = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.when(sign(x) > 0, F.rpad(F.substr(x, F.lit(1), sign(x)), F.length(x), " ")).otherwise(x)), "\n")
+    a, b, c = F.instr(hidden, "\\documentclass"), F.instr(hidden, begin), F.instr(hidden, end)
     cut = lambda x, y: F.substr(F.col("text"), x, F.greatest(y - x, F.lit(0)))
     one = F.lit(1)
     s, m, e = F.when(a > 0, a).otherwise(one), F.when(b > 0, b).otherwise(one), F.when(c > 0, c).otherwise(F.length("text") + 1)
@@ -103,6 +160,14 @@ def resolve_inputs(pieces: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files, ["doc", "path"], "left").select("doc", "node", "pos", "path", "target")
 
 
+def input_nodes(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (doc, node, path) of the known files among resolved inputs, once each, and edges (doc, parent, child,
+    ordinal) from all that input them."""
+    known = resolved.where("target is not null")
+    nodes = known.groupBy("doc", F.col("target").alias("node")).agg(F.min("path").alias("path"))
+    return nodes, known.groupBy("doc", F.col("node").alias("parent"), F.col("target").alias("child")).agg(F.min("pos").alias("ordinal"))
+
+
 def graphics(pieces: DataFrame, files: DataFrame) -> DataFrame:
     """(doc, node, path, extensions): referenced pictures with the extensions there are; files(doc, path, ext)."""
     ext = files.groupBy("doc", "path").agg(F.array_join(F.sort_array(F.collect_set("ext")), ",").alias("extensions"))
@@ -110,6 +175,15 @@ def graphics(pieces: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(ext, ["doc", "path"], "left").select("doc", "node", "path", "extensions")
 
 
+def graphic_nodes(found: DataFrame, existing: DataFrame) -> DataFrame:
+    """(doc, node, environ, path, extensions, parents): a new node for each picture of graphics(doc, node, path,
+    extensions) that has a file, numbered after the greatest of existing(doc, node), with the number of its parents."""
+    pictures = found.where("extensions is not null").groupBy("doc", "path", "extensions").agg(F.countDistinct("node").alias("parents"))
+    top = existing.groupBy("doc").agg(F.max("node").alias("top"))
+    numbered = number_within(pictures, ["doc"], ["path"], "n").join(top, "doc", "left")
+    return numbered.select("doc", (F.coalesce("top", F.lit(0)) + F.col("n")).alias("node"), F.lit("graphic_file").alias("environ"), "path", "extensions", "parents")
+
+
 def zip_sections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc, parent, child, ordinal): edges after nodes without text of their own that hold a single child are left
     out, one level of them; nodes(doc, node, text)."""
@@ -120,36 +194,69 @@ def zip_sections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.join(gone.withColumnRenamed("mid", "child"), ["doc", "child"], "left").select("doc", "parent", F.coalesce("only", "child").alias("child"), "ordinal")
 
 
-def stamp(text: Column, id_: Column, environ: Column, excluded: tuple = ("main_file", "preamble", "graphic_file")) -> Column:
+#: Environs whose segments have no id on top.
+NO_ID = ("E_document", "main_file", "preamble", "input", "include", "input_preamble", "usepackage", "bibliography", "E_thebibliography", "graphic_file")
+
+
+def stamp(text: Column, id_: Column, environ: Column, excluded: tuple = NO_ID) -> Column:
     """A segment with its id on top, unless its environ has none; blank lines at the end go."""
     bare = F.regexp_replace(text, r"\s+$", "")
     return F.when(environ.isin(*excluded), bare).otherwise(F.concat(F.lit("\\uuid{"), id_, F.lit("}%\n"), bare))
 
 
-def carve(segments: DataFrame, selections: DataFrame) -> DataFrame:
-    """(doc, node, text, child, child_text): segments with a range taken out into a child, an input in its place;
-    selections(doc, node, start, length, child), start from 1."""
-    rows = segments.select("doc", "node", "text").join(selections, ["doc", "node"])
-    stub = F.concat(F.lit("\\input{UUID/"), F.col("child").cast("string"), F.lit("}"))
-    before, after = F.substr("text", F.lit(1), F.col("start") - 1), F.substr(F.col("text"), F.col("start") + F.col("length"))
-    return rows.select("doc", "node", F.concat(before, stub, after).alias("text"), "child", F.substr("text", F.col("start"), F.col("length")).alias("child_text"))
+def carve(segments: DataFrame, selections: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc, node, start, child, text, child_text, stub_text): selections(doc, node, start, length, environ), start from
+    1, carved out of segments(doc, node, environ, text). Each gets a child id after its document's greatest node, in the
+    order of (node, start); ``stub_text`` is the parent's text with an input in the place of every selection of it.
+    Refused, with child null and the text as it was: environs that rules(parent, child) don't allow, selections that
+    begin before the end of an earlier one of the same node, or that aren't within the text."""
+    s = selections.join(segments.select("doc", "node", F.col("environ").alias("parent_environ"), F.length("text").alias("size")), ["doc", "node"])
+    ok = s.join(F.broadcast(rules.select(F.col("parent").alias("rp"), F.col("child").alias("rc"))), (tree.kind(F.col("parent_environ")) == F.col("rp")) & (tree.kind(F.col("environ")) == F.col("rc")), "left")
+    end = F.max(F.col("start") + F.col("length")).over(Window.partitionBy("doc", "node").orderBy("start", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1))
+    fits = F.col("rp").isNotNull() & (F.col("start") >= 1) & (F.col("length") >= 1) & (F.col("start") + F.col("length") <= F.col("size") + 1) & (F.col("start") >= F.coalesce("end", F.lit(1)))
+    ok = ok.withColumn("end", end).withColumn("fits", fits)
+    top = segments.groupBy("doc").agg(F.max("node").alias("top"))
+    new = number_within(ok.where("fits").select("doc", "node", "start", "length"), ["doc"], ["node", "start"], "n").join(top, "doc").withColumn("child", F.col("top") + F.col("n")).drop("top", "n")
+    cuts = new.groupBy("doc", "node").agg(F.sort_array(F.collect_list(F.struct("start", "length", "child"))).alias("cuts"))
+    rows = segments.select("doc", "node", "text").join(cuts, ["doc", "node"], "left")
+    begin = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    stub = lambda x: F.concat(F.lit("\\input{UUID/"), x["child"].cast("string"), F.lit("}"))
+    step = lambda acc, x: F.struct(F.concat(acc["out"], F.substr("text", acc["at"], x["start"] - acc["at"]), stub(x)).alias("out"), (x["start"] + x["length"]).cast("int").alias("at"))
+    done = F.aggregate("cuts", begin, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"])))
+    parents = rows.select("doc", "node", "text", F.coalesce(done, F.col("text")).alias("stub_text"))
+    wanted = selections.select("doc", "node", F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))
+    return wanted.join(new.select("doc", "node", "start", "child"), ["doc", "node", "start"], "left").join(parents, ["doc", "node"]).select(
+        "doc", "node", "start", "child", "text", F.when(F.col("child").isNotNull(), F.substr("text", F.col("start"), F.col("length"))).alias("child_text"), "stub_text"
+    )
+
+
+#: Segments in a part of an assembled document.
+PART = 100
 
 
 def assemble(nodes: DataFrame, visits: DataFrame) -> DataFrame:
-    """(doc, text): the whole text of each document: the texts of first visits in the order of the walk. The result is
-    one text per document, so a document must fit in a row."""
-    rows = visits.where("is_first").join(nodes.select("doc", "node", "text"), ["doc", "node"])
-    ordered = F.sort_array(F.collect_list(F.struct("path", "node", "text")))
-    return rows.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    """(doc, part, text): the whole text of each document: the texts of first visits in the order of the walk, in parts
+    of 100 segments, numbered from 1, so that no row holds a whole document."""
+    first = number_within(visits.where("is_first").select("doc", "node", "path"), ["doc"], ["path"], "place")
+    return _parts(first.join(nodes.select("doc", "node", "text"), ["doc", "node"]), ["doc"])
+
+
+def _parts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    part = F.floor((F.col("place") - 1) / PART) + 1
+    ordered = F.sort_array(F.collect_list(F.struct("place", "text")))
+    return rows.groupBy(*keys, part.alias("part")).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
 
 
-def squash(files: DataFrame, titles: DataFrame) -> DataFrame:
-    """(doc, node, text): texts without comments, each reference replaced by a placeholder with its target's title;
-    titles(doc, target, title)."""
-    pieces = explode_markers(files)
-    named = pieces.join(titles.select("doc", F.col("target").alias("arg"), "title"), ["doc", "arg"], "left")
-    shown = F.when(F.col("macro") == "ref", F.concat(F.lit("["), F.coalesce("title", "arg"), F.lit("]"), F.regexp_replace("raw", PIECE, ""))).otherwise(F.col("raw"))
-    return named.groupBy("doc", "node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", shown.alias("t")))), lambda x: x["t"]), "").alias("text"))
+def squash(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc, node, text): texts without comments, each child input replaced by a placeholder with the child's id and
+    name, after the child's sectioning command where it has one. targets(doc, path, target, environ, title) tells what
+    the paths stand for; inputs of other paths stay as they are."""
+    pieces = explode_markers(files).withColumn("path", F.regexp_replace("arg", r"\.[a-z]+$", ""))
+    named = pieces.join(targets.withColumnRenamed("title", "__title"), ["doc", "path"], "left")
+    heading = F.when(F.col("environ").isin(*SECTIONS), F.concat(F.lit("\\"), "environ", F.lit("{"), F.coalesce("__title", F.lit("")), F.lit("}"))).otherwise(F.lit(""))
+    shown = F.concat(heading, F.lit("\\uuidplaceholder{"), F.col("target").cast("string"), F.lit("}{"), F.col("path"), F.lit("}"), F.regexp_replace("raw", HEAD, ""))
+    text = F.when(F.col("macro").isin("input", "include", "bibliography") & F.col("target").isNotNull(), shown).otherwise(F.col("raw"))
+    return named.groupBy("doc", "node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), "").alias("text"))
 
 
 def mask(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -159,36 +266,50 @@ def mask(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(kids, ["doc", "node"], "left").select("doc", "node", F.when(F.col("access").isin("open", "public"), F.col("text")).otherwise(stub).alias("text"))
 
 
-def standalone(text: Column, environ: Column, title: Column) -> Column:
-    """A segment wrapped so that it stands by itself: environments between begin and end, others as they are."""
+def standalone(text: Column, environ: Column, title: Column, classname: Column | None = None, macros: Column | None = None, lang: Column | None = None) -> Column:
+    """A segment wrapped so that it stands by itself: environments between begin and end, items in a list, whole files
+    as they are. ``classname`` is the document's class, or else article; book where a chapter or part needs it.
+    ``macros`` go before the text, and a switch that tells the language."""
     name = F.regexp_replace(environ, "^E_", "")
-    wrapped = F.when(environ.startswith("E_"), F.concat(F.lit("\\begin{"), name, F.lit("}\n"), text, F.lit("\n\\end{"), name, F.lit("}\n"))).otherwise(F.concat(text, F.lit("\n")))
-    return F.concat(F.lit("\\documentclass{article}\n\\title{"), title, F.lit("}\n\\begin{document}\n"), wrapped, F.lit("\\end{document}\n"))
+    wrapped = (
+        F.when(environ.isin("item", "E_item"), F.concat(F.lit("\\begin{itemize}\n"), text, F.lit("\n\\end{itemize}\n")))
+        .when(environ.startswith("E_") & ~environ.isin("E_thebibliography", "E_document"), F.concat(F.lit("\\begin{"), name, F.lit("}\n"), text, F.lit("\n\\end{"), name, F.lit("}\n")))
+        .otherwise(F.concat(text, F.lit("\n")))
+    )
+    kind = F.when(environ.isin("chapter", "part"), F.lit("book")).otherwise(F.coalesce(classname, F.lit("article")) if classname is not None else F.lit("article"))
+    flag = F.concat(F.lit("\\newif\\ifCDL"), lang, F.lit("\\CDL"), lang, F.lit("true\n")) if lang is not None else F.lit("")
+    extra = F.when(macros.isNotNull() & (macros != ""), F.concat(macros, F.lit("\n"))).otherwise(F.lit("")) if macros is not None else F.lit("")
+    whole = F.concat(F.lit("\\documentclass{"), kind, F.lit("}\n"), extra, flag, F.lit("\\title{"), title, F.lit("}\n\\begin{document}\n"), wrapped, F.lit("\\end{document}\n"))
+    return F.when(environ.isin("main_file", "E_document"), text).otherwise(whole)
 
 
 def assemble_files(nodes: DataFrame, visits: DataFrame) -> DataFrame:
-    """(doc, file, text): original files: a node with a filename begins one, which takes all below it up to the next;
-    nodes(doc, node, text, original_filename)."""
+    """(doc, file, part, text): original files: a node with a filename begins one, which takes all below it up to the
+    next; in parts of 100 segments. nodes(doc, node, text, original_filename)."""
     rows = visits.where("is_first").select("doc", "node", "path", F.posexplode(F.concat("branch", F.array(F.col("node")))).alias("i", "above"))
     named = nodes.where("original_filename is not null").select("doc", F.col("node").alias("above"), "original_filename")
     file = rows.join(named, ["doc", "above"]).groupBy("doc", "node", "path").agg(F.max_by("original_filename", "i").alias("file"))
-    texts = file.join(nodes.select("doc", "node", "text"), ["doc", "node"])
-    ordered = F.sort_array(F.collect_list(F.struct("path", "node", "text")))
-    return texts.groupBy("doc", "file").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    placed = number_within(file, ["doc", "file"], ["path"], "place")
+    return _parts(placed.join(nodes.select("doc", "node", "text"), ["doc", "node"]), ["doc", "file"])
 
 
-def restore_commands(text: Column) -> Column:
-    """A stored segment without its id header, with pictures and bibliographies under their old commands."""
-    bare = F.regexp_replace(text, r"^\\uuid\{[^}]*\}%\n", "")
-    return F.regexp_replace(bare, r"\\(includegraphics|bibliography)\{UUID/[^{}]*/([^/{}]*)\}", r"\\$1{$2}")
+def restore_commands(text: Column, comments: bool = False) -> Column:
+    """A stored segment without its id header and checkpoint lines, with pictures and bibliographies under their old
+    commands; with ``comments``, between lines that tell where it begins and ends."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"^\\uuid\{[^}]*\}%\n", ""), r"(?m)^\\[A-Za-z]*UUIDcheckpoint.*\n?", "")
+    old = F.regexp_replace(bare, r"\\(includegraphics|bibliography)((?:\[[^\]]*\])*)\{UUID/[^{}]*/([^/{}]*)\}", r"\\$1$2{$3}")
+    return F.concat(F.lit("% begin\n"), old, F.lit("\n% end\n")) if comments else old
 
 
-def mask_tree(nodes: DataFrame, edges: DataFrame, visits: DataFrame, lang: str | None = None) -> DataFrame:
-    """(doc, node, text): the masked corpus of reachable nodes; with a language, other versions become stubs too."""
-    reached = nodes.join(visits.select("doc", "node").distinct(), ["doc", "node"], "left_semi")
+def mask_tree(nodes: DataFrame, edges: DataFrame, reached: DataFrame, lang: str | None = None, kept: tuple = ("preamble", "usepackage", "bibliography")) -> DataFrame:
+    """(doc, node, text): the masked corpus of reached(doc, node); with a language, other versions become stubs too, and
+    nodes that are reached but missing are stubs. Environs in ``kept`` are copied whatever their access."""
+    rows = reached.select("doc", "node").distinct().join(nodes.select("doc", "node", "environ", "lang", "access", "text"), ["doc", "node"], "left")
+    shown = F.col("access").isin("open", "public")
     if lang:
-        reached = reached.withColumn("access", F.when(F.col("lang") == lang, F.col("access")).otherwise("private"))
-    return mask(reached, edges)
+        shown = shown & (F.col("lang") == lang)
+    access = F.when(F.coalesce(shown | F.col("environ").isin(*kept), F.lit(False)), F.lit("open")).otherwise("private")
+    return mask(rows.withColumn("access", access), edges)
 
 
 def choose_preamble(candidates: DataFrame) -> DataFrame:
@@ -202,17 +323,22 @@ def references(pieces: DataFrame, files: DataFrame, macro: str) -> DataFrame:
     return rows.join(files, ["doc", "name"], "left").select("doc", "node", "name", "target")
 
 
-def init_nodes(nodes: DataFrame, private: tuple, authors: DataFrame) -> DataFrame:
-    """(doc, node, access, extension, username): default fields of new nodes, and the run's authors (a short list)."""
+def init_nodes(nodes: DataFrame, private: tuple, authors: list[str], lang: str) -> DataFrame:
+    """(doc, node, lang, access, extension, alias, authors): default fields of new nodes(doc, node, environ, path):
+    pictures have no language (zxx), bibliographies an undetermined one; a node's file name without its extension and
+    folder is an alias; the authors are those of the run."""
     access = F.when(F.col("environ").isin(*private), "private").otherwise("open")
-    return nodes.select("doc", "node", access.alias("access"), F.lit(".tex").alias("extension")).join(F.broadcast(authors))
+    kind = F.when(F.col("environ") == "graphic_file", "zxx").when(F.col("environ").isin("bibliography", "E_thebibliography"), "und").otherwise(lang)
+    ext = F.when(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1) != "", F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1)).otherwise(F.lit(".tex"))
+    alias = F.regexp_extract("path", r"([^/]*?)(?:\.[A-Za-z]+)?$", 1)
+    return nodes.select("doc", "node", kind.alias("lang"), access.alias("access"), F.coalesce(ext, F.lit(".tex")).alias("extension"), F.when(alias != "", alias).alias("alias"), F.lit(",".join(sorted(authors))).alias("authors"))
 
 
 def split_header(text: Column, macro: str = "section") -> Column:
     """struct(header, title, body): the hidden lines on top of a segment, its title, and what editors see."""
-    pattern = r"(?s)^((?:\\uuid\{[^}]*\}%?\n)?(?:\\" + macro + r"\{[^{}]*\}\n)?)(.*)$"
+    pattern = r"(?s)^((?:\\uuid\{[^}]*\}%?\n)?(?:\\" + macro + _INNER + r"\n)?)(.*)$"
     header = F.regexp_extract(text, pattern, 1)
-    return F.struct(header.alias("header"), F.regexp_extract(header, rf"\\{macro}\{{([^{{}}]*)\}}", 1).alias("title"), F.regexp_extract(text, pattern, 2).alias("body"))
+    return F.struct(header.alias("header"), F.regexp_extract(header, r"\\" + macro + ARGUMENT, 1).alias("title"), F.regexp_extract(text, pattern, 2).alias("body"))
 
 
 def join_header(parts: Column) -> Column:

@@ -5,26 +5,20 @@ Tables: nodes(doc, node, ...), edges(doc, parent, child, ordinal). Children go i
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.numbering import number_within
+from quire.scratch import written
 from quire.schema import NOT_IN_DOCUMENT
 
 #: A round joins the frontier's edges once; deeper trees are reported, not followed.
 MAX_DEPTH = 1000
-
-
-def _cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write and read back in the folder that spark.checkpoint.dir names, so that plans don't grow with the rounds."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{base.rstrip('/')}/quire/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Environments that rules name by themselves.
+OWN_RULES = ("E_document", "E_thebibliography")
+PATH = "array<struct<ordinal:bigint,child:bigint>>"
 
 
 def roots_of(nodes: DataFrame) -> DataFrame:
@@ -36,19 +30,35 @@ def min_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc, node, path): for every node that a root reaches, the least path to it, an array of (ordinal, child).
 
     A node's least path is the one by which a depth-first walk meets it first, because every beginning of a least path
-    is a least path itself. Each round relaxes the edges that leave nodes whose path has just shrunk; a cycle only
-    yields longer paths, which lose.
+    is a least path itself. Each round relaxes the edges that leave nodes whose path has just shrunk, and writes the
+    paths that it has found or shortened alone; a cycle only yields longer paths, which lose.
     """
-    step = "array<struct<ordinal:bigint,child:bigint>>"
     e = edges.select("doc", "parent", F.col("child").cast("long").alias("child"), F.col("ordinal").cast("long").alias("ordinal"))
-    best = _cut(roots.select("doc", F.col("root").cast("long").alias("node"), F.array().cast(step).alias("path"), F.lit(True).alias("new")), "paths")
+    front = written(roots.select("doc", F.col("root").cast("long").alias("node"), F.array().cast(PATH).alias("path")), "paths")
+    found = [front]
+    for _ in range(MAX_DEPTH):
+        best = reduce(DataFrame.unionByName, found).groupBy("doc", "node").agg(F.min("path").alias("path"))
+        up = front.select("doc", F.col("node").alias("parent"), F.col("path").alias("up"))
+        reach = up.join(e, ["doc", "parent"]).groupBy("doc", F.col("child").alias("node")).agg(F.min(F.concat("up", F.array(F.struct("ordinal", "child"))).cast(PATH)).alias("path"))
+        known = best.select("doc", "node", F.col("path").alias("old"))
+        front = written(reach.join(known, ["doc", "node"], "left").where("old is null or path < old").select("doc", "node", "path"), "paths")
+        if front.isEmpty():
+            return best
+        found.append(front)
+    raise RuntimeError(f"a branch is deeper than {MAX_DEPTH}")
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc, node): the nodes that a root reaches, roots included. A round writes the newly reached nodes alone."""
+    front = written(roots.select("doc", F.col("root").cast("long").alias("node")).distinct(), "reached")
+    found = [front]
     for _ in range(MAX_DEPTH):
-        front = best.where("new").select("doc", F.col("node").alias("parent"), F.col("path").alias("up"))
-        reach = front.join(e, ["doc", "parent"]).select("doc", F.col("child").alias("node"), F.concat("up", F.array(F.struct("ordinal", "child"))).cast(step).alias("path"), F.lit(True).alias("new"))
-        both = best.select("doc", "node", "path", F.lit(False).alias("new")).unionByName(reach)
-        best = _cut(both.groupBy("doc", "node").agg(F.min(F.struct("path", "new")).alias("b")).select("doc", "node", "b.path", "b.new"), "paths")
-        if best.where("new").isEmpty():
-            return best.drop("new")
+        seen = reduce(DataFrame.unionByName, found)
+        step = front.withColumnRenamed("node", "parent").join(edges.select("doc", "parent", "child"), ["doc", "parent"])
+        front = written(step.select("doc", F.col("child").cast("long").alias("node")).distinct().join(seen, ["doc", "node"], "left_anti"), "reached")
+        if front.isEmpty():
+            return seen
+        found.append(front)
     raise RuntimeError(f"a branch is deeper than {MAX_DEPTH}")
 
 
@@ -56,7 +66,7 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc, node, parent, path, branch, depth, is_first): the visits of a depth-first walk, one for the root and one
     for each edge that leaves a reached node; a node seen before is visited again but not entered again. Visits of a
     document go in the order of path."""
-    paths = _cut(min_paths(edges, roots), "walk")
+    paths = written(min_paths(edges, roots), "walk")
     up = paths.select("doc", F.col("node").alias("parent"), F.col("path").alias("up"))
     by_edge = edges.join(up, ["doc", "parent"]).select(
         "doc", F.col("child").alias("node"), "parent", F.concat("up", F.array(F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("child").cast("long").alias("child")))).alias("path")
@@ -77,22 +87,22 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def order_in_document(nodes: DataFrame, visits: DataFrame) -> DataFrame:
     """(doc, node, order_in_document): the place of the last visit; nodes out of reach get 2147483647."""
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("path", "node")) - 1
-    last = visits.withColumn("p", place).groupBy("doc", "node").agg(F.max("p").alias("p"))
+    places = number_within(visits.select("doc", "node", "path"), ["doc"], ["path", "node"], "p")
+    last = places.groupBy("doc", "node").agg((F.max("p") - 1).alias("p"))
     return nodes.select("doc", "node").join(last, ["doc", "node"], "left").select("doc", "node", F.coalesce("p", F.lit(NOT_IN_DOCUMENT)).alias("order_in_document"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(doc, ancestor, descendant): all pairs joined by one edge or more. Pairs found in a round are joined with the
     edges once; a cycle ends when it yields no new pair. The result grows with depth times nodes, as asked for."""
-    pairs = _cut(edges.select("doc", F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct(), "closure")
+    pairs = written(edges.select("doc", F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct(), "closure")
     new = pairs
     for _ in range(MAX_DEPTH):
         more = new.join(edges.select("doc", F.col("parent").alias("descendant"), "child"), ["doc", "descendant"]).select("doc", "ancestor", F.col("child").alias("descendant")).distinct()
-        new = _cut(more.join(pairs, ["doc", "ancestor", "descendant"], "left_anti"), "closure")
+        new = written(more.join(pairs, ["doc", "ancestor", "descendant"], "left_anti"), "closure")
         if new.isEmpty():
             return pairs
-        pairs = _cut(pairs.unionByName(new), "closure")
+        pairs = written(pairs.unionByName(new), "closure")
     raise RuntimeError(f"a branch is deeper than {MAX_DEPTH}")
 
 
@@ -130,30 +140,44 @@ def missing_children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(nodes.select("doc", F.col("node").alias("child")), ["doc", "child"], "left_anti").select("doc", "parent", "child")
 
 
-def disconnected(nodes: DataFrame, visits: DataFrame, replaced: DataFrame) -> DataFrame:
-    """(doc, node, replaced_by): nodes that no walk reaches; replaced(doc, node, by) tells what took their place."""
-    gone = nodes.select("doc", "node").join(visits.select("doc", "node").distinct(), ["doc", "node"], "left_anti")
+def disconnected(nodes: DataFrame, reached: DataFrame, replaced: DataFrame) -> DataFrame:
+    """(doc, node, replaced_by): nodes that aren't among reached(doc, node); replaced(doc, node, by) tells what took their place."""
+    gone = nodes.select("doc", "node").join(reached.select("doc", "node"), ["doc", "node"], "left_anti")
     by = replaced.groupBy("doc", "node").agg(F.min("by").alias("replaced_by"))
     return gone.join(by, ["doc", "node"], "left")
 
 
-def check_links(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """Edges whose child's environ isn't allowed under the parent's; rules(parent, child), where E_* stands for any
-    environment. Every edge is tested once, leaves too."""
-    kind = lambda c: F.when(c.startswith("E_"), "E_*").otherwise(c)
+def kind(environ: Column) -> Column:
+    """An environ as the rules name it: E_* for any environment without rules of its own."""
+    return F.when(environ.startswith("E_") & ~environ.isin(*OWN_RULES), "E_*").otherwise(environ)
+
+
+def check_links(nodes: DataFrame, edges: DataFrame, rules: DataFrame, extensions: DataFrame) -> DataFrame:
+    """(doc, parent, child, parent_environ, child_environ): edges that the rules don't allow. A child's kind must stand
+    under its parent's in rules(parent, child) and belong to its extension in extensions(ext, child); a child with
+    several extensions or one that isn't in the table has to be a graphic_file. nodes(doc, node, environ, exts), exts
+    joined by commas. Every edge is tested once, leaves too."""
     p = nodes.select("doc", F.col("node").alias("parent"), F.col("environ").alias("parent_environ"))
-    c = nodes.select("doc", F.col("node").alias("child"), F.col("environ").alias("child_environ"))
+    c = nodes.select("doc", F.col("node").alias("child"), F.col("environ").alias("child_environ"), "exts")
     linked = edges.join(p, ["doc", "parent"]).join(c, ["doc", "child"])
-    allowed = F.broadcast(rules.select(F.col("parent").alias("rp"), F.col("child").alias("rc")))
-    bad = linked.join(allowed, (kind(linked.parent_environ) == F.col("rp")) & (kind(linked.child_environ) == F.col("rc")), "left_anti")
-    return bad.select("doc", "parent", "child", "parent_environ", "child_environ")
+    allowed = F.broadcast(rules.select(F.col("parent").alias("rp"), F.col("child").alias("rc"), F.lit(True).alias("by_rule")))
+    fitting = F.broadcast(extensions.select(F.col("ext").alias("exts"), F.col("child").alias("xc"), F.lit(True).alias("by_ext")))
+    known = F.broadcast(extensions.select(F.col("ext").alias("exts"), F.lit(True).alias("known")).distinct())
+    child = kind(F.col("child_environ"))
+    judged = linked.join(known, "exts", "left").join(allowed, (kind(F.col("parent_environ")) == F.col("rp")) & (child == F.col("rc")), "left")
+    judged = judged.join(fitting.withColumnRenamed("exts", "fe"), (F.col("exts") == F.col("fe")) & (child == F.col("xc")), "left")
+    ok = F.when(F.coalesce("known", F.lit(False)), F.coalesce(F.col("by_rule") & F.col("by_ext"), F.lit(False))).otherwise(F.col("child_environ") == "graphic_file")
+    return judged.where(~ok).select("doc", "parent", "child", "parent_environ", "child_environ")
 
 
 def allowed_children(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc, node, allowed): the environs that may stand under each node, sorted and joined by commas."""
-    kind = F.when(F.col("environ").startswith("E_"), "E_*").otherwise(F.col("environ"))
-    per = rules.groupBy("parent").agg(F.concat_ws(",", F.sort_array(F.collect_set("child"))).alias("allowed"))
-    return nodes.select("doc", "node", kind.alias("parent")).join(F.broadcast(per), "parent", "left").select("doc", "node", F.coalesce("allowed", F.lit("")).alias("allowed"))
+    """(doc, node, allowed): the environs that may stand under each node, sorted and joined by commas; E_* stands for
+    the environments that the document has."""
+    has = nodes.where(kind(F.col("environ")) == "E_*").select("doc", F.lit("E_*").alias("child"), F.col("environ").alias("own")).distinct()
+    docs = nodes.select("doc", kind(F.col("environ")).alias("parent")).distinct()
+    per = docs.join(F.broadcast(rules), "parent").join(has, ["doc", "child"], "left").where("child <> 'E_*' or own is not null")
+    per = per.groupBy("doc", "parent").agg(F.concat_ws(",", F.sort_array(F.collect_set(F.coalesce("own", "child")))).alias("allowed"))
+    return nodes.select("doc", "node", kind(F.col("environ")).alias("parent")).join(per, ["doc", "parent"], "left").select("doc", "node", F.coalesce("allowed", F.lit("")).alias("allowed"))
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -168,7 +192,7 @@ def subtree_hash(nodes: DataFrame, edges: DataFrame, visits: DataFrame, content:
     """(doc, node, hash): md5 over a node's own text hash and its children's hashes in order, bottom-up by depth over
     the tree of first visits."""
     tree = visits.where("is_first").select("doc", "node", "parent", "depth", "path").join(nodes.select("doc", "node", F.md5(content).alias("own")), ["doc", "node"])
-    tree = _cut(tree.select("doc", "node", "parent", "depth", "own", F.when(F.size("path") > 0, F.expr("path[size(path) - 1].ordinal")).alias("ordinal")), "merkle")
+    tree = written(tree.select("doc", "node", "parent", "depth", "own", F.when(F.size("path") > 0, F.expr("path[size(path) - 1].ordinal")).alias("ordinal")), "merkle")
     deepest = tree.agg(F.max("depth")).first()[0] or 0
     below, out = None, None
     for d in range(deepest, -1, -1):
@@ -178,7 +202,7 @@ def subtree_hash(nodes: DataFrame, edges: DataFrame, visits: DataFrame, content:
         else:
             kids = below.groupBy("doc", F.col("parent").alias("node")).agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "node", "hash"))), lambda x: x["hash"])).alias("kids"))
             made = level.join(kids, ["doc", "node"], "left").withColumn("hash", F.md5(F.concat("own", F.coalesce("kids", F.lit(""))))).drop("kids")
-        below = _cut(made, "merkle")
+        below = written(made, "merkle")
         part = below.select("doc", "node", "hash")
         out = part if out is None else out.unionByName(part)
     return out

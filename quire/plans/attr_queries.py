@@ -76,6 +76,13 @@ def attr_duplicate_labels(spark: SparkSession, d: str) -> DataFrame:
     return attrs.duplicate_labels(n)
 
 
+@query(f"""WITH {cte('fx_node')} SELECT doc, node, '{{' || lpad(CAST(node % 10 AS VARCHAR), 3, '0') || '}}' AS value FROM fx_node WHERE node <> node % 10""")
+def attr_wrong_uuid(spark: SparkSession, d: str) -> DataFrame:
+    """ATT-9: nodes whose own id command names another node."""
+    n = view(spark, d, "fx_node").select("doc", "node", F.lit("M_uuid").alias("key"), F.concat(F.lit("{"), F.lpad((F.col("node") % 10).cast("string"), 3, "0"), F.lit("}")).alias("value"))
+    return attrs.wrong_uuid(n)
+
+
 @query(f"""WITH {cte('fx_user')} SELECT user_id, trim(username) AS author FROM fx_user""")
 def attr_clean_authors(spark: SparkSession, d: str) -> DataFrame:
     """ATT-10: author names in braces."""
@@ -85,11 +92,11 @@ def attr_clean_authors(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {cte('fx_edit')}, l AS (SELECT doc, node, 'latex:' || lang AS prog, event_type, row_number() OVER (PARTITION BY doc, node ORDER BY event_id DESC) AS k FROM fx_edit)
 SELECT doc, node, 'latex' AS prog, substr(prog, 7) AS lang, CAST(NULL AS VARCHAR) AS access FROM l WHERE k = 1 AND event_type = 'error'""")
 def attr_status(spark: SparkSession, d: str) -> DataFrame:
-    """ATT-11: compile status maps after the latest result of each node, and the failures in them."""
+    """ATT-11: compile status maps after the latest of any number of results of each node, and the failures in them."""
     e = view(spark, d, "fx_edit")
-    last = index.first_by(e, ["doc", "node"], [F.desc("event_id")]).select("doc", "node", F.concat(F.lit("latex:"), "lang").alias("prog"), (F.col("event_type") != "error").alias("ok"))
-    before = view(spark, d, "fx_node").select("doc", "node", F.create_map(F.concat(F.lit("latex:"), "lang"), F.lit(False)).alias("status")).join(last.select("doc", "node"), ["doc", "node"], "left_semi")
-    return attrs.failed_status(attrs.merge_status(before, last))
+    results = e.select("doc", "node", F.concat(F.lit("latex:"), "lang").alias("prog"), (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("seq"))
+    before = view(spark, d, "fx_node").select("doc", "node", F.create_map(F.concat(F.lit("latex:"), "lang"), F.lit(False)).alias("status")).join(e.select("doc", "node"), ["doc", "node"], "left_semi")
+    return attrs.failed_status(attrs.merge_status(before, results))
 
 
 @query(f"""WITH {cte('fx_edit')}, n AS (SELECT n.doc, n.node, max(e.ts) AS modified, max(e.ts) FILTER (WHERE event_type <> 'error') AS compiled FROM fx_node n LEFT JOIN fx_edit e ON e.node = n.node GROUP BY n.doc, n.node)
@@ -131,12 +138,26 @@ def index_unpaired(spark: SparkSession, d: str) -> DataFrame:
     return index.unpaired(index.entries(view(spark, d, "fx_attr")))
 
 
-@query(f"""WITH {_ENTRY}, p AS (SELECT DISTINCT e.doc, e.node, e.lang, e.sortkey, e.key, e.see, e.value, n.r FROM e JOIN fx_node n ON n.node = e.node WHERE n.access <> 'private')
-SELECT doc, lang, sortkey, key, string_agg(CAST(node AS VARCHAR) || CASE WHEN see <> '' THEN ' see ' || see ELSE '' END || value, ';' ORDER BY r, node, see, value) AS places FROM p GROUP BY doc, lang, sortkey, key""")
+def _readers(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that three readers see: user 1 (an editor) all, user 2 what isn't private, user 3 what is open."""
+    n = view(spark, d, "fx_node").select("doc", "node", F.col("r").alias("order_in_document"), "access")
+    reader = lambda u, editor, rows: rows.select(F.lit(u).cast("long").alias("user_id"), F.lit(editor).alias("is_editor"), "doc", "node", "order_in_document")
+    return reader(1, True, n).unionByName(reader(2, False, n.where("access <> 'private'"))).unionByName(reader(3, False, n.where("access = 'open'")))
+
+
+_READERS = """r AS (SELECT CAST(u AS BIGINT) AS user_id, u = 1 AS is_editor, doc, node, n.r FROM fx_node n JOIN (VALUES (1), (2), (3)) v(u) ON u = 1 OR (u = 2 AND access <> 'private') OR (u = 3 AND access = 'open'))"""
+
+
+@query(f"""WITH RECURSIVE {_ENTRY.replace(cte('fx_attr'), cte('fx_attr', 'fx_edge'))}, {_READERS}, c(doc, ancestor, descendant) AS (SELECT doc, parent, child FROM fx_edge UNION SELECT c.doc, c.ancestor, x.child FROM c JOIN fx_edge x ON x.doc = c.doc AND x.parent = c.descendant),
+b AS (SELECT DISTINCT a.doc, c.descendant AS node, a.lang, a.key AS sortkey, a.key, '' AS see, chr(8212) AS value FROM e a JOIN e b ON b.node = a.node AND b.lang = a.lang AND b.key = a.key AND b.value = ')' JOIN c ON c.doc = a.doc AND c.ancestor = a.node WHERE a.value = '('),
+x AS (SELECT doc, node, lang, sortkey, key, see, value FROM e UNION ALL SELECT * FROM b),
+m AS (SELECT DISTINCT r.user_id, x.doc, x.lang, x.sortkey, x.key, r.r, x.node, CASE WHEN see <> '' THEN 'see ' || see WHEN value = '(' THEN x.node || ' and following' WHEN value = ')' THEN 'up to ' || x.node WHEN value <> '' THEN value ELSE CAST(x.node AS VARCHAR) END AS marker FROM x JOIN r ON r.doc = x.doc AND r.node = x.node WHERE value <> ')' OR is_editor)
+SELECT user_id, doc, lang, sortkey, key, row_number() OVER (PARTITION BY user_id, doc, lang, sortkey, key ORDER BY r, node, marker) AS place, node, marker FROM m""")
 def index_book(spark: SparkSession, d: str) -> DataFrame:
-    """IDX-3, SRCH-3: the index of visible nodes, places in document order."""
-    order = view(spark, d, "fx_node").where("access <> 'private'").select("doc", "node", F.col("r").alias("order_in_document"))
-    return index.book_index(index.entries(view(spark, d, "fx_attr")), order)
+    """IDX-2, IDX-3: the index that each of three readers sees, ranges included, places in document order."""
+    a = view(spark, d, "fx_attr")
+    full = index.range_attrs(a, tree.closure(view(spark, d, "fx_edge")))
+    return index.book_index(index.entries(full).unionByName(index.range_entries(full)), _readers(spark, d))
 
 
 @query(f"""WITH {_ENTRY}, h AS (SELECT DISTINCT doc FROM e WHERE lang = 'eng') SELECT DISTINCT e.doc, CASE WHEN e.lang = '' AND h.doc IS NOT NULL THEN 'eng' ELSE e.lang END AS lang, sortkey, key, CASE WHEN sortkey <> key THEN 'sorted as ' || sortkey END AS note
@@ -160,43 +181,74 @@ def index_bibliography(spark: SparkSession, d: str) -> DataFrame:
     return index.node_bibliography(attrs.split_citations(view(spark, d, "fx_attr")), items)
 
 
-@query("""SELECT page_id AS id, CAST(pos - 1 AS BIGINT) AS pos, href, regexp_extract(href, '#(.*)$', 1) AS anchor FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(range(1, 1 + len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) AS pos FROM pages) q""")
+@query("""SELECT page_id AS id, 'P' || (page_id % 5) AS target, CASE WHEN page_id % 2 = 0 THEN 'a' || page_id END AS anchor FROM pages WHERE NOT regexp_matches(html, '\\s(name|id)="') UNION ALL
+SELECT page_id, 'P' || (page_id % 5), CASE WHEN page_id % 2 = 0 THEN 'a' || page_id ELSE regexp_extract_all(html, '<[A-Za-z][^>]*?\\s(?:name|id)="([^"]*)"', 1)[-1] END FROM pages WHERE regexp_matches(html, '\\s(name|id)="')""")
 def index_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """IDX-8: links of pages in order."""
-    return index.anchor_map(view(spark, d, "pages"), "page_id", "html").withColumn("pos", F.col("pos").cast("long"))
+    """IDX-8: where in the pages nodes stand, by the anchors before the links to them."""
+    n = F.col("page_id").cast("string")
+    link = F.concat(F.lit('<a href="@HERE@P'), (F.col("page_id") % 5).cast("string"), F.lit('">x</a>'))
+    page = F.concat("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<a name="a'), n, F.lit('">'))).otherwise(""), link, F.lit('<a name="z"></a>'), link)
+    return index.anchor_map(view(spark, d, "pages").select("page_id", page.alias("html")), "page_id", "html", "@HERE@")
 
 
 _LINES = """l AS (SELECT doc, node, lang, access, CAST(pos - 1 AS BIGINT) AS line, line AS text FROM (SELECT doc, node, lang, access, unnest(string_split(text, chr(10))) AS line, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS pos FROM fx_node) q WHERE trim(line) <> '')"""
 
 
-@query(f"WITH {cte('fx_node')}, {_LINES} SELECT doc, node, lang, line, text FROM l")
+@query(f"""WITH {cte('fx_node')}, {_LINES}, g AS (SELECT doc, node, line, text, CASE WHEN node % 4 = 0 THEN 'mul' ELSE lang END AS lang FROM l)
+SELECT doc, node, lang, line, text FROM g WHERE lang <> 'mul' AND NOT (node % 6 = 1 AND lang = 'en') UNION ALL SELECT doc, node, v, line, text FROM g, (VALUES ('eng'), ('ita')) x(v) WHERE lang = 'mul'
+UNION ALL SELECT doc, node, 'en', 0, 'new ' || node FROM fx_node WHERE node % 6 = 1 AND lang = 'en' AND node % 4 <> 0""")
 def catalog_build(spark: SparkSession, d: str) -> DataFrame:
-    """CAT-1: lines of all texts."""
-    return index.build_catalog(view(spark, d, "fx_node"), ["doc", "node", "lang"], "text").withColumn("line", F.col("line").cast("long"))
+    """CAT-1: lines of all texts; mixed ones stand under each language of their document, and lines made anew replace a
+    node's old ones in that language."""
+    n = view(spark, d, "fx_node").withColumn("lang", F.when(F.col("node") % 4 == 0, "mul").otherwise(F.col("lang")))
+    both = n.select("doc", F.explode(F.array(F.lit("eng"), F.lit("ita"), F.lit("mul"))).alias("lang")).distinct()
+    k = ["doc", "node", "lang"]
+    catalog = index.build_catalog(index.languages_of_catalog(n.select(*k, "text"), both), k, "text").withColumn("line", F.col("line").cast("long"))
+    new = n.where("node % 6 = 1 and lang = 'en'").select(*k, F.lit(0).cast("long").alias("line"), F.format_string("new %d", "node").alias("text"))
+    return index.replace_lines(catalog, new)
 
 
-_TERMS = "t AS (SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1)) AS term FROM benchmark WHERE item_id % 10 = 0)"
+_TERMS = "t AS (SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1)) AS term FROM benchmark)"
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    """Two-word phrases of every tenth benchmark item: the stated query set of the search queries."""
-    return view(spark, d, "benchmark").where("item_id % 10 = 0").select(F.lower(F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1)).alias("term")).distinct()
+    """A two-word phrase of every benchmark item: the stated query set of the search queries."""
+    return view(spark, d, "benchmark").select(F.lower(F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1)).alias("term")).distinct()
 
 
-@query(f"WITH {cte('fx_node')}, {_LINES}, {_TERMS} SELECT doc, node, lang, line, text, term FROM l JOIN t ON contains(lower(text), term)")
+@query(f"WITH {cte('fx_node')}, {_LINES}, {_TERMS} SELECT doc, node, lang, line, text, term FROM l JOIN t ON contains(lower(text), term) WHERE term <> ''")
 def catalog_search(spark: SparkSession, d: str) -> DataFrame:
     """CAT-2: catalog lines that contain a phrase."""
-    return index.search_catalog(catalog_build(spark, d), _terms(spark, d))
+    catalog = index.build_catalog(view(spark, d, "fx_node"), ["doc", "node", "lang"], "text").withColumn("line", F.col("line").cast("long"))
+    return index.search_catalog(catalog, _terms(spark, d))
+
+
+_ASKED = f"{_TERMS}, a AS (SELECT CAST(u AS BIGINT) AS user_id, term FROM t, (VALUES (1), (2)) v(u) WHERE term <> '')"
+
+
+def _asked(spark: SparkSession, d: str, terms: DataFrame) -> DataFrame:
+    """Every token asked for by two readers."""
+    return terms.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("user_id"), F.col("term").alias("token"))
 
 
-@query(f"""WITH {cte('fx_attr')}, {_LINES}, {_TERMS}, v AS (SELECT DISTINCT term, l.doc, l.node, n.r FROM l JOIN t ON contains(lower(l.text), term) JOIN fx_node n ON n.node = l.node WHERE l.access IN ('open', 'public'))
-SELECT term, doc, node, r AS order_in_document FROM v""")
+def _rights(spark: SparkSession, d: str):
+    """The rights of users on the nodes of the corpus."""
+    tables = [view(spark, d, x) for x in ("fx_user", "fx_member", "fx_node", "fx_grant", "fx_author")]
+    return lambda requests: access.allowed(requests, *tables)
+
+
+_MAY = """(coalesce(u.is_active, FALSE) AND (coalesce(u.is_superuser, FALSE) OR n.access IN ('open', 'public')
+ OR EXISTS (SELECT 1 FROM fx_grant g WHERE g.user_id = u.user_id AND g.perm = 'view_view' AND (g.scope = 'global' OR (g.scope = 'doc' AND g.doc = n.doc) OR (g.scope = 'node' AND g.doc = n.doc AND g.node = n.node)))
+ OR EXISTS (SELECT 1 FROM fx_author w WHERE w.user_id = u.user_id AND w.doc = n.doc AND w.node = n.node)
+ OR EXISTS (SELECT 1 FROM fx_member m WHERE m.user_id = u.user_id AND m.doc = n.doc AND m.grp = 'editors')))"""
+
+
+@query(f"""WITH {_ENTRY.replace(cte('fx_attr'), cte('fx_attr', 'fx_author', 'fx_grant', 'fx_member'))}, {_LINES}, {_ASKED}, h AS (SELECT a.user_id, a.term AS token, l.doc, l.node, l.lang, l.line, l.text FROM l JOIN a ON contains(lower(l.text), a.term) JOIN fx_node n ON n.node = l.node JOIN fx_user u ON u.user_id = a.user_id WHERE {_MAY})
+SELECT * FROM h UNION ALL SELECT DISTINCT h.user_id, h.token, h.doc, h.node, h.lang, CAST(-1 AS BIGINT), 'also indexed by key: ' || e.key FROM h JOIN e ON e.node = h.node AND contains(e.key, h.token) AND (e.lang = '' OR e.lang = h.lang)""")
 def search_text(spark: SparkSession, d: str) -> DataFrame:
-    """SRCH-4, the flagship: text search over visible nodes, hits in document order (numbers from a tree walk give the
-    same order as r here)."""
-    n = view(spark, d, "fx_node")
-    catalog = index.build_catalog(n.where("access in ('open', 'public')"), ["doc", "node", "r"], "text")
-    return index.search_catalog(catalog, _terms(spark, d)).select("term", "doc", "node", F.col("r").alias("order_in_document")).distinct()
+    """SRCH-4, the flagship: text search of two readers in the nodes that they may view, and the index keys of hits."""
+    catalog = index.build_catalog(view(spark, d, "fx_node"), ["doc", "node", "lang"], "text")
+    return index.search_text(catalog, index.entries(view(spark, d, "fx_attr")), _asked(spark, d, _terms(spark, d)), _rights(spark, d))
 
 
 @query(f"""WITH {cte('fx_attr')}, q AS (SELECT '{{doc:' || (item_id * 7 + 1) || '}}' AS token FROM benchmark) SELECT q.token, a.doc, a.node, a.key, a.value FROM fx_attr a JOIN q ON contains(a.value, q.token) WHERE a.key IN ('M_label', 'M_ref')""")
@@ -206,59 +258,76 @@ def search_attributes(spark: SparkSession, d: str) -> DataFrame:
     return index.search_attrs(view(spark, d, "fx_attr"), tokens, ("M_label", "M_ref"))
 
 
-@query(f"""WITH {cte('fx_node')}, q AS (SELECT lpad(CAST(item_id % 10 AS VARCHAR), 3, '0') AS token, CAST(item_id % 10 AS BIGINT) AS node FROM benchmark GROUP BY 1, 2) SELECT q.token, n.doc, n.node FROM fx_node n JOIN q ON q.node = n.node""")
+@query(f"""WITH {cte('fx_node')}, q AS (SELECT lpad(CAST(item_id AS VARCHAR), 3, '0') AS token, item_id FROM benchmark) SELECT q.token, n.doc, n.node FROM fx_node n JOIN q ON n.node = CASE WHEN item_id < 10 THEN item_id WHEN item_id < 100 THEN (item_id // 10) * 30 + item_id % 10 ELSE (item_id // 100) * 900 + (item_id // 10 % 10) * 30 + item_id % 10 END WHERE length(q.token) BETWEEN 3 AND 8""")
 def search_by_id(spark: SparkSession, d: str) -> DataFrame:
-    """SRCH-1: tokens that are ids."""
-    tokens = view(spark, d, "benchmark").select(F.lpad((F.col("item_id") % 10).cast("string"), 3, "0").alias("token")).distinct()
+    """SRCH-1: tokens that are ids: their digits are those of base 30."""
+    tokens = view(spark, d, "benchmark").select(F.when(F.length(F.col("item_id").cast("string")) < 3, F.lpad(F.col("item_id").cast("string"), 3, "0")).otherwise(F.col("item_id").cast("string")).alias("token"))
     return index.search_ids(view(spark, d, "fx_node"), tokens)
 
 
 @query()
 def search_federated(spark: SparkSession, d: str) -> DataFrame:
-    """SRCH-5: all kinds of hits in one relation (tested against brute force)."""
-    terms = view(spark, d, "benchmark").where("item_id % 10 = 0").select(F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1).alias("token")).distinct()
-    labels = view(spark, d, "benchmark").where("item_id % 10 = 1").select(F.format_string("doc:%d}", F.col("item_id")).alias("token"))
+    """SRCH-5: all kinds of hits of two readers in one relation (tested against brute force)."""
+    terms = view(spark, d, "benchmark").select(F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1).alias("term")).distinct()
+    labels = view(spark, d, "benchmark").select(F.format_string("doc:%d}", "item_id").alias("term"))
+    ids = view(spark, d, "benchmark").select(F.lpad((F.col("item_id") % 1000).cast("string"), 3, "0").alias("term")).distinct()
     n = view(spark, d, "fx_node")
-    return index.search(n, view(spark, d, "fx_attr"), index.build_catalog(n, ["doc", "node"], "text"), terms.unionByName(labels))
+    users = view(spark, d, "fx_user").select("user_id", (F.col("user_id") == 1).alias("logged_in"))
+    return index.search(n, view(spark, d, "fx_attr"), index.build_catalog(n, ["doc", "node"], "text"), _asked(spark, d, terms.unionByName(labels).unionByName(ids)), users, _rights(spark, d))
 
 
-@query(f"""WITH {cte('fx_attr')} SELECT DISTINCT r.doc, r.node, r.value, (SELECT min(l.node) FROM fx_attr l WHERE l.doc = r.doc AND l.key = 'M_label' AND l.value = r.value AND l.node <> r.node) AS target FROM fx_attr r WHERE r.key = 'M_ref'""")
+_REFS = f"""x AS (SELECT doc, node, CASE WHEN node % 4 = 0 THEN 'S_E_equation_M_label' ELSE key END AS key, value FROM fx_attr WHERE key = 'M_label' UNION ALL SELECT doc, node, CASE WHEN node % 3 = 0 THEN 'M_eqref' ELSE key END, value FROM fx_attr WHERE key = 'M_ref' UNION ALL SELECT doc, node, 'M_pageref', '{{UUID: 00' || node % 10 || '}}' FROM fx_node),
+k AS (SELECT doc, node, value AS label, '1.' || node AS number FROM fx_attr WHERE key = 'M_label' AND node % 8 <> 4 UNION ALL SELECT doc, node + 1, value, '9.9' FROM fx_attr WHERE key = 'M_label' AND node % 8 = 4 AND node % 5 <> 0)"""
+
+
+@query(f"""WITH {cte('fx_attr')}, {_REFS}, f AS (SELECT DISTINCT r.doc, r.node, r.key, r.value, l.node AS aim, l.key AS lk FROM (SELECT * FROM x WHERE key NOT LIKE '%label') r LEFT JOIN LATERAL (SELECT l.node, l.key FROM x l WHERE l.doc = r.doc AND l.key LIKE '%label' AND l.value = r.value AND l.node <> r.node ORDER BY l.node LIMIT 1) l ON TRUE),
+g AS (SELECT f.*, coalesce((SELECT min(number) FROM k WHERE k.doc = f.doc AND k.node = f.aim AND k.label = f.value), (SELECT min(number) FROM k WHERE k.doc = f.doc AND k.label = f.value)) AS num FROM f)
+SELECT doc, node, key, value, CASE WHEN value LIKE '{{UUID:%' THEN substr(value, 8, 3) ELSE CAST(aim AS VARCHAR) END AS target,
+ CASE WHEN value LIKE '{{UUID:%' THEN substr(value, 8, 3) WHEN lk = 'M_label' THEN CAST(aim AS VARCHAR) ELSE coalesce(CASE WHEN key = 'M_eqref' THEN '(' || num || ')' ELSE num END, CAST(aim AS VARCHAR)) END AS shown FROM g""")
 def text_resolve_refs(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-14: references resolved to labels of other nodes of the document."""
-    return index.resolve_refs(view(spark, d, "fx_attr"))
+    """TXT-14: references resolved to labels of other nodes of the document, and what is shown for them."""
+    a = view(spark, d, "fx_attr")
+    labels = a.where("key = 'M_label'").withColumn("key", F.when(F.col("node") % 4 == 0, "S_E_equation_M_label").otherwise(F.col("key")))
+    refs = a.where("key = 'M_ref'").withColumn("key", F.when(F.col("node") % 3 == 0, "M_eqref").otherwise(F.col("key")))
+    short = view(spark, d, "fx_node").select("doc", "node", F.lit("M_pageref").alias("key"), F.concat(F.lit("{UUID: 00"), (F.col("node") % 10).cast("string"), F.lit("}")).alias("value"))
+    printed = a.where("key = 'M_label' and node % 8 <> 4").select("doc", "node", F.col("value").alias("label"), F.concat(F.lit("1."), F.col("node").cast("string")).alias("number"))
+    far = a.where("key = 'M_label' and node % 8 = 4 and node % 5 <> 0").select("doc", (F.col("node") + 1).alias("node"), F.col("value").alias("label"), F.lit("9.9").alias("number"))
+    return index.resolve_refs(labels.unionByName(refs).unionByName(short), printed.unionByName(far))
 
 
 _OK = """(coalesce(u.is_active, FALSE) AND (coalesce(u.is_superuser, FALSE)
  OR (n.access = 'open' AND q.perm IN ('view_view', 'view_blob', 'download')) OR (n.access = 'public' AND q.perm = 'view_view')
- OR EXISTS (SELECT 1 FROM fx_grant g WHERE g.user_id = q.user_id AND g.perm = q.perm AND (g.scope = 'global' OR (g.scope = 'doc' AND g.doc = n.doc) OR (g.scope = 'node' AND g.node = n.node)))
- OR EXISTS (SELECT 1 FROM fx_author a WHERE a.user_id = q.user_id AND a.node = n.node)
- OR (u.grp = 'editors' AND u.doc = n.doc AND q.perm IN ('view_view', 'view_log'))))"""
-_REQ = "q AS (SELECT n.node, u.user_id, p.perm FROM fx_node n JOIN fx_user u ON u.user_id % 100 = n.node % 100 CROSS JOIN (VALUES ('view_view'), ('view_blob'), ('download')) p(perm))"
+ OR EXISTS (SELECT 1 FROM fx_grant g WHERE g.user_id = q.user_id AND g.perm = q.perm AND (g.scope = 'global' OR (g.scope = 'doc' AND g.doc = n.doc) OR (g.scope = 'node' AND g.doc = n.doc AND g.node = n.node)))
+ OR EXISTS (SELECT 1 FROM fx_local_author a WHERE a.user_id = q.user_id AND a.doc = n.doc AND a.node = n.node)
+ OR (q.perm IN ('view_view', 'view_log') AND EXISTS (SELECT 1 FROM fx_member m WHERE m.user_id = q.user_id AND m.doc = n.doc AND m.grp = 'editors'))))"""
+_REQ = "q AS (SELECT n.doc, n.node, u.user_id, p.perm FROM fx_local n JOIN fx_user u ON u.user_id % 100 = (n.node * 7) % 100 CROSS JOIN (VALUES ('view_view'), ('view_blob'), ('download')) p(perm))"
+_ALLOWED = f"WITH {cte('fx_grant', 'fx_local_author', 'fx_member')}, {_REQ}, ok AS (SELECT q.user_id, q.perm, q.doc, q.node, n.access, {_OK} AS ok FROM q JOIN fx_user u ON u.user_id = q.user_id JOIN fx_local n ON n.doc = q.doc AND n.node = q.node)"
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    """Requests of three permissions by the users whose number ends like the node's."""
-    n, u = view(spark, d, "fx_node"), view(spark, d, "fx_user")
-    pairs = n.select("node", (F.col("node") % 100).alias("k")).join(u.select("user_id", (F.col("user_id") % 100).alias("k")), "k")
-    return pairs.select("user_id", F.explode(F.array(*map(F.lit, ("view_view", "view_blob", "download")))).alias("perm"), "node")
+    """Requests of three permissions by some users for each node; node numbers are a document's own, so that each
+    number stands in many documents."""
+    n, u = view(spark, d, "fx_local"), view(spark, d, "fx_user")
+    pairs = n.select("doc", "node", ((F.col("node") * 7) % 100).alias("k")).join(u.select("user_id", (F.col("user_id") % 100).alias("k")), "k")
+    return pairs.select("user_id", F.explode(F.array(*map(F.lit, ("view_view", "view_blob", "download")))).alias("perm"), "doc", "node")
 
 
 def _allowed(spark: SparkSession, d: str) -> DataFrame:
-    return access.allowed(_requests(spark, d), *(view(spark, d, x) for x in ("fx_user", "fx_node", "fx_grant", "fx_author")))
+    return access.allowed(_requests(spark, d), *(view(spark, d, x) for x in ("fx_user", "fx_member", "fx_local", "fx_grant", "fx_local_author")))
 
 
-@query(f"WITH {cte('fx_grant', 'fx_author')}, {_REQ} SELECT q.user_id, q.perm, q.node, {_OK} AS ok FROM q JOIN fx_user u ON u.user_id = q.user_id JOIN fx_node n ON n.node = q.node")
+@query(f"{_ALLOWED} SELECT user_id, perm, doc, node, ok FROM ok")
 def access_allowed(spark: SparkSession, d: str) -> DataFrame:
     """PERM-1: effective permissions for requests."""
     return _allowed(spark, d)
 
 
-@query(f"""WITH {cte('fx_grant', 'fx_author')}, {_REQ}, p AS (SELECT q.user_id, q.perm, q.node, n.access, {_OK} AS ok FROM q JOIN fx_user u ON u.user_id = q.user_id JOIN fx_node n ON n.node = q.node)
-SELECT user_id, perm, node, CASE WHEN perm = 'download' THEN 20 ELSE 10 END AS price FROM p WHERE NOT ok AND access <> 'private'""")
+@query(f"{_ALLOWED} SELECT user_id, perm, doc, node, CASE WHEN perm = 'download' THEN 20 ELSE 10 END AS price FROM ok WHERE NOT ok AND access <> 'private' AND user_id % 2 = 0")
 def access_price(spark: SparkSession, d: str) -> DataFrame:
-    """PRICE-1: prices of what isn't owned, by a rule given as a Column."""
+    """PRICE-1, UDF-2: prices of what isn't owned, by a rule given as a Column; every other user has a wallet."""
     rule = F.when(F.col("access") != "private", F.when(F.col("perm") == "download", 20).otherwise(10))
-    return access.price(_allowed(spark, d).join(view(spark, d, "fx_node").select("node", "access"), "node"), rule)
+    asked = _allowed(spark, d).join(view(spark, d, "fx_local").select("doc", "node", "access"), ["doc", "node"])
+    return access.price(asked.withColumn("has_wallet", F.col("user_id") % 2 == 0), rule)
 
 
 @query(f"WITH {cte('fx_node')} SELECT doc, node FROM fx_node WHERE access IN ('open', 'public') AND doc <> 'src3'")
@@ -268,53 +337,68 @@ def access_anonymous(spark: SparkSession, d: str) -> DataFrame:
     return access.anonymous_view(n, n.select("doc").distinct().withColumn("anonymous_can_view", F.col("doc") != "src3"))
 
 
-@query(f"""WITH {cte('fx_user')} SELECT user_id, doc, perm FROM fx_user JOIN (VALUES ('editors', 'view_view'), ('editors', 'view_log'), ('authors', 'view_view'), ('authors', 'view_blob'), ('authors', 'change_blob'), ('authors', 'download'), ('authors', 'add_blob')) g(grp, perm) ON g.grp = fx_user.grp""")
+@query(f"""WITH {cte('fx_member')} SELECT DISTINCT user_id, doc, perm FROM fx_member JOIN (VALUES ('editors', 'view_view'), ('editors', 'view_log'), ('authors', 'view_view'), ('authors', 'view_blob'), ('authors', 'change_blob'), ('authors', 'download'), ('authors', 'add_blob')) g(grp, perm) ON g.grp = fx_member.grp""")
 def access_groups(spark: SparkSession, d: str) -> DataFrame:
     """PERM-3: permissions of groups."""
-    return access.group_permissions(view(spark, d, "fx_user"))
+    return access.group_permissions(view(spark, d, "fx_member"))
+
+
+_ADDERS = "g AS (SELECT user_id, 'add_blob' AS perm, scope, doc, node FROM fx_grant WHERE perm = 'download' AND scope <> 'global' AND doc IS NOT NULL)"
 
 
-@query(f"WITH {cte('fx_author')} SELECT DISTINCT a.user_id, a.doc, a.node FROM fx_author a JOIN fx_user u ON u.user_id = a.user_id WHERE u.is_active AND a.doc <> 'src3'")
+@query(f"""WITH {cte('fx_grant', 'fx_local_author', 'fx_user')}, {_ADDERS}, q AS (SELECT n.doc, n.node, u.user_id FROM fx_local n JOIN fx_user u ON u.user_id % 50 = n.node % 50)
+SELECT q.user_id, q.doc, q.node, u.is_active AND (u.is_superuser OR EXISTS (SELECT 1 FROM g WHERE g.user_id = q.user_id AND g.scope = 'doc' AND g.doc = q.doc)
+ OR (q.doc <> 'src3' AND EXISTS (SELECT 1 FROM fx_local_author a WHERE a.user_id = q.user_id AND a.doc = q.doc AND a.node = q.node))) AS ok FROM q JOIN fx_user u ON u.user_id = q.user_id""")
 def access_can_add(spark: SparkSession, d: str) -> DataFrame:
     """PERM-4: who may add below a node."""
-    docs = view(spark, d, "fx_node").select("doc").distinct().withColumn("author_can_add", F.col("doc") != "src3")
-    return access.can_add(view(spark, d, "fx_user"), view(spark, d, "fx_node"), view(spark, d, "fx_author"), docs)
+    n, u = view(spark, d, "fx_local"), view(spark, d, "fx_user")
+    docs = n.select("doc").distinct().withColumn("author_can_add", F.col("doc") != "src3")
+    grants = view(spark, d, "fx_grant").where("perm = 'download' AND scope <> 'global'").withColumn("perm", F.lit("add_blob"))
+    asked = n.select("doc", "node", (F.col("node") % 50).alias("k")).join(u.select("user_id", (F.col("user_id") % 50).alias("k")), "k").drop("k")
+    return access.can_add(asked, u, view(spark, d, "fx_member"), n, grants, view(spark, d, "fx_local_author"), docs)
 
 
-@query(f"WITH {cte('fx_node')} SELECT doc, node, CASE WHEN access = 'open' THEN text ELSE '[access denied]' END AS text FROM fx_node WHERE access <> 'private'")
+@query(f"""{_ALLOWED}, s AS (SELECT user_id, doc, node, bool_or(perm = 'view_view' AND ok) AS v, bool_or(perm = 'view_blob' AND ok) AS b FROM ok GROUP BY 1, 2, 3)
+SELECT s.user_id, s.doc, s.node, md5(CASE WHEN b THEN text ELSE '[' || length(text) || ']' END) AS shown FROM s JOIN fx_local n ON n.doc = s.doc AND n.node = s.node WHERE v""")
 def access_secure(spark: SparkSession, d: str) -> DataFrame:
-    """PERM-5: rows filtered and texts masked for people without an account."""
-    n = view(spark, d, "fx_node").withColumn("squashed", F.lit("[access denied]"))
-    return access.secure(n, F.col("access") != "private", F.col("access") == "open", "text", "squashed").select("doc", "node", "text")
+    """PERM-5: the texts that users get to see: whole ones, squashed ones, or none."""
+    n = view(spark, d, "fx_local").select("doc", "node", "text", F.concat(F.lit("["), F.length("text").cast("string"), F.lit("]")).alias("squashed"))
+    ok = _allowed(spark, d)
+    return access.secure(ok.select("user_id", "doc", "node").distinct().join(n, ["doc", "node"]), ok).select("user_id", "doc", "node", F.md5("text").alias("shown"))
 
 
-@query(f"WITH {cte('fx_user')} SELECT user_id, doc, CASE WHEN is_active AND (is_superuser OR grp = 'editors') THEN 'private' ELSE 'public' END AS version FROM fx_user")
+@query(f"""WITH {cte('fx_member', 'fx_user', 'fx_node')} SELECT m.user_id, m.doc, CASE WHEN bool_and(is_active) AND (bool_or(is_superuser) OR bool_or(grp = 'editors')) THEN 'private' ELSE 'public' END AS version
+FROM fx_member m JOIN fx_user u ON u.user_id = m.user_id WHERE m.doc IN (SELECT doc FROM fx_node) GROUP BY m.user_id, m.doc""")
 def access_version(spark: SparkSession, d: str) -> DataFrame:
-    """PERM-6: which version of a whole document a user gets."""
-    return access.document_version(view(spark, d, "fx_user"))
+    """PERM-6: which version of a whole document a member gets."""
+    return access.document_version(view(spark, d, "fx_user"), view(spark, d, "fx_member"), view(spark, d, "fx_node"))
 
 
-@query(f"WITH {cte('fx_author')} SELECT u.user_id, u.doc, coalesce(u.grp = 'editors', FALSE) AS is_editor, EXISTS (SELECT 1 FROM fx_author a WHERE a.user_id = u.user_id AND a.doc = u.doc) AS is_author FROM fx_user u")
+@query(f"""WITH {cte('fx_local_author', 'fx_member')}, a AS (SELECT user_id, doc, grp = 'editors' AS e, FALSE AS w FROM fx_member UNION ALL SELECT user_id, doc, FALSE, TRUE FROM fx_local_author)
+SELECT user_id, doc, bool_or(e) AS is_editor, bool_or(w) AS is_author FROM a GROUP BY user_id, doc""")
 def people_staff(spark: SparkSession, d: str) -> DataFrame:
     """PPL-3: staff flags."""
-    return access.staff(view(spark, d, "fx_user"), view(spark, d, "fx_author"))
+    return access.staff(view(spark, d, "fx_member"), view(spark, d, "fx_local_author"))
 
 
-@query(f"""WITH {cte('fx_author')}, b AS (SELECT doc, node, 'A' || (r % 4) AS author FROM fx_node WHERE r % 3 = 0 UNION SELECT a.doc, a.node, u.username FROM fx_author a JOIN fx_user u ON u.user_id = a.user_id)
-SELECT b.author, n.doc, string_agg(CAST(n.node AS VARCHAR), ',' ORDER BY n.node) AS nodes FROM fx_node n LEFT JOIN b ON b.node = n.node GROUP BY b.author, n.doc""")
+@query(f"""WITH {cte('fx_author')}, b AS (SELECT doc, node, 'A' || (r % 4) AS author FROM fx_node WHERE r % 3 = 0 UNION SELECT a.doc, a.node, u.username FROM fx_author a JOIN fx_user u ON u.user_id = a.user_id WHERE a.node % 4 = 1)
+SELECT b.author, n.doc, n.node, row_number() OVER (PARTITION BY b.author, n.doc ORDER BY n.node) AS place FROM fx_node n LEFT JOIN b ON b.node = n.node""")
 def people_authors(spark: SparkSession, d: str) -> DataFrame:
     """PPL-1: nodes by author, from texts and accounts."""
     n = view(spark, d, "fx_node")
     named = n.where("r % 3 = 0").select("doc", "node", F.format_string("A%d", F.col("r") % 4).alias("name"))
-    accounts = view(spark, d, "fx_author").join(view(spark, d, "fx_user").select("user_id", "username"), "user_id").select("doc", "node", "username")
+    accounts = view(spark, d, "fx_author").where("node % 4 = 1").join(view(spark, d, "fx_user").select("user_id", "username"), "user_id").select("doc", "node", "username")
     return access.list_authors(n, named, accounts)
 
 
-@query(f"""WITH {cte('fx_author')} SELECT doc, node, user_id, min(rank) AS rank FROM (SELECT a.doc, a.node, a.user_id, 0 AS rank FROM fx_author a JOIN fx_user u ON u.user_id = a.user_id WHERE u.is_active
-UNION ALL SELECT n.doc, n.node, u.user_id, 1 FROM fx_node n JOIN fx_user u ON u.doc = n.doc AND u.grp = 'editors' WHERE u.is_active) q GROUP BY doc, node, user_id""")
+@query(f"""WITH {cte('fx_local_author', 'fx_member', 'fx_edit')}, q AS (SELECT DISTINCT n.doc, n.r AS node FROM fx_edit e JOIN fx_node n ON n.node = e.node)
+SELECT doc, node, q.user_id, min(rank) AS rank FROM (SELECT q.doc, q.node, a.user_id, 0 AS rank FROM q JOIN fx_local_author a ON a.doc = q.doc AND a.node = q.node
+UNION ALL SELECT q.doc, q.node, m.user_id, 1 FROM q JOIN fx_member m ON m.doc = q.doc AND m.grp = 'editors') q JOIN fx_user u ON u.user_id = q.user_id WHERE u.is_active AND u.user_id % 3 <> 0 GROUP BY doc, node, q.user_id""")
 def people_interested(spark: SparkSession, d: str) -> DataFrame:
-    """PPL-2: whom to tell of changes to a node."""
-    return access.interested(view(spark, d, "fx_node"), view(spark, d, "fx_author"), view(spark, d, "fx_user"))
+    """PPL-2: whom to tell of the nodes that were edited."""
+    users = view(spark, d, "fx_user").withColumn("verified", F.col("user_id") % 3 != 0)
+    asked = view(spark, d, "fx_edit").select("node").distinct().join(view(spark, d, "fx_node").select("doc", "node", "r"), "node").select("doc", F.col("r").alias("node"))
+    return access.interested(asked, view(spark, d, "fx_local_author"), users, view(spark, d, "fx_member"))
 
 
 @query(f"""WITH {cte('fx_edit')}, l AS (SELECT *, row_number() OVER (PARTITION BY doc, node, user_id ORDER BY ts DESC, event_id DESC) AS k FROM fx_edit)
@@ -344,8 +428,7 @@ def activity_worklist(spark: SparkSession, d: str) -> DataFrame:
     """ACT-7: what to compile first."""
     c = view(spark, d, "fx_edit").where("event_type <> 'error'").groupBy("node").agg(F.max("ts").alias("compiled"))
     n = view(spark, d, "fx_environ").join(c, "node", "left")
-    v = tree.walk(view(spark, d, "fx_edge"), tree.roots_of(n))
-    return activity.worklist(n, v, ("input",))
+    return activity.worklist(n, tree.reachable(view(spark, d, "fx_edge"), tree.roots_of(n)), ("input",))
 
 
 @query(f"""WITH {cte('fx_edit')} SELECT DISTINCT doc, node, lang, CASE WHEN event_id % 2 = 0 THEN 'private' ELSE 'public' END AS access FROM fx_edit""")
@@ -355,10 +438,10 @@ def activity_logs(spark: SparkSession, d: str) -> DataFrame:
     return activity.available_logs(view(spark, d, "fx_node"), logs)
 
 
-@query("""SELECT conv_id * 1000 + turn AS id, CAST(1 AS BIGINT) AS line, 'blob.tex' AS path, turn AS at, 'error in ' || role AS message, string_split(replace(text, chr(10), ' '), chr(10))[1] AS context FROM conversations WHERE role = 'user'""")
+@query("""SELECT conv_id * 1000 + turn AS id, CAST(1 AS BIGINT) AS line, 'blob.tex' AS path, turn AS at, 'error in ' || role AS message, string_split(replace(text, chr(10), ' '), chr(10))[1] AS context FROM conversations""")
 def activity_log_errors(spark: SparkSession, d: str) -> DataFrame:
     """ACT-4: errors in compile logs, with the lines after them (logs are made from conversations)."""
-    c = view(spark, d, "conversations").where("role = 'user'")
+    c = view(spark, d, "conversations")
     log = F.concat(F.lit("This is a log\nblob.tex:"), F.col("turn").cast("string"), F.lit(": error in "), "role", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n\n"))
     e = activity.log_errors(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), log.alias("text")), "id", "text")
     return e.withColumn("context", F.regexp_replace("context", "\n+$", ""))

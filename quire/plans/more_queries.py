@@ -20,32 +20,36 @@ def text_protect(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc", "node", protect.restore(F.col("p"), F.col("toks")).alias("text"), F.col("p").contains("\\").alias("shows"))
 
 
-@query(f"""WITH {cte('fx_markup')} SELECT doc, node, doc AS title, chr(92) || 'section{{' || doc || '}}' || chr(10) AS header, substr(text, 12 + length(doc)) AS body FROM fx_markup""")
+@query(f"""WITH {cte('fx_markup')} SELECT doc, node, doc || ' ' || chr(92) || 'emph{{' || lang || '}}' AS title, chr(92) || 'section{{' || doc || ' ' || chr(92) || 'emph{{' || lang || '}}}}' || chr(10) AS header, substr(text, 20 + length(doc) + length(lang)) AS body FROM fx_markup""")
 def text_headers(spark: SparkSession, d: str) -> DataFrame:
     """TXT-11: hidden headers and editable bodies."""
     return view(spark, d, "fx_markup").select("doc", "node", segment.split_header(F.col("text")).alias("s")).select("doc", "node", "s.title", "s.header", "s.body")
 
 
-@query(f"""{_walk_sql('fx_edge')}, f AS (SELECT w.doc, w.node, w.path, coalesce((SELECT 'f' || a.r FROM w v JOIN fx_node a ON a.node = v.node WHERE v.doc = w.doc AND starts_with(w.path, v.path) AND a.r % 4 = 1 ORDER BY length(v.path) DESC LIMIT 1), '') AS file FROM w)
-SELECT f.doc, f.file, string_agg(n.text, chr(10) ORDER BY f.path) AS text FROM f JOIN fx_node n ON n.node = f.node WHERE f.file <> '' GROUP BY f.doc, f.file""")
+@query(f"""{_walk_sql('fx_edge')}, f AS (SELECT w.doc, w.node, w.path, coalesce((SELECT 'f' || a.r FROM w v JOIN fx_node a ON a.node = v.node WHERE v.doc = w.doc AND starts_with(w.path, v.path) AND a.r % 4 = 1 ORDER BY length(v.path) DESC LIMIT 1), '') AS file FROM w),
+o AS (SELECT f.doc, f.file, n.text, row_number() OVER (PARTITION BY f.doc, f.file ORDER BY f.path) AS place FROM f JOIN fx_node n ON n.node = f.node WHERE f.file <> '')
+SELECT doc, file, CAST((place - 1) // {segment.PART} + 1 AS BIGINT) AS part, string_agg(text, chr(10) ORDER BY place) AS text FROM o GROUP BY ALL""")
 def asm_files(spark: SparkSession, d: str) -> DataFrame:
     """ASM-2: original files."""
     n = view(spark, d, "fx_node").withColumn("original_filename", F.when(F.col("r") % 4 == 1, F.format_string("f%d", "r")))
     return segment.assemble_files(n, tree.walk(view(spark, d, "fx_edge"), tree.roots_of(n)))
 
 
-@query(f"WITH {cte('fx_node')} SELECT doc, node, chr(92) || 'includegraphics{{pic' || r || '}} and text' AS text FROM fx_node".replace("{{", "{").replace("}}", "}"))
+@query(f"WITH {cte('fx_node')} SELECT doc, node, '% begin' || chr(10) || text || chr(10) || chr(92) || 'includegraphics[width=1cm]{{pic' || r || '}} ' || text || chr(10) || '% end' || chr(10) AS text FROM fx_node".replace("{{", "{").replace("}}", "}"))
 def asm_restore(spark: SparkSession, d: str) -> DataFrame:
-    """ASM-3: old commands back in place."""
-    t = F.format_string("\\uuid{00%d}%%\n\\includegraphics{UUID/0/0/1/pic%d} and text", "r", "r")
-    return view(spark, d, "fx_node").select("doc", "node", segment.restore_commands(t).alias("text"))
+    """ASM-3: old commands back in place, id header and checkpoints gone, between comments."""
+    r = F.col("r").cast("string")
+    t = F.concat(F.lit("\\uuid{00"), r, F.lit("}%\n"), "text", F.lit("\n\\UUIDcheckpoint{1}\n\\includegraphics[width=1cm]{UUID/0/0/1/pic"), r, F.lit("} "), "text")
+    return view(spark, d, "fx_node").select("doc", "node", segment.restore_commands(t, comments=True).alias("text"))
 
 
-@query(f"""WITH {cte('fx_edge')} SELECT n.doc, n.node, CASE WHEN access IN ('open', 'public') AND lang = 'en' THEN text ELSE chr(92) || 'uuidplaceholder' || chr(10) || coalesce((SELECT string_agg(chr(92) || 'input{{' || child || '}}', chr(10) ORDER BY ordinal, child) FROM fx_edge e WHERE e.parent = n.node), '') END AS text FROM fx_node n""")
+@query(f"""WITH RECURSIVE {cte('fx_edge_defect', 'fx_environ')}, reach(doc, node) AS (SELECT doc, min(node) FROM fx_node GROUP BY doc UNION SELECT e.doc, e.child FROM reach x JOIN fx_edge_defect e ON e.doc = x.doc AND e.parent = x.node)
+SELECT x.doc, x.node, CASE WHEN (n.access IN ('open', 'public') AND n.lang = 'en') OR n.environ = 'input' THEN n.text ELSE chr(92) || 'uuidplaceholder' || chr(10) || coalesce((SELECT string_agg(chr(92) || 'input{{' || child || '}}', chr(10) ORDER BY ordinal, child) FROM fx_edge_defect e WHERE e.doc = x.doc AND e.parent = x.node), '') END AS text
+FROM reach x LEFT JOIN fx_environ n ON n.doc = x.doc AND n.node = x.node""".replace("{{", "{").replace("}}", "}"))
 def asm_mask_tree(spark: SparkSession, d: str) -> DataFrame:
-    """ASM-6: the masked corpus of one language."""
-    n, e = view(spark, d, "fx_node"), view(spark, d, "fx_edge")
-    return segment.mask_tree(n, e, tree.walk(e, tree.roots_of(n)), "en")
+    """ASM-6: the masked corpus of one language: reachable nodes, missing ones too, and kinds that are always copied."""
+    n, e = view(spark, d, "fx_environ"), view(spark, d, "fx_edge_defect")
+    return segment.mask_tree(n, e, tree.reachable(e, tree.roots_of(n)), "en", kept=("input",))
 
 
 @query(f"WITH {cte('fx_node')} SELECT doc, node, CASE WHEN r % 4 = 0 THEN 'option' WHEN r % 3 = 0 THEN 'preamble_' || lang ELSE 'preamble_doc' END AS preamble FROM fx_node")
@@ -57,19 +61,19 @@ def asm_preamble(spark: SparkSession, d: str) -> DataFrame:
     return segment.choose_preamble(c.unionByName(n.select("doc", "node", F.lit("preamble_doc").alias("preamble"), F.lit(2).alias("rank"))))
 
 
-@query(f"WITH {cte('fx_node')} SELECT n.doc, n.node, x.name, CASE WHEN x.name = 'bib' || (n.r % 3) AND n.r % 3 > 0 THEN n.r % 3 END AS target FROM fx_node n, LATERAL (SELECT 'bib' || (n.r % 3) AS name UNION ALL SELECT 'amsmath') x")
+@query(f"WITH {cte('fx_markup')} SELECT n.doc, n.node, x.name, CASE WHEN x.name = 'bib' || (n.r % 3) AND n.r % 3 > 0 THEN n.r % 3 END AS target FROM fx_markup n, LATERAL (SELECT 'bib' || (n.r % 3) AS name UNION ALL SELECT 'amsrefs') x")
 def seg_references(spark: SparkSession, d: str) -> DataFrame:
-    """SEG-11: bibliographies and packages, local and external."""
-    n = view(spark, d, "fx_node")
-    pieces = n.select("doc", "node", F.lit("bibliography").alias("macro"), F.concat(F.lit("bib"), (F.col("r") % 3).cast("string"), F.lit(" , amsmath")).alias("arg"))
-    files = n.select("doc", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).distinct().select("doc", F.format_string("bib%d", "k").alias("name"), F.col("k").cast("long").alias("target"))
-    return segment.references(pieces, files, "bibliography")
+    """SEG-11: bibliographies in whole texts, local and external."""
+    m = view(spark, d, "fx_markup")
+    files = m.select("doc", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).distinct().select("doc", F.format_string("bib%d", "k").alias("name"), F.col("k").cast("long").alias("target"))
+    return segment.references(segment.explode_markers(m), files, "bibliography")
 
 
-@query(f"WITH {cte('fx_environ')} SELECT doc, node, CASE WHEN environ = 'E_theorem' THEN 'private' ELSE 'open' END AS access, '.tex' AS extension, u AS username FROM fx_environ CROSS JOIN (VALUES ('ann'), ('bob')) v(u)")
+@query(f"WITH {cte('fx_environ')} SELECT doc, node, CASE WHEN environ = 'graphic_file' THEN 'zxx' ELSE 'eng' END AS lang, CASE WHEN environ = 'E_theorem' THEN 'private' ELSE 'open' END AS access, '.' || string_split(substr(exts, 2), ',')[1] AS extension, 'file' || r AS alias, 'ann,bob' AS authors FROM fx_environ")
 def seg_init(spark: SparkSession, d: str) -> DataFrame:
     """SEG-14: default fields of new nodes."""
-    return segment.init_nodes(view(spark, d, "fx_environ"), ("E_theorem",), spark.createDataFrame([("ann",), ("bob",)], "username string"))
+    path = F.concat(F.lit("folder/file"), F.col("r").cast("string"), F.get(F.split("exts", ","), F.lit(0)))
+    return segment.init_nodes(view(spark, d, "fx_environ").withColumn("path", path), ("E_theorem",), ["bob", "ann"], "eng")
 
 
 @query(f"WITH {cte('fx_node')} SELECT doc, node, CASE WHEN lang = 'de' THEN 'nl' ELSE lang END AS lang FROM fx_node WHERE lang <> 'fr' UNION ALL SELECT doc, node, 'it' FROM fx_node WHERE lang = 'en' UNION ALL SELECT doc, node, 'fr' FROM fx_node WHERE lang = 'fr'")
@@ -79,43 +83,26 @@ def lang_versions(spark: SparkSession, d: str) -> DataFrame:
     return languages.drop_language(languages.relabel(languages.add_language(s, "en", "it"), "de", "nl"), "fr")
 
 
-@query(f"WITH {cte('fx_node')} SELECT doc, node, 'WRONG_INPUT' AS code FROM fx_node WHERE r % 5 = 0 OR r % 3 = 1")
-def audit_wrong_input(spark: SparkSession, d: str) -> DataFrame:
-    """AUD-7: inputs of a wrong language, or of nothing."""
-    i = view(spark, d, "fx_node").select("doc", "node", F.lit("eng").alias("lang"), F.when(F.col("r") % 3 == 1, "UUID/0/0/1/blob_ita.tex").otherwise("UUID/0/0/1/blob_eng.tex").alias("path"), F.when(F.col("r") % 5 != 0, 1).alias("target"))
-    return audit.wrong_input(i).select("doc", "node", "code")
-
-
-@query(f"""WITH {cte('fx_edge', 'fx_environ')} SELECT e.doc, e.parent AS node, e.child, c.environ FROM fx_edge e JOIN fx_environ c ON c.node = e.child WHERE CASE WHEN c.environ = 'E_theorem' THEN e.ordinal % 2 <> 0 ELSE e.ordinal % 3 = 0 END""")
-def audit_commands(spark: SparkSession, d: str) -> DataFrame:
-    """TREE-13, AUD-4: commands that don't fit what they bring in."""
-    n, e = view(spark, d, "fx_environ"), view(spark, d, "fx_edge")
-    kind = n.select(F.col("node").alias("target"), F.col("environ").alias("k"))
-    i = e.withColumnRenamed("child", "target").join(kind, "target").select("doc", F.col("target").alias("node"), F.when((F.col("k") != "E_theorem") & (F.col("ordinal") % 3 == 0), "ref").otherwise("input").alias("macro"), F.when(F.col("ordinal") % 2 == 0, "E_theorem").alias("context"), "target")
-    bad = audit.check_commands(i, n).select(F.col("node").alias("child"), F.get("args", F.lit(2)).alias("environ"))
-    return bad.join(e, "child").select("doc", F.col("parent").alias("node"), "child", "environ")
-
-
-@query(f"""WITH {cte('fx_author')}, b AS (SELECT doc, node, row_number() OVER (PARTITION BY doc ORDER BY node) AS k FROM fx_node WHERE r % 20 = 0)
-SELECT u.user_id, u.doc, b.node FROM fx_user u JOIN b ON b.doc = u.doc WHERE coalesce(u.grp = 'editors', FALSE) OR b.k = 1""")
+@query(f"""WITH {cte('fx_node', 'fx_member')}, b AS (SELECT doc, node, row_number() OVER (PARTITION BY doc ORDER BY node) AS k FROM fx_node WHERE r % 20 = 0),
+u AS (SELECT user_id, doc, bool_or(grp = 'editors') AS e FROM fx_member GROUP BY user_id, doc) SELECT u.user_id, u.doc, b.node FROM u JOIN b ON b.doc = u.doc WHERE u.e OR b.k = 1""")
 def index_bibliographies(spark: SparkSession, d: str) -> DataFrame:
     """IDX-7: bibliographies that users see."""
     n = view(spark, d, "fx_node").withColumn("environ", F.when(F.col("r") % 20 == 0, "bibliography").otherwise("section"))
-    return index.bibliography_nodes(n, access.staff(view(spark, d, "fx_user"), view(spark, d, "fx_author")))
+    return index.bibliography_nodes(n, access.staff(view(spark, d, "fx_member"), view(spark, d, "fx_local_author").limit(0)))
 
 
-@query(f"WITH {cte('fx_attr')}, q AS (SELECT DISTINCT regexp_extract(text, '([A-Za-z]+)', 1) AS token FROM benchmark WHERE item_id % 10 = 0), e AS (SELECT doc, node, CASE key WHEN 'M_index' THEN '' ELSE substr(key, 9) END AS lang, string_split(substr(value, 2, length(value) - 2), '|')[1] AS s FROM fx_attr WHERE key LIKE 'M_index%') SELECT DISTINCT q.token, e.doc, e.node, e.lang FROM e JOIN q ON contains(replace(coalesce(string_split(s, '@')[2], s), '!', ', '), q.token)")
+@query(f"WITH {cte('fx_attr')}, q AS (SELECT DISTINCT regexp_extract(text, '([A-Za-z]+)', 1) AS token FROM benchmark), e AS (SELECT doc, node, CASE key WHEN 'M_index' THEN '' ELSE substr(key, 9) END AS lang, string_split(substr(value, 2, length(value) - 2), '|')[1] AS s FROM fx_attr WHERE key LIKE 'M_index%') SELECT DISTINCT q.token, e.doc, e.node, e.lang, replace(coalesce(string_split(s, '@')[2], s), '!', ', ') AS key FROM e JOIN q ON contains(replace(coalesce(string_split(s, '@')[2], s), '!', ', '), q.token) WHERE q.token <> ''")
 def search_index(spark: SparkSession, d: str) -> DataFrame:
     """SRCH-3: index entries that contain a token."""
-    tokens = view(spark, d, "benchmark").where("item_id % 10 = 0").select(F.regexp_extract("text", "([A-Za-z]+)", 1).alias("token")).distinct()
-    return index.entries(view(spark, d, "fx_attr")).join(F.broadcast(tokens), F.col("key").contains(F.col("token"))).select("token", "doc", "node", "lang").distinct()
+    tokens = view(spark, d, "benchmark").select(F.regexp_extract("text", "([A-Za-z]+)", 1).alias("token")).distinct()
+    return index.search_index(index.entries(view(spark, d, "fx_attr")), tokens)
 
 
-@query(f"""WITH {cte('fx_node')} SELECT n.doc, n.node, CAST(v.pos AS BIGINT) AS pos, v.number, CASE v.number WHEN 1 THEN 'first ' || n.r ELSE 'second' END AS text FROM fx_node n CROSS JOIN (VALUES (2, 1), (3, 2)) v(pos, number)""")
+@query(f"""WITH {cte('fx_markup')} SELECT n.doc, n.node, v.number, CASE v.number WHEN 1 THEN 'first ' || n.r ELSE 'second' END AS text FROM fx_markup n CROSS JOIN (VALUES (1), (2)) v(number)""")
 def seg_items(spark: SparkSession, d: str) -> DataFrame:
-    """SEG-4: list items."""
-    t = F.format_string("x\\begin{itemize}\\item first %d\n\\item second\\end{itemize}\\item stray", "r")
-    return segment.items(segment.with_depth(segment.explode_markers(view(spark, d, "fx_node").select("doc", "node", t.alias("text"))))).withColumn("text", F.regexp_replace("text", "\n$", ""))
+    """SEG-4: list items of whole texts."""
+    found = segment.items(segment.with_depth(segment.explode_markers(view(spark, d, "fx_markup"))))
+    return found.select("doc", "node", "number", F.regexp_replace("text", "\n$", "").alias("text"))
 
 
 @query(f"WITH {cte('fx_node')} SELECT n.doc, t.node, n.node AS parent FROM fx_node n JOIN fx_node t ON t.doc = n.doc AND t.r = 1 WHERE n.r % 9 = 0")
@@ -128,8 +115,9 @@ def seg_recursive(spark: SparkSession, d: str) -> DataFrame:
     return segment.recursive_inputs(i, top)
 
 
-@query(f"WITH {cte('fx_node')} SELECT doc, node, 'xxx' AS lang, 'SEE ' || chr(92) || 'ref{{doc:' || node || '}} AND $x$ HERE' AS text FROM fx_node".replace("{{", "{").replace("}}", "}"))
+@query()
 def lang_translate(spark: SparkSession, d: str) -> DataFrame:
-    """UDF-3: a translator between protection and restoring (here one that shouts)."""
-    s = view(spark, d, "fx_node").select("doc", "node", F.lit("eng").alias("lang"), F.format_string("see \\ref{doc:%d} and $x$ here", "node").alias("text"))
+    """UDF-3: a translator between protection and restoring (here one that shouts), over whole texts (tested against a
+    loop)."""
+    s = view(spark, d, "fx_markup").select("doc", "node", F.lit("eng").alias("lang"), "text")
     return languages.translate(s, lambda t, old, new: t.upper(), "eng", "xxx")

@@ -33,22 +33,25 @@ _LAST = "l AS (SELECT doc, node, content FROM (SELECT *, row_number() OVER (PART
 
 @query(f"WITH {cte('fx_edit')}, {_LAST} SELECT doc, node, CAST(k AS BIGINT) AS line, x AS text FROM (SELECT doc, node, unnest(string_split(content, chr(10))) AS x, unnest(range(len(string_split(content, chr(10))))) AS k FROM l) q WHERE trim(x) <> ''")
 def stream_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """STR-2: the catalog after all edits."""
+    """STR-2: the catalog after all edits; lines of changed nodes are replaced."""
     make = lambda t: index.build_catalog(t, ["doc", "node"], "content").withColumn("line", F.col("line").cast("long"))
     return jobs.derived_stream(_edits(spark, d), ["doc", "node"], ["ts", "event_id"], make, "catalog")
 
 
 @query(f"WITH {cte('fx_edit')}, {_LAST} SELECT doc, node, 'M_label' AS key, '{{v' || length(content) || '}}' AS value FROM l")
 def stream_labels(spark: SparkSession, d: str) -> DataFrame:
-    """STR-3: labels of the newest versions."""
-    make = lambda t: segment.attributes(segment.with_depth(segment.explode_markers(t.select("doc", "node", F.format_string("\\label{v%d}", F.length("content")).alias("text")))))
+    """STR-3: labels at the end of the newest versions; those of changed nodes are replaced."""
+    text = F.concat("content", F.lit("\n\\label{v"), F.length("content").cast("string"), F.lit("}"))
+    make = lambda t: segment.attributes(segment.with_depth(segment.explode_markers(t.select("doc", "node", text.alias("text")))))
     return jobs.derived_stream(_edits(spark, d), ["doc", "node"], ["ts", "event_id"], make, "labels")
 
 
-@query(f"WITH {cte('fx_edit')}, {_LAST} SELECT n.doc, n.node FROM fx_node n LEFT JOIN l ON l.node = n.node WHERE l.content IS NULL OR l.content <> n.text")
+@query(f"WITH {cte('fx_edit')}, {_LAST} SELECT l.doc, l.node FROM l JOIN fx_node n ON n.node = l.node WHERE l.content <> n.text")
 def stream_audit(spark: SparkSession, d: str) -> DataFrame:
-    """STR-4: nodes to check again: those whose newest version isn't the text that was checked."""
-    make = lambda t: audit.unchecked(view(spark, d, "fx_node"), t.select("doc", "node", F.md5("content").alias("md5"))).select("doc", "node")
+    """STR-4: nodes to check again: of those that were edited, the ones whose newest version isn't the text that was
+    checked; only changed nodes are looked at."""
+    checked = view(spark, d, "fx_node").select("doc", "node", F.md5("text").alias("md5"))
+    make = lambda t: audit.unchecked(t.select("doc", "node", F.col("content").alias("text")), checked).select("doc", "node")
     return jobs.derived_stream(_edits(spark, d), ["doc", "node"], ["ts", "event_id"], make, "audit")
 
 

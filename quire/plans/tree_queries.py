@@ -9,7 +9,7 @@ from quire.fixtures import cte, view
 from quire.functions import ids
 from quire.operators import audit, tree
 from quire.plans.registry import query
-from quire.plans.rules import child_rules, child_rules_sql
+from quire.plans.rules import SECTIONS, child_rules, child_rules_sql, extension_rules, extension_rules_sql, kind_sql
 
 
 def _id_sql(x: str) -> str:
@@ -27,11 +27,16 @@ def ids_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "documents").select("doc_id", i.alias("id"), ids.id_to_int(i).alias("back"), ids.id_to_path(i).alias("path"), ids.path_to_id(F.concat(ids.id_to_path(i), F.lit("/blob_eng.tex"))).alias("from_path"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(t, '^[0-9BCDFGHJKMNPQRSTVWXYZ]+$') THEN t END AS id FROM
- (SELECT doc_id, lpad(s, CAST(greatest(3, length(s)) AS INTEGER), '0') AS t FROM (SELECT doc_id, translate(upper(substr(replace(text, ' ', ''), 1, 5)), 'ILO', '110') AS s FROM documents) a) b""")
+_WORDS = "w AS (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split_regex(text, '[^A-Za-z0-9]+') AS l FROM documents) q)"
+
+
+@query(f"""WITH {_WORDS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN regexp_matches(t, '^[0-9BCDFGHJKMNPQRSTVWXYZ]+$') THEN t END AS id FROM
+ (SELECT doc_id, pos, lpad(s, CAST(greatest(3, length(s)) AS INTEGER), '0') AS t FROM (SELECT doc_id, pos, translate(upper(word), 'ILO', '110') AS s FROM w WHERE length(word) BETWEEN 3 AND 8) a) b""")
 def ids_normalize(spark: SparkSession, d: str) -> DataFrame:
-    """IDS-3: ids as people write them; null where a symbol is not of the alphabet."""
-    return view(spark, d, "documents").select("doc_id", ids.normalize_id(F.substring(F.regexp_replace("text", " ", ""), 1, 5)).alias("id"))
+    """IDS-3: every word of the texts that could be an id, as people write them; null where a symbol is not of the
+    alphabet."""
+    words = view(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "[^A-Za-z0-9]+", -1)).alias("pos", "word")).where("length(word) between 3 and 8")
+    return words.select("doc_id", F.col("pos").cast("long").alias("pos"), ids.normalize_id(F.col("word")).alias("id"))
 
 
 @query(f"""WITH {cte('fx_node')} SELECT doc, doc_id, (SELECT max(node) FROM fx_node m WHERE m.doc = n.doc) + row_number() OVER (PARTITION BY doc ORDER BY r) AS new_node FROM fx_node n WHERE r % 3 = 0""")
@@ -41,19 +46,19 @@ def ids_allocate(spark: SparkSession, d: str) -> DataFrame:
     return audit.allocate_ids(n.where("r % 3 = 0"), n).select("doc", "doc_id", "new_node")
 
 
-@query("""SELECT doc_id, trim(regexp_replace(trim(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 60)), '[^A-Za-z0-9_\\s-]', '', 'g')), '^\\s+|\\s+$', '', 'g')), '[-\\s]+', '-', 'g')) AS slug
-FROM documents WHERE NOT regexp_matches(substr(text, 1, 60), '[^\\x00-\\x7FÀ-ÖÙ-öù-ÿ]')""")
+@query()
 def ids_slugify(spark: SparkSession, d: str) -> DataFrame:
-    """IDS-6: slugs of the beginnings of texts whose letters decompose into ASCII ones."""
-    head = F.substring("text", 1, 60)
-    return view(spark, d, "documents").where(~head.rlike(r"[^\x00-\x7FÀ-ÖÙ-öù-ÿ]")).select("doc_id", ids.slugify(head).alias("slug"))
+    """IDS-6: slugs of whole texts (tested against a loop over Unicode's decompositions)."""
+    return view(spark, d, "documents").select("doc_id", ids.slugify(F.col("text")).alias("slug"))
 
 
-@query("""SELECT doc_id, CASE WHEN source IN ('src3', 'src7') THEN 'reserved' WHEN NOT regexp_matches(lang || 'x', '^[a-z]{3}$') THEN 'language'
- WHEN NOT regexp_matches(substr(text, 1, 1), '^[-a-zA-Z0-9_]+$') THEN 'slug' END AS reason FROM documents""")
+@query(f"""WITH {_WORDS} SELECT w.doc_id, CAST(w.pos AS BIGINT) AS pos, d.source IN ('src3', 'src7') AS reserved, NOT regexp_matches(lower(word), '^[a-z]{{3}}$') AS "language", NOT regexp_matches(word, '^[-a-zA-Z0-9_]+$') AS slug
+FROM w JOIN documents d ON d.doc_id = w.doc_id WHERE d.source IN ('src3', 'src7') OR NOT regexp_matches(lower(word), '^[a-z]{{3}}$') OR NOT regexp_matches(word, '^[-a-zA-Z0-9_]+$')""")
 def ids_validate(spark: SparkSession, d: str) -> DataFrame:
-    """IDS-7: why a row is rejected; null for valid rows."""
-    return audit.validate(view(spark, d, "documents"), name=F.col("source"), language=F.concat("lang", F.lit("x")), slug=F.substring("text", 1, 1), reserved=("src3", "src7")).select("doc_id", "reason")
+    """IDS-7: rejected rows with all that is wrong with them, words standing for slugs and language codes."""
+    words = view(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "[^A-Za-z0-9]+", -1)).alias("pos", "word"))
+    _, rejected = audit.validate(words, name=F.col("source"), language=F.lower("word"), slug=F.col("word"), reserved=("src3", "src7"))
+    return rejected.select("doc_id", F.col("pos").cast("long").alias("pos"), *[F.array_contains("reasons", x).alias(x) for x in ("reserved", "language", "slug")])
 
 
 @query("""SELECT doc_id, CASE lang WHEN 'de' THEN 'deu' WHEN 'en' THEN 'eng' WHEN 'es' THEN 'spa' WHEN 'fr' THEN 'fra' END AS lang3, '{' || source || '}' AS wrapped, source AS bare FROM documents""")
@@ -139,7 +144,7 @@ def tree_disconnected(spark: SparkSession, d: str) -> DataFrame:
     """TREE-9: nodes out of reach, in a graph with loops and second parents, and what took their place."""
     n, e = view(spark, d, "fx_node"), view(spark, d, "fx_edge_defect")
     by = n.where("node % 3 = 0").select("doc", "node", (F.col("node") - 2).alias("by"))
-    return tree.disconnected(n, tree.walk(e, tree.roots_of(n)), by)
+    return tree.disconnected(n, tree.reachable(e, tree.roots_of(n)), by)
 
 
 @query()
@@ -157,15 +162,20 @@ def tree_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return tree.duplicates(tree.walk(e, tree.roots_of(n))).groupBy("doc", "node").agg(F.count(F.lit(1)).alias("again"))
 
 
-@query(f"""WITH {cte('fx_edge', 'fx_environ')}, {child_rules_sql()}
-SELECT e.doc, e.parent, e.child, p.environ AS parent_environ, c.environ AS child_environ FROM fx_edge e JOIN fx_environ p ON p.node = e.parent JOIN fx_environ c ON c.node = e.child
-WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.parent = CASE WHEN p.environ LIKE 'E_%' THEN 'E_*' ELSE p.environ END AND r.child = CASE WHEN c.environ LIKE 'E_%' THEN 'E_*' ELSE c.environ END)""")
+_BAD_LINK = f"""NOT CASE WHEN c.exts NOT IN (SELECT ext FROM exts) THEN c.environ = 'graphic_file' ELSE EXISTS (SELECT 1 FROM rules r WHERE r.parent = {kind_sql('p.environ')} AND r.child = {kind_sql('c.environ')})
+ AND EXISTS (SELECT 1 FROM exts x WHERE x.ext = c.exts AND x.child = {kind_sql('c.environ')}) END"""
+_RULES = f"{child_rules_sql()}, {extension_rules_sql()}"
+
+
+@query(f"""WITH {cte('fx_edge', 'fx_environ')}, {_RULES}
+SELECT e.doc, e.parent, e.child, p.environ AS parent_environ, c.environ AS child_environ FROM fx_edge e JOIN fx_environ p ON p.node = e.parent JOIN fx_environ c ON c.node = e.child WHERE {_BAD_LINK}""")
 def tree_check_links(spark: SparkSession, d: str) -> DataFrame:
     """TREE-11, AUD-2: edges that the rules don't allow."""
-    return tree.check_links(view(spark, d, "fx_environ"), view(spark, d, "fx_edge"), child_rules(spark))
+    return tree.check_links(view(spark, d, "fx_environ"), view(spark, d, "fx_edge"), child_rules(spark), extension_rules(spark))
 
 
-@query(f"""WITH {cte('fx_environ')}, {child_rules_sql()} SELECT doc, node, coalesce((SELECT string_agg(child, ',' ORDER BY child) FROM rules r WHERE r.parent = CASE WHEN environ LIKE 'E_%' THEN 'E_*' ELSE environ END), '') AS allowed FROM fx_environ""")
+@query(f"""WITH {cte('fx_environ')}, {child_rules_sql()}, own AS (SELECT DISTINCT doc, environ FROM fx_environ WHERE {kind_sql('environ')} = 'E_*')
+SELECT n.doc, n.node, coalesce((SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM (SELECT CASE WHEN r.child = 'E_*' THEN o.environ ELSE r.child END AS x FROM rules r LEFT JOIN own o ON o.doc = n.doc AND r.child = 'E_*' WHERE r.parent = {kind_sql('n.environ')}) z WHERE x IS NOT NULL), '') AS allowed FROM fx_environ n""")
 def tree_allowed_children(spark: SparkSession, d: str) -> DataFrame:
     """TREE-12: what may stand under each node."""
     return tree.allowed_children(view(spark, d, "fx_environ"), child_rules(spark))
@@ -199,32 +209,49 @@ def tree_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_walk_sql('fx_edge').replace(cte('fx_node', 'fx_edge'), cte('fx_edge', 'fx_environ'))}
-SELECT w.doc, w.node, w.depth, n.environ, substr(n.text, 1, 20) AS title FROM w JOIN fx_environ n ON n.doc = w.doc AND n.node = w.node WHERE n.environ IN ('section', 'input')""")
+SELECT w.doc, w.node, w.depth, n.environ, string_split(n.text, chr(10))[1] AS title FROM w JOIN fx_environ n ON n.doc = w.doc AND n.node = w.node WHERE n.environ IN ('section', 'input')""")
 def tree_contents(spark: SparkSession, d: str) -> DataFrame:
     """TREE-17: the contents list: sections and inputs with their titles."""
     n = view(spark, d, "fx_environ")
     v = tree.walk(view(spark, d, "fx_edge"), tree.roots_of(n))
-    return audit.contents(n, v, F.substring("text", 1, 20))
-
-
-@query(f"""{_REACH} SELECT doc, code, count(*) AS n FROM (
- SELECT doc, 'MISSING_CHILD' AS code FROM fx_edge_defect e WHERE NOT EXISTS (SELECT 1 FROM fx_node n WHERE n.doc = e.doc AND n.node = e.child)
- UNION ALL SELECT doc, 'DISCONNECTED' FROM fx_node n WHERE NOT EXISTS (SELECT 1 FROM reach x WHERE x.doc = n.doc AND x.node = n.node)
- UNION ALL SELECT doc, 'WRONG_ACCESS' FROM fx_node WHERE (r % 5 = 0) <> (access = 'private')) p GROUP BY doc, code""")
+    return audit.contents(n, v, F.substring_index("text", "\n", 1))
+
+
+_COMMAND = """NOT CASE WHEN c.environ LIKE 'E%' THEN i.macro = 'input' AND coalesce(i.context = c.environ, FALSE) WHEN c.environ = 'graphic_file' THEN i.macro = 'includegraphics'
+ ELSE i.macro IN ('input', 'include') OR (c.environ IN ('usepackage', 'bibliography', 'include') AND i.macro = c.environ) END"""
+_HEADERS = f"""h AS (SELECT v.doc, v.node, v.lang FROM fx_version v WHERE environ IN {SECTIONS} AND NOT starts_with(coalesce(list_filter(string_split(v.text, chr(10)), lambda x: NOT starts_with(ltrim(x, ' '), '%') AND trim(x) <> '')[1], ''), chr(92) || environ))"""
+_WRONG_INPUT = "i.target IS NULL OR regexp_extract(i.path, '_([a-z]{3})(\\.tex)?$', 1) <> i.lang"
+
+
+@query(f"""{_REACH.replace(cte('fx_edge_defect', 'fx_attr'), cte('fx_edge_defect', 'fx_input'))}, {_RULES}, {_HEADERS},
+root AS (SELECT doc, min(node) AS root FROM fx_node GROUP BY doc),
+g AS (SELECT doc, node, lang, target, count(*) AS n FROM fx_input GROUP BY ALL)
+SELECT doc, code, count(*) AS n FROM (
+ SELECT v.doc, 'DUPLICATE' AS code FROM (SELECT e.doc, e.child, count(*) AS n FROM fx_edge_defect e JOIN reach x ON x.doc = e.doc AND x.node = e.parent GROUP BY e.doc, e.child) v JOIN root ON root.doc = v.doc WHERE v.n > CASE WHEN v.child = root.root THEN 0 ELSE 1 END
+ UNION ALL SELECT doc, 'MISSING_CHILD' AS code FROM fx_edge_defect e WHERE NOT EXISTS (SELECT 1 FROM fx_node n WHERE n.doc = e.doc AND n.node = e.child)
+ UNION ALL SELECT doc, CASE WHEN node % 3 = 0 THEN 'DISCONNECTED_REPLACED' ELSE 'DISCONNECTED' END FROM fx_node n WHERE NOT EXISTS (SELECT 1 FROM reach x WHERE x.doc = n.doc AND x.node = n.node)
+ UNION ALL SELECT e.doc, 'WRONG_LINK' FROM fx_edge_defect e JOIN fx_environ p ON p.node = e.parent JOIN fx_environ c ON c.node = e.child WHERE {_BAD_LINK}
+ UNION ALL SELECT i.doc, 'CMD_PARENT_CHILD' FROM fx_input i JOIN fx_environ c ON c.node = i.target WHERE {_COMMAND}
+ UNION ALL SELECT doc, 'WRONG_ACCESS' FROM fx_environ WHERE environ LIKE 'E%' AND (environ = 'E_theorem') <> (access = 'private')
+ UNION ALL SELECT doc, 'WRONG_HEADER' FROM h
+ UNION ALL SELECT doc, 'WRONG_INPUT' FROM fx_input i WHERE {_WRONG_INPUT}
+ UNION ALL SELECT doc, 'DUP_INPUT' FROM g WHERE n > 1 AND target IS NOT NULL
+ UNION ALL SELECT v.doc, 'MISSING_INPUT' FROM (SELECT DISTINCT doc, node, lang FROM fx_version) v JOIN (SELECT DISTINCT node, target FROM g WHERE target IS NOT NULL) t ON t.node = v.node WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.node = v.node AND g.lang = v.lang AND g.target = t.target)
+ UNION ALL SELECT doc, 'UNTRANSLATED' FROM (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY node) AS k FROM fx_node WHERE node % 2 = 0) q WHERE k <= 16) p GROUP BY doc, code""")
 def audit_report(spark: SparkSession, d: str) -> DataFrame:
-    """AUD-1, AUD-5, AUD-12: problems by document and code."""
-    n = view(spark, d, "fx_environ")
-    e = view(spark, d, "fx_edge_defect")
-    v = tree.walk(e, tree.roots_of(n))
-    p = audit.report(audit.missing(n, e), audit.disconnected(n, v), audit.wrong_access(n, ("E_theorem",)))
+    """AUD-1 to AUD-10 and AUD-12: problems by document and code, all checks but that of loops, which tree_loops shows."""
+    n = view(spark, d, "fx_environ").withColumn("langs", F.when(F.col("node") % 2 == 0, F.array(F.lit("eng"))).otherwise(F.array(F.lit("eng"), F.lit("ita"))))
+    by = n.where("node % 3 = 0").select("doc", "node", (F.col("node") - 2).alias("by"))
+    p = audit.check_corpus(n, view(spark, d, "fx_edge_defect"), view(spark, d, "fx_input"), view(spark, d, "fx_version"), by, child_rules(spark), extension_rules(spark), ["eng", "ita"], ("E_theorem",), loops=False)
     return p.groupBy("doc", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {cte('fx_environ')} SELECT doc, node, environ, access FROM fx_environ WHERE (environ = 'E_theorem') <> (access = 'private')""")
+@query(f"""WITH {cte('fx_environ')}, p AS (SELECT doc, node, environ, access FROM fx_environ WHERE environ LIKE 'E%' AND (environ = 'E_theorem') <> (access = 'private'))
+SELECT doc, 'WRONG_ACCESS' AS code, node, environ || ',' || access AS args, FALSE AS flagged FROM p UNION ALL SELECT DISTINCT doc, 'OK', CAST(NULL AS BIGINT), '', FALSE FROM fx_environ WHERE doc NOT IN (SELECT doc FROM p)""")
 def audit_wrong_access(spark: SparkSession, d: str) -> DataFrame:
-    """AUD-5: private environs and private access must agree."""
+    """AUD-5, AUD-12: private environs and private access must agree; documents where they do are reported as fine."""
     n = view(spark, d, "fx_environ")
-    return audit.wrong_access(n, ("E_theorem",)).join(n, ["doc", "node"]).select("doc", "node", "environ", "access")
+    return audit.rendered(audit.wrong_access(n, ("E_theorem",)), n).withColumn("args", F.array_join("args", ","))
 
 
 @query(f"""WITH {cte('fx_environ')}, a AS (SELECT doc, node, environ FROM fx_environ WHERE r % 13 <> 0 UNION ALL SELECT doc, node, 'extra' FROM fx_environ WHERE r % 11 = 0)
@@ -236,41 +263,46 @@ def audit_wrong_environ(spark: SparkSession, d: str) -> DataFrame:
     return audit.wrong_environ(n, a)
 
 
-@query(f"""WITH {cte('fx_markup')} SELECT doc, node, CASE WHEN substr(text, 1, 8) = chr(92) || 'section' THEN 'ok' ELSE 'WRONG_HEADER' END AS state FROM fx_markup""")
+@query(f"""WITH {cte('fx_version')}, {_HEADERS} SELECT h.doc, h.node, n.environ FROM h JOIN fx_environ n ON n.node = h.node""")
 def audit_wrong_header(spark: SparkSession, d: str) -> DataFrame:
-    """AUD-6: whether a sectioning node begins with its command."""
-    m = view(spark, d, "fx_markup").withColumn("environ", F.lit("section"))
-    bad = audit.wrong_header(m)
-    return m.join(bad.select("doc", "node", "code"), ["doc", "node"], "left").select("doc", "node", F.coalesce("code", F.lit("ok")).alias("state"))
+    """AUD-6: sectioning nodes of which a version doesn't begin with their command."""
+    return audit.wrong_header(view(spark, d, "fx_version")).select("doc", "node", F.get("args", F.lit(0)).alias("environ"))
 
 
-_INPUTS = """i AS (SELECT doc, node, lang, target FROM (SELECT doc, node, 'eng' AS lang, r % 4 AS target FROM fx_node UNION ALL SELECT doc, node, 'eng', r % 3 FROM fx_node UNION ALL SELECT doc, node, 'ita', r % 4 FROM fx_node WHERE r % 5 <> 0) q)"""
+@query(f"WITH {cte('fx_input')} SELECT doc, node, lang, target, count(*) AS n FROM fx_input WHERE target IS NOT NULL GROUP BY doc, node, lang, target HAVING count(*) > 1")
+def audit_dup_input(spark: SparkSession, d: str) -> DataFrame:
+    """AUD-8: the same input twice in one language."""
+    return audit.dup_input(view(spark, d, "fx_input"))
 
 
-def _inputs(spark: SparkSession, d: str) -> DataFrame:
-    n = view(spark, d, "fx_node")
-    one = n.select("doc", "node", F.lit("eng").alias("lang"), (F.col("r") % 4).alias("target"))
-    return one.unionByName(n.select("doc", "node", F.lit("eng").alias("lang"), (F.col("r") % 3).alias("target"))).unionByName(n.where("r % 5 <> 0").select("doc", "node", F.lit("ita").alias("lang"), (F.col("r") % 4).alias("target")))
+@query(f"""WITH {cte('fx_input')} SELECT v.doc, v.node, v.lang, t.target FROM (SELECT DISTINCT doc, node, lang FROM fx_version) v JOIN (SELECT DISTINCT node, target FROM fx_input WHERE target IS NOT NULL) t ON t.node = v.node
+WHERE NOT EXISTS (SELECT 1 FROM fx_input i WHERE i.node = v.node AND i.lang = v.lang AND i.target = t.target)""")
+def audit_missing_input(spark: SparkSession, d: str) -> DataFrame:
+    """AUD-9: versions of a node that lack an input that another has."""
+    return audit.missing_input(view(spark, d, "fx_input"), view(spark, d, "fx_version"))
 
 
-@query(f"WITH {cte('fx_node')}, {_INPUTS} SELECT doc, node, lang, target, count(*) AS n FROM i GROUP BY doc, node, lang, target HAVING count(*) > 1")
-def audit_dup_input(spark: SparkSession, d: str) -> DataFrame:
-    """AUD-8: the same input twice in one language."""
-    return audit.dup_input(_inputs(spark, d))
+@query(f"WITH {cte('fx_input')} SELECT doc, node, lang, path FROM fx_input i WHERE {_WRONG_INPUT}")
+def audit_wrong_input(spark: SparkSession, d: str) -> DataFrame:
+    """AUD-7: inputs of a wrong language, or of nothing."""
+    return audit.wrong_input(view(spark, d, "fx_input")).select("doc", "node", F.get("args", F.lit(0)).alias("lang"), F.get("args", F.lit(1)).alias("path"))
 
 
-@query(f"""WITH {cte('fx_node')}, {_INPUTS}, p AS (SELECT DISTINCT doc, node, lang FROM i), t AS (SELECT DISTINCT doc, node, target FROM i)
-SELECT p.doc, p.node, p.lang, t.target FROM p JOIN t ON t.doc = p.doc AND t.node = p.node WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.doc = p.doc AND i.node = p.node AND i.lang = p.lang AND i.target = t.target)""")
-def audit_missing_input(spark: SparkSession, d: str) -> DataFrame:
-    """AUD-9: languages of a node that lack an input that another has."""
-    return audit.missing_input(_inputs(spark, d))
+@query(f"WITH {cte('fx_input')} SELECT i.doc, i.node, i.macro, coalesce(i.context, '') AS context, c.environ FROM fx_input i JOIN fx_environ c ON c.node = i.target WHERE {_COMMAND}")
+def audit_commands(spark: SparkSession, d: str) -> DataFrame:
+    """TREE-13, AUD-4: commands that don't fit what they bring in."""
+    bad = audit.check_commands(view(spark, d, "fx_input"), view(spark, d, "fx_environ"))
+    arg = lambda i: F.coalesce(F.get("args", F.lit(i)), F.lit(""))
+    return bad.select("doc", "node", arg(0).alias("macro"), arg(1).alias("context"), arg(2).alias("environ"))
 
 
-@query(f"""WITH {cte('fx_node')}, u AS (SELECT doc, node, row_number() OVER (PARTITION BY doc ORDER BY node) AS k, count(*) OVER (PARTITION BY doc) AS n FROM fx_node WHERE node % 2 = 0)
+@query(f"""WITH {cte('fx_node')}, u AS (SELECT doc, node, row_number() OVER (PARTITION BY doc ORDER BY node) AS k, count(*) OVER (PARTITION BY doc) AS n FROM fx_node WHERE node % 2 = 0 AND node % 10 <> 0)
 SELECT doc, node, n FROM u WHERE k <= 16""")
 def audit_untranslated(spark: SparkSession, d: str) -> DataFrame:
     """AUD-10: nodes that lack one of the document's languages: the first 16, and how many there are."""
-    n = view(spark, d, "fx_node").select("doc", "node", F.when(F.col("node") % 2 == 0, F.array(F.lit("eng"))).otherwise(F.array(F.lit("eng"), F.lit("ita"))).alias("langs"))
+    exempt = F.when(F.col("node") % 3 == 0, "mul").when(F.col("node") % 3 == 1, "und").otherwise("zxx")
+    langs = F.when(F.col("node") % 10 == 0, F.array(exempt)).when(F.col("node") % 2 == 0, F.array(F.lit("eng"))).otherwise(F.array(F.lit("eng"), F.lit("ita")))
+    n = view(spark, d, "fx_node").select("doc", "node", langs.alias("langs"))
     return audit.untranslated(n, ["eng", "ita"])
 
 

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.ids import id_to_int, id_to_path, int_to_id, path_to_id
+from quire.operators import segment
 from quire.operators.attrs import flatten
+from quire.scratch import written
 
 
 def read_sources(spark: SparkSession, path: str, exts: tuple = ("tex",)) -> DataFrame:
     """(path, ext, text): one row per file of a folder tree."""
     glob = "*.{" + ",".join(exts) + "}"
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("_metadata.file_path", r"\.([^./]+)$", 1).alias("ext"), F.col("value").alias("text"))
 
 
@@ -20,22 +27,48 @@ def _from_path(c: Column) -> list[Column]:
     return [F.regexp_extract(c, r"([^/]+)/UUID/", 1).alias("doc"), id_to_int(path_to_id(c)).alias("node")]
 
 
+def write_texts(rows: DataFrame, root: str) -> DataFrame:
+    """Write rows(path, text), a file each at its path below ``root``; gives (path, bytes). A task that runs again writes
+    the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            sizes = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = (text or "").encode("utf-8")
+                store.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{top}/{path}", compression=None) as f:
+                    f.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    return written(rows.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).mapInArrow(run, "path string, bytes long"), "files")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, key, value, bad): key=value lines in order; lines without = come in ``bad``."""
+    """(path, pos, key, value, value2, bad): key=value lines in order, a second value after a tab; lines without = come in
+    ``bad``."""
     files = read_sources(spark, path, ("txt", "metadata")).select("path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where("line <> ''")
     at = F.instr("line", "=")
-    return files.select("path", "pos", F.when(at > 0, F.substr("line", F.lit(1), at - 1)).alias("key"), F.when(at > 0, F.substr("line", at + 1)).alias("value"), F.when(at == 0, F.col("line")).alias("bad"))
+    both = F.split(F.when(at > 0, F.substr("line", at + 1)), "\t", 2)
+    return files.select("path", "pos", F.when(at > 0, F.substr("line", F.lit(1), at - 1)).alias("key"), F.get(both, F.lit(0)).alias("value"), F.get(both, F.lit(1)).alias("value2"), F.when(at == 0, F.col("line")).alias("bad"))
 
 
 def write_metadata(nodes: DataFrame, edges: DataFrame, attrs: DataFrame, path: str) -> None:
-    """All fields, edges and attributes of nodes as key=value lines, a folder for each document."""
-    lines = flatten(nodes, edges, attrs).select("doc", F.concat_ws("=", F.concat_ws("/", F.col("node").cast("string"), "key"), "value").alias("value"))
-    lines.write.mode("overwrite").partitionBy("doc").text(path)
+    """All fields, edges and attributes of nodes as key=value lines, second values of attrs(..., value2) after a tab; a
+    folder for each document and node."""
+    second = attrs.select("doc", "node", "key", "value", "value2").distinct() if "value2" in attrs.columns else None
+    rows = flatten(nodes, edges, attrs)
+    if second is not None:
+        rows = rows.join(second, ["doc", "node", "key", "value"], "left").withColumn("value", F.concat_ws("\t", "value", "value2"))
+    lines = rows.select("doc", "node", F.concat_ws("=", "key", "value").alias("value"))
+    lines.repartition("doc", "node").write.mode("overwrite").partitionBy("doc", "node").text(path)
 
 
 def read_segments(spark: SparkSession, root: str) -> DataFrame:
     """(doc, node, lang, ext, text) of segments stored as doc/UUID/a/b/rest/blob_LLL.ext."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "blob*").option("wholetext", "true").text(root)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "blob*").text(root, wholetext=True)
     p = F.col("_metadata.file_path")
     return raw.select(*_from_path(p), F.regexp_extract(p, r"/blob(?:_([a-z]{3}))?\.[^/]+$", 1).alias("lang"), F.regexp_extract(p, r"(\.[^./]+)$", 1).alias("ext"), F.col("value").alias("text"))
 
@@ -45,47 +78,84 @@ def segment_paths(segments: DataFrame) -> DataFrame:
     return segments.withColumn("path", F.concat(F.col("doc"), F.lit("/"), id_to_path(int_to_id(F.col("node"))), F.lit("/blob_"), "lang", "ext"))
 
 
+def write_layout(segments: DataFrame, root: str) -> DataFrame:
+    """Segments as files in their layout below ``root``; gives (path, bytes)."""
+    return write_texts(segment_paths(segments), root)
+
+
 def write_segments(segments: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Segments as Parquet, a folder for each document; with mode overwrite only the given documents are replaced."""
     segments.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("doc").parquet(path)
 
 
+def _normal(path: Column) -> Column:
+    """A path without . and .. in it."""
+    none = F.array().cast("array<string>")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(F.split(path, "/"), none, lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    return F.array_join(kept, "/")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    r"""(file, key, value) of \newlabel{key}{{value}...} lines of .aux files, those of files that a file \@input's too."""
-    files = read_sources(spark, path, ("aux",)).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "text")
-    found = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"\\newlabel\{[^}]*\}\{\{[^}]*\}"), 0)).alias("m"))
-    labels = found.select("file", F.regexp_extract("m", r"\{([^}]*)\}", 1).alias("key"), F.regexp_extract("m", r"\{\{([^}]*)\}", 1).alias("value"))
-    includes = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"\\@input\{([^}]*)\}"), 1)).alias("next"))
-    reach = files.select(F.col("file").alias("top"), "file")
-    while True:
-        more = reach.join(includes, "file").select("top", F.col("next").alias("file"))
-        new = more.join(reach, ["top", "file"], "left_anti").distinct()
-        if new.isEmpty():
-            break
-        reach = reach.unionByName(new)
-    return reach.join(labels, "file").select(F.col("top").alias("file"), "key", "value").distinct()
+    r"""(path, doc, node, lang, key, value, value2) of \newlabel{label}{{a}{b}...} lines of .aux files and of those that
+    they \@input, directly or not: key is AUX_label_LLL, value the label in braces, value2 what it stands for, joined by
+    tabs. Files are known by their whole path; an input is looked for in the folder of the file that has it."""
+    found = read_sources(spark, path, ("aux",)).select("path", "text")
+    braces = r"\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
+    lines = found.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"\\newlabel\s*\{[^}]*\}\s*" + braces), 0)).alias("m"))
+    parts = F.regexp_extract_all(F.regexp_extract("m", braces + "$", 1), F.lit(r"\{([^{}]*)\}"), 1)
+    labels = written(lines.select("path", F.concat(F.lit("{"), F.trim(F.regexp_extract("m", r"\{([^}]*)\}", 1)), F.lit("}")).alias("value"), F.array_join(parts, "\t").alias("value2")), "labels")
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    includes = found.select("path", folder.alias("folder"), F.explode(F.regexp_extract_all("text", F.lit(r"\\@input\{([^}]*)\}"), 1)).alias("next")).where("next like '%.aux'")
+    includes = written(includes.select("path", F.when(F.col("next").startswith("/"), F.concat(F.regexp_extract("path", "^([a-z]+:(?://)?)?", 0), "next")).otherwise(_normal(F.concat("folder", "next"))).alias("next")), "includes")
+    front, seen = written(found.select(F.col("path").alias("top"), "path"), "reach"), []
+    while not front.isEmpty():
+        seen.append(front)
+        known = reduce(DataFrame.unionByName, seen)
+        step = front.join(includes, "path").select("top", F.col("next").alias("path")).distinct()
+        front = written(step.join(known, ["top", "path"], "left_anti"), "reach")
+    reach = reduce(DataFrame.unionByName, seen) if seen else front
+    p = F.col("top")
+    lang = F.regexp_extract(p, r"_([a-z]{3})\.aux$", 1)
+    rows = reach.join(labels, "path").select("top", "value", "value2").distinct()
+    return rows.select(p.alias("path"), *_from_path(p), lang.alias("lang"), F.concat(F.lit("AUX_label_"), lang).alias("key"), "value", "value2")
 
 
 def read_edits(spark: SparkSession, path: str) -> DataFrame:
-    """(node, lang, user_id, base_md5, content) of edit states, blob_LLL_USER_editstate.json."""
+    """(doc, node, lang, user_id, base_md5, content, ts) of edit states, blob_LLL_USER_editstate.json; ts is the file's
+    time."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_editstate.json").option("multiLine", "true").schema("base_md5 string, content string").json(path)
     p = F.col("_metadata.file_path")
-    return raw.select(id_to_int(path_to_id(p)).alias("node"), F.regexp_extract(p, r"blob_([a-z]{3})_\d+_editstate", 1).alias("lang"), F.regexp_extract(p, r"_(\d+)_editstate", 1).cast("long").alias("user_id"), "base_md5", "content")
+    user = F.regexp_extract(p, r"_(\d+)_editstate", 1).cast("long")
+    return raw.select(*_from_path(p), F.regexp_extract(p, r"blob_([a-z]{3})_\d+_editstate", 1).alias("lang"), user.alias("user_id"), "base_md5", "content", F.col("_metadata.file_modification_time").alias("ts"))
 
 
 def read_symbol_map(spark: SparkSession, path: str) -> DataFrame:
-    r"""(macro, symbol): a JSON object of macros and code points; names that aren't \letters are left out."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    r"""(macro, symbol): JSON objects of macros and code points; names that aren't \letters are left out."""
+    whole = spark.read.text(path, wholetext=True)
     pairs = whole.select(F.explode(F.from_json("value", "map<string,int>")).alias("macro", "code")).where(F.col("macro").rlike(r"^\\[a-zA-Z]+$"))
     return pairs.select("macro", F.decode(F.unhex(F.lpad(F.hex("code"), 8, "0")), "UTF-32").alias("symbol"))
 
 
+def inverse_symbols(symbols: DataFrame) -> DataFrame:
+    """(symbol, macro): the macro of each symbol, the first by name of those that have it."""
+    return symbols.groupBy("symbol").agg(F.min("macro").alias("macro"))
+
+
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(name, value): the rules that a corpus was segmented with, lists exploded."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("name", "v")).select("name", F.explode("v").alias("value"))
 
 
+def pattern_of_rules(rules: DataFrame) -> str:
+    """The marker pattern that read_rules' table stands for: metadata_command, verbatim_environment and split_graphic, where
+    they are given, in place of the usual ones. Rules are a few dozen names."""
+    named = {r["name"]: tuple(sorted(r["values"])) for r in rules.groupBy("name").agg(F.collect_set("value").alias("values")).collect()}
+    inputs = tuple(x for x in segment.INPUTS if x != "includegraphics") + named.get("split_graphic", ("includegraphics",))
+    return segment.marker_pattern(named.get("metadata_command", segment.COMMANDS), inputs=inputs, verbatim=named.get("verbatim_environment", segment.VERBATIM))
+
+
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     """(path, html) of rendered pages."""
     return read_sources(spark, path, ("html",)).select("path", F.col("text").alias("html"))

@@ -1,27 +1,36 @@
-"""Structured Streaming forms of the incremental jobs; each equals its batch twin once the stream has been read."""
+"""Structured Streaming forms of the incremental jobs; each equals its batch twin once the stream has been read.
+
+A job has a folder: what the stream has been read to, and its state tables. Started again on the same folder, it goes on
+where it stopped. State tables are dealt out by keys over buckets; a batch rewrites the buckets that its keys fall into,
+next to the old ones, and a small list of the present files is written last. A batch that is repeated after a failure
+starts from the list before it and writes the same.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.activity import newest
+from quire.scratch import shared_path
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/quire/{tag}-{uuid.uuid4().hex}"
+BUCKETS = 32
 
 
-def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], tag: str) -> None:
-    """Read what there is, batch by batch, and stop."""
-    spark = stream.sparkSession
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", shared_path(spark, f"{tag}-progress")).trigger(availableNow=True).outputMode("append").start()
+def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, after: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Read what there is, batch by batch, and stop; the progress is kept in ``folder``. ``after`` is a callback of the
+    caller's that gets each batch once it has been written."""
+
+    def both(batch: DataFrame, epoch: int) -> None:
+        write(batch, epoch)
+        if after is not None:
+            after(batch, epoch)
+
+    q = stream.writeStream.foreachBatch(both).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination()
 
 
@@ -44,38 +53,87 @@ def changes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("doc", "node").applyInPandasWithState(step, "doc string, node long, event_id long, md5 string", "md5 string", "append", "NoTimeout")
 
 
-class Latest:
-    """A table of the newest row of each key, written anew by each batch next to the old one; a batch that is repeated
-    after a failure writes the same."""
-
-    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], tag: str):
-        self.spark, self.keys, self.order, self.root, self.now = spark, keys, order, shared_path(spark, tag), None
+class Table:
+    """A table of rows by key in buckets. ``merge`` replaces the rows of some keys and leaves the other buckets alone."""
+
+    def __init__(self, spark: SparkSession, keys: list[str], root: str, buckets: int = BUCKETS):
+        self.spark, self.keys, self.root, self.buckets = spark, keys, root, buckets
+
+    def _files(self, epoch: int | None = None) -> dict[int, str]:
+        """The present folder of each bucket, or that before an epoch; at most as many as there are buckets."""
+        store = self.spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        lists = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/lists")
+        if not store.exists(lists):
+            return {}
+        names = [s.getPath().getName() for s in store.listStatus(lists)]
+        done = sorted(int(n) for n in names if n.isdigit() and store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/lists/{n}/_SUCCESS")))
+        before = [n for n in done if epoch is None or n < epoch]
+        return {r.bucket: r.path for r in self.spark.read.schema("bucket int, path string").json(f"{self.root}/lists/{before[-1]}").collect()} if before else {}
+
+    def bucket(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("__bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def rows(self, schema, touched: set[int] | None = None, epoch: int | None = None) -> DataFrame:
+        """The rows of all buckets, or of some; as they were before ``epoch``, if given."""
+        paths = [p for b, p in sorted(self._files(epoch).items()) if touched is None or b in touched]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def touched(self, changed: DataFrame) -> set[int]:
+        return {r[0] for r in self.bucket(changed.select(*self.keys)).select("__bucket").distinct().collect()}
+
+    def merge(self, changed: DataFrame, new: DataFrame, epoch: int) -> None:
+        """Put ``new`` in the place of the rows of the keys in ``changed``."""
+        touched = self.touched(changed)
+        kept = self.rows(new.schema, touched, epoch).join(changed.select(*self.keys).distinct(), self.keys, "left_anti").select(*new.columns)
+        path = f"{self.root}/epoch={epoch}"
+        self.bucket(kept.unionByName(new)).write.mode("overwrite").partitionBy("__bucket").parquet(path)
+        store = self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        now = {b: p for b, p in self._files(epoch).items() if b not in touched}
+        for b in touched:
+            place = f"{path}/__bucket={b}"
+            if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(place)):
+                now[b] = place
+        self.spark.createDataFrame(sorted(now.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").json(f"{self.root}/lists/{epoch}")
+
+
+def latest_stream(stream: DataFrame, keys: list[str], order: list[str], tag: str, folder: str | None = None) -> DataFrame:
+    """The newest row of each key after all that the stream has now."""
+    spark = stream.sparkSession
+    folder = folder or shared_path(spark, tag)
+    table = Table(spark, keys, f"{folder}/latest")
 
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        rows = batch if self.now is None else batch.unionByName(self.spark.read.parquet(self.now))
-        k = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*[F.desc(c) for c in self.order]))
-        path = f"{self.root}/{epoch}"
-        rows.withColumn("_k", k).where("_k = 1").drop("_k").write.mode("overwrite").parquet(path)
-        self.now = path
+    def write(batch: DataFrame, epoch: int) -> None:
+        changed = batch.select(*keys).distinct()
+        old = table.rows(stream.schema, table.touched(changed), epoch).join(changed, keys, "left_semi").select(*stream.columns)
+        table.merge(changed, newest(old.unionByName(batch.select(*stream.columns)), keys, order).select(*stream.columns), epoch)
 
-    def table(self, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.now) if self.now else self.spark.createDataFrame([], schema)
+    run_available(stream, write, folder)
+    return table.rows(stream.schema)
 
 
-def latest_stream(stream: DataFrame, keys: list[str], order: list[str], tag: str) -> DataFrame:
-    """The newest row of each key after all of the stream."""
-    sink = Latest(stream.sparkSession, keys, order, tag)
-    run_available(stream, sink, tag)
-    return sink.table(stream.schema)
+def derived_stream(stream: DataFrame, keys: list[str], order: list[str], derive: Callable[[DataFrame], DataFrame], tag: str, folder: str | None = None) -> DataFrame:
+    """What ``derive`` makes of the newest row of each key, kept up batch by batch: only keys whose newest row a batch
+    changes are derived anew, and their rows replaced. ``derive`` must keep the keys in its rows."""
+    spark = stream.sparkSession
+    folder = folder or shared_path(spark, tag)
+    latest, made = Table(spark, keys, f"{folder}/latest"), Table(spark, keys, f"{folder}/made")
+    schema = derive(spark.createDataFrame([], stream.schema)).schema
 
+    def write(batch: DataFrame, epoch: int) -> None:
+        asked = batch.select(*keys).distinct()
+        old = latest.rows(stream.schema, latest.touched(asked), epoch).join(asked, keys, "left_semi").select(*stream.columns)
+        now = newest(old.unionByName(batch.select(*stream.columns)), keys, order).select(*stream.columns)
+        latest.merge(asked, now, epoch)
+        same = old.select(*keys, *order)
+        changed = latest.rows(stream.schema, latest.touched(asked)).join(asked, keys, "left_semi").join(same, [*keys, *order], "left_anti").select(*stream.columns)
+        made.merge(changed, derive(changed), epoch)
 
-def derived_stream(stream: DataFrame, keys: list[str], order: list[str], derive: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
-    """What ``derive`` makes of the newest row of each key: rows of a key that has changed are replaced."""
-    return derive(latest_stream(stream, keys, order, tag))
+    run_available(stream, write, folder)
+    return made.rows(schema)
 
 
-def appended(stream: DataFrame, tag: str) -> DataFrame:
+def appended(stream: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
     """All rows of an append stream, as a table."""
-    root = shared_path(stream.sparkSession, tag)
-    run_available(stream, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{root}/epoch={epoch}"), tag)
-    return stream.sparkSession.read.schema(stream.schema).parquet(root)
+    folder = folder or shared_path(stream.sparkSession, tag)
+    run_available(stream, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}"), folder)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
