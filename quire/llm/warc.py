@@ -16,7 +16,7 @@ from quire.llm.files import RollingWriter, opened
 
 ARCHIVE_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 1000
-BLOCK = 1 << 20
+BLOCK, INFLATED = 1 << 20, 4 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION, VERSION_BYTES = re.compile(rb"WARC/\d\.\d\r\n"), 10
 
@@ -57,8 +57,10 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     group of nothing else are responses. Null payloads count as empty; null urls give records without a target.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("__id"), (F.col(url_col) if url_col in pages.columns else F.lit(None)).cast("string").alias("__url"), text_of(payload_col).cast("binary").alias("__payload"))
-    rows = rows.withColumn("__key", F.when(F.length("__payload") >= MIN_REVISIT_BYTES, F.sha2("__payload", 256)))
-    same = rows.where("__key is not null").groupBy("__key").agg(F.max("__id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    # small payloads, which match nothing, are dealt out by keys of their own
+    long = F.length("__payload") >= MIN_REVISIT_BYTES
+    rows = rows.withColumn("__key", F.when(long, F.sha2("__payload", 256)).otherwise(F.xxhash64("__id", "__url", "__payload").cast("string")))
+    same = rows.where(long).groupBy("__key").agg(F.max("__id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     judged = rows.join(same, "__key", "left").select(
         "__id", "__url", "__payload", F.sha1("__payload").alias("__sha1"), F.when(F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first")), F.col("__first")).alias("__refers")
     )
@@ -85,125 +87,129 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
 # -- reading
 
 
-class _Window:
-    """A sliding view of a file: bytes from ``base`` on, read in blocks as needed."""
+class _Reader:
+    """Bytes of a file by position, read in blocks; one block or one record is held at a time."""
 
     def __init__(self, f):
-        self.f, self.base, self.buf, self.ended = f, 0, b"", False
-
-    def more(self) -> bool:
-        block = b"" if self.ended else self.f.read(BLOCK)
-        self.ended = not block
-        self.buf += block
-        return bool(block)
-
-    def drop(self, n: int) -> None:
-        self.buf = self.buf[n:]
-        self.base += n
-
-    def find(self, pattern: re.Pattern, start: int, keep: int) -> int:
-        """Drop everything before the first match at or after ``start``; True position is then 0. -1: none to the end."""
-        self.drop(start)
-        while True:
-            if m := pattern.search(self.buf):
-                self.drop(m.start())
-                return 0
-            rest = max(0, len(self.buf) - keep)
-            self.drop(rest)
-            if not self.more():
-                self.drop(len(self.buf))
-                return -1
-
-
-def parse_record(data: bytes, whole: bool = True) -> tuple[dict, bytes, int]:
-    """Headers, block and full length of the record at the start of ``data``; ValueError tells what is wrong. EOFError:
-    the record goes on after ``data``; so may its header unless ``data`` is the ``whole`` rest."""
-    if not VERSION.match(data):
-        if not whole and len(data) < VERSION_BYTES:
-            raise EOFError("version line is cut off")
-        raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        if not whole and all(b":" in x for x in data.split(b"\r\n")[1:-1]):
-            raise EOFError("header is cut off")
-        raise ValueError("header does not end")
+        self.f = f
+        f.seek(0, 2)
+        self.size, self.start, self.block = f.tell(), 0, b""
+
+    def at(self, pos: int, n: int) -> bytes:
+        """``n`` bytes from ``pos`` on, fewer at the file's end."""
+        if pos < self.start or pos + n > self.start + len(self.block) < self.size or pos > self.start + len(self.block):
+            self.f.seek(pos)
+            self.start, self.block = pos, self.f.read(max(n, BLOCK))
+        return self.block[pos - self.start : pos - self.start + n]
+
+    def find(self, pattern: re.Pattern, pos: int, longest: int) -> int:
+        """Where the pattern, of at most ``longest`` bytes, next matches from ``pos`` on; the file's end if nowhere."""
+        while pos < self.size:
+            block = self.at(pos, max(BLOCK, 2 * longest))
+            if m := pattern.search(block):
+                return pos + m.start()
+            pos += max(1, len(block) - longest + 1)
+        return self.size
+
+
+def parse_head(data: bytes) -> dict:
+    """The fields of a header, which are ``data`` without the blank line; ValueError tells what is wrong."""
     head = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line without a colon")
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not head.get("content-length", "").isdigit():
+    if not re.fullmatch("[0-9]{1,18}", head.get("content-length", "")):
         raise ValueError("no content length")
-    size = int(head["content-length"])
-    stop = end + 4 + size
-    if len(data) < stop + 4:
-        raise EOFError("record is cut off")
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        raise ValueError("no end of record")
-    block = data[end + 4 : stop]
+    return head
+
+
+def _checked(head: dict, block: bytes) -> bytes:
     said = head.get("warc-block-digest", "")
     if said.startswith("sha1:") and said[5:].lower() != hashlib.sha1(block).hexdigest():
         raise ValueError("block digest differs")
-    return head, block, stop + 4
+    return block
+
+
+def _record(r: _Reader, pos: int) -> tuple[dict, bytes, int]:
+    """Fields, block and length of the record at ``pos``. The end that its Content-Length claims is looked up before
+    the block is read, so a false length costs no more than that."""
+    n = 4096
+    while True:
+        data = r.at(pos, n)
+        if not VERSION.match(data):
+            raise ValueError("no version line")
+        end = data.find(b"\r\n\r\n")
+        if end >= 0:
+            break
+        if len(data) < n or not all(b":" in x for x in data.split(b"\r\n")[1:-1]):
+            raise ValueError("header does not end")
+        n *= 2
+    head = parse_head(data[:end])
+    size, at = int(head["content-length"]), pos + end + 4
+    if at + size + 4 > r.size:
+        raise EOFError("record is cut off")
+    if r.at(at + size, 4) != b"\r\n\r\n":
+        raise ValueError("no end of record")
+    return head, _checked(head, r.at(at, size)), end + 4 + size + 4
 
 
-def _member(w: _Window) -> tuple[bytes, int]:
-    """The gzip member at the start of the window, inflated, and its length; errors leave the window's start alone."""
-    z, out, used = zlib.decompressobj(31), [], 0
+def _member(r: _Reader, pos: int) -> tuple[dict, bytes, int]:
+    """Fields and block of the record in the gzip member at ``pos``, and the member's length. No more is inflated than
+    the record's header asks for, and a step at most."""
+    z, out, used, head, whole = zlib.decompressobj(31), bytearray(), 0, None, 0
     while not z.eof:
-        while used >= len(w.buf):
-            if not w.more():
-                raise EOFError("member is cut off")
-        piece = w.buf[used : used + BLOCK]
-        out.append(z.decompress(piece))
-        used += len(piece) - len(z.unused_data)
-    return b"".join(out), used
+        piece = r.at(pos + used, BLOCK)
+        new = z.decompress(piece, INFLATED)
+        if not piece and not new:
+            raise EOFError("member is cut off")
+        used += len(piece) - len(z.unconsumed_tail) - len(z.unused_data)
+        out += new
+        if head is None:
+            if (len(out) >= VERSION_BYTES or z.eof) and not VERSION.match(out):
+                raise ValueError("no version line")
+            end = out.find(b"\r\n\r\n", max(0, len(out) - len(new) - 3))
+            if end >= 0:
+                head = parse_head(bytes(out[:end]))
+                start = end + 4
+                whole = start + int(head["content-length"]) + 4
+        if head is not None and len(out) > whole:
+            raise ValueError("bytes after the record in its member")
+    if head is None:
+        raise ValueError("header does not end")
+    if len(out) < whole:
+        raise EOFError("record is cut off")
+    if out[-4:] != b"\r\n\r\n":
+        raise ValueError("no end of record")
+    return head, _checked(head, bytes(out[start:-4])), used
 
 
 def salvage(f) -> Iterator[tuple[str, int, int, object]]:
-    """Records and gaps of an archive, compressed or not: ("record", offset, length, (headers, block)) or
-    ("gap", offset, length, reason).
+    """Records and gaps of an archive, compressed or not: ("record", offset, length, (fields, block)) or
+    ("gap", offset, length, reason). ``f`` needs read, seek and tell.
 
     A record counts only if its member inflates with the right checksum, its header is whole, its end is where
     Content-Length says and its block digest holds. After a failure the reader looks for the next gzip member or
     version line that can be read, goes on there, and reports the bytes between as one gap.
     """
-    w = _Window(f)
-    w.more()
+    r, pos = _Reader(f), 0
     gap: tuple[int, str] | None = None
     start = re.compile(re.escape(MAGIC) + rb"|WARC/\d\.\d\r\n")
-    while w.buf or w.more():
-        at = w.base
+    while pos < r.size:
         try:
-            while len(w.buf) < len(MAGIC) and w.more():
-                pass
-            if w.buf.startswith(MAGIC):
-                data, used = _member(w)
-                head, block, n = parse_record(data)
-                if n != len(data):
-                    raise ValueError("bytes after the record in its member")
-            else:
-                while True:
-                    ended = w.ended
-                    try:
-                        head, block, used = parse_record(w.buf, ended)
-                        break
-                    except EOFError:
-                        if ended:
-                            raise
-                        w.more()
+            head, block, used = (_member if r.at(pos, len(MAGIC)) == MAGIC else _record)(r, pos)
         except (ValueError, EOFError, zlib.error) as e:
-            gap = gap or (at, str(e))
-            w.find(start, min(1, len(w.buf)), 16)
+            gap = gap or (pos, str(e))
+            pos = r.find(start, pos + 1, VERSION_BYTES)
             continue
         if gap:
-            yield "gap", gap[0], at - gap[0], gap[1]
+            yield "gap", gap[0], pos - gap[0], gap[1]
             gap = None
-        yield "record", at, used, (head, block)
-        w.drop(used)
+        yield "record", pos, used, (head, block)
+        pos += used
     if gap:
-        yield "gap", gap[0], w.base - gap[0], gap[1]
+        yield "gap", gap[0], pos - gap[0], gap[1]
 
 
 def _page(uri: str | None) -> int | None:
@@ -259,7 +265,8 @@ def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives, read them back, and describe every record; a record that can't be read back is an
-    error."""
+    error. One row comes back for each row of ``pages``, repeats and null ids too; null html is an empty payload, a null
+    or missing url none; other columns are ignored, whatever their names; an empty table gives none."""
     spark = pages.sparkSession
     archives = materialise(write_archives(pages, fresh_dir(spark, "warc")), "warc-list")
     return read_archives(archives, payloads=False, strict=True).select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
