@@ -3,11 +3,11 @@ one-versus-rest kernel ridge regression, scored by batched matrix products."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ LANDMARKS, RIDGE = 64, 1e-3
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 4000
 SLOT_BITS = 18
 BATCH_CHARS = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def grams(text: str) -> list[np.ndarray]:
