@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, text_of
+from quire.llm.common import free_name, materialise, text_of
 from quire.llm.graph import components
 
 #: 32 bands of 5 registers: a pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**32 < 4e-6.
@@ -160,31 +160,31 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, both, link): how many shingles the full sets of each pair have in common, and whether that makes a link."""
+    """The pairs (a, b) whose full sets are similar enough."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_text, last_set = None, None
         for batch in batches:
-            counts, keep = [], []
+            keep = []
             for x, y in zip(batch["text_a"], batch["text_b"], strict=True):
                 if x != last_text:
                     last_text, last_set = x, shingle_set(split_words(x), size)
                 other = shingle_set(split_words(y), size)
                 both = len(np.intersect1d(last_set, other, assume_unique=True))
-                counts.append(both)
                 keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
-            yield batch[["a", "b"]].assign(both=counts, link=keep)
+            yield batch.loc[keep, ["a", "b"]]
         forget_words()
 
     side = lambda x: docs.select(F.col(id_col).cast("long").alias(x), text_of(text_col).alias(f"text_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long, both long, link boolean")
+    return joined.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
 def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of buckets with members of several components, with ``label``, the member's component."""
-    labelled = rows.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    several = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    """The rows of buckets with members of several components, with ``label``, the member's component. What is known of
+    a bucket is written first: then the join with its rows is one that Spark can split where a bucket is large."""
+    labelled = materialise(rows.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "labelled")
+    several = materialise(labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "several")
     return labelled.join(several, "bucket")
 
 
@@ -204,6 +204,76 @@ def _own_shingles(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_
     return once.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
 
+def _sets(docs: DataFrame, marked: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(unit, id, label, stray, n, shingles): the sets of the marked documents; a unit is an id with one of its texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                part = batch.iloc[at : at + 100]
+                sets = [shingle_set(split_words(t), size).view(np.int64) for t in part["text"]]
+                yield part.drop(columns="text").assign(n=[len(x) for x in sets], shingles=sets)
+        forget_words()
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    units = texts.withColumn("unit", F.xxhash64("id", "text")).join(marked, "id").dropDuplicates(["unit"])
+    return units.select("unit", "id", "label", "stray", "text").mapInPandas(run, "unit long, id long, label long, stray boolean, n long, shingles array<long>").where("n > 0")
+
+
+def _block_links(docs: DataFrame, marked: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): all links between marked(id, label, stray) documents of different labels of which one is a stray.
+
+    Shingles that stand in the same documents form a block, told by the xor of two hashes of those documents; a document
+    is then a few blocks with weights, besides the shingles of its own, and a set has all of a block or nothing. Of two
+    sets that are alike enough, the larger has all blocks that weigh more than the smaller may miss; with two such blocks
+    or more, only sets that have the two rarest of them are looked at. Otherwise the two have a block in common that
+    comes early in both: with the rarest first, what stands before the first common one can't weigh more than a set may
+    miss, and the weights from there on must allow the link. The pairs that are left are counted exactly, block by block.
+    """
+    sets = materialise(_sets(docs, marked, size, id_col, text_col), "sets")
+    members = sets.select("unit", F.explode("shingles").alias("s"))
+    posting = members.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("unit")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "unit")).alias("y"))
+    posting = posting.where("df > 1").select("s", "df", F.xxhash64("df", "x", "y").alias("block"))
+    blocks = materialise(members.join(posting, "s").groupBy("unit", "block").agg(F.count(F.lit(1)).alias("w"), F.min("df").alias("df")), "blocks")
+    info = ["unit", "id", "label", "stray", "n"]
+    # a block that weighs more than the smaller set may miss is in the larger set too; so are the two rarest of such blocks
+    need, have = F.lit(100 + percent) * F.col("w") > F.lit(100 - percent) * F.col("n"), F.lit(100 * (100 + percent)) * F.col("w") > F.lit(percent * (100 - percent)) * F.col("n")
+    heavy = blocks.join(sets.drop("shingles"), "unit").where(have).withColumn("need", need)
+    heavy = heavy.groupBy(*info).agg(F.array_sort(F.collect_list(F.struct("df", "block", "need"))).alias("h"))
+    must = F.transform(F.filter("h", lambda v: v["need"]), lambda v: v["block"])
+    heavy = materialise(heavy.select(*info, F.transform("h", lambda v: v["block"]).alias("h"), must.alias("must")), "heavy")
+    two = heavy.where(F.size("must") > 1).select(*info, F.get("must", F.lit(0)).alias("one"), F.get("must", F.lit(1)).alias("other"))
+    first = heavy.select(*info, "h", F.posexplode("h").alias("i", "one"))
+    both = first.select(*info, "one", F.explode(F.slice("h", F.col("i") + 2, F.size("h"))).alias("other"))
+    # for the other sets, blocks that come early: what stands before them can be missed
+    order = Window.partitionBy("unit").orderBy("df", "block")
+    later = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = blocks.select("unit", "block", later.alias("rest")).join(sets.drop("shingles"), "unit")
+    rows = materialise(rows.where(F.lit(100) * F.col("rest") >= F.lit(percent) * F.col("n")), "prefixes")
+    early = rows.where(F.lit(100 + percent) * F.col("rest") >= F.lit(2 * percent) * F.col("n")).join(two.select("unit"), "unit", "left_anti")
+    named = lambda df, k, *on: df.select(*on, *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in on])
+    lesser = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("unit_x") < F.col("unit_y")))
+    wanted = lesser & (F.col("label_x") != F.col("label_y")) & (F.col("stray_x") | F.col("stray_y")) & (F.lit(100) * F.col("n_x") >= F.lit(percent) * F.col("n_y"))
+    fits = F.lit(100 + percent) * F.least("rest_x", "rest_y") >= F.lit(percent) * (F.col("n_x") + F.col("n_y"))
+    ends = ["unit_x", "unit_y", "id_x", "id_y", "n_x", "n_y"]
+    met = named(two, "x", "one", "other").join(named(both, "y", "one", "other"), ["one", "other"]).where(wanted).select(*ends)
+    met = met.unionByName(named(early, "x", "block").join(named(rows, "y", "block"), "block").where(wanted & fits).select(*ends))
+    pairs = materialise(met.distinct(), "pairs")
+    own = F.array_sort(F.collect_list(F.struct("block", "w")))
+    vectors = materialise(blocks.groupBy("unit").agg(own.alias("v")).select("unit", F.col("v.block").alias("block"), F.col("v.w").alias("w")), "vectors")
+    side = lambda k: vectors.select(F.col("unit").alias(f"unit_{k}"), F.col("block").alias(f"block_{k}"), F.col("w").alias(f"w_{k}"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            both = []
+            for a, w, b in zip(batch["block_x"], batch["w_x"], batch["block_y"], strict=True):
+                both.append(int(w[np.intersect1d(a, b, assume_unique=True, return_indices=True)[1]].sum()))
+            both = np.array(both, np.int64)
+            yield batch.loc[100 * both >= percent * (batch["n_x"].to_numpy() + batch["n_y"].to_numpy() - both), ["id_x", "id_y"]].set_axis(["a", "b"], axis=1)
+
+    return pairs.join(side("y"), "unit_y").join(side("x"), "unit_x").select("id_x", "id_y", "n_x", "n_y", "block_x", "w_x", "block_y").mapInPandas(check, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -220,11 +290,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
        bucket has it; a document with over a fifth of its set of its own can't be linked, and leaves first;
     2. in buckets that still hold several components, the members outside the most frequent one against the most typical
        of themselves;
-    3. in buckets that still do, each such member against all members of other components that it may be linked with:
-       two sets have no more in common than the lesser part of each within the typical member's set, plus the lesser
-       number of shingles outside it that aren't a document's own.
-    So a bucket of many copies, or of many documents around one passage, costs about its size, and no candidate pair
-    goes untested unless its documents are joined already or can't be linked.
+    3. of buckets that still do, each such member against the documents of other components, by exact prefixes of their
+       sets (see ``_block_links``), without regard to buckets.
+    So a bucket of many copies costs about its size, documents around one passage pair up only where they share more than
+    the passage, and no candidate pair goes untested unless its documents are joined already or can't be linked.
     """
     sketches = materialise(sketch(docs, size, id_col, text_col), "sketch")
     reps = materialise(sketches.where("n > 0").groupBy("key", "n", "sig").agg(F.min("id").alias("id")), "classes")
@@ -234,15 +303,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
         likely = materialise(_likely(pairs, nodes, percent), "likely")
         return materialise(_verified(likely, docs, size, percent, id_col, text_col), "tested")
 
-    def star(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The most typical member of each bucket, and all others paired with it."""
-        middle = rows.groupBy("bucket").agg(F.min_by("id", F.col("own") / F.col("n")).alias("a"))
-        return middle, rows.join(middle, "bucket").where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    def star(rows: DataFrame) -> DataFrame:
+        """All members of each bucket paired with its most typical one."""
+        middle = materialise(rows.groupBy("bucket").agg(F.min_by("id", F.col("own") / F.col("n")).alias("a")), "middle")
+        return rows.join(middle, "bucket").where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
     def outside(rows: DataFrame) -> DataFrame:
         """Rows with ``main``, the most frequent label of their bucket."""
         main = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-        return rows.join(main, "bucket")
+        return rows.join(materialise(main, "main"), "bucket")
 
     rows = _buckets(nodes)
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
@@ -250,33 +319,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
     own = materialise(_own_shingles(docs, shared.select("id").distinct(), size, id_col, text_col), "own")
     able = shared.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
     able = materialise(able, "able")
-    middle, pairs = star(able)
-    first = tested(pairs)
-    links = first.where("link").select("a", "b")
-    joined = materialise(components(links), "components")
+    first = tested(star(able))
+    joined = materialise(components(first), "components")
 
-    # how much each member shares with its bucket's typical one, where that was counted
-    shares = first.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "both")
-    left = _mixed(able, joined).join(middle, "bucket").withColumn("lo", F.least("a", "id")).withColumn("hi", F.greatest("a", "id")).join(shares, ["lo", "hi"], "left")
-    inside = F.when(F.col("id") == F.col("a"), F.col("n")).otherwise(F.col("both"))
-    left = materialise(outside(left.select("bucket", "id", "n", "own", "label", inside.alias("inside"))), "left")
-    second = tested(star(left.where("label <> main"))[1])
-    links = links.unionByName(second.where("link").select("a", "b"))
+    left = materialise(outside(_mixed(able, joined)), "left")
+    second = tested(star(left.where("label <> main")))
+    links = first.unionByName(second)
     joined = materialise(components(links), "components")
 
-    left = materialise(outside(_mixed(left.drop("label", "main"), joined)), "left")
-    # each row carries its document's buckets (32 at most), so that a pair comes from the least one it shares alone
-    left = left.join(left.groupBy("id").agg(F.collect_set("bucket").alias("all")), "id")
-    others = left.where("label <> main").select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "own", "label", "inside", "all")])
-    total = F.least(F.col("n") - F.col("own"), F.col("o_n") - F.col("o_own"))
-    beside = F.least(F.col("n") - F.col("own") - F.col("inside"), F.col("o_n") - F.col("o_own") - F.col("o_inside"))
-    common = F.least(total, F.coalesce(F.least("inside", "o_inside") + F.greatest(beside, F.lit(0)), total))
-    common = F.when(F.col("inside").isNull() | F.col("o_inside").isNull(), total).otherwise(common)
-    fits = (F.col("o_label") != F.col("label")) & (100 * common >= percent * (F.col("n") + F.col("o_n") - common)) & ((F.col("label") == F.col("main")) | (F.col("o_id") < F.col("id")))
-    fits = fits & (F.col("bucket") == F.array_min(F.array_intersect("all", "o_all")))
-    third = tested(left.join(others, "bucket").where(fits).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()).where("link")
-    if not third.isEmpty():
-        joined = components(links.unionByName(third.select("a", "b")))
+    left = outside(_mixed(left.drop("label", "main"), joined))
+    marked = materialise(left.groupBy("id").agg(F.min("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("stray")), "marked")
+    if not marked.isEmpty():
+        third = materialise(_block_links(docs, marked, size, percent, id_col, text_col), "third")
+        if not third.isEmpty():
+            joined = components(links.unionByName(third))
 
     classes = reps.select("key", F.col("id").alias("node")).join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     whole = sketches.select("id", "key", "n").join(classes, "key", "left")
@@ -289,6 +345,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps, with their own columns: one id of each group stays."""
-    gone = near_duplicates(docs, size, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that near_duplicates keeps, with their own columns, whatever their names: one id of each group
+    stays, with all rows that repeat it; rows without an id or without words stay; an empty table gives an empty one."""
+    at = free_name(docs, "__gone")
+    gone = near_duplicates(docs, size, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias(at)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(at), "left_anti")
