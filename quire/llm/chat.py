@@ -80,7 +80,8 @@ def format_conversations(rows: DataFrame, source: str = TEMPLATE, conv_col: str
     spark = rows.sparkSession
     picked = rows.select(F.col(conv_col).alias("__c"), F.col(turn_col).alias("__t"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), text_of(text_col).alias("text"))
     keys = ["__c", "__t", "role"]
-    dealt = picked.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "text")
+    # the beginning of the text sorts as the text does, and keeps equal turns (null ones, say) out of one task
+    dealt = picked.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, F.substring("text", 1, 64)).sortWithinPartitions(*keys, "text")
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         template, worker, part = chat_template(source), TaskContext.get().partitionId(), 0

@@ -41,6 +41,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have (names that differ in case alone are the same to Spark)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(name: str) -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

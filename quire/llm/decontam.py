@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import text_of
+from quire.llm.common import free_name, text_of
 
 #: Edits allowed, as a share of the item's words; items with fewer words than MIN_WORDS prove nothing and never match.
 EDITS, MIN_WORDS = 0.2, 5
@@ -218,7 +218,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     word number end_word. Clean rows give none.
 
     Null and empty texts hold nothing; null items, and items of fewer than 5 words, match nothing. Rows that repeat an
-    id or a text are judged each; items that repeat an id likewise. Whole texts are read. The items are broadcast in
+    id or a text are judged each; items that repeat an id likewise. Of places at the same distance the first counts. Other
+    columns are ignored, whatever their names; an empty table or benchmark gives none. Whole texts are read. The items are broadcast in
     blocks of bounded size, and a benchmark of several blocks takes a pass over the documents for each.
     """
     spark = docs.sparkSession
@@ -269,6 +270,8 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a passage of the benchmark, with their own columns."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs`` without a passage of the benchmark, with their own columns, whatever their names. Rows that
+    repeat an id of which one holds a passage all go; null and empty texts stay; an empty table gives an empty one."""
+    at = free_name(docs, "__bad")
+    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(at)).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(at)), "left_anti")

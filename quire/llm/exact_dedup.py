@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold_ascii, text_of
+from quire.llm.common import fold_ascii, free_name, text_of
 
 
 def groups_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -56,10 +56,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with their own columns."""
-    gone = exact_dedup(docs, id_col, text_col, keep).where("not kept").select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
+    """The rows of ``docs`` that exact_dedup keeps, with their own columns, whatever their names. Null and empty texts are
+    one group; rows that repeat the kept id all stay; an empty table gives an empty one."""
+    at, digest = free_name(docs, "__gone"), free_name(docs, "__sha")
+    gone = exact_dedup(docs, id_col, text_col, keep).where("not kept").select(F.col(id_col).alias(at), F.col("text_sha256").alias(digest)).distinct()
     sha = F.sha2(fold_ascii(text_of(text_col)).cast("binary"), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col(at)) & (sha == F.col(digest)), "left_anti")
 
 
 SQL = """

@@ -9,7 +9,8 @@ from quire.llm.common import materialise
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node that a link (a, b) touches; component is the least node it can reach.
+    """(node, component) for every node that a link (a, b) touches; component is the least node it can reach. No links
+    give no rows; links of a node with itself and repeated ones add nothing.
 
     Each round points all neighbours of a node to the least of them (large stars), then all smaller neighbours (small
     stars), until the links stay as they are; a star with very many leaves takes one aggregation before the shuffle

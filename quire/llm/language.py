@@ -8,15 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold_bucket, hash_sample, text_of
+from quire.llm.common import fold_bucket
 
 #: Orders of the n-grams that are blended.
 ORDERS = (1, 2, 3)
 LANDMARKS, RIDGE = 64, 1e-3
-#: The bounded sample: so many documents, in hash order, of at most so many characters each.
+#: The bounded sample: so many documents in all, dealt equally to the languages, of at most so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 4000
 SLOT_BITS = 18
 BATCH_CHARS = 1 << 19
@@ -115,17 +115,31 @@ def identify(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     return lang, score
 
 
+def _sample(rows: DataFrame) -> DataFrame:
+    """Of rows(__id, __text, __lang) an equal share of SAMPLE_DOCS for each language, 20 at least, in hash order of the id.
+    Texts over SAMPLE_CHARS characters count only where a language has no others, the shortest first. Before any are
+    sorted, a hash leaves about twice as many of each language as are wanted, so no language is sorted whole."""
+    long = F.greatest(F.length("__text"), F.lit(SAMPLE_CHARS))
+    per = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(long == SAMPLE_CHARS).alias("short"))
+    per = per.withColumn("of", F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("all")))
+    wanted = max(20, SAMPLE_DOCS // max(1, per.count()))
+    share = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < F.lit(2.0 * wanted * (1 << 30)) / F.col("of") + F.lit(20 << 20)
+    near = rows.join(F.broadcast(per), "__lang").where(((long == SAMPLE_CHARS) | (F.col("short") == 0)) & share)
+    place = F.row_number().over(Window.partitionBy("__lang").orderBy(long, F.xxhash64("__id"), "__id", "__text"))
+    return near.withColumn("k", place).where(F.col("k") <= wanted).select("__id", "__text", "__lang")
+
+
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per input row: id, held_out, lang_pred, score.
+    """One row per input row, repeated ids too: id, held_out, lang_pred, score; none for an empty table. Other columns are
+    ignored, whatever their names.
 
     The model learns from a bounded sample of the documents with a language and a text whose crc32 of the id as text
     modulo 3 is not 1 (a null id counts as the empty text); every whole text is then scored. Null texts, empty ones and
     those without a letter are `und` with score 0, and so is every text where there is nothing to learn from.
     """
     rows = docs.select(F.col(id_col).alias("__id"), fold_bucket(id_col, 3).eqNullSafe(F.lit(1)).alias("held_out"), F.col(text_col).cast("string").alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
-    able = rows.where("not held_out and __lang is not null").where(F.length("__text").between(1, SAMPLE_CHARS) & F.col("__text").rlike(r"\p{L}"))
-    picked = hash_sample(able, F.xxhash64("__id"), SAMPLE_DOCS).groupBy("__id").agg(F.min(F.struct("__text", "__lang")).alias("__x"))
-    sample = [(r[0], r[1]) for r in picked.orderBy(F.xxhash64("__id"), "__id").select("__x.__text", "__x.__lang").collect()]
+    picked = _sample(rows.where("not held_out and __lang is not null").where(F.col("__text").rlike(r"\p{L}")))
+    sample = [(r[0], r[1]) for r in picked.orderBy(F.xxhash64("__id"), "__id", "__lang", "__text").select("__text", "__lang").collect()]
     model = fit([t for t, _ in sample], [x for _, x in sample]) if sample else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

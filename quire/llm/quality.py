@@ -111,7 +111,8 @@ def votes(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, prior: flo
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted.
+    """One row per input row, rows with a repeated or null id too: id, held_out, score, predicted; none for an empty table.
+    Other columns are ignored, whatever their names; ties among neighbours' similarities may go either way.
 
     The space and the labelled vectors come from a bounded sample of labelled rows outside the held-out fifth (crc32 of
     the id as text modulo 5; a null id counts as the empty text). Every whole text is scored against all labelled

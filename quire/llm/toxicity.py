@@ -256,7 +256,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted.
+    """One row per input row, rows with a repeated or null id too: id, held_out, score, predicted; none for an empty table.
+    Other columns are ignored, whatever their names. Ties in the sample's hash order go by the id.
 
     The network learns from a bounded sample of labelled rows outside the held-out fifth (crc32 of the id as text
     modulo 5; a null id counts as the empty text). Every whole text is scored; null, empty and blank texts score as one
@@ -293,8 +294,12 @@ def score_with(net: Network, docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores below the threshold, with their own columns. Scored row by row, so nothing
-    is shuffled; other columns pass through untouched."""
+    is shuffled; other columns pass through untouched, whatever their names. Null and empty texts are scored as one empty
+    window; repeated rows stay or go together; an empty table gives an empty one. Without labels of both classes there is
+    nothing to tell documents apart by, and all stay."""
     sample = labelled_sample(docs, labels, label, SAMPLE_DOCS, SAMPLE_CHARS, id_col, text_col)
+    if len({y for _, y in sample}) < 2:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(train([t for t, _ in sample], [y for _, y in sample]).p)
     names, types = docs.columns, docs.dtypes
 

@@ -152,3 +152,67 @@ def test_decontamination_finds_planted_passages(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in pairs}
     assert decontam.contaminated(table(spark, []), bench).count() == 0
     assert decontam.contaminated(table(spark, docs), bench.limit(0)).count() == 0
+
+
+def test_near_duplicates_around_one_passage(spark):
+    """Texts that share most of a passage and parts of their ends: many lie just below the limit, some just above it."""
+    r = random.Random(11)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    core = words(60)
+    heads, tails = [words(n) for n in (4, 9, 10, 12, 14)], [words(n) for n in (3, 8, 10, 11, 15)]
+    rows = [(k * 7 + j, " ".join([*h, *core, *t])) for k, h in enumerate(heads) for j, t in enumerate(tails)]
+    rows += [(500 + k, " ".join([*h[:-2], "x", *core[: 58 - k], *t])) for k, (h, t) in enumerate(zip(heads, tails, strict=True))]
+    rows += [(3, " ".join(core)), (3, " ".join(core[:50])), (900, " ".join(words(5) + core))]
+    once = {i: t for i, t in rows if i != 3}
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(table(spark, list(once.items())), 4).collect()}
+    assert got == {i: c for i, (_, c, _) in brute(list(once.items()), 4).items()}
+    assert len(set(got.values())) > 1
+    assert near_dedup.near_duplicates(table(spark, rows), 4).count() == len(rows)
+
+
+@pytest.mark.parametrize("percent", [2, 5, 10, 15, 20])
+def test_decontamination_recall_by_edits(percent):
+    r = random.Random(percent)
+    voc = [f"v{k}" for k in range(3000)]
+    items = [(k, [r.choice(voc) for _ in range(r.randrange(20, 60))]) for k in range(60)]
+    finder = decontam.Finder(decontam.Index([(k, " ".join(w)) for k, w in items]))
+    found = wanted = 0
+    for _ in range(6):
+        texts, planted = [], []
+        for k, own in items:
+            copy = [[w] for w in own]
+            for at in r.sample(range(len(copy)), int(percent / 100 * len(copy))):
+                copy[at] = r.choice([[], ["edited"], ["edited"], [*copy[at], "more"]])
+            words = [r.choice(voc) for _ in range(r.randrange(0, 200))]
+            at = r.randrange(len(words) + 1)
+            words[at:at] = [w for part in copy for w in part]
+            part = words[max(0, at - 30) : at + len(own) + 30]
+            if edit(own, part) <= decontam.EDITS * len(own):
+                planted.append((len(texts), k))
+            texts.append(" ".join(words))
+        got = {(t, k) for t, k, _, _ in finder.find([decontam.fingerprints(t) for t in texts])}
+        found, wanted = found + len(got & set(planted)), wanted + len(planted)
+    assert wanted > 300 and found >= 0.9 * wanted
+
+
+def test_decontamination_takes_clashing_names_and_long_texts(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, "x " * 60_000 + item + " y" * 60_000), (1, "clean"), (2, None), (3, "clean")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, edit_distance int, end_word int, __bad int")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = decontam.contaminated(docs, bench).collect()
+    assert [(r.doc_id, r.item_id, r.edit_distance, r.end_word) for r in got] == [(1, 7, 0, 60_030)]
+    left = decontam.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3]
+    assert decontam.contaminated(docs.limit(0), bench).count() == decontam.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_long_texts(spark):
+    r = random.Random(3)
+    long = [f"u{k}" for k in range(120_000)]
+    edited = list(long)
+    for k in r.sample(range(len(long)), 3000):
+        edited[k] = "edited"
+    rows = [(1, " ".join(long)), (2, " ".join(edited)), (3, " ".join(long[:90_000])), (4, "a " * 100_000), (5, "a " * 100_001)]
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(table(spark, rows), 4).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}

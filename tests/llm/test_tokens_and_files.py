@@ -213,3 +213,63 @@ def test_conversations(spark, monkeypatch):
 def test_registered(spark):
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
     assert F is not None
+
+
+def test_decode_gives_way_to_a_clash_and_takes_nulls(spark):
+    df = spark.createDataFrame([(1, [1, 2], "old", 5), (2, None, "old", 6), (3, [], "old", 7), (3, [], "old", 7)], "doc_id long, ids array<int>, decoded string, id int")
+    got = bpe.decode(df, RANKS)
+    assert got.columns == ["doc_id", "ids", "id", "decoded"]
+    want = {1: LIBRARY.decode_bytes([1, 2]), 2: None, 3: b""}
+    assert sorted((r.doc_id, None if r.decoded is None else bytes(r.decoded)) for r in got.collect()) == sorted([(k, want[k]) for k in (1, 2, 3, 3)], key=str)
+    assert bpe.decode(df.limit(0), RANKS).count() == 0
+    with pytest.raises(Exception, match="no token"):
+        bpe.decode(spark.createDataFrame([([10**6],)], "ids array<int>"), RANKS).collect()
+
+
+def test_long_texts_and_repeated_rows_are_encoded(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choice(["word ", "Ünï ", "\n", "x1. "]) for _ in range(120_000)), "a" * 20_000, " " * 30_000, "b c"]
+    rows = [(k % 3, t) for k, t in enumerate(texts * 2)]
+    got = bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), RANKS, PATTERN).collect()
+    assert [(x.doc_id, bytes(x.decoded).decode()) for x in got] == rows
+    assert [x.ids for x in got] == [LIBRARY.encode_ordinary(t) for _, t in rows]
+
+
+def test_added_tokens_as_the_library_has_them():
+    library, own = Tokenizer.from_file(JSON), token_store.LibraryEncoder(JSON, PATTERN)
+    texts = ["<|endoftext|>", "a <|endoftext|>  b<|endoftext|>", "plain", "<|endoftext|", "é 日本  x<|endoftext|>"]
+    assert own.batch(pa.array(texts)).to_pylist() == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=120))
+def test_any_text_as_the_library_has_it(text):
+    assert OWN.batch(pa.array([text, "", text + " x"])).to_pylist() == [WHOLE.encode(t, add_special_tokens=False).ids for t in (text, "", text + " x")]
+
+
+OWN, WHOLE = token_store.LibraryEncoder(JSON, PATTERN), Tokenizer.from_file(JSON)
+
+
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Some Words  here", "", "x\ny"]
+    assert token_store.LibraryEncoder(path, PATTERN).batch(pa.array(texts)).to_pylist() == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_salvage_of_large_records_and_wrong_lengths(compressed):
+    own = records(4)
+    big = warc.build_record(50, "u", b"p" * (5 << 20), "", "response", None)
+    at = own[1].index(b"\r\nContent-Length: ") + 18
+    wrong = own[1][:at] + b"9999" + own[1][at:]
+    data = b"".join(warc.compress_member(x) if compressed else x for x in (own[0], big, wrong, own[2], own[3]))
+    out = list(warc.salvage(io.BytesIO(data)))
+    assert [warc._page(x[3][0]["warc-record-id"]) for x in out if x[0] == "record"] == [0, 50, 2, 3]
+    assert sum(x[2] for x in out) == len(data)
+
+
+def test_long_conversation_parts(spark):
+    long = "é" * (1 << 21)
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long), (1, 2, "assistant", "[INST]")], "conv_id long, turn long, role string, text string")
+    x = chat.digest_conversations(chat.format_conversations(df)).first()
+    assert (x.n_turns, x.loss_chars, x.loss_sha256) == (3, len(long) + 6, hashlib.sha256((long + "[INST]").encode()).hexdigest())
