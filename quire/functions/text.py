@@ -172,11 +172,22 @@ def rewrite_links(page: Column, placeholder: str, url: str, node: Column, lang:
 
 
 def _line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else list(difflib.ndiff(a.split("\n"), b.split("\n"))) for a, b in zip(old, new, strict=True)], dtype=object)
+    def one(a: str | None, b: str | None) -> list[str] | None:
+        if a is None or b is None:
+            return None
+        x, y, out = a.split("\n"), b.split("\n"), []
+        for kind, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            if kind == "equal":
+                out += [f"  {line}" for line in x[i:j]]
+            else:
+                out += [f"- {line}" for line in x[i:j]] + [f"+ {line}" for line in y[k:m]]
+        return out
+
+    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)], dtype=object)
 
 
 def line_diff(old: Column, new: Column) -> Column:
-    """The difference of two texts as lines that begin with `- `, `+ `, two spaces, or `? ` for hints."""
+    """The difference of two texts as lines that begin with `- `, `+ ` or two spaces."""
     return F.pandas_udf(_line_diff, "array<string>")(old, new)
 
 
