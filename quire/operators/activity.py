@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.numbering import number_within
@@ -14,16 +14,12 @@ def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*keys, "__row.*")
 
 
-def latest_edits(edits: DataFrame) -> DataFrame:
-    """The newest edit of each (doc, node, user_id)."""
-    return newest(edits, ["doc", "node", "user_id"], ["ts", "event_id"])
-
-
 def uncompiled_saves(edits: DataFrame, segments: DataFrame) -> DataFrame:
-    """(user_id, nodes): nodes whose newest saved text differs from the stored one, by user."""
+    """(user_id, doc, node, lang, event_id): each user's newest edit of a version that differs from the stored text; edits
+    of languages that the node doesn't have are leftovers and don't count."""
     now = segments.select("doc", "node", "lang", "text")
-    open_ = latest_edits(edits).join(now, ["doc", "node", "lang"]).where("content <> text")
-    return open_.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("node")), ",").alias("nodes"))
+    last = newest(edits.select("doc", "node", "lang", "user_id", "ts", "event_id", "content"), ["doc", "node", "lang", "user_id"], ["ts", "event_id"])
+    return last.join(now, ["doc", "node", "lang"]).where("content <> text").select("user_id", "doc", "node", "lang", "event_id")
 
 
 def conflicts(edits: DataFrame, segments: DataFrame) -> DataFrame:
@@ -64,6 +60,11 @@ def needs_rerun(text: str):
     return F.col(text).rlike("Rerun to get|Label\\(s\\) may have changed|undefined references")
 
 
+def output_changed(before: Column, now: Column) -> Column:
+    """Whether a run changed a file that the next run reads, by the fingerprints before and after; a new file counts."""
+    return ~before.eqNullSafe(now)
+
+
 def worklist(nodes: DataFrame, reached: DataFrame, excluded: tuple) -> DataFrame:
     """(doc, node, place): nodes to compile: among reached(doc, node), of a kind that compiles, least recently compiled first and never
     compiled ones before all."""

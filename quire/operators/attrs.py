@@ -23,6 +23,17 @@ def get(attrs: DataFrame, key: str) -> DataFrame:
     return attrs.where(F.col("key") == key).groupBy("doc", "node").agg(F.sort_array(F.collect_list("value")).alias("values"))
 
 
+def get_pairs(attrs: DataFrame, key: str) -> DataFrame:
+    """(doc, node, pairs): the values of a key with their second values, sorted; null where there is no second one."""
+    pair = F.struct("value", "value2")
+    return attrs.where(F.col("key") == key).groupBy("doc", "node").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+
+
+def keys(attrs: DataFrame) -> DataFrame:
+    """(doc, node, keys): the keys that each node has, sorted."""
+    return attrs.groupBy("doc", "node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+
+
 def pivot(attrs: DataFrame, keys: list[str]) -> DataFrame:
     """One row per node and a column of joined values for each key."""
     wide = attrs.groupBy("doc", "node").pivot("key", keys).agg(F.array_join(F.sort_array(F.collect_list("value")), ";"))
@@ -83,6 +94,11 @@ def replaces(attrs: DataFrame) -> DataFrame:
     return rows.where(normalize_id(F.col("id")).isNotNull() & (F.col("id") != "")).select("doc", "node", id_to_int(F.col("id")).alias("replaced")).distinct()
 
 
+def replaced_by(replacements: DataFrame) -> DataFrame:
+    """(doc, node, by): the other direction of ``replaces``: the nodes that took a node's place."""
+    return replacements.select("doc", F.col("replaced").alias("node"), F.col("node").alias("by"))
+
+
 def merge_status(status: DataFrame, results: DataFrame) -> DataFrame:
     """(doc, node, status): status(map) after results(doc, node, prog, ok, seq), of which the last of a program counts: a
     success drops its key, a failure sets it."""

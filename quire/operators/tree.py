@@ -208,11 +208,30 @@ def subtree_hash(nodes: DataFrame, edges: DataFrame, visits: DataFrame, content:
     return out
 
 
-def dedup_content(files: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, hash, canonical): equal contents share the least key as canonical member."""
-    hashed = files.select(F.col(key).alias("key"), F.md5(text).alias("hash"))
-    least = hashed.groupBy("hash").agg(F.min("key").alias("canonical"))
-    return hashed.join(least, "hash").select("key", "hash", "canonical")
+def dedup_content(files: DataFrame, key: str, text: str, name: str | None = None) -> DataFrame:
+    """(key, hash, canonical[, stored]): equal contents share the least key as canonical member. The bytes are compared
+    inside a hash: contents that only have their hash in common stay apart. With a file name column, ``stored`` is the
+    name under which the content is kept, `name--hash.ext` of the canonical member."""
+    own = [F.col(name).alias("name")] if name else []
+    hashed = files.select(F.col(key).alias("key"), F.md5(text).alias("hash"), F.sha2(text, 512).alias("sha"), *own)
+    pairs = files.select(F.col(key).alias("key"), F.md5(text).alias("hash"), F.col(text).alias("text"), *own)
+    least = pairs.groupBy("hash", "text").agg(F.min(F.struct("key", *(["name"] if name else []))).alias("c"))
+    least = least.select("hash", F.sha2("text", 512).alias("sha"), F.col("c.key").alias("canonical"), *([F.col("c.name").alias("kept_name")] if name else []))
+    found = hashed.join(least, (hashed["hash"] == least["hash"]) & hashed["sha"].eqNullSafe(least["sha"]))
+    stored = F.concat(F.regexp_replace("kept_name", r"\.[^./]*$", ""), F.lit("--"), hashed["hash"], F.regexp_extract("kept_name", r"(\.[^./]*)$", 1)) if name else None
+    return found.select("key", hashed["hash"].alias("hash"), "canonical", *([F.col("name"), stored.alias("stored")] if name else []))
+
+
+def rewrite_references(pages: DataFrame, aliases: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): pages in which src="name" points at what aliases(name, stored) say is stored for that name; other names
+    stay. A page is split at its references, so only names and places go through the join."""
+    pattern = r'src="([^"]*)"'
+    parts = pages.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.regexp_replace(F.translate(text_col, "\x01\x02", ""), pattern, 'src="\x01$1\x02"'), "\x01", -1)).alias("pos", "part"))
+    named = parts.withColumn("name", F.when(F.col("pos") > 0, F.substring_index("part", "\x02", 1)))
+    one = aliases.groupBy("name").agg(F.min("stored").alias("stored"))
+    joined = named.join(one, "name", "left").withColumn("part", F.when(F.col("pos") > 0, F.concat(F.coalesce("stored", "name"), F.substring_index("part", "\x02", -1))).otherwise(F.col("part")))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "")
+    return joined.groupBy("id").agg(whole.alias("text"))
 
 
 def orphans(store: DataFrame, aliases: DataFrame) -> DataFrame:

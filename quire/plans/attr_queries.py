@@ -27,6 +27,14 @@ def attr_get(spark: SparkSession, d: str) -> DataFrame:
     return attrs.get(view(spark, d, "fx_attr"), "M_index").withColumn("values", F.array_join("values", ";"))
 
 
+@query(f"""WITH {cte('fx_attr')}, p AS (SELECT doc, node, string_agg(value || coalesce('=' || CASE WHEN node % 3 = 0 THEN CAST(node AS VARCHAR) END, ''), ';' ORDER BY value) AS pairs FROM fx_attr WHERE key = 'M_cite' GROUP BY doc, node), k AS (SELECT doc, node, string_agg(DISTINCT key, ',' ORDER BY key) AS keys FROM fx_attr GROUP BY doc, node) SELECT k.doc, k.node, k.keys, p.pairs FROM k JOIN p ON p.node = k.node""")
+def attr_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """ATT-2: values with second values, and the keys that nodes have."""
+    a = view(spark, d, "fx_attr").withColumn("value2", F.when(F.col("node") % 3 == 0, F.col("node").cast("string")))
+    shown = F.array_join(F.transform("pairs", lambda x: F.concat_ws("=", x["value"], x["value2"])), ";")
+    return attrs.get_pairs(a, "M_cite").join(attrs.keys(a), ["doc", "node"]).select("doc", "node", F.array_join("keys", ",").alias("keys"), shown.alias("pairs"))
+
+
 @query(f"""WITH {cte('fx_attr')} SELECT doc, node, string_agg(value, ';' ORDER BY value) FILTER (WHERE key = 'M_label') AS "M_label", string_agg(value, ';' ORDER BY value) FILTER (WHERE key = 'M_cite') AS "M_cite" FROM fx_attr GROUP BY doc, node""")
 def attr_pivot(spark: SparkSession, d: str) -> DataFrame:
     """ATT-2: a wide view."""
@@ -401,12 +409,13 @@ def people_interested(spark: SparkSession, d: str) -> DataFrame:
     return access.interested(asked, view(spark, d, "fx_local_author"), users, view(spark, d, "fx_member"))
 
 
-@query(f"""WITH {cte('fx_edit')}, l AS (SELECT *, row_number() OVER (PARTITION BY doc, node, user_id ORDER BY ts DESC, event_id DESC) AS k FROM fx_edit)
-SELECT user_id, string_agg(DISTINCT CAST(l.node AS VARCHAR), ',' ORDER BY CAST(l.node AS VARCHAR)) AS nodes FROM l JOIN fx_node n ON n.node = l.node WHERE k = 1 AND l.content <> n.text GROUP BY user_id""")
+@query(f"""WITH {cte('fx_edit')}, l AS (SELECT *, row_number() OVER (PARTITION BY doc, node, lang, user_id ORDER BY ts DESC, event_id DESC) AS k FROM (SELECT doc, node, event_id, user_id, ts, content, CASE WHEN event_id % 5 = 0 THEN 'xx' ELSE lang END AS lang FROM fx_edit) q)
+SELECT l.user_id, l.doc, l.node, l.lang, l.event_id FROM l JOIN fx_node n ON n.node = l.node AND n.lang = l.lang WHERE k = 1 AND l.content <> n.text""")
 def activity_uncompiled(spark: SparkSession, d: str) -> DataFrame:
-    """ACT-1: saved but never compiled, by user."""
-    out = activity.uncompiled_saves(view(spark, d, "fx_edit"), view(spark, d, "fx_node"))
-    return out.withColumn("nodes", F.array_join(F.sort_array(F.split("nodes", ",")), ","))
+    """ACT-1: saved but never compiled, a row for each user and version; edits of languages that the node lacks are left
+    out."""
+    e = view(spark, d, "fx_edit").withColumn("lang", F.when(F.col("event_id") % 5 == 0, "xx").otherwise(F.col("lang")))
+    return activity.uncompiled_saves(e, view(spark, d, "fx_node"))
 
 
 @query(f"WITH {cte('fx_edit')} SELECT event_id, doc, node, user_id FROM fx_edit WHERE event_id % 4 = 0")
@@ -447,8 +456,10 @@ def activity_log_errors(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("context", F.regexp_replace("context", "\n+$", ""))
 
 
-@query("SELECT doc_id, contains(text, 'undefined references') OR contains(text, 'Rerun to get') OR contains(text, 'Label(s) may have changed') OR doc_id % 3 = 0 AS again FROM documents")
+@query("SELECT doc_id, contains(text, 'undefined references') OR contains(text, 'Rerun to get') OR contains(text, 'Label(s) may have changed') OR doc_id % 3 = 0 OR doc_id % 5 = 0 AS again FROM documents")
 def activity_rerun(spark: SparkSession, d: str) -> DataFrame:
     """ACT-6: logs that ask for another pass."""
     log = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nLaTeX Warning: Rerun to get cross-references right."))).otherwise(F.col("text"))
-    return view(spark, d, "documents").select("doc_id", log.alias("log")).select("doc_id", activity.needs_rerun("log").alias("again"))
+    now = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    runs = view(spark, d, "documents").select("doc_id", log.alias("log"), F.md5("text").alias("before"), F.md5(now).alias("now"))
+    return runs.select("doc_id", (activity.needs_rerun("log") | activity.output_changed(F.col("before"), F.col("now"))).alias("again"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.fixtures import cte, view
 from quire.functions import ids
-from quire.operators import audit, tree
+from quire.operators import attrs, audit, tree
 from quire.plans.registry import query
 from quire.plans.rules import SECTIONS, child_rules, child_rules_sql, extension_rules, extension_rules_sql, kind_sql
 
@@ -147,6 +147,12 @@ def tree_disconnected(spark: SparkSession, d: str) -> DataFrame:
     return tree.disconnected(n, tree.reachable(e, tree.roots_of(n)), by)
 
 
+@query(f"""WITH {cte('fx_attr')} SELECT DISTINCT doc, replaced AS node, node AS by FROM (SELECT doc, node, node % 10 AS replaced FROM fx_node WHERE node % 11 = 0 UNION ALL SELECT doc, node, 10 FROM fx_node WHERE node % 11 = 0) q""")
+def tree_replaced_by(spark: SparkSession, d: str) -> DataFrame:
+    """TREE-10: what took a node's place."""
+    return attrs.replaced_by(attrs.replaces(view(spark, d, "fx_attr")))
+
+
 @query()
 def tree_loops(spark: SparkSession, d: str) -> DataFrame:
     """TREE-6: visits that close a loop (tested against a recursive walk)."""
@@ -201,6 +207,19 @@ def tree_dedup_content(spark: SparkSession, d: str) -> DataFrame:
     return tree.dedup_content(view(spark, d, "documents"), "doc_id", "text")
 
 
+_ALIASES = """a AS (SELECT doc_id, 'f' || doc_id || '.png' AS name, 'f' || min(doc_id) OVER (PARTITION BY text) || '--' || md5(text) || '.png' AS stored FROM documents)"""
+
+
+@query(f"""WITH {_ALIASES} SELECT doc_id AS id, '<img src="' || stored || '">' || text || '<img src="none.png"><img src="' || stored || '">' AS text FROM a JOIN documents USING (doc_id)""")
+def tree_rewrite_references(spark: SparkSession, d: str) -> DataFrame:
+    """TREE-16: references to copies pointed at the one that is stored."""
+    files = view(spark, d, "documents").withColumn("name", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".png")))
+    aliases = tree.dedup_content(files, "doc_id", "text", "name")
+    image = F.concat(F.lit('<img src="'), "name", F.lit('">'))
+    pages = files.select("doc_id", F.concat(image, "text", F.lit('<img src="none.png">'), image).alias("html"))
+    return tree.rewrite_references(pages, aliases, "doc_id", "html")
+
+
 @query(f"""WITH {cte('fx_node')} SELECT DISTINCT md5(text) AS hash FROM fx_node n WHERE NOT EXISTS (SELECT 1 FROM fx_node m WHERE m.r % 2 = 0 AND md5(m.text) = md5(n.text))""")
 def tree_orphans(spark: SparkSession, d: str) -> DataFrame:
     """TREE-18: stored copies that nothing refers to."""
