@@ -160,6 +160,15 @@ def resolve_inputs(pieces: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files, ["doc", "path"], "left").select("doc", "node", "pos", "path", "target")
 
 
+def reparse_inputs(deep: DataFrame, files: DataFrame, macros: tuple = ("input", "include")) -> DataFrame:
+    """(doc, node, pos, macro, path, context, target, again, bad): inputs of texts with the environment around them, joined
+    to files(doc, path, target); ``again`` tells that the text has input the target before, ``bad`` that there is none."""
+    rows = deep.where(F.col("macro").isin(*macros)).select("doc", "node", "pos", "macro", F.regexp_replace("arg", r"\.tex$", "").alias("path"), F.col("env").alias("context"))
+    found = rows.join(files.select("doc", "path", "target"), ["doc", "path"], "left")
+    before = F.row_number().over(Window.partitionBy("doc", "node", "target").orderBy("pos"))
+    return found.select("doc", "node", "pos", "macro", "path", "context", "target", (F.col("target").isNotNull() & (before > 1)).alias("again"), F.col("target").isNull().alias("bad"))
+
+
 def input_nodes(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (doc, node, path) of the known files among resolved inputs, once each, and edges (doc, parent, child,
     ordinal) from all that input them."""

@@ -20,10 +20,11 @@ def text_protect(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc", "node", protect.restore(F.col("p"), F.col("toks")).alias("text"), F.col("p").contains("\\").alias("shows"))
 
 
-@query(f"""WITH {cte('fx_markup')} SELECT doc, node, doc || ' ' || chr(92) || 'emph{{' || lang || '}}' AS title, chr(92) || 'section{{' || doc || ' ' || chr(92) || 'emph{{' || lang || '}}}}' || chr(10) AS header, substr(text, 20 + length(doc) + length(lang)) AS body FROM fx_markup""")
+@query(f"""WITH {cte('fx_markup')} SELECT doc, node, doc || ' ' || chr(92) || 'emph{{' || lang || '}}' AS title, chr(92) || 'section{{' || doc || ' ' || chr(92) || 'emph{{' || lang || '}}}}' || chr(10) AS header, substr(text, 20 + length(doc) + length(lang)) AS body, md5(text) AS whole FROM fx_markup""")
 def text_headers(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-11: hidden headers and editable bodies."""
-    return view(spark, d, "fx_markup").select("doc", "node", segment.split_header(F.col("text")).alias("s")).select("doc", "node", "s.title", "s.header", "s.body")
+    """TXT-11: hidden headers and editable bodies, and both put together again."""
+    parts = view(spark, d, "fx_markup").select("doc", "node", segment.split_header(F.col("text")).alias("s"))
+    return parts.select("doc", "node", "s.title", "s.header", "s.body", F.md5(segment.join_header(F.col("s"))).alias("whole"))
 
 
 @query(f"""{_walk_sql('fx_edge')}, f AS (SELECT w.doc, w.node, w.path, coalesce((SELECT 'f' || a.r FROM w v JOIN fx_node a ON a.node = v.node WHERE v.doc = w.doc AND starts_with(w.path, v.path) AND a.r % 4 = 1 ORDER BY length(v.path) DESC LIMIT 1), '') AS file FROM w),

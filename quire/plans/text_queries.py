@@ -111,6 +111,17 @@ def seg_input_nodes(spark: SparkSession, d: str) -> DataFrame:
     return edges.join(nodes.select("doc", F.col("node").alias("child")), ["doc", "child"]).join(per, ["doc", "child"]).select("doc", "parent", "child", "ordinal", "parents")
 
 
+@query(f"""WITH {_PIECES}, i AS (SELECT p.doc, p.node, p.pos * 2 + k AS pos, macro, regexp_replace(arg, '\\.tex$', '') AS path, env AS context FROM p, (VALUES (0), (1)) v(k) WHERE macro = 'input'), j AS (SELECT i.*, t.node AS target FROM i LEFT JOIN fx_node t ON t.doc = i.doc AND 'f' || t.r = i.path)
+SELECT doc, node, path, context, target, target IS NOT NULL AND row_number() OVER (PARTITION BY doc, node, target ORDER BY pos) > 1 AS again, target IS NULL AS bad FROM j""")
+def attr_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """ATT-5: inputs with their context, repeated and bad ones told (each input is doubled here)."""
+    m = view(spark, d, "fx_markup")
+    twice = m.select("doc", "node", F.regexp_replace("text", r"(\\input\{[^{}]*\})", "$1$1").alias("text"))
+    files = view(spark, d, "fx_node").select("doc", F.format_string("f%d", "r").alias("path"), F.col("node").alias("target"))
+    found = segment.reparse_inputs(segment.with_depth(segment.explode_markers(twice)), files)
+    return found.select("doc", "node", "path", "context", "target", "again", "bad")
+
+
 def _pictures(spark: SparkSession, d: str) -> DataFrame:
     n = view(spark, d, "fx_node")
     files = n.select("doc", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k")).distinct()
