@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, decontam, exact_dedup, language, near_dedup, quality, token_store, toxicity, warc
+from quire.llm import bpe, chat, decontam, exact_dedup, language, near_dedup, quality, ranking, repair, token_store, toxicity, warc
 from quire.llm.common import table
 
 
@@ -56,6 +56,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {
         f.__name__: f
@@ -70,9 +78,11 @@ def queries():
             op8_warc,
             op9_byte_bpe,
             op10_decontamination,
+            op11_ranked_search,
+            op12_conversation_repair,
         )
     }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.SQL, "op2_chat_formatting": chat.SQL, "op8_warc": warc.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op2_chat_formatting": chat.SQL, "op8_warc": warc.SQL, "op11_ranked_search": ranking.SQL, "op12_conversation_repair": repair.SQL}
