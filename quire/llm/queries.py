@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, decontam, exact_dedup, language, near_dedup, quality, ranking, repair, token_store, toxicity, warc
+from quire.llm import bpe, chat, decontam, exact_dedup, language, near_dedup, quality, ranking, repair, repeats, token_store, toxicity, warc
 from quire.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         f.__name__: f
@@ -80,6 +84,7 @@ def queries():
             op10_decontamination,
             op11_ranked_search,
             op12_conversation_repair,
+            op13_suffix_dedup,
         )
     }
 
