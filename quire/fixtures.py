@@ -65,11 +65,12 @@ SELECT n.doc, n.node, n.r, n.lang, concat(
   chr(92), 'begin{{theorem}}[', n.lang, ']', chr(10), n.text, chr(10),
   chr(92), 'index{{', w.w1, '!', w.w2, '}}', chr(10), '% note ', chr(92), 'label{{no}}', chr(10),
   chr(92), 'begin{{verbatim}}', chr(92), 'section{{no}}% $x$', chr(10), chr(92), 'end{{verbatim}}', chr(10),
-  chr(92), 'begin{{equation}}', chr(92), 'label{{eq:', n.node, '{{}}{{a{{b}}}}}} $x_', n.r, '$ ', chr(92), 'end{{equation}}', chr(10),
+  chr(92), 'begin{{equation}}', chr(92), 'label{{eq:', n.node, '{{}}{{a{{b{{c{{d{{e}}}}}}}}}}}} $x_', n.r, '$ ', chr(92), 'end{{equation}}', chr(10),
   chr(92), 'end{{theorem}}', chr(10), 'See ', chr(92), 'ref{{doc:', (n.node * 7) % {N} + 1, '}} and $$y$$ ', chr(92), 'verb|$z$ ', chr(92), 'ref{{no}}|.', chr(10),
   chr(92), 'begin{{itemize}}', chr(92), 'item first ', n.r, chr(10), chr(92), 'item second', chr(92), 'end{{itemize}}', chr(10),
   chr(92), 'input{{f', (n.r * 3) % 50, '.tex}}%', chr(10), chr(92), 'includegraphics[width=1cm]{{pic', n.r % 9, '.png}}', chr(10), chr(92), 'bibliography{{bib', n.r % 3, ' , amsrefs}}', chr(10),
-  CASE WHEN n.r % 6 = 0 THEN concat(chr(92), 'end{{lost}}', chr(10)) WHEN n.r % 8 = 1 THEN concat(chr(92), 'begin{{a}}', chr(92), 'end{{b}}', chr(92), 'input{{/etc/f}}', chr(10)) ELSE '' END) AS text
+  CASE WHEN n.r % 6 = 0 THEN concat(chr(92), 'end{{lost}}', chr(10)) WHEN n.r % 8 = 1 THEN concat(chr(92), 'begin{{a}}', chr(92), 'end{{b}}', chr(92), 'input{{/etc/f}}', chr(10)) ELSE '' END,
+  CASE WHEN n.r % 97 = 5 THEN concat(chr(92), 'label{{', repeat('{{g}}', 5000), '}}', chr(10)) WHEN n.r % 10 = 3 THEN concat(chr(92), 'label{{open', chr(10)) ELSE '' END) AS text
 FROM fx_node n JOIN fx_word w ON w.node = n.node""",
     "fx_user": """
 SELECT c_custkey AS user_id, c_name AS username, c_acctbal >= 0 AS is_active, c_custkey % 40 = 7 AS is_superuser FROM customer""",

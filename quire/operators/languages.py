@@ -27,7 +27,7 @@ def language_lines(text: Column, lang: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x).startswith(mine) | ~F.ltrim(x).startswith(HEADER))
     plain = lambda x: F.when(x.contains(HEADER), F.concat(x, F.lit(MISPLACED))).otherwise(x)
     bare = F.transform(lines, lambda x: F.when(F.ltrim(x).startswith(mine), F.substr(F.ltrim(x), F.length(mine) + 1)).otherwise(plain(x)))
-    return F.concat(F.regexp_replace(F.array_join(bare, "\n"), "\n$", ""), F.lit("\n"))
+    return F.concat(F.regexp_replace(F.array_join(bare, "\n"), r"\n\z", ""), F.lit("\n"))
 
 
 def retarget_inputs(text: Column, old: Column, new: Column) -> Column:
@@ -66,10 +66,11 @@ def multimerge(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, place.cast("long").alias("place"), "lang", "text")
 
 
-def lookahead(sources: list[list[str]], depth: int = 32, names: list[str] | None = None) -> list[tuple[list[int], str]]:
+def lookahead(sources: list[list[str]], depth: int = 32, names: list[str] | None = None, together: bool = False) -> list[tuple[list[int], str]]:
     """Lines of several versions merged. When all versions that go on have the same next line, it comes once, with the
     numbers of them all. Otherwise one version gives its line alone: the one whose lines ahead hold the nearest copy of
-    another version's next line, so that the copy comes nearer; ties go by the versions' names."""
+    another version's next line, so that the copy comes nearer; ties go by the versions' names. With ``together`` all
+    versions that have that line next give it, so that each line comes with the set of its owners."""
     names = names or [f"{k:06d}" for k in range(len(sources))]
     at, out = [0] * len(sources), []
     live = [k for k, s in enumerate(sources) if s]
@@ -79,7 +80,7 @@ def lookahead(sources: list[list[str]], depth: int = 32, names: list[str] | None
             gives = live[0]
             if len(live) > 1:
                 gives = min((_distance(sources[z], at[z], heads[k], depth), names[z], names[k], z) for k in live for z in live if z != k)[3]
-            owners = [gives]
+            owners = [k for k in live if heads[k] == heads[gives]] if together else [gives]
         else:
             owners = live
         out.append((owners, heads[owners[0]]))
@@ -97,34 +98,37 @@ def _distance(lines: list[str], at: int, wanted: str, depth: int) -> int:
     return depth + 1
 
 
-def multimerge_lookahead(texts: DataFrame, depth: int = 32) -> DataFrame:
-    """(doc, node, place, langs, text) from texts(doc, node, lang, text): the language versions of each node merged with
-    common lines once. A node's versions are a few texts of one segment; a merge is sequential within a node."""
+def multimerge_lookahead(texts: DataFrame, depth: int = 32, together: bool = False) -> DataFrame:
+    """(doc, node, place, langs, text, common) from texts(doc, node, lang, text): the language versions of each node merged
+    with common lines once; ``common`` tells that all versions of the node have the line. A node's versions are a few
+    texts of one segment; a merge is sequential within a node."""
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, node, langs, all_ in zip(batch["doc"], batch["node"], batch["langs"], batch["texts"], strict=True):
-                merged = lookahead([t.split("\n") for t in all_], depth, list(langs))
-                rows = [(doc, node, i, ",".join(langs[k] for k in own), line) for i, (own, line) in enumerate(merged)]
-                yield pd.DataFrame(rows, columns=["doc", "node", "place", "langs", "text"])
+                merged = lookahead([t.split("\n") for t in all_], depth, list(langs), together)
+                rows = [(doc, node, i, ",".join(langs[k] for k in own), line, len(own) == len(langs)) for i, (own, line) in enumerate(merged)]
+                yield pd.DataFrame(rows, columns=["doc", "node", "place", "langs", "text", "common"])
 
     ordered = F.sort_array(F.collect_list(F.struct("lang", "text")))
     per = texts.groupBy("doc", "node").agg(ordered.alias("v")).select("doc", "node", F.transform("v", lambda x: x["lang"]).alias("langs"), F.transform("v", lambda x: x["text"]).alias("texts"))
-    return per.mapInPandas(merge, "doc string, node long, place long, langs string, text string")
+    return per.mapInPandas(merge, "doc string, node long, place long, langs string, text string, common boolean")
 
 
 def to_mul(segments: DataFrame) -> DataFrame:
-    """(doc, node, lang, text): all versions of each node as one mixed text. Of a node in one language, lines that aren't
-    blank get its header; of several, they are merged, lines of one version get its header and common ones none. Input
-    paths are pointed at the mixed versions."""
+    """(doc, node, lang, text): all versions of each node as one mixed text, from which ``from_mul`` gets each version back.
+    Of a node in one language, lines that aren't blank get its header; of several, they are merged: lines of all of
+    them get no header, others come once with the header of each version that has them. Lines with a header of their own in
+    them always get one more. Input paths are pointed at the mixed versions."""
     own = segments.select("doc", "node", "lang", retarget_inputs(F.col("text"), F.col("lang"), F.lit("mul")).alias("text"))
     count = own.groupBy("doc", "node").agg(F.count(F.lit(1)).alias("versions"))
     own = own.join(count, ["doc", "node"])
     header = lambda lang: F.concat(F.lit(HEADER), lang, F.lit(" "))
     tagged = F.transform(F.split("text", "\n", -1), lambda x: F.when(F.trim(x) == "", x).otherwise(F.concat(header(F.col("lang")), x)))
     one = own.where("versions = 1").select("doc", "node", F.array_join(tagged, "\n").alias("text"))
-    merged = multimerge_lookahead(own.where("versions > 1"))
-    line = F.when(F.col("langs").contains(","), F.col("text")).otherwise(F.concat(header(F.col("langs")), "text"))
+    merged = multimerge_lookahead(own.where("versions > 1"), together=True)
+    each = F.array_join(F.transform(F.split("langs", ","), lambda lang: F.concat(header(lang), F.col("text"))), "\n")
+    line = F.when(F.col("common") & ~F.contains("text", F.lit(HEADER)), F.col("text")).otherwise(each)
     lines = F.sort_array(F.collect_list(F.struct("place", line.alias("x"))))
     many = merged.groupBy("doc", "node").agg(F.array_join(F.transform(lines, lambda s: s["x"]), "\n").alias("text"))
     return one.unionByName(many).select("doc", "node", F.lit("mul").alias("lang"), "text")

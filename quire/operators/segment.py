@@ -1,7 +1,7 @@
 """Segmentation of marked-up files, and putting segments together again.
 
-Markers are found by one regular expression: a sentinel goes around each, the text is split at sentinels, and windows
-over a file's pieces take the place of a parser's stack.
+Markers and braces are found by one regular expression: a sentinel goes before each, the text is split at sentinels, and
+windows over a file's pieces take the place of a parser's stack.
 """
 
 from __future__ import annotations
@@ -16,27 +16,39 @@ from quire.plans.rules import SECTIONS
 COMMANDS = ("label", "ref", "eqref", "pageref", "index", "indexLeng", "indexLita", "cite", "author", "uuid", "replaces")
 INPUTS = ("input", "include", "includegraphics", "bibliography", "usepackage")
 VERBATIM = ("verbatim", "Filesave")
-#: An argument in braces, with two levels of braces inside.
-ARGUMENT = r"\{([^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*)\}"
-_INNER = ARGUMENT.replace("(", "(?:", 1)
 OPTION = r"\[[^\]]*\]"
-PIECE = r"^\\([A-Za-z]+)\*?(?:" + OPTION + r")*(?:" + ARGUMENT + r")?"
 BEGIN_OPTION = r"^\\begin\{[A-Za-z*]+\}\[([^\]]*)\]"
-HEAD = PIECE.replace(ARGUMENT, _INNER).replace("([A-Za-z]+)", "[A-Za-z]+")
 BEGIN_HEAD = r"^\\begin\{[A-Za-z*]+\}(?:" + OPTION + ")?"
-
-
-def marker_pattern(commands: tuple = COMMANDS, sections: tuple = SECTIONS, inputs: tuple = INPUTS, verbatim: tuple = VERBATIM) -> str:
-    """The regular expression of the markers that texts are cut at: in group 1 verbatim bodies, whole, and markers; in
-    group 2 what isn't the beginning of a comment; else it matches a comment. It means the same to Spark and DuckDB."""
-    bodies = "|".join(rf"\\begin\{{{v}\*?\}}(?s:.*?)\\end\{{{v}\*?\}}" for v in verbatim)
+_NAME = r"^[A-Za-z]+$"
+
+
+def braced(levels: int = 8) -> str:
+    """A regular expression of a text in braces, with so many levels of braces in it, for places where a text's beginning is
+    told by one expression. Its loops are possessive, so that Java runs them without recursion."""
+    inner = "[^{}]*+"
+    for _ in range(levels):
+        inner = rf"[^{{}}]*+(?:\{{{inner}\}}[^{{}}]*+)*+"
+    return rf"\{{({inner})\}}"
+
+
+def marker_pattern(commands: tuple | Column = COMMANDS, sections: tuple = SECTIONS, inputs: tuple = INPUTS, verbatim: tuple | Column = VERBATIM) -> Column:
+    """The regular expression of what texts are cut at: in group 1 verbatim bodies, whole, markers without their arguments,
+    and braces; in group 2 a backslash with a character that it takes away the meaning of; else it matches a comment.
+    Commands and verbatim bodies may be arrays of names in columns, so that each row has rules of its own."""
+    body = r"\\begin\{%s\*?\}(?s:.*?)\\end\{%s\*?\}|"
+    if isinstance(verbatim, Column):
+        known = F.filter(verbatim, lambda v: v.rlike(_NAME))
+        bodies = F.array_join(F.transform(known, lambda v: F.format_string(body, v, v)), "")
+    else:
+        bodies = F.lit("".join(body % (v, v) for v in verbatim))
+    always = "|".join([*sections, *inputs])
+    if isinstance(commands, Column):
+        with_arg = F.array_join(F.concat(F.array(F.lit(always)), F.filter(commands, lambda v: v.rlike(_NAME))), "|")
+    else:
+        with_arg = F.lit("|".join([always, *commands]))
     verb = r"\\verb\*?(?:\|[^|\n]*\||\+[^+\n]*\+|![^!\n]*!|/[^/\n]*/)"
-    with_arg = "|".join([*sections, *inputs, *commands])
-    markers = rf"\\(?:begin|end)\{{[A-Za-z*]+\}}(?:{OPTION})?|\\(?:{with_arg})\*?(?:{OPTION})*{_INNER}|\\(?:item|par)\b"
-    return rf"({bodies}|{verb}|{markers})|(\\[\\%])|%[^\n]*"
-
-
-MARKER = marker_pattern()
+    ends = rf"|\\(?:begin|end)\{{[A-Za-z*]+\}}(?:{OPTION})?|\\(?:"
+    return F.concat(F.lit("("), bodies, F.lit(verb + ends), with_arg, F.lit(rf")\*?(?:{OPTION})*+(?=\{{)|\\(?:item|par)\b|[{{}}])|(\\[^A-Za-z])|%[^\n]*"))
 
 
 def drop_comments(c: Column) -> Column:
@@ -44,19 +56,60 @@ def drop_comments(c: Column) -> Column:
     return F.regexp_replace(c, r"(\\[\\%])|%[^\n]*", "$1")
 
 
-def explode_markers(files: DataFrame, keys: tuple = ("doc", "node"), pattern: str = MARKER, verbatim: tuple = VERBATIM) -> DataFrame:
-    """(keys..., pos, macro, arg, opt, raw): the pieces of each text in order, comments left out; piece 0 is what stands
-    before the first marker, others begin with theirs. Verbatim bodies are pieces of their own with macro `verbatim`,
-    `\\verb` ones with `verb`; what stands in them is no marker. ``pattern`` is one of ``marker_pattern``. Arguments may
-    have two levels of braces in them."""
+def explode_markers(files: DataFrame, keys: tuple = ("doc", "node"), pattern: Column | None = None, verbatim: tuple = VERBATIM, rules: DataFrame | None = None) -> DataFrame:
+    """(keys..., pos, macro, arg, opt, raw, size, unclosed): the pieces of each text in order, comments left out; piece 0 is
+    what stands before the first marker, others begin with theirs, whose length with its argument is ``size``. Verbatim bodies
+    are pieces of their own with macro `verbatim`, `\\verb` ones with `verb`; what stands in them is no marker, nor is what
+    stands in another marker's argument. A marker whose argument doesn't end isn't one; ``unclosed`` names those in a piece.
+
+    ``pattern`` is one of ``marker_pattern``; or ``rules`` (doc, commands, verbatim), as ``document_rules`` makes them, gives
+    each document its own. Arguments may hold any number of braces at any depth: texts are cut at each brace, the running
+    sum of braces is their depth, and what an opening one ends at is the next brace of its level.
+    """
+    rows = files
+    body = F.array(*[F.lit(v) for v in verbatim])
+    if rules is not None:
+        own = rules.select("doc", F.col("commands").alias("__commands"), F.col("verbatim").alias("__verbatim"))
+        rows = files.join(own, "doc", "left")
+        body = F.coalesce("__verbatim", body)
+        pattern = marker_pattern(F.coalesce("__commands", F.array(*[F.lit(v) for v in COMMANDS])), verbatim=body)
     plain = F.translate(F.col("text"), "\x01\x02", "  ")
-    marked = F.replace(F.replace(F.regexp_replace(plain, pattern, "\x01$1\x02$2"), F.lit("\x01\x02"), F.lit("")), F.lit("\x02"), F.lit(""))
-    rows = files.select(*keys, F.posexplode(F.split(marked, "\x01", -1)).alias("pos", "raw"))
-    part = lambda p, i: F.when(F.col("pos") > 0, F.regexp_extract("raw", p, i)).otherwise("")
-    macro, arg = part(PIECE, 1), part(PIECE, 2)
-    body = (macro == "begin") & F.regexp_replace(arg, r"\*$", "").isin(*verbatim)
-    macro = F.when(body, F.lit("verbatim")).otherwise(macro)
-    return rows.select(*keys, F.col("pos").cast("long").alias("pos"), macro.alias("macro"), arg.alias("arg"), part(BEGIN_OPTION, 1).alias("opt"), "raw")
+    marked = F.replace(F.replace(F.regexp_replace(plain, marker_pattern() if pattern is None else pattern, F.lit("\x01$1\x02$2")), F.lit("\x01\x02"), F.lit("")), F.lit("\x02"), F.lit(""))
+    rows = rows.select(*keys, body.alias("body"), F.posexplode(F.split(marked, "\x01", -1)).alias("i", "raw"))
+    part = lambda p: F.when(F.col("i") > 0, F.regexp_extract("raw", p, 1)).otherwise("")
+    macro, arg, first = part(r"^\\([A-Za-z]+)"), part(r"^\\(?:begin|end)\{([A-Za-z*]+)\}"), F.when(F.col("i") > 0, F.substring("raw", 1, 1)).otherwise("")
+    macro = F.when((macro == "begin") & F.array_contains("body", F.regexp_replace(arg, r"\*$", "")), F.lit("verbatim")).otherwise(macro)
+    rows = rows.select(*keys, "i", "raw", macro.alias("macro"), arg.alias("arg"), part(BEGIN_OPTION).alias("opt"), first.alias("c"), F.length("raw").alias("n"))
+
+    along = Window.partitionBy(*keys).orderBy("i")
+    depth = F.sum(F.when(F.col("c") == "{", 1).when(F.col("c") == "}", -1).otherwise(0)).over(along)
+    rows = rows.withColumns({"depth": depth, "at": F.sum("n").over(along) - F.col("n")})
+    rows = rows.withColumn("level", F.when(F.col("c") == "{", F.col("depth")).when(F.col("c") == "}", F.col("depth") + 1))
+    partner = F.lead(F.struct("i", "at")).over(Window.partitionBy(*keys, "level").orderBy("i"))
+    rows = rows.withColumn("end", F.when(F.col("c") == "{", partner))
+    following = F.lead(F.struct("c", "at", "end")).over(along)
+    head = (F.col("macro") != "") & ~F.col("macro").isin("begin", "end", "item", "par", "verb", "verbatim")
+    rows = rows.withColumn("next", F.when(head, following))
+    covered = F.coalesce(F.max("next.end.i").over(along.rowsBetween(Window.unboundedPreceding, -1)) > F.col("i"), F.lit(False))
+    rows = rows.withColumns({"free": (F.col("macro") != "") & ~covered, "closed": ~head | F.col("next.end").isNotNull()})
+    starts = F.col("free") & F.col("closed")
+    rows = rows.withColumns({"start": starts, "pos": F.sum(starts.cast("long")).over(along)})
+    own = lambda c: F.max(F.when(F.col("start"), c))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "raw"))), lambda x: x["raw"]), "")
+    lost = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("free") & ~F.col("closed"), F.struct("i", "macro")))), lambda x: x["macro"]), ",")
+    inner = F.col("next.end.at") - F.col("next.at") - 1
+    whole = rows.groupBy(*keys, "pos").agg(own(F.col("macro")).alias("macro"), own(F.col("arg")).alias("arg"), own(F.col("opt")).alias("opt"), own(F.col("n")).alias("n"), own(inner).alias("inner"), text.alias("raw"), lost.alias("unclosed"))
+    within = F.when(F.col("inner").isNotNull(), F.substr("raw", (F.col("n") + 2).cast("int"), F.col("inner").cast("int"))).otherwise(F.coalesce("arg", F.lit("")))
+    size = F.coalesce(F.col("n") + F.col("inner") + 2, F.lit(0)).cast("int")
+    return whole.select(*keys, "pos", F.coalesce("macro", F.lit("")).alias("macro"), within.alias("arg"), F.coalesce("opt", F.lit("")).alias("opt"), "raw", size.alias("size"), "unclosed")
+
+
+def document_rules(rules: DataFrame) -> DataFrame:
+    """(doc, commands, verbatim, splits) from rules(doc, name, value): each document's metadata_command names,
+    verbatim_environment names and split_environment names; null where it has none, which means the usual ones."""
+    named = lambda n: F.collect_set(F.when(F.col("name") == n, F.col("value")))
+    per = rules.where(F.col("value").rlike(_NAME)).groupBy("doc").agg(*[named(n).alias(a) for n, a in (("metadata_command", "commands"), ("verbatim_environment", "verbatim"), ("split_environment", "splits"))])
+    return per.select("doc", *[F.when(F.size(c) > 0, F.sort_array(c)).alias(c) for c in ("commands", "verbatim", "splits")])
 
 
 def with_depth(pieces: DataFrame, keys: tuple = ("doc", "node")) -> DataFrame:
@@ -81,8 +134,8 @@ def unbalanced(deep: DataFrame) -> DataFrame:
 
 
 def problems(deep: DataFrame, files: DataFrame) -> DataFrame:
-    """(doc, node, code, detail): `unbalanced` texts; an `end` of another kind than the begin it closes; inputs and
-    pictures that are an `absolute` path or an `unknown` file, by files(doc, path)."""
+    """(doc, node, code, detail): `unbalanced` texts; an `end` of another kind than the begin it closes; markers whose
+    argument is `unclosed`; inputs and pictures that are an `absolute` path or an `unknown` file, by files(doc, path)."""
     rows = unbalanced(deep).select("doc", "node", F.lit("unbalanced").alias("code"), F.concat_ws(",", F.col("lowest").cast("string"), F.col("final").cast("string")).alias("detail"))
     # the begin that an end closes is the last one at the depth that the end leaves
     opened = F.when(F.col("macro") == "begin", F.col("arg"))
@@ -92,7 +145,8 @@ def problems(deep: DataFrame, files: DataFrame) -> DataFrame:
     named = deep.where("macro in ('input', 'include', 'includegraphics')").select("doc", "node", F.trim("arg").alias("detail"), F.regexp_replace(F.trim("arg"), r"\.[A-Za-z]+$", "").alias("path"))
     absolute = named.where("detail like '/%'").select("doc", "node", F.lit("absolute").alias("code"), "detail")
     unknown = named.where("detail not like '/%'").join(files.select("doc", "path").distinct(), ["doc", "path"], "left_anti").select("doc", "node", F.lit("unknown").alias("code"), "detail")
-    return rows.unionByName(wrong).unionByName(absolute).unionByName(unknown)
+    unclosed = deep.where("unclosed <> ''").select("doc", "node", F.lit("unclosed").alias("code"), F.explode(F.split("unclosed", ",")).alias("detail"))
+    return rows.unionByName(wrong).unionByName(unclosed).unionByName(absolute).unionByName(unknown)
 
 
 def sections(pieces: DataFrame) -> DataFrame:
@@ -108,12 +162,14 @@ def sections(pieces: DataFrame) -> DataFrame:
     return s.withColumn("p", parent).select("doc", "node", "pos", "title", "rank", F.col("p.node").alias("parent_node"), F.col("p.pos").alias("parent_pos"))
 
 
-def environments(deep: DataFrame, envs: tuple) -> DataFrame:
-    """(doc, node, pos, env, opt, body): bodies of outermost environments of the chosen kinds, markers within included."""
+def environments(deep: DataFrame, envs: tuple | DataFrame) -> DataFrame:
+    """(doc, node, pos, env, opt, body): bodies of outermost environments of the chosen kinds, markers within included. The
+    kinds are names, or a table (doc, env) of those that each document splits."""
     k = ["doc", "node"]
     start = F.when((F.col("macro") == "begin") & (F.col("depth") == 1), F.col("pos"))
     rows = deep.withColumn("at", F.last(start, True).over(Window.partitionBy(*k).orderBy("pos"))).where("depth > 0")
-    head = rows.where("pos = at").select(*k, "at", F.col("arg").alias("kind"), "opt").where(F.col("kind").isin(*envs))
+    head = rows.where("pos = at").select(*k, "at", F.col("arg").alias("kind"), "opt")
+    head = head.join(envs.select("doc", F.col("env").alias("kind")).distinct(), ["doc", "kind"], "left_semi") if isinstance(envs, DataFrame) else head.where(F.col("kind").isin(*envs))
     bare = F.when(F.col("pos") == F.col("at"), F.regexp_replace("raw", BEGIN_HEAD, "")).otherwise(F.col("raw"))
     body = rows.groupBy(*k, "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", bare.alias("t")))), lambda x: x["t"]), "").alias("body"))
     return head.join(body, [*k, "at"]).select(*k, F.col("at").alias("pos"), F.col("kind").alias("env"), "opt", "body")
@@ -260,12 +316,16 @@ def squash(files: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc, node, text): texts without comments, each child input replaced by a placeholder with the child's id and
     name, after the child's sectioning command where it has one. targets(doc, path, target, environ, title) tells what
     the paths stand for; inputs of other paths stay as they are."""
-    pieces = explode_markers(files).withColumn("path", F.regexp_replace("arg", r"\.[a-z]+$", ""))
-    named = pieces.join(targets.withColumnRenamed("title", "__title"), ["doc", "path"], "left")
+    pieces = explode_markers(files)
+    brings = F.col("macro").isin("input", "include", "bibliography")
+    # the inputs alone are joined: other pieces have no path, and would all have the same key
+    inputs = pieces.where(brings).withColumn("path", F.regexp_replace("arg", r"\.[a-z]+$", ""))
+    named = inputs.join(targets.withColumnRenamed("title", "__title"), ["doc", "path"], "left")
     heading = F.when(F.col("environ").isin(*SECTIONS), F.concat(F.lit("\\"), "environ", F.lit("{"), F.coalesce("__title", F.lit("")), F.lit("}"))).otherwise(F.lit(""))
-    shown = F.concat(heading, F.lit("\\uuidplaceholder{"), F.col("target").cast("string"), F.lit("}{"), F.col("path"), F.lit("}"), F.regexp_replace("raw", HEAD, ""))
-    text = F.when(F.col("macro").isin("input", "include", "bibliography") & F.col("target").isNotNull(), shown).otherwise(F.col("raw"))
-    return named.groupBy("doc", "node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    shown = F.concat(heading, F.lit("\\uuidplaceholder{"), F.col("target").cast("string"), F.lit("}{"), F.col("path"), F.lit("}"), F.substr("raw", F.col("size") + 1))
+    done = named.select("doc", "node", "pos", F.when(F.col("target").isNotNull(), shown).otherwise(F.col("raw")).alias("t"))
+    rest = pieces.where(~brings).select("doc", "node", "pos", F.col("raw").alias("t"))
+    return done.unionByName(rest).groupBy("doc", "node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "").alias("text"))
 
 
 def mask(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -345,9 +405,9 @@ def init_nodes(nodes: DataFrame, private: tuple, authors: list[str], lang: str)
 
 def split_header(text: Column, macro: str = "section") -> Column:
     """struct(header, title, body): the hidden lines on top of a segment, its title, and what editors see."""
-    pattern = r"(?s)^((?:\\uuid\{[^}]*\}%?\n)?(?:\\" + macro + _INNER + r"\n)?)(.*)$"
+    pattern = r"(?s)^((?:\\uuid\{[^}]*\}%?\n)?(?:\\" + macro + braced().replace("(", "(?:", 1) + r"\n)?)(.*)$"
     header = F.regexp_extract(text, pattern, 1)
-    return F.struct(header.alias("header"), F.regexp_extract(header, r"\\" + macro + ARGUMENT, 1).alias("title"), F.regexp_extract(text, pattern, 2).alias("body"))
+    return F.struct(header.alias("header"), F.regexp_extract(header, r"\\" + macro + braced(), 1).alias("title"), F.regexp_extract(text, pattern, 2).alias("body"))
 
 
 def join_header(parts: Column) -> Column:

@@ -104,16 +104,32 @@ def src_corpus(spark: SparkSession, d: str) -> DataFrame:
     return t["edges"].join(t["nodes"].select("doc", F.col("node").alias("child"), "text"), ["doc", "child"]).select("doc", "child", F.md5("text").alias("md5"))
 
 
-@query(f"WITH {cte('fx_node')} SELECT doc, node, '{{' || lang || '}}' AS value FROM fx_node UNION ALL SELECT doc, node, '{{b}}' FROM fx_node")
+_EVEN = "CAST(substr(doc, 4) AS INTEGER) % 2 = 0"
+
+
+@query(f"""WITH {cte('fx_node')} SELECT doc, node, CASE WHEN {_EVEN} THEN 'mark' ELSE 'note' END AS macro, CASE k WHEN 1 THEN lang ELSE CASE WHEN {_EVEN} THEN 'y' ELSE 'x' END END AS arg, CASE WHEN k = 2 THEN CASE WHEN {_EVEN} THEN 'raw' ELSE 'asis' END END AS env FROM fx_node, (VALUES (1), (2)) v(k)""")
 def src_rules(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-11: rules of segmentation from files, which tell the commands and verbatim bodies of whole texts."""
+    """SRC-11: rules of segmentation from files, each document's own: what is a command and a verbatim body in every other
+    one is neither in the rest."""
     n = view(spark, d, "fx_node")
-    rule = F.to_json(F.create_map(F.lit("metadata_command"), F.array(F.concat(F.lit("mark"), "lang")), F.lit("verbatim_environment"), F.array(F.lit("asis"))))
-    rules = files.read_rules(spark, _written(spark, n.select(F.concat("doc", F.lit("/"), F.col("node").cast("string"), F.lit(".json")).alias("path"), rule.alias("text"))) + "/*").distinct()
-    own = F.concat(F.lit("\\mark"), "lang", F.lit("{"), "lang", F.lit("}"))
-    text = F.concat(own, "text", F.lit("\n\\begin{asis}"), own, F.lit("\\end{asis}\\label{a}"), "text", F.lit("\n\\mark"), "lang", F.lit("{b}"))
-    pieces = segment.explode_markers(n.select("doc", "node", text.alias("text")), pattern=files.pattern_of_rules(rules), verbatim=("asis",))
-    return pieces.where("macro like 'mark%'").select("doc", "node", F.concat(F.lit("{"), "arg", F.lit("}")).alias("value"))
+    own = F.when(F.expr(_EVEN), F.array(F.lit("mark"), F.lit("asis"))).otherwise(F.array(F.lit("note"), F.lit("raw")))
+    rule = F.to_json(F.create_map(F.lit("metadata_command"), F.array(own[0]), F.lit("verbatim_environment"), F.array(own[1])))
+    root = _written(spark, n.select(F.concat("doc", F.lit("/"), F.col("node").cast("string"), F.lit(".json")).alias("path"), rule.alias("text")))
+    both = lambda c: F.concat(F.lit("\\mark{"), c, F.lit("}\\note{"), c, F.lit("}"))
+    text = F.concat(both(F.col("lang")), F.lit("\\begin{asis}"), both(F.lit("x")), F.lit("\\end{asis}\\begin{raw}"), both(F.lit("y")), F.lit("\\end{raw}\\label{a}"), "text")
+    rules = segment.document_rules(files.read_rules(spark, root))
+    deep = segment.with_depth(segment.explode_markers(n.select("doc", "node", text.alias("text")), rules=rules))
+    return deep.where("macro in ('mark', 'note', 'label')").select("doc", "node", "macro", "arg", "env")
+
+
+@query(f"""WITH {cte('fx_node')} SELECT doc, node, CAST(CASE WHEN {_EVEN} THEN 1 ELSE 3 END AS BIGINT) AS pos, CASE WHEN {_EVEN} THEN 'thm' ELSE 'lem' END AS env, CASE WHEN {_EVEN} THEN lang ELSE '' END AS opt, doc || CASE WHEN {_EVEN} THEN 'a' ELSE 'b' END AS body FROM fx_node""")
+def seg_discover_split(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-6: theorem-like environments that a document's first file declares split all of its files, and no other
+    document's."""
+    declared = F.when(F.col("r") == 1, F.concat(F.lit("\\newtheorem{"), F.when(F.expr(_EVEN), "thm").otherwise("lem"), F.lit("}{Name}\n"))).otherwise("")
+    text = F.concat(declared, F.lit("\\begin{thm}["), "lang", F.lit("]"), "doc", F.lit("a\\end{thm}\\begin{lem}"), "doc", F.lit("b\\end{lem}\n"), "text")
+    n = view(spark, d, "fx_node").select("doc", "node", text.alias("text"))
+    return segment.environments(segment.with_depth(segment.explode_markers(n)), segment.discover_environments(n))
 
 
 @query(f"WITH {cte('fx_node')} SELECT doc, node, 'α' || text || '!' AS text FROM fx_node")

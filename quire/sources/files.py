@@ -101,9 +101,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     they \@input, directly or not: key is AUX_label_LLL, value the label in braces, value2 what it stands for, joined by
     tabs. Files are known by their whole path; an input is looked for in the folder of the file that has it."""
     found = read_sources(spark, path, ("aux",)).select("path", "text")
-    braces = r"\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
+    braces = segment.braced()
     lines = found.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"\\newlabel\s*\{[^}]*\}\s*" + braces), 0)).alias("m"))
-    parts = F.regexp_extract_all(F.regexp_extract("m", braces + "$", 1), F.lit(r"\{([^{}]*)\}"), 1)
+    parts = F.regexp_extract_all(F.regexp_extract("m", braces + "$", 1), F.lit(segment.braced()), 1)
     labels = written(lines.select("path", F.concat(F.lit("{"), F.trim(F.regexp_extract("m", r"\{([^}]*)\}", 1)), F.lit("}")).alias("value"), F.array_join(parts, "\t").alias("value2")), "labels")
     folder = F.regexp_replace("path", "[^/]*$", "")
     includes = found.select("path", folder.alias("folder"), F.explode(F.regexp_extract_all("text", F.lit(r"\\@input\{([^}]*)\}"), 1)).alias("next")).where("next like '%.aux'")
@@ -143,17 +143,12 @@ def inverse_symbols(symbols: DataFrame) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(name, value): the rules that a corpus was segmented with, lists exploded."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("name", "v")).select("name", F.explode("v").alias("value"))
-
-
-def pattern_of_rules(rules: DataFrame) -> str:
-    """The marker pattern that read_rules' table stands for: metadata_command, verbatim_environment and split_graphic, where
-    they are given, in place of the usual ones. Rules are a few dozen names."""
-    named = {r["name"]: tuple(sorted(r["values"])) for r in rules.groupBy("name").agg(F.collect_set("value").alias("values")).collect()}
-    inputs = tuple(x for x in segment.INPUTS if x != "includegraphics") + named.get("split_graphic", ("includegraphics",))
-    return segment.marker_pattern(named.get("metadata_command", segment.COMMANDS), inputs=inputs, verbatim=named.get("verbatim_environment", segment.VERBATIM))
+    """(path, doc, name, value): the rules that documents were segmented with, JSON objects of lists, lists exploded; a file
+    is its folder's, which is the document. ``segment.document_rules`` makes them a table that segmentation joins."""
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    p = F.col("_metadata.file_path")
+    lists = whole.select(p.alias("path"), F.regexp_extract(p, "([^/]+)/[^/]*$", 1).alias("doc"), F.explode(F.from_json("value", "map<string,array<string>>")).alias("name", "v"))
+    return lists.select("path", "doc", "name", F.explode("v").alias("value"))
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:

@@ -6,8 +6,10 @@ import os
 import random
 import re
 import unicodedata
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -342,6 +344,62 @@ def test_markers_skip_verbatim_and_take_braces(spark):
     assert [(r.macro, r.arg) for r in rows[1:]] == [("mark", "b"), ("verbatim", "asis")]
 
 
+def one(spark, text, doc="d"):
+    return spark.createDataFrame([(doc, 1, text)], "doc string, node long, text string")
+
+
+def test_markers_with_any_number_and_depth_of_groups(spark):
+    deep, wide = "{" * 50 + "x" + "}" * 50, "{g}" * 200_000
+    t = f"a\\label{{{deep}}}b\\section*[s]{{{wide}\\label{{in}}}}c\\index{{}}"
+    rows = segment.explode_markers(one(spark, t)).orderBy("pos").collect()
+    assert [(r.macro, r.arg, r.unclosed) for r in rows] == [("", "", ""), ("label", deep, ""), ("section", wide + "\\label{in}", ""), ("index", "", "")]
+    assert "".join(r.raw for r in rows) == t
+    assert [r.raw[r.size :] for r in rows[1:]] == ["b", "c", ""]
+
+
+def test_markers_without_an_end_are_told(spark):
+    t = "} \\label{a \\ref{b} \\{ \\} {c} % }\n \\index{i{j}"
+    deep = segment.with_depth(segment.explode_markers(one(spark, t)))
+    rows = deep.orderBy("pos").collect()
+    assert [(r.macro, r.arg, r.unclosed) for r in rows] == [("", "", "label"), ("ref", "b", "index")]
+    assert "".join(r.raw for r in rows) == t.replace("% }", "")
+    none = spark.createDataFrame([], "doc string, path string")
+    assert sorted((r.code, r.detail) for r in segment.problems(deep, none).collect()) == [("unclosed", "index"), ("unclosed", "label")]
+
+
+def brace_loop(text):
+    """Markers \\label{...} that end, outermost ones only, by a stack."""
+    stack, found = [], []
+    for k, c in enumerate(text):
+        if c == "{":
+            stack.append(k)
+        elif c == "}" and stack:
+            b = stack.pop()
+            if text[:b].endswith("\\label"):
+                found.append((b - 6, k, text[b + 1 : k]))
+    return [a for s, e, a in sorted(found) if not any(x < s and e < y for x, y, _ in found)]
+
+
+def test_markers_against_a_stack(spark):
+    r = random.Random(12)
+    texts = ["".join(r.choice(["{", "}", "\\label{", "x", " ", "}"]) for _ in range(r.randrange(0, 40))) for _ in range(200)]
+    rows = segment.explode_markers(spark.createDataFrame(list(enumerate(texts)), "node long, text string").withColumn("doc", F.lit("d"))).orderBy("node", "pos").collect()
+    for k, t in enumerate(texts):
+        own = [x for x in rows if x.node == k]
+        assert [x.arg for x in own[1:]] == brace_loop(t)
+        assert "".join(x.raw for x in own) == t
+
+
+def test_each_document_goes_by_its_own_rules(spark):
+    rules = spark.createDataFrame([("a", "metadata_command", "mark"), ("a", "metadata_command", "bad(name"), ("b", "verbatim_environment", "raw"), ("b", "split_environment", "thm")], "doc string, name string, value string")
+    table = segment.document_rules(rules)
+    assert sorted((r.doc, r.commands, r.verbatim, r.splits) for r in table.collect()) == [("a", ["mark"], None, None), ("b", None, ["raw"], ["thm"])]
+    t = "\\mark{1}\\label{2}\\begin{raw}\\mark{3}\\label{4}\\end{raw}\\begin{verbatim}\\label{5}\\end{verbatim}"
+    rows = segment.explode_markers(reduce(DataFrame.unionByName, [one(spark, t, x) for x in "abc"]), rules=table).orderBy("pos").collect()
+    found = {x: [r.arg for r in rows if r.doc == x and r.macro in ("mark", "label")] for x in "abc"}
+    assert found == {"a": ["1", "3"], "b": ["2", "5"], "c": ["2", "4"]}
+
+
 def test_attributes_of_the_innermost_environment(spark):
     t = "\\input{a}\\begin{A}\\begin{B}\n\\label{ese:tabelle_verita}\\index{table_of_truth}\n\\end{B}\\end{A}"
     deep = segment.with_depth(segment.explode_markers(spark.createDataFrame([("d", 1, t)], "doc string, node long, text string")))
@@ -429,18 +487,26 @@ def test_lookahead_against_the_plain_rule():
         assert [("".join(chr(97 + k) for k in own), t) for own, t in languages.lookahead(sources, 5)] == greedy(sources, 5)
 
 
-@needs_data
 def test_mixed_texts_give_their_versions_back(spark):
-    from quire.plans import text_queries
-
-    versions = text_queries._three(spark, DATA)
-    mixed = languages.to_mul(versions)
-    assert mixed.count() == 200
-    langs = versions.select("doc", "lang").distinct()
-    back = {(r.node, r.lang): r.text for r in languages.from_mul(mixed, langs).collect()}
-    merged = {r.node for r in languages.multimerge_lookahead(versions).groupBy("node").agg(F.collect_set(F.size(F.split("langs", ","))).alias("n")).where("not array_contains(n, 2)").collect()}
-    same = [back[r.node, r.lang] == r.text + "\n" for r in versions.collect() if r.node in merged]
-    assert same and all(same)  # a line common to the two versions that are left has no header: those texts are left out
+    r = random.Random(6)
+    rows = []
+    for node in range(60):
+        base = [r.choice(["a", "b", "", "  c", "\\input{UUID/a/blob_LLL}", "\\CDLeng x", "y \\CDLfra z"]) for _ in range(r.randrange(0, 12))]
+        for lang in r.sample(["eng", "ita", "fra", "deu", "spa"], r.randint(1, 5)):
+            own = [x.replace("LLL", lang) for x in base if r.random() < 0.8 for _ in range(r.choice([1, 1, 1, 2]))]
+            rows.append(("d", node, lang, "\n".join(own)))
+    versions = spark.createDataFrame(rows, "doc string, node long, lang string, text string")
+    back = {(x.node, x.lang): x.text for x in languages.from_mul(languages.to_mul(versions), versions.select("doc", "lang").distinct()).collect()}
+    for _, node, lang, text in rows:
+        assert back[node, lang] == text.removesuffix("\n") + "\n"
+
+
+def test_lookahead_with_owners_keeps_every_line():
+    r = random.Random(8)
+    for _ in range(300):
+        sources = [[r.choice("abcd") for _ in range(r.randrange(0, 9))] for _ in range(4)]
+        merged = languages.lookahead(sources, 6, together=True)
+        assert [[t for own, t in merged if k in own] for k in range(4)] == sources
 
 
 @needs_data
