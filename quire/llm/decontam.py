@@ -8,12 +8,15 @@ candidate is then settled by the exact edit distance between the item and the te
 
 Items are grouped by length, and documents are read in windows of about the items' length at a stride of a quarter of
 it. The items' own windows are indexed at every offset, so a copy at any place of a document meets the grid in step.
+Windows that several items have in common are indexed once; a text's window is compared with each of them once, and only
+then with their items. Items too short for an edit within the bound are found by their words' exact sequence.
 """
 
 from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,10 +26,14 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import free_name, text_of
 
-#: Edits allowed, as a share of the item's words; items with fewer words than MIN_WORDS prove nothing and never match.
-EDITS, MIN_WORDS = 0.2, 5
-#: Independent walks, positions of each that samples are drawn from, samples of each walk, and positions in a sample.
-WALKS, POOL, SAMPLES, BITS = 2, 16, 12, 4
+#: Edits allowed, as a share of the item's words; items of fewer words than WALKED have to be there word for word.
+EDITS, WALKED = 0.2, 5
+#: Recall wanted for passages with as many edits as allowed; a size class takes as many samples as its trial needs.
+RECALL, TRIALS = 0.93, 300
+#: Independent walks, positions of each that samples are drawn from, most samples of each walk, and positions in a sample.
+WALKS, POOL, SAMPLES, BITS = 2, 16, 24, 4
+#: Candidates that are held at a time while they are gathered.
+GATHERED = 1 << 20
 #: Items are indexed and broadcast in blocks of so many words (an index takes about 400 bytes a word).
 BLOCK_WORDS = 100_000
 KNOWN_WORDS = 150_000
@@ -62,27 +69,57 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+@cache
+def samples_for(low: int) -> int:
+    """Samples of each walk by which trial passages of ``low`` random words, with as many random edits as allowed, are found
+    with the wanted recall, at every place of the grid alike; the trial is the same every time."""
+    r = np.random.default_rng(low + 1)
+    c = SizeClass(low, SAMPLES)
+    pad = np.zeros(c.steps + 1, np.uint64)
+    first = []
+    for _ in range(TRIALS):
+        item = r.integers(1, 1 << 63, low, dtype=np.uint64)
+        copy = item.tolist()
+        for _ in range(int(EDITS * low)):
+            k = r.integers(len(copy))
+            copy[k : k + r.integers(2)] = r.integers(1, 1 << 63, r.integers(2), dtype=np.uint64).tolist()
+        own = {(s, int(x)) for s, key in enumerate(c.keys(np.concatenate([item, pad]), np.arange(low - c.window + 1))) for x in key}
+        text = np.concatenate([r.integers(1, 1 << 63, r.integers(c.stride), dtype=np.uint64), np.array(copy, np.uint64), r.integers(1, 1 << 63, low, dtype=np.uint64)])
+        places = np.arange(0, len(text) - c.window + 1, c.stride)
+        keys = enumerate(c.keys(np.concatenate([text, pad]), places))
+        first.append(min((s % SAMPLES for s, key in keys if any((s, int(x)) in own for x in key)), default=SAMPLES))
+    for n in range(2, SAMPLES):
+        if sum(x < n for x in first) >= RECALL * TRIALS:
+            return n
+    return SAMPLES
+
+
 class SizeClass:
     """Walk and sample plan for items of ``low`` words up to half as many again."""
 
-    def __init__(self, low: int):
+    def __init__(self, low: int, samples: int):
         self.low, self.stride = low, max(1, low // 4)
         self.window = low - self.stride + 1
         self.steps = 2 * self.window
         r = np.random.default_rng(low)
         self.pools = [np.sort(r.choice(self.steps, min(POOL, self.steps), replace=False)) for _ in range(WALKS)]
-        self.samples = [[r.choice(len(pool), min(BITS, len(pool)), replace=False) for _ in range(SAMPLES)] for pool in self.pools]
+        bits = BITS if low >= 2 * WALKED else BITS - 1
+        self.samples = [[r.choice(len(pool), min(bits, len(pool)), replace=False) for _ in range(SAMPLES)][:samples] for pool in self.pools]
         self.factors = r.integers(1 << 62, size=(WALKS, POOL), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def keys(self, words: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-        """For each sample the key of each start. ``words`` must go on with at least ``steps`` ends."""
+    def keys(self, words: np.ndarray, starts: np.ndarray, drawn: dict[tuple[int, int], np.ndarray] | None = None) -> Iterator[np.ndarray]:
+        """For each sample the key of each start. ``words`` must go on with at least ``steps`` ends. ``drawn`` keeps the words'
+        random bits for other size classes, which walk by the same ones."""
+        drawn = {} if drawn is None else drawn
         for walk, pool in enumerate(self.pools):
             at, taken = starts.astype(np.int32), []
             for j in range(int(pool[-1]) + 1):
                 if j % 64 == 0:
-                    random = _mix(words * np.uint64(2 * (walk * 1009 + j) + 0x9E37_79B9_7F4A_7C15))
-                    random[words == END] = 0
-                    bits = random.view(np.uint8).reshape(-1, 8).T.copy()
+                    if (walk, j) not in drawn:
+                        random = _mix(words * np.uint64(2 * (walk * 1009 + j) + 0x9E37_79B9_7F4A_7C15))
+                        random[words == END] = 0
+                        drawn[walk, j] = random.view(np.uint8).reshape(-1, 8).T.copy()
+                    bits = drawn[walk, j]
                 if len(taken) < len(pool) and pool[len(taken)] == j:
                     taken.append(words[at] * self.factors[walk, len(taken)])
                 at += (bits[j % 64 // 8][at] >> np.uint8(j % 8)) & np.uint8(1)
@@ -94,41 +131,73 @@ class SizeClass:
 
 
 def size_classes() -> Iterator[int]:
-    low = MIN_WORDS
+    low = WALKED
     while True:
         yield low
         low = low + low // 2
 
 
+def _mixed(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A fingerprint of the ``n`` words from each start on."""
+    out = np.full(len(starts), n, np.uint64)
+    for k in range(n):
+        out = _mix((out ^ words[starts + k]) * np.uint64(0x9E37_79B9_7F4A_7C15))
+    return out
+
+
 class Index:
-    """Keys of all windows of a block of items, by size class."""
+    """Keys of all distinct windows of a block of items, by size class, and the places of each window; whole short items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, w) for i, t in items if len(w := fingerprints(t)) >= MIN_WORDS]
+        self.items = [(i, w) for i, t in items if len(w := fingerprints(t))]
         self.groups = []
-        left, lows = sorted(range(len(self.items)), key=lambda k: len(self.items[k][1])), size_classes()
+        short: dict[int, list[int]] = {}
+        for k, (_, w) in enumerate(self.items):
+            if len(w) < WALKED:
+                short.setdefault(len(w), []).append(k)
+        self.short = []
+        for n, own in sorted(short.items()):
+            marks = np.array([_mixed(self.items[k][1], np.zeros(1, np.int64), n)[0] for k in own])
+            order = np.argsort(marks, kind="stable")
+            self.short.append((n, marks[order], np.array(own)[order]))
+        left, lows = sorted((k for k, (_, w) in enumerate(self.items) if len(w) >= WALKED), key=lambda k: len(self.items[k][1])), size_classes()
         low = next(lows)
         while left:
             high = next(lows)
             own = [k for k in left if len(self.items[k][1]) < high]
             left = left[len(own) :]
             if own:
-                self.groups.append((low, *self._table(SizeClass(low), own)))
+                c = SizeClass(low, samples_for(low))
+                self.groups.append((c, *self._table(c, own)))
             low = high
 
-    def _table(self, c: SizeClass, own: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _table(self, c: SizeClass, own: list[int]) -> tuple[np.ndarray, ...]:
+        """(keys, window of each key, first posting of each window, items, offsets): a window is known by the fingerprint of
+        all words that a walk can see, up to the item's end."""
         pad = np.zeros(c.steps + 1, np.uint64)
-        keys, item, offset = [], [], []
-        for k in own:
-            w = self.items[k][1]
-            starts = np.arange(len(w) - c.window + 1)
-            for key in c.keys(np.concatenate([w, pad]), starts):
-                keys.append(key)
-                item.append(np.full(len(starts), k, np.int32))
-                offset.append(starts.astype(np.int32))
+        words = np.concatenate([x for k in own for x in (self.items[k][1], pad)])
+        size = np.array([len(self.items[k][1]) for k in own])
+        begin = np.cumsum(size + len(pad)) - size - len(pad)
+        count = size - c.window + 1
+        item = np.repeat(np.array(own, np.int32), count)
+        offset = (np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        starts = np.repeat(begin, count) + offset
+        mark = _mixed(words, starts, c.steps)
+        order = np.argsort(mark, kind="stable")
+        mark, item, offset, starts = mark[order], item[order], offset[order], starts[order]
+        first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
+        keys = list(c.keys(words, starts[first]))
+        window = np.tile(np.arange(len(first), dtype=np.int32), len(keys))
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate(item)[order], np.concatenate(offset)[order]
+        return keys[order], window[order], np.append(first, len(item)), item, offset
+
+
+def _spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges a..b, and which range each is of."""
+    n = b - a
+    of = np.repeat(np.arange(len(a)), n)
+    return a[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
 
 
 class Finder:
@@ -136,43 +205,72 @@ class Finder:
 
     def __init__(self, index: Index):
         self.index, self.items = index, index.items
+        self.size = np.array([len(w) for _, w in self.items], np.int64)
         self.groups = []
-        for low, keys, item, offset in index.groups:
-            bits = max(16, int(np.ceil(np.log2(len(keys) + 1))) + 4)
+        for c, keys, *rest in index.groups:
+            bits = max(16, int(np.ceil(np.log2(len(keys) + 1))) + 5)
             there = np.zeros(1 << bits, bool)
             there[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.groups.append((SizeClass(low), keys, item, offset, there, np.uint64(64 - bits)))
+            self.groups.append((c, keys, *rest, there, np.uint64(64 - bits)))
         self.longest = max((g[0].steps for g in self.groups), default=0)
         self.patterns: dict[int, dict[int, int]] = {}
 
-    def candidates(self, texts: list[np.ndarray]) -> dict[int, set[tuple[int, int]]]:
-        """For each text that has any: (item, word at which a copy would begin)."""
+    def candidates(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Rows (text, item, word at which a copy would begin), sorted, once each."""
         pad = np.zeros(self.longest + 1, np.uint64)
         words = np.concatenate([x for t in texts for x in (t, pad)]) if texts else pad
         begins = np.cumsum([0, *(len(t) + len(pad) for t in texts)])[:-1]
-        found: dict[int, set[tuple[int, int]]] = {}
-        for c, keys, item, offset, there, shift in self.groups:
-            counts = np.array([max(1, -(-(len(t) - c.window + 1) // c.stride)) if len(t) else 0 for t in texts])
+        found, drawn = [np.empty((0, 3), np.int64)], {}
+        for c, keys, window, first, item, offset, there, shift in self.groups:
+            counts = np.array([max(1, -(-(len(t) - c.window + 1) // c.stride)) if len(t) else 0 for t in texts], np.int64)
             text = np.repeat(np.arange(len(texts)), counts)
             place = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * c.stride
-            for key in c.keys(words, begins[text] + place):
+            pairs = [np.empty((0, 2), np.int64)]
+            for key in c.keys(words, begins[text] + place, drawn):
                 hit = np.flatnonzero(there[(key >> shift).astype(np.int64)])
-                if not len(hit):
+                low = np.searchsorted(keys, key[hit], "left")
+                same = keys[np.minimum(low, len(keys) - 1)] == key[hit]
+                hit, low = hit[same], low[same]
+                if len(hit):
+                    at, of = _spread(low, np.searchsorted(keys, key[hit], "right"))
+                    pairs.append(np.stack([hit[of], window[at]], 1))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            if not len(pairs):
+                continue
+            ends = np.cumsum(first[pairs[:, 1] + 1] - first[pairs[:, 1]])
+            low = 0
+            while low < len(pairs):  # so many postings at a time, at least one window's
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + GATHERED, "right")))
+                at, of = _spread(first[pairs[low:high, 1]], first[pairs[low:high, 1] + 1])
+                hit = pairs[low:high, 0][of]
+                found.append(np.unique(np.stack([text[hit], item[at], place[hit] - offset[at]], 1), axis=0))
+                low = high
+        return np.unique(np.concatenate(found), axis=0)
+
+    def exact(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, 0, word after the copy) of the first copy of each short item in each text."""
+        for n, marks, own in self.index.short:
+            for t, words in enumerate(texts):
+                if len(words) < n:
                     continue
-                a, b = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
-                for h, x, y in zip(hit, a, b, strict=True):
-                    for k in range(x, y):
-                        found.setdefault(int(text[h]), set()).add((int(item[k]), int(place[h] - offset[k])))
-        return found
-
-    def distance(self, k: int, words: np.ndarray, begin: int) -> tuple[int, int] | None:
-        """Least edit distance between item ``k`` and any part of the words around ``begin``, with the part's end;
-        None if it is over the bound. Bit-parallel dynamic programming over the item's words."""
+                m = _mixed(words, np.arange(len(words) - n + 1), n)
+                there = np.flatnonzero(np.isin(m, marks))
+                told = set()
+                for p in there.tolist():
+                    a, b = np.searchsorted(marks, m[p], "left"), np.searchsorted(marks, m[p], "right")
+                    for k in own[a:b].tolist():
+                        if k not in told and (words[p : p + n] == self.items[k][1]).all():
+                            told.add(k)
+                            yield t, k, 0, p + n
+
+    def distance(self, k: int, words: np.ndarray, first: int, last: int) -> tuple[int, int] | None:
+        """Least edit distance between item ``k`` and any part of the words around places ``first`` to ``last`` at which a copy
+        would begin, with the part's end; None if it is over the bound. Bit-parallel dynamic programming over the item's words."""
         pattern = self.items[k][1]
         n, most = len(pattern), int(EDITS * len(pattern))
         slack = 2 * most + 2
-        a = max(0, begin - slack)
-        region = words[a : begin + n + slack].tolist()
+        a = max(0, first - slack)
+        region = words[a : last + n + slack].tolist()
         if k not in self.patterns:
             if len(self.patterns) > 5000:
                 self.patterns.clear()
@@ -197,19 +295,23 @@ class Finder:
         return best if best[0] <= most else None
 
     def find(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, edit distance, word after the copy), the best place for each text and item."""
-        for t, own in self.candidates(texts).items():
-            best: dict[int, tuple[int, int]] = {}
-            tried: dict[int, int] = {}
-            for k, begin in sorted(own):
-                if k in tried and begin - tried[k] <= 1:
-                    continue  # the region just tried holds this one but for its last word
-                tried[k] = begin
-                d = self.distance(k, texts[t], begin)
-                if d and (k not in best or d < best[k]):
-                    best[k] = d
-            for k, (d, end) in best.items():
-                yield t, k, d, end
+        """(text, item, edit distance, word after the copy), the best place for each text and item. Places of an item that are
+        near each other are one stretch of text, which is gone through once."""
+        yield from self.exact(texts)
+        rows = self.candidates(texts)
+        if not len(rows):
+            return
+        reach = self.size[rows[:, 1]] + 4 * (EDITS * self.size[rows[:, 1]]).astype(np.int64) + 4
+        fresh = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] - rows[:-1, 2] > reach[1:])])
+        head = np.flatnonzero(fresh)
+        tail = np.append(head[1:], len(rows)) - 1
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for (t, k, low), high in zip(rows[head].tolist(), rows[tail, 2].tolist(), strict=True):
+            d = self.distance(k, texts[t], low, high)
+            if d and ((t, k) not in best or d < best[t, k]):
+                best[t, k] = d
+        for (t, k), (d, end) in best.items():
+            yield t, k, d, end
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -217,7 +319,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     row's text holds a passage within ``EDITS`` of the item's words in edit distance; the best such passage ends before
     word number end_word. Clean rows give none.
 
-    Null and empty texts hold nothing; null items, and items of fewer than 5 words, match nothing. Rows that repeat an
+    Null and empty texts hold nothing; null items and items without words match nothing; items of fewer than 5 words have to be
+    there word for word. Rows that repeat an
     id or a text are judged each; items that repeat an id likewise. Of places at the same distance the first counts. Other
     columns are ignored, whatever their names; an empty table or benchmark gives none. Whole texts are read. The items are broadcast in
     blocks of bounded size, and a benchmark of several blocks takes a pass over the documents for each.

@@ -118,12 +118,13 @@ def identify(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
 def _sample(rows: DataFrame) -> DataFrame:
     """Of rows(__id, __text, __lang) an equal share of SAMPLE_DOCS for each language, 20 at least, in hash order of the id.
     Texts over SAMPLE_CHARS characters count only where a language has no others, the shortest first. Before any are
-    sorted, a hash leaves about twice as many of each language as are wanted, so no language is sorted whole."""
+    sorted, a hash leaves about twice as many of each language as are wanted and 200 more, so no language is sorted whole,
+    whatever its size."""
     long = F.greatest(F.length("__text"), F.lit(SAMPLE_CHARS))
     per = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(long == SAMPLE_CHARS).alias("short"))
     per = per.withColumn("of", F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("all")))
     wanted = max(20, SAMPLE_DOCS // max(1, per.count()))
-    share = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < F.lit(2.0 * wanted * (1 << 30)) / F.col("of") + F.lit(20 << 20)
+    share = F.pmod(F.xxhash64("__id", "__text"), F.lit(1 << 30)) < F.lit((2.0 * wanted + 200) * (1 << 30)) / F.col("of")
     near = rows.join(F.broadcast(per), "__lang").where(((long == SAMPLE_CHARS) | (F.col("short") == 0)) & share)
     place = F.row_number().over(Window.partitionBy("__lang").orderBy(long, F.xxhash64("__id"), "__id", "__text"))
     return near.withColumn("k", place).where(F.col("k") <= wanted).select("__id", "__text", "__lang")

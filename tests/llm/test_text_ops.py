@@ -195,6 +195,66 @@ def test_decontamination_recall_by_edits(percent):
     assert wanted > 300 and found >= 0.9 * wanted
 
 
+def least_distance(item, words):
+    """Least edit distance between an item and any part of a text, by the whole table."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for w in words:
+        new = [0]
+        for k, x in enumerate(item):
+            new.append(min(row[k] + (x != w), row[k + 1] + 1, new[k] + 1))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_decontamination_hits_and_misses_with_stock_phrases_and_short_items():
+    r = random.Random(21)
+    voc = [f"v{k}" for k in range(300)]
+    words = lambda n: [r.choice(voc) for _ in range(n)]
+    stock = words(12)
+    items = [(k, words(r.randrange(1, 6))) for k in range(30)]
+    items += [(100 + k, words(r.randrange(0, 15)) + stock + words(r.randrange(0, 15))) for k in range(60)]
+    items += [(200 + k, words(r.randrange(6, 40))) for k in range(60)]
+    finder = decontam.Finder(decontam.Index([(k, " ".join(w)) for k, w in items]))
+    texts = []
+    for _ in range(60):
+        text = words(r.randrange(0, 60))
+        for _ in range(r.randrange(3)):
+            own = list(r.choice(items)[1])
+            for _ in range(r.randrange(int(0.3 * len(own)) + 1)):
+                at = r.randrange(len(own))
+                own[at : at + r.randrange(2)] = r.choice([[], ["edited"]])
+                own = own or ["edited"]
+            at = r.randrange(len(text) + 1)
+            text[at:at] = r.choice([own, stock, own + stock])
+        texts.append(text)
+    texts += [[], stock * 10]
+    want = {}
+    for t, text in enumerate(texts):
+        for n, (_, own) in enumerate(items):
+            if (d := least_distance(own, text)) <= int(0.2 * len(own)):
+                want[t, n] = d
+    got = {(t, n): d for t, n, d, _ in finder.find([decontam.fingerprints(" ".join(x)) for x in texts])}
+    assert set(got) <= set(want) and all(d >= want[k] for k, d in got.items())
+    assert {k for k, d in want.items() if not d} <= set(got)
+    assert len(want) > 150 and len(got) >= 0.9 * len(want)
+
+
+def test_many_items_with_one_phrase_take_linear_work():
+    r = random.Random(5)
+    voc = [f"v{k}" for k in range(5000)]
+    words = lambda n: [r.choice(voc) for _ in range(n)]
+    stock = words(20)
+    items = [(k, " ".join(words(15) + stock + words(15))) for k in range(2000)]
+    text = " ".join(sum(([*words(80), *stock] for _ in range(15)), []))
+    finder = decontam.Finder(decontam.Index(items))
+    rows = finder.candidates([decontam.fingerprints(text)])
+    assert len(rows) <= 2000 * 15 * 8
+    assert list(finder.find([decontam.fingerprints(text)])) == []
+    assert [k for _, k, _, _ in finder.find([decontam.fingerprints(f"{text} {items[77][1]}")])] == [77]
+
+
 def test_decontamination_takes_clashing_names_and_long_texts(spark):
     item = " ".join(f"w{k}" for k in range(30))
     rows = [(1, "x " * 60_000 + item + " y" * 60_000), (1, "clean"), (2, None), (3, "clean")]
