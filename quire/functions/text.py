@@ -72,11 +72,12 @@ def accents_to_unicode(c: Column) -> Column:
 
 
 def symbols_to_unicode(c: Column, table: dict[str, str] | None = None) -> Column:
-    r"""Macros `\name` to symbols, the longest names first; a letter after the name makes it another macro. ``table`` adds
-    to the known ones or overrides them."""
-    for name, symbol in sorted((GREEK | MATHS | (table or {})).items(), key=lambda x: -len(x[0])):
-        c = F.regexp_replace(c, rf"\\{name}([^a-zA-Z]|$)", f"{symbol}$1")
-    return c
+    r"""Macros `\name` to symbols, whole names alone. ``table`` adds to the known ones or overrides them. A text is cut before
+    each macro, whose name is looked up once."""
+    known = F.create_map(*[F.lit(x) for pair in (GREEK | MATHS | (table or {})).items() for x in pair])
+    name = lambda x: F.regexp_extract(x, r"^\\([a-zA-Z]+)", 1)
+    symbol = lambda x: F.concat(F.try_element_at(known, name(x)), F.substr(x, F.length(name(x)) + 2))
+    return F.array_join(F.transform(F.split(c, r"(?=\\[a-zA-Z])", -1), lambda x: F.coalesce(F.when(x.startswith("\\"), symbol(x)), x)), "")
 
 
 def break_structure(c: Column) -> Column:

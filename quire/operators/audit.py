@@ -11,6 +11,7 @@ from quire.functions.ids import RESERVED, SLUG, valid_language
 from quire.operators import tree
 from quire.operators.numbering import number_within
 from quire.plans.rules import PICTURE_COMMANDS, SECTIONS
+from quire.scratch import written
 
 CAP = 16
 
@@ -112,12 +113,13 @@ def rendered(problems: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.unionByName(fine.select("doc", F.lit("OK").alias("code"), F.lit(None).cast("long").alias("node"), F.array().cast("array<string>").alias("args"), F.lit(False).alias("flagged")))
 
 
-def check_corpus(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, versions: DataFrame, replaced: DataFrame, rules: DataFrame, extensions: DataFrame, languages: list[str], private: tuple, loops: bool = True) -> DataFrame:
+def check_corpus(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, versions: DataFrame, replaced: DataFrame, rules: DataFrame, extensions: DataFrame, languages: list[str], private: tuple) -> DataFrame:
     """problems(doc, code, node, args) of whole documents: every check of this module over nodes(doc, node, environ, exts,
     access, text, langs), edges, inputs(doc, node, lang, macro, context, path, target), versions(doc, node, lang, environ,
-    text) and replaced(doc, node, by). Loops need the walk in order; without ``loops`` reachability is enough."""
+    text) and replaced(doc, node, by). One walk gives what is reached, and its loops."""
     roots = tree.roots_of(nodes)
-    reached = tree.reachable(edges, roots)
+    visits = written(tree.walk(edges, roots), "visits")
+    reached = visits.where("is_first").select("doc", "node")
     live = edges.join(reached.withColumnRenamed("node", "parent"), ["doc", "parent"], "left_semi")
     again = live.groupBy("doc", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(roots, "doc").withColumn("n", F.col("n") - F.when(F.col("node") == F.col("root"), 0).otherwise(1))
     links = tree.check_links(nodes, edges, rules, extensions)
@@ -134,8 +136,7 @@ def check_corpus(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, versions
         problem(missing_input(inputs, versions), "MISSING_INPUT", "node", "lang", "target"),
         problem(untranslated(nodes, languages), "UNTRANSLATED", "node", "n"),
     ]
-    if loops:
-        found.append(problem(tree.loops(tree.walk(edges, roots)), "LOOP", "node", "parent"))
+    found.append(problem(tree.loops(visits), "LOOP", "node", "parent"))
     return report(*found)
 
 

@@ -10,45 +10,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.ids import id_to_int, strip_delims
+from quire.functions.text import dedollarize, symbols_to_unicode
+from quire.operators import tree
 from quire.operators.numbering import number_within
+from quire.scratch import written
 
 
-def parse_index(value: Column) -> Column:
-    """struct(sortkey, key, see, value, text_class) of an index argument: `a!b`, `sort@key`, `key|see{x}`, `key|textbf`,
-    `key|(` and `key|)`; a quote protects ! @ and |."""
-    hide = {'"!': "\x01", '"@': "\x02", '"|': "\x03"}
-    s = strip_delims(value)
-    for a, b in hide.items():
+#: What a quote protects, hidden under control characters while an argument is taken apart.
+_HIDDEN = {'"!': "\x01", '"@': "\x02", '"|': "\x03"}
+
+
+def entries(attrs: DataFrame) -> DataFrame:
+    """(doc, node, lang, sortkey, key, see, value, text_class) of all index attributes; lang is '' for plain ones. Arguments
+    are `a!b`, `sort@key`, `key|see{x}`, `key|textbf`, `key|(` and `key|)`; a quote protects ! @ and |. Formulas in keys
+    are told by \\( and \\), and macros of symbols become the symbols."""
+    rows = attrs.where(F.col("key").rlike("M_index(L[a-z]{3})?$"))
+    s = dedollarize(strip_delims(F.col("value")))
+    for a, b in _HIDDEN.items():
         s = F.replace(s, F.lit(a), F.lit(b))
 
     def show(c: Column) -> Column:
-        for a, b in hide.items():
+        for a, b in _HIDDEN.items():
             c = F.replace(c, F.lit(b), F.lit(a[1]))
         return c
 
-    parts = F.split(s, r"\|", 2)
-    entry, suffix = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-    both = F.split(entry, "@", 2)
-    sortkey, key = F.get(both, F.lit(0)), F.coalesce(F.get(both, F.lit(1)), F.get(both, F.lit(0)))
-    see = F.regexp_extract(suffix, r"^see(?:also)?\{(.*)\}$", 1)
+    # one step after the other, so that no expression is repeated in the next
+    rows = rows.select("doc", "node", F.regexp_extract("key", "M_index(?:L([a-z]{3}))?$", 1).alias("lang"), F.split(s, r"\|", 2).alias("p"))
+    rows = rows.select("doc", "node", "lang", F.split(F.get("p", F.lit(0)), "@", 2).alias("e"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("suffix"))
+    shown = lambda c: symbols_to_unicode(show(F.regexp_replace(c, "!", ", ")))
+    rows = rows.select("doc", "node", "lang", "suffix", shown(F.get("e", F.lit(0))).alias("sortkey"), shown(F.get("e", F.lit(1))).alias("key"))
+    suffix = F.col("suffix")
     mark = F.when(suffix.isin("(", ")"), suffix).otherwise("")
     style = F.when(suffix == "textbf", "font-weight-bold").when(suffix.isin("emph", "textit", "textsl"), "font-italic").otherwise("")
-    comma = lambda c: F.regexp_replace(c, "!", ", ")
-    return F.struct(show(comma(sortkey)).alias("sortkey"), show(comma(key)).alias("key"), show(see).alias("see"), mark.alias("value"), style.alias("text_class"))
-
-
-def entries(attrs: DataFrame) -> DataFrame:
-    """(doc, node, lang, sortkey, key, see, value, text_class) of all index attributes; lang is '' for plain ones."""
-    rows = attrs.where(F.col("key").rlike("M_index(L[a-z]{3})?$"))
-    lang = F.regexp_extract("key", "M_index(?:L([a-z]{3}))?$", 1)
-    return rows.select("doc", "node", lang.alias("lang"), parse_index(F.col("value")).alias("e")).select("doc", "node", "lang", "e.*")
+    see = show(F.regexp_extract("suffix", r"^see(?:also)?\{(.*)\}$", 1))
+    return rows.select("doc", "node", "lang", "sortkey", F.coalesce("key", "sortkey").alias("key"), see.alias("see"), mark.alias("value"), style.alias("text_class"))
 
 
-def ranges(entry: DataFrame, closure: DataFrame) -> DataFrame:
-    """(doc, node, lang, key): nodes below one that opens and closes a range of a key."""
+def ranges(entry: DataFrame, visits: DataFrame) -> DataFrame:
+    """(doc, node, lang, key): nodes below one that opens and closes a range of a key, by the visits of a walk."""
     k = ["doc", "node", "lang", "key"]
     both = entry.where("value = '('").select(*k).distinct().join(entry.where("value = ')'").select(*k).distinct(), k)
-    return both.join(closure.select("doc", F.col("ancestor").alias("node"), "descendant"), ["doc", "node"]).select("doc", F.col("descendant").alias("node"), "lang", "key").distinct()
+    both = written(both, "ranges")
+    return both.join(tree.below(both, visits), ["doc", "node"]).select("doc", F.col("descendant").alias("node"), "lang", "key").distinct()
 
 
 def unpaired(entry: DataFrame) -> DataFrame:
@@ -59,10 +62,10 @@ def unpaired(entry: DataFrame) -> DataFrame:
     return lone.drop("n")
 
 
-def range_attrs(attrs: DataFrame, closure: DataFrame) -> DataFrame:
+def range_attrs(attrs: DataFrame, visits: DataFrame) -> DataFrame:
     """``attrs`` with range marks made anew: old rangeindex rows go, and every node below one that opens and closes a range
     of a key gets (rangeindex[Lxxx], key)."""
-    below = ranges(entries(attrs), closure)
+    below = ranges(entries(attrs), visits)
     key = F.concat(F.lit("rangeindex"), F.when(F.col("lang") == "", "").otherwise(F.concat(F.lit("L"), F.col("lang"))))
     return attrs.where(~F.col("key").startswith("rangeindex")).select("doc", "node", "key", "value").unionByName(below.select("doc", "node", key.alias("key"), F.col("key").alias("value")))
 

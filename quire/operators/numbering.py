@@ -28,6 +28,21 @@ def number_within(rows: DataFrame, keys: list[str], order: list, name: str = "n"
     return placed.join(heads, same).select(*[placed[c] for c in rows.columns], (F.col("__i") - F.col("__first") + F.col("__before") + 1).cast("long").alias(name))
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str = "before") -> DataFrame:
+    """``rows`` with ``name``, the sum of ``value`` over the rows before, within the keys and by a total order. Groups may be of
+    any size, as in ``number_within``: sums are made within partitions, and a row for each group and partition carries on."""
+    by = [*keys, *order]
+    placed = written(rows.repartitionByRange(*by).withColumn("__p", F.spark_partition_id()), "summed")
+    heads = placed.groupBy(*keys, "__p").agg(F.sum(value).alias("__s"))
+    before = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.withColumn("__before", F.coalesce(before, F.lit(0))).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__p").alias("__q"), "__before")
+    same = F.col("__p") == F.col("__q")
+    for k in keys:
+        same = same & placed[k].eqNullSafe(F.col(f"__k_{k}"))
+    here = F.sum(value).over(Window.partitionBy(*keys, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.join(heads, same).select(*[placed[c] for c in rows.columns], (F.coalesce(here, F.lit(0)) + F.col("__before")).cast("long").alias(name))
+
+
 def last_before(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """``rows`` with ``last_<value>`` for each value: the latest one that isn't null among the rows before, within the
     keys and by a total order. Groups may be of any size, as in ``number_within``."""

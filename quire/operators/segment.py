@@ -302,7 +302,7 @@ PART = 100
 def assemble(nodes: DataFrame, visits: DataFrame) -> DataFrame:
     """(doc, part, text): the whole text of each document: the texts of first visits in the order of the walk, in parts
     of 100 segments, numbered from 1, so that no row holds a whole document."""
-    first = number_within(visits.where("is_first").select("doc", "node", "path"), ["doc"], ["path"], "place")
+    first = number_within(visits.where("is_first").select("doc", "node", F.col("place").alias("at")), ["doc"], ["at"], "place")
     return _parts(first.join(nodes.select("doc", "node", "text"), ["doc", "node"]), ["doc"])
 
 
@@ -355,10 +355,10 @@ def standalone(text: Column, environ: Column, title: Column, classname: Column |
 def assemble_files(nodes: DataFrame, visits: DataFrame) -> DataFrame:
     """(doc, file, part, text): original files: a node with a filename begins one, which takes all below it up to the
     next; in parts of 100 segments. nodes(doc, node, text, original_filename)."""
-    rows = visits.where("is_first").select("doc", "node", "path", F.posexplode(F.concat("branch", F.array(F.col("node")))).alias("i", "above"))
-    named = nodes.where("original_filename is not null").select("doc", F.col("node").alias("above"), "original_filename")
-    file = rows.join(named, ["doc", "above"]).groupBy("doc", "node", "path").agg(F.max_by("original_filename", "i").alias("file"))
-    placed = number_within(file, ["doc", "file"], ["path"], "place")
+    named = nodes.where("original_filename is not null").select("doc", "node", F.col("original_filename").alias("file"))
+    owner = tree.nearest(visits, named).where("at is not null").join(named.withColumnRenamed("node", "at"), ["doc", "at"])
+    file = visits.where("is_first").select("doc", "node", F.col("place").alias("nth")).join(owner.select("doc", "node", "file"), ["doc", "node"])
+    placed = number_within(file, ["doc", "file"], ["nth"], "place")
     return _parts(placed.join(nodes.select("doc", "node", "text"), ["doc", "node"]), ["doc", "file"])
 
 

@@ -1,21 +1,22 @@
 """Walks, closures and checks of document trees (in practice graphs with repeats and cycles).
 
 Tables: nodes(doc, node, ...), edges(doc, parent, child, ordinal). Children go in the order of ordinal, then child.
+
+A walk numbers its visits without following them one by one. Nodes with one parent make trees; by path doubling each
+node knows after k rounds what stands 2**k above it, so the sizes of subtrees, and from those the places in the walk,
+take as many rounds as the logarithm of the depth. Nodes that several others name are settled on the graph of such
+trees. A node's place and the size of what is below it are an interval, which tells ancestors from others.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.numbering import number_within
+from quire.operators.numbering import running_sum
 from quire.scratch import written
 from quire.schema import NOT_IN_DOCUMENT
 
-#: A round joins the frontier's edges once; deeper trees are reported, not followed.
-MAX_DEPTH = 1000
 #: Environments that rules name by themselves.
 OWN_RULES = ("E_document", "E_thebibliography")
 PATH = "array<struct<ordinal:bigint,child:bigint>>"
@@ -31,79 +32,162 @@ def min_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     A node's least path is the one by which a depth-first walk meets it first, because every beginning of a least path
     is a least path itself. Each round relaxes the edges that leave nodes whose path has just shrunk, and writes the
-    paths that it has found or shortened alone; a cycle only yields longer paths, which lose.
+    paths that it has found or shortened alone; a cycle only yields longer paths, which lose. Rounds are as many as the
+    graph is deep: ``walk`` calls it on the graph of trees alone.
     """
     e = edges.select("doc", "parent", F.col("child").cast("long").alias("child"), F.col("ordinal").cast("long").alias("ordinal"))
     front = written(roots.select("doc", F.col("root").cast("long").alias("node"), F.array().cast(PATH).alias("path")), "paths")
-    found = [front]
-    for _ in range(MAX_DEPTH):
-        best = reduce(DataFrame.unionByName, found).groupBy("doc", "node").agg(F.min("path").alias("path"))
+    best = front
+    while True:
         up = front.select("doc", F.col("node").alias("parent"), F.col("path").alias("up"))
         reach = up.join(e, ["doc", "parent"]).groupBy("doc", F.col("child").alias("node")).agg(F.min(F.concat("up", F.array(F.struct("ordinal", "child"))).cast(PATH)).alias("path"))
         known = best.select("doc", "node", F.col("path").alias("old"))
         front = written(reach.join(known, ["doc", "node"], "left").where("old is null or path < old").select("doc", "node", "path"), "paths")
         if front.isEmpty():
             return best
-        found.append(front)
-    raise RuntimeError(f"a branch is deeper than {MAX_DEPTH}")
+        best = written(best.unionByName(front).groupBy("doc", "node").agg(F.min("path").alias("path")), "paths")
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc, node): the nodes that a root reaches, roots included. A round writes the newly reached nodes alone."""
-    front = written(roots.select("doc", F.col("root").cast("long").alias("node")).distinct(), "reached")
-    found = [front]
-    for _ in range(MAX_DEPTH):
-        seen = reduce(DataFrame.unionByName, found)
-        step = front.withColumnRenamed("node", "parent").join(edges.select("doc", "parent", "child"), ["doc", "parent"])
-        front = written(step.select("doc", F.col("child").cast("long").alias("node")).distinct().join(seen, ["doc", "node"], "left_anti"), "reached")
-        if front.isEmpty():
-            return seen
-        found.append(front)
-    raise RuntimeError(f"a branch is deeper than {MAX_DEPTH}")
+    """(doc, node): the nodes that a root reaches, roots included."""
+    return walk(edges, roots).where("is_first").select("doc", "node")
+
+
+def _doubled(vertices: DataFrame) -> DataFrame:
+    """(doc, node, top, dist, size) of vertices(doc, node, up, weight): the highest node above, how far it is, and the
+    weight of the node and all below it. Nodes on or below a cycle without a top are left out."""
+    now = written(vertices.select("doc", "node", F.col("up").alias("anc"), F.col("node").alias("top"), F.lit(0).cast("long").alias("dist"), F.col("weight").cast("long").alias("size")), "doubled")
+    step, most = 1, 2 * now.count()
+    while step <= most:
+        if now.where("anc is not null").isEmpty():
+            break
+        far = now.select("doc", F.col("node").alias("anc"), F.col("anc").alias("a2"), F.col("top").alias("t2"), F.col("dist").alias("d2"))
+        more = now.where("anc is not null").groupBy("doc", F.col("anc").alias("node")).agg(F.sum("size").alias("more"))
+        joined = now.join(far, ["doc", "anc"], "left").join(more, ["doc", "node"], "left")
+        dist = F.when(F.col("anc").isNotNull(), F.col("d2") + step).otherwise(F.col("dist"))
+        now = written(joined.select("doc", "node", F.col("a2").alias("anc"), F.coalesce("t2", "top").alias("top"), dist.alias("dist"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "doubled")
+        step *= 2
+    return now.where("anc is null").drop("anc")
+
+
+def _summed(vertices: DataFrame) -> DataFrame:
+    """(doc, node, pos) of vertices(doc, node, up, off): the sum of ``off`` from the top down to the node."""
+    now = written(vertices.select("doc", "node", F.col("up").alias("anc"), F.col("off").alias("pos")), "doubled")
+    while not now.where("anc is not null").isEmpty():
+        far = now.select("doc", F.col("node").alias("anc"), F.col("anc").alias("a2"), F.col("pos").alias("p2"))
+        now = written(now.join(far, ["doc", "anc"], "left").select("doc", "node", F.col("a2").alias("anc"), (F.col("pos") + F.coalesce("p2", F.lit(0))).alias("pos")), "doubled")
+    return now.drop("anc")
+
+
+def _preorder(own: DataFrame, leaves: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places within trees: of their nodes (doc, node, parent, ordinal, top, depth, size, place) and of further edges, which
+    are visited and not entered (doc, node, parent, ordinal, top, depth, place). ``own`` are edges to nodes with one parent."""
+    up = own.select("doc", F.col("child").alias("node"), F.col("parent").alias("up"), "ordinal")
+    extra = leaves.groupBy("doc", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("extra"))
+    ends = roots.unionByName(own.select("doc", F.col("parent").alias("node"))).unionByName(leaves.select("doc", F.col("parent").alias("node"))).unionByName(up.select("doc", "node")).distinct()
+    vertices = ends.join(up, ["doc", "node"], "left").join(extra, ["doc", "node"], "left")
+    sizes = _doubled(vertices.withColumn("weight", F.coalesce("extra", F.lit(0)) + 1))
+    both = own.join(sizes.select("doc", F.col("node").alias("child"), "size"), ["doc", "child"]).withColumn("own", F.lit(True)).unionByName(leaves.withColumns({"size": F.lit(1).cast("long"), "own": F.lit(False)}))
+    placed = written(running_sum(both, ["doc", "parent"], ["ordinal", "child"], "size").withColumn("off", F.col("before") + 1), "offsets")
+    into = placed.where("own").select("doc", F.col("child").alias("node"), F.col("parent").alias("up"), "ordinal", "off")
+    named = sizes.join(into, ["doc", "node"], "left").withColumn("off", F.coalesce("off", F.lit(0)))
+    nodes = named.join(_summed(named), ["doc", "node"]).select("doc", "node", F.col("up").alias("parent"), "ordinal", "top", F.col("dist").alias("depth"), "size", F.col("pos").alias("place"))
+    nodes = written(nodes, "places")
+    above = nodes.select("doc", F.col("node").alias("parent"), "top", (F.col("depth") + 1).alias("depth"), F.col("place").alias("from"))
+    visits = placed.where("not own").join(above, ["doc", "parent"]).select("doc", F.col("child").alias("node"), "parent", "ordinal", "top", "depth", (F.col("from") + F.col("off")).alias("place"))
+    return nodes, visits
 
 
 def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc, node, parent, path, branch, depth, is_first): the visits of a depth-first walk, one for the root and one
-    for each edge that leaves a reached node; a node seen before is visited again but not entered again. Visits of a
-    document go in the order of path."""
-    paths = written(min_paths(edges, roots), "walk")
-    up = paths.select("doc", F.col("node").alias("parent"), F.col("path").alias("up"))
-    by_edge = edges.join(up, ["doc", "parent"]).select(
-        "doc", F.col("child").alias("node"), "parent", F.concat("up", F.array(F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("child").cast("long").alias("child")))).alias("path")
-    )
-    first = paths.select("doc", "node", F.col("path").alias("first"))
-    top = roots.select("doc", F.col("root").alias("r"))
-    visits = by_edge.unionByName(roots.select("doc", F.col("root").alias("node"), F.lit(None).cast("long").alias("parent"), F.array().cast("array<struct<ordinal:bigint,child:bigint>>").alias("path")))
-    return visits.join(first, ["doc", "node"]).join(top, "doc").select(
-        "doc",
-        "node",
-        "parent",
-        "path",
-        F.when(F.size("path") == 0, F.array().cast("array<bigint>")).otherwise(F.concat(F.array("r"), F.expr("transform(slice(path, 1, size(path) - 1), x -> x.child)"))).alias("branch"),
-        F.size("path").alias("depth"),
-        (F.col("path") == F.col("first")).alias("is_first"),
-    )
+    """(doc, node, parent, ordinal, place, size, depth, is_first): the visits of a depth-first walk, one for the root and one
+    for each edge that leaves a reached node; a node seen before is visited again but not entered again. ``place`` numbers
+    a document's visits from 0, and a first visit's ``size`` is the number of visits from it to the last one below it.
+    Edges that repeat wholly count once.
+
+    Edges to nodes that nothing else points at make trees, whose inner order doubling finds. What is left is the graph of
+    these trees: an edge from one to the top of another, numbered by its place in the first. A top's least path there tells
+    which edge a walk takes to it first; with those edges all is one tree, numbered in the same way."""
+    long = lambda c: F.col(c).cast("long").alias(c)
+    e = written(edges.select("doc", long("parent"), long("child"), long("ordinal")).distinct(), "edges")
+    top = written(roots.select("doc", F.col("root").cast("long").alias("node")).distinct(), "roots")
+    once = e.groupBy("doc", "child").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(top.withColumnRenamed("node", "child"), ["doc", "child"], "left_anti").drop("n")
+    own, others = e.join(once, ["doc", "child"], "left_semi"), e.join(once, ["doc", "child"], "left_anti")
+    nodes, visits = _preorder(own, others, top)
+    if not others.isEmpty():
+        links = written(visits.select("doc", F.col("top").alias("parent"), F.col("node").alias("child"), F.col("place").alias("ordinal"), F.col("parent").alias("from"), F.col("ordinal").alias("nth")), "links")
+        paths = min_paths(links.select("doc", "parent", "child", "ordinal"), roots)
+        last = paths.where(F.size("path") > 0).select("doc", F.element_at("path", -1).alias("x"), F.when(F.size("path") > 1, F.try_element_at("path", F.lit(-2))["child"]).alias("before"))
+        last = last.join(top.withColumnRenamed("node", "root"), "doc").select("doc", F.coalesce("before", "root").alias("parent"), F.col("x.child").alias("child"), F.col("x.ordinal").alias("ordinal"))
+        taken = written(links.join(last, ["doc", "parent", "child", "ordinal"], "left_semi").select("doc", F.col("from").alias("parent"), "child", F.col("nth").alias("ordinal")), "taken")
+        reached = nodes.join(paths.select("doc", F.col("node").alias("top")), ["doc", "top"], "left_semi").select("doc", F.col("node").alias("parent"))
+        rest = others.join(reached, ["doc", "parent"], "left_semi").join(taken, ["doc", "parent", "child", "ordinal"], "left_anti")
+        nodes, visits = _preorder(own.join(reached, ["doc", "parent"], "left_semi").unionByName(taken), rest, top)
+    found = nodes.withColumn("is_first", F.lit(True)).unionByName(visits.withColumns({"size": F.lit(1).cast("long"), "is_first": F.lit(False)}))
+    shown = found.join(top.withColumnRenamed("node", "top"), ["doc", "top"], "left_semi")
+    return shown.select("doc", "node", "parent", "ordinal", "place", "size", "depth", "is_first")
+
+
+#: Places of an interval that are written out at a time.
+STRETCH = 4096
+
+
+def below(marks: DataFrame, visits: DataFrame) -> DataFrame:
+    """(doc, node, descendant): all other nodes that the nodes of marks(doc, node) lead to. What a walk has entered below a
+    node is an interval of places; where it holds a visit to a node that was entered elsewhere, that one's interval
+    belongs to it too, and so on. The work grows with what comes out, whatever the size of the tree."""
+    v = written(visits.select("doc", "node", "place", "size", "is_first"), "visits")
+    first = v.where("is_first").select("doc", F.col("node").alias("at"), F.col("place").alias("low"), "size")
+    front = marks.select("doc", "node").distinct().withColumn("at", F.col("node"))
+    found = entered = None
+    while True:
+        spans = front.join(first, ["doc", "at"]).select("doc", "node", F.col("low").alias("a"), (F.col("low") + F.col("size") - 1).alias("b"))
+        blocks = spans.select("doc", "node", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / STRETCH))).alias("k"))
+        low = F.col("a") + F.col("k") * STRETCH
+        places = blocks.select("doc", F.col("node").alias("mark"), F.explode(F.sequence(low, F.least(low + STRETCH - 1, F.col("b")))).alias("place"))
+        met = written(places.join(v, ["doc", "place"]).select("doc", F.col("mark").alias("node"), F.col("node").alias("descendant"), "is_first").distinct(), "below")
+        new, inside = met.drop("is_first").distinct(), met.where("is_first").drop("is_first")
+        found = new if found is None else written(found.unionByName(new).distinct(), "below")
+        entered = inside if entered is None else written(entered.unionByName(inside).distinct(), "below")
+        again = met.where("not is_first").drop("is_first").join(entered, ["doc", "node", "descendant"], "left_anti")
+        front = written(again.select("doc", "node", F.col("descendant").alias("at")), "below")
+        if front.isEmpty():
+            return found.where("node <> descendant")
+
+
+def nearest(visits: DataFrame, marked: DataFrame) -> DataFrame:
+    """(doc, node, at): for each node that a walk enters, the nearest of marked(doc, node) on the way up from it, itself
+    included; null if there is none. Each round doubles how far nodes look up."""
+    own = marked.select("doc", "node").distinct().withColumn("m", F.lit(True))
+    first = visits.where("is_first").select("doc", "node", "parent").join(own, ["doc", "node"], "left")
+    done = F.col("m").isNotNull() | F.col("parent").isNull()
+    now = written(first.select("doc", "node", F.when(F.col("m"), F.col("node")).otherwise(F.col("parent")).alias("at"), done.alias("done")), "nearest")
+    while not now.where("not done").isEmpty():
+        up = now.select("doc", F.col("node").alias("at"), F.col("at").alias("a2"), F.col("done").alias("d2"))
+        open_ = now.where("not done").join(up, ["doc", "at"]).select("doc", "node", F.col("a2").alias("at"), F.col("d2").alias("done"))
+        now = written(now.where("done").unionByName(open_), "nearest")
+    return now.drop("done")
 
 
 def order_in_document(nodes: DataFrame, visits: DataFrame) -> DataFrame:
     """(doc, node, order_in_document): the place of the last visit; nodes out of reach get 2147483647."""
-    places = number_within(visits.select("doc", "node", "path"), ["doc"], ["path", "node"], "p")
-    last = places.groupBy("doc", "node").agg((F.max("p") - 1).alias("p"))
+    last = visits.groupBy("doc", "node").agg(F.max("place").alias("p"))
     return nodes.select("doc", "node").join(last, ["doc", "node"], "left").select("doc", "node", F.coalesce("p", F.lit(NOT_IN_DOCUMENT)).alias("order_in_document"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(doc, ancestor, descendant): all pairs joined by one edge or more. Pairs found in a round are joined with the
-    edges once; a cycle ends when it yields no new pair. The result grows with depth times nodes, as asked for."""
+    """(doc, ancestor, descendant): all pairs joined by one edge or more, in as many rounds as the logarithm of the depth:
+    pairs at most 2**k edges apart are joined with themselves. Only pairs that the last round found can make new ones.
+    The result grows with depth times nodes, as asked for; ``below`` gives the part of it that starts at given nodes."""
     pairs = written(edges.select("doc", F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct(), "closure")
     new = pairs
-    for _ in range(MAX_DEPTH):
-        more = new.join(edges.select("doc", F.col("parent").alias("descendant"), "child"), ["doc", "descendant"]).select("doc", "ancestor", F.col("child").alias("descendant")).distinct()
+    while True:
+        # a longer way begins with as many edges as the last round's pairs are apart at most
+        head = new.select("doc", "ancestor", F.col("descendant").alias("m")).join(pairs.select("doc", F.col("ancestor").alias("m"), "descendant"), ["doc", "m"])
+        more = head.select("doc", "ancestor", "descendant").distinct()
         new = written(more.join(pairs, ["doc", "ancestor", "descendant"], "left_anti"), "closure")
         if new.isEmpty():
             return pairs
         pairs = written(pairs.unionByName(new), "closure")
-    raise RuntimeError(f"a branch is deeper than {MAX_DEPTH}")
 
 
 def append_children(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -126,8 +210,12 @@ def parents(edges: DataFrame) -> DataFrame:
 
 
 def loops(visits: DataFrame) -> DataFrame:
-    """Visits to a node that is on its own branch."""
-    return visits.where(F.array_contains("branch", F.col("node"))).select("doc", "node", "parent", "depth")
+    """Visits to a node that is on its own branch: again, from a node within the interval of its first visit."""
+    first = visits.where("is_first").select("doc", F.col("node").alias("at"), F.col("place").alias("from"), "size")
+    again = visits.where("not is_first").select("doc", "node", "parent", "depth")
+    entered = again.join(first.select("doc", F.col("at").alias("node"), F.col("from").alias("low"), "size"), ["doc", "node"])
+    entered = entered.join(first.select("doc", F.col("at").alias("parent"), F.col("from").alias("here")), ["doc", "parent"])
+    return entered.where("here >= low and here < low + size").select("doc", "node", "parent", "depth")
 
 
 def duplicates(visits: DataFrame) -> DataFrame:
@@ -191,8 +279,8 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def subtree_hash(nodes: DataFrame, edges: DataFrame, visits: DataFrame, content: str = "text") -> DataFrame:
     """(doc, node, hash): md5 over a node's own text hash and its children's hashes in order, bottom-up by depth over
     the tree of first visits."""
-    tree = visits.where("is_first").select("doc", "node", "parent", "depth", "path").join(nodes.select("doc", "node", F.md5(content).alias("own")), ["doc", "node"])
-    tree = written(tree.select("doc", "node", "parent", "depth", "own", F.when(F.size("path") > 0, F.expr("path[size(path) - 1].ordinal")).alias("ordinal")), "merkle")
+    tree = visits.where("is_first").select("doc", "node", "parent", "depth", "ordinal").join(nodes.select("doc", "node", F.md5(content).alias("own")), ["doc", "node"])
+    tree = written(tree, "merkle")
     deepest = tree.agg(F.max("depth")).first()[0] or 0
     below, out = None, None
     for d in range(deepest, -1, -1):

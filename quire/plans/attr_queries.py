@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.fixtures import cte, view
 from quire.operators import access, activity, attrs, index, tree
 from quire.plans.registry import query
+from quire.scratch import written
 
 
 @query(f"""WITH {cte('fx_attr')}, adds AS (SELECT doc, node, 'M_label' AS key, concat('{{new:', node, '}}') AS value FROM fx_node WHERE r % 2 = 0 UNION ALL SELECT doc, node, 'M_cite', '{{zz}}' FROM fx_node WHERE r % 3 = 0)
@@ -127,6 +128,10 @@ e AS (SELECT doc, node, lang, replace(string_split(entry, '@')[1], '!', ', ') AS
  regexp_extract(suffix, '^see(?:also)?\\{{(.*)\\}}$', 1) AS see, CASE WHEN suffix IN ('(', ')') THEN suffix ELSE '' END AS value, CASE WHEN suffix = 'textbf' THEN 'font-weight-bold' ELSE '' END AS text_class FROM e1)"""
 
 
+def _walked(spark: SparkSession, d: str) -> DataFrame:
+    return tree.walk(view(spark, d, "fx_edge"), tree.roots_of(view(spark, d, "fx_node")))
+
+
 @query(f"WITH {_ENTRY} SELECT doc, node, lang, sortkey, key, see, value, text_class FROM e")
 def index_parse(spark: SparkSession, d: str) -> DataFrame:
     """IDX-1: index arguments taken apart."""
@@ -137,7 +142,7 @@ def index_parse(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT a.doc, c.descendant AS node, a.lang, a.key FROM e a JOIN e b ON b.node = a.node AND b.lang = a.lang AND b.key = a.key AND b.value = ')' JOIN c ON c.doc = a.doc AND c.ancestor = a.node WHERE a.value = '('""")
 def index_ranges(spark: SparkSession, d: str) -> DataFrame:
     """IDX-2: nodes below a range of an index entry."""
-    return index.ranges(index.entries(view(spark, d, "fx_attr")), tree.closure(view(spark, d, "fx_edge")))
+    return index.ranges(index.entries(view(spark, d, "fx_attr")), _walked(spark, d))
 
 
 @query(f"WITH {_ENTRY} SELECT doc, node, lang, key, min(value) AS value FROM (SELECT DISTINCT doc, node, lang, key, value FROM e WHERE value <> '') q GROUP BY doc, node, lang, key HAVING count(*) = 1")
@@ -164,7 +169,7 @@ SELECT user_id, doc, lang, sortkey, key, row_number() OVER (PARTITION BY user_id
 def index_book(spark: SparkSession, d: str) -> DataFrame:
     """IDX-2, IDX-3: the index that each of three readers sees, ranges included, places in document order."""
     a = view(spark, d, "fx_attr")
-    full = index.range_attrs(a, tree.closure(view(spark, d, "fx_edge")))
+    full = written(index.range_attrs(a, _walked(spark, d)), "ranges")
     return index.book_index(index.entries(full).unionByName(index.range_entries(full)), _readers(spark, d))
 
 

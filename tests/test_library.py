@@ -99,9 +99,57 @@ def test_walk_on_random_graphs(spark):
     roots = spark.createDataFrame([(g, 0) for g in graphs], "doc string, root long")
     got: dict = {g: [] for g in graphs}
     for v in tree.walk(edges, roots).collect():
-        got[v.doc].append(([tuple(x) for x in v.path], (v.node, v.parent, v.depth, v.is_first)))
+        got[v.doc].append((v.place, v.size, (v.node, v.parent, v.depth, v.is_first)))
     for g, es in graphs.items():
-        assert [x for _, x in sorted(got[g], key=lambda y: y[0])] == recursive_walk(es, 0), g
+        rows = sorted(got[g])
+        assert [x for _, _, x in rows] == recursive_walk(es, 0), g
+        assert [p for p, _, _ in rows] == list(range(len(rows)))
+        for p, size, (_, _, depth, _) in rows:
+            assert size == next((q - p for q, _, x in rows[p + 1 :] if x[2] <= depth), len(rows) - p)
+
+
+def test_walk_of_a_deep_chain(spark):
+    n = 3000
+    chain = spark.range(1, n).select(F.lit("d").alias("doc"), (F.col("id") - 1).alias("parent"), F.col("id").alias("child"), F.lit(1).cast("long").alias("ordinal"))
+    back = spark.createDataFrame([("d", n - 1, 5, 1), ("d", 7, 2000, 2)], chain.schema)
+    visits = tree.walk(chain.unionByName(back), spark.createDataFrame([("d", 0)], "doc string, root long"))
+    got = sorted((r.place, r.node, r.is_first) for r in visits.collect())
+    assert got == [*((k, k, True) for k in range(n)), (n, 5, False), (n + 1, 2000, False)]
+
+
+def reach(es, start):
+    seen, todo = set(), [start]
+    while todo:
+        u = todo.pop()
+        for p, c, _ in es:
+            if p == u and c not in seen:
+                seen.add(c)
+                todo.append(c)
+    return seen
+
+
+def test_below_and_closure_on_random_graphs(spark):
+    r = random.Random(13)
+    graphs = {}
+    for g in range(40):
+        n = r.randrange(1, 9)
+        graphs[f"g{g}"] = [(p, c, r.randrange(3)) for p, c in {(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(0, 14))}]
+    edges = spark.createDataFrame([(g, p, c, o) for g, es in graphs.items() for p, c, o in es], "doc string, parent long, child long, ordinal long")
+    roots = spark.createDataFrame([(g, 0) for g in graphs], "doc string, root long")
+    assert {tuple(x) for x in tree.closure(edges).collect()} == {(g, a, d) for g, es in graphs.items() for a in {p for p, _, _ in es} for d in reach(es, a)}
+    visits = tree.walk(edges, roots)
+    marks = spark.createDataFrame([(g, k) for g in graphs for k in (0, 1, 3)], "doc string, node long")
+    want = {(g, k, d) for g, es in graphs.items() for k in (0, 1, 3) if k == 0 or k in reach(es, 0) for d in reach(es, k) - {k}}
+    assert {tuple(x) for x in tree.below(marks, visits).collect()} == want
+    assert {tuple(x) for x in tree.reachable(edges, roots).collect()} == {(g, d) for g, es in graphs.items() for d in reach(es, 0) | {0}}
+    near = {(x.doc, x.node): x["at"] for x in tree.nearest(visits, marks.where("node = 1")).collect()}
+    for v in visits.where("is_first").collect():
+        up = {x.node: x.parent for x in visits.where((F.col("doc") == v.doc) & F.col("is_first")).collect()} if v.doc in ("g1", "g2", "g3") else None
+        if up:
+            k = v.node
+            while k is not None and k != 1:
+                k = up[k]
+            assert near[v.doc, v.node] == k
 
 
 def test_subtree_hash(spark):
@@ -159,7 +207,8 @@ def test_front_matter_is_the_text(spark):
     [("{a!b}", ("a, b", "a, b", "", "", "")), ("{s@k}", ("s", "k", "", "", "")), ("{k|see{z}}", ("k", "k", "z", "", "")), ("{k|(}", ("k", "k", "", "(", "")), ('{a"!b"|c}', ("a!b|c", "a!b|c", "", "", "")), ("{k|textbf}", ("k", "k", "", "", "font-weight-bold")), ("{k|emph}", ("k", "k", "", "", "font-italic"))],
 )
 def test_parse_index(spark, value, want):
-    assert tuple(one(spark, index.parse_index(F.col("s")), s=value)) == want
+    row = index.entries(spark.createDataFrame([("d", 1, "M_index", value)], "doc string, node long, key string, value string")).first()
+    assert (row.sortkey, row.key, row.see, row.value, row.text_class) == want
 
 
 def test_log_errors(spark):
@@ -344,14 +393,14 @@ def test_markers_skip_verbatim_and_take_braces(spark):
     assert [(r.macro, r.arg) for r in rows[1:]] == [("mark", "b"), ("verbatim", "asis")]
 
 
-def one(spark, text, doc="d"):
+def file_of(spark, text, doc="d"):
     return spark.createDataFrame([(doc, 1, text)], "doc string, node long, text string")
 
 
 def test_markers_with_any_number_and_depth_of_groups(spark):
     deep, wide = "{" * 50 + "x" + "}" * 50, "{g}" * 200_000
     t = f"a\\label{{{deep}}}b\\section*[s]{{{wide}\\label{{in}}}}c\\index{{}}"
-    rows = segment.explode_markers(one(spark, t)).orderBy("pos").collect()
+    rows = segment.explode_markers(file_of(spark, t)).orderBy("pos").collect()
     assert [(r.macro, r.arg, r.unclosed) for r in rows] == [("", "", ""), ("label", deep, ""), ("section", wide + "\\label{in}", ""), ("index", "", "")]
     assert "".join(r.raw for r in rows) == t
     assert [r.raw[r.size :] for r in rows[1:]] == ["b", "c", ""]
@@ -359,7 +408,7 @@ def test_markers_with_any_number_and_depth_of_groups(spark):
 
 def test_markers_without_an_end_are_told(spark):
     t = "} \\label{a \\ref{b} \\{ \\} {c} % }\n \\index{i{j}"
-    deep = segment.with_depth(segment.explode_markers(one(spark, t)))
+    deep = segment.with_depth(segment.explode_markers(file_of(spark, t)))
     rows = deep.orderBy("pos").collect()
     assert [(r.macro, r.arg, r.unclosed) for r in rows] == [("", "", "label"), ("ref", "b", "index")]
     assert "".join(r.raw for r in rows) == t.replace("% }", "")
@@ -395,7 +444,7 @@ def test_each_document_goes_by_its_own_rules(spark):
     table = segment.document_rules(rules)
     assert sorted((r.doc, r.commands, r.verbatim, r.splits) for r in table.collect()) == [("a", ["mark"], None, None), ("b", None, ["raw"], ["thm"])]
     t = "\\mark{1}\\label{2}\\begin{raw}\\mark{3}\\label{4}\\end{raw}\\begin{verbatim}\\label{5}\\end{verbatim}"
-    rows = segment.explode_markers(reduce(DataFrame.unionByName, [one(spark, t, x) for x in "abc"]), rules=table).orderBy("pos").collect()
+    rows = segment.explode_markers(reduce(DataFrame.unionByName, [file_of(spark, t, x) for x in "abc"]), rules=table).orderBy("pos").collect()
     found = {x: [r.arg for r in rows if r.doc == x and r.macro in ("mark", "label")] for x in "abc"}
     assert found == {"a": ["1", "3"], "b": ["2", "5"], "c": ["2", "4"]}
 
