@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from quire.fixtures import cte, view
 from quire.functions import text as T
 from quire.functions.ids import int_to_id
-from quire.operators import activity, attrs, languages, segment, tree
+from quire.operators import activity, languages, reparse, segment, tree
 from quire.plans.registry import query
 from quire.plans.rules import SECTIONS, child_rules, child_rules_sql, kind_sql
 from quire.plans.tree_queries import _id_sql, _walk_sql
+from quire.scratch import shared_path
+from quire.sources.commits import CorpusTables
 
 
 
@@ -209,13 +211,44 @@ def attr_reparse(spark: SparkSession, d: str) -> DataFrame:
     return segment.attributes(_deep(spark, d))
 
 
-@query(f"""WITH {_PIECES}, f AS (SELECT DISTINCT doc, node, CASE WHEN env IS NOT NULL THEN 'S_E_' || env || '_' ELSE '' END || 'M_' || macro AS key, '{{' || arg || '}}' AS value FROM p WHERE macro IN ('label', 'ref', 'index')),
-o AS (SELECT DISTINCT doc, node, 'M_label' AS key, '{{doc:' || node || '}}' AS value FROM fx_node)
-SELECT *, 'added' AS change FROM (SELECT * FROM f EXCEPT SELECT * FROM o) a UNION ALL SELECT *, 'deleted' FROM (SELECT * FROM o EXCEPT SELECT * FROM f) b""")
+_HEADED = """chr(92) || 'cite{a' || r % 3 || ',b' || r % 2 || '}' || CASE WHEN r % 6 = 1 THEN chr(92) || 'uuid{00B}' ELSE '' END || CASE r % 5 WHEN 2 THEN chr(92) || 'index{rng|(}' || chr(92) || 'index{rng|)}' WHEN 3 THEN chr(92) || 'index{lone|(}' ELSE '' END || chr(10) || text"""
+_AGAIN = f"""{_PIECES.replace(cte('fx_markup'), cte('fx_markup', 'fx_edge')).replace('FROM fx_markup)', 'FROM tx)').replace('m0 AS (', "tx AS (SELECT doc, node, r, " + _HEADED + " AS text FROM fx_markup), m0 AS (", 1)},
+a0 AS (SELECT DISTINCT doc, node, CASE WHEN env IS NOT NULL THEN 'S_E_' || env || '_' ELSE '' END || 'M_' || macro AS key, '{{' || replace(arg, chr(10), ' ') || '}}' AS value FROM p WHERE macro IN ('label', 'ref', 'index', 'cite')),
+a1 AS (SELECT DISTINCT doc, node, key, CASE WHEN key LIKE '%M_cite' THEN '{{' || unnest(string_split(trim(value, '{{}}'), ',')) || '}}' ELSE value END AS value FROM a0),
+a AS (SELECT *, min(node) OVER (PARTITION BY doc, key, value) AS least FROM a1),
+fresh AS (SELECT doc, node, key, value FROM a WHERE key NOT LIKE '%M_label' OR node = least),
+e AS (SELECT i.doc, i.node AS parent, t.node AS child FROM p i JOIN fx_node t ON t.doc = i.doc AND 'f' || t.r = regexp_replace(i.arg, '\\.tex$', '') WHERE i.macro = 'input' GROUP BY ALL),
+root AS (SELECT doc, min(node) AS node FROM fx_node GROUP BY doc),
+w(doc, node, k, seen) AS (SELECT doc, node, 0, [node] FROM root UNION ALL SELECT w.doc, e.child, w.k + 1, list_append(w.seen, e.child) FROM w JOIN e ON e.doc = w.doc AND e.parent = w.node WHERE len(w.seen) = len(list_distinct(w.seen))),
+o AS (SELECT doc, node, max(k) AS k FROM w GROUP BY doc, node),
+c(doc, node, below) AS (SELECT e.doc, e.parent, e.child FROM e JOIN o ON o.doc = e.doc AND o.node = e.parent UNION SELECT c.doc, c.node, e.child FROM c JOIN e ON e.doc = c.doc AND e.parent = c.below),
+marks AS (SELECT n.doc, c.below AS node, 'rangeindex' AS key, 'rng' AS value FROM fx_node n JOIN c ON c.doc = n.doc AND c.node = n.node WHERE n.r % 5 = 2 AND c.below <> n.node),
+stored AS (SELECT doc, node, 'M_label' AS key, '{{doc:' || node || '}}' AS value FROM fx_node UNION ALL SELECT doc, node, 'M_ref', '{{old}}' FROM fx_node WHERE r % 7 = 0)"""
+
+
+@query(f"""WITH RECURSIVE {_AGAIN}
+SELECT doc, node, 'attr' AS kind, key, value FROM fresh UNION SELECT doc, node, 'attr', key, value FROM marks UNION ALL SELECT doc, node, 'attr', 'lang', lang FROM fx_node
+UNION ALL SELECT doc, parent, 'edge', '1', CAST(child AS VARCHAR) FROM e UNION ALL SELECT n.doc, n.node, 'order', '', CAST(coalesce(o.k, 2147483647) AS VARCHAR) FROM fx_node n LEFT JOIN o ON o.doc = n.doc AND o.node = n.node
+UNION ALL SELECT doc, node, 'report', 'NEW', key || ' ' || value FROM (SELECT * FROM fresh EXCEPT SELECT * FROM stored) x UNION ALL SELECT doc, node, 'report', 'DELETED', key || ' ' || value FROM (SELECT * FROM stored EXCEPT SELECT * FROM fresh) x
+UNION ALL SELECT doc, parent, 'report', 'CHILD_NEW', CAST(child AS VARCHAR) FROM (SELECT * FROM e EXCEPT SELECT doc, parent, child FROM fx_edge) x UNION ALL SELECT doc, parent, 'report', 'CHILD_GONE', CAST(child AS VARCHAR) FROM (SELECT doc, parent, child FROM fx_edge EXCEPT SELECT * FROM e) x
+UNION ALL SELECT doc, node, 'report', 'WRONG_UUID', '{{00B}}' FROM fx_node WHERE r % 6 = 1 AND node <> 10 UNION ALL SELECT doc, node, 'report', 'DUPLICATE_LABEL', key || ' ' || value FROM a WHERE key LIKE '%M_label' AND node > least
+UNION ALL SELECT doc, node, 'report', 'RANGE_OPEN', ' lone' FROM fx_node WHERE r % 5 = 3 UNION ALL SELECT doc, node, 'report', 'UNCLOSED', 'label' FROM fx_node WHERE r % 97 <> 5 AND r % 10 = 3""")
 def attr_reparse_all(spark: SparkSession, d: str) -> DataFrame:
-    """ATT-13: the whole job: texts parsed again and compared with what is stored."""
-    stored = view(spark, d, "fx_node").select("doc", "node", F.lit("M_label").alias("key"), F.format_string("{doc:%d}", "node").alias("value"))
-    return attrs.diff(stored, segment.attributes(_deep(spark, d)), ["doc", "node", "key", "value"])
+    """ATT-13, ATT-8: the whole job over stored tables: texts parsed again, citations split, ranges and edges made anew, all
+    committed together with a report, and read back."""
+    m = view(spark, d, "fx_markup")
+    head = F.expr(_HEADED.replace("chr(92) || '", "'" + 2 * chr(92)))
+    own = m.select("doc", "node", F.lit("section").alias("environ"), head.alias("text"))
+    stored = m.select("doc", "node", F.lit("M_label").alias("key"), F.format_string("{doc:%d}", "node").alias("value"))
+    stored = stored.unionByName(m.where("r % 7 = 0").select("doc", "node", F.lit("M_ref").alias("key"), F.lit("{old}").alias("value"))).unionByName(m.select("doc", "node", F.lit("lang").alias("key"), F.col("lang").alias("value")))
+    stored = stored.unionByName(m.where("r % 4 = 0").select("doc", "node", F.lit("rangeindex").alias("key"), F.lit("old").alias("value")))
+    tables = CorpusTables(spark, shared_path(spark, "corpus-tables"))
+    tables.commit({"segments": own, "attrs": stored, "edges": view(spark, d, "fx_edge")})
+    files = m.select("doc", F.format_string("f%d", "r").alias("path"), F.col("node").alias("target"))
+    made = reparse.reparse_corpus(tables, files, tree.roots_of(m), job="all")
+    text = lambda c: F.col(c).cast("string")
+    shown = {"attrs": ("attr", "node", F.col("key"), F.col("value")), "edges": ("edge", "parent", text("ordinal"), text("child")), "orders": ("order", "node", F.lit(""), text("order_in_document")), "report": ("report", "node", F.col("code"), F.col("detail"))}
+    return reduce(DataFrame.unionByName, [tables.read(t, made).select("doc", F.col(n).alias("node"), F.lit(kind).alias("kind"), a.alias("key"), b.alias("value")) for t, (kind, n, a, b) in shown.items()])
 
 
 @query(f"""{_walk_sql('fx_edge')}, o AS (SELECT w.doc, n.text, row_number() OVER (PARTITION BY w.doc ORDER BY w.path) AS place FROM w JOIN fx_node n ON n.node = w.node)
