@@ -15,11 +15,11 @@ def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def uncompiled_saves(edits: DataFrame, segments: DataFrame) -> DataFrame:
-    """(user_id, doc, node, lang, event_id): each user's newest edit of a version that differs from the stored text; edits
-    of languages that the node doesn't have are leftovers and don't count."""
-    now = segments.select("doc", "node", "lang", "text")
-    last = newest(edits.select("doc", "node", "lang", "user_id", "ts", "event_id", "content"), ["doc", "node", "lang", "user_id"], ["ts", "event_id"])
-    return last.join(now, ["doc", "node", "lang"]).where("content <> text").select("user_id", "doc", "node", "lang", "event_id")
+    """(user_id, doc, node, lang, ext, event_id): each user's newest edit of a version, by language and extension, that differs
+    from the stored text; edits of versions that the node doesn't have are leftovers and don't count."""
+    k = ["doc", "node", "lang", "ext"]
+    last = newest(edits.select(*k, "user_id", "ts", "event_id", "content"), [*k, "user_id"], ["ts", "event_id"])
+    return last.join(segments.select(*k, "text"), k).where("content <> text").select("user_id", *k, "event_id")
 
 
 def conflicts(edits: DataFrame, segments: DataFrame) -> DataFrame:
@@ -29,13 +29,14 @@ def conflicts(edits: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def apply_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
-    """(doc, node, lang, text, previous, modified): segments after the newest edit that isn't in conflict."""
-    now = segments.select("doc", "node", "lang", "text")
-    able = edits.join(now.withColumn("now", F.md5("text")).drop("text"), ["doc", "node", "lang"]).where("base_md5 = now")
-    last = newest(able, ["doc", "node", "lang"], ["ts", "event_id"]).select("doc", "node", "lang", "content", "ts")
+    """(doc, node, lang, text, optarg, previous, modified): segments(doc, node, lang, text, optarg) after the newest edit that
+    isn't in conflict; an edit without an optarg leaves it as it was."""
+    now = segments.select("doc", "node", "lang", "text", "optarg")
+    able = edits.join(now.select("doc", "node", "lang", F.md5("text").alias("now")), ["doc", "node", "lang"]).where("base_md5 = now")
+    last = newest(able.withColumnRenamed("optarg", "new_optarg"), ["doc", "node", "lang"], ["ts", "event_id"]).select("doc", "node", "lang", "content", "ts", "new_optarg")
     both = now.join(last, ["doc", "node", "lang"], "left")
     changed = F.col("content").isNotNull() & (F.col("content") != F.col("text"))
-    return both.select("doc", "node", "lang", F.coalesce("content", "text").alias("text"), F.when(changed, F.col("text")).alias("previous"), F.col("ts").alias("modified"))
+    return both.select("doc", "node", "lang", F.coalesce("content", "text").alias("text"), F.coalesce("new_optarg", "optarg").alias("optarg"), F.when(changed, F.col("text")).alias("previous"), F.col("ts").alias("modified"))
 
 
 def log_errors(logs: DataFrame, id_col: str, text_col: str, context: int = 10) -> DataFrame:

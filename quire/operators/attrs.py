@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.ids import id_to_int, normalize_id, strip_delims
+from quire.functions.ids import id_to_int, int_to_id, normalize_id, strip_delims
 
 
 def upsert(attrs: DataFrame, adds: DataFrame, single: tuple) -> DataFrame:
@@ -46,11 +46,16 @@ def delete(attrs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def flatten(nodes: DataFrame, edges: DataFrame, attrs: DataFrame) -> DataFrame:
-    """One (doc, node, key, value) relation of node fields, children, parents and attributes."""
-    fields = nodes.select("doc", "node", F.expr("stack(3, 'lang', lang, 'access', access, 'environ', environ) as (key, value)")).where("value is not null")
-    child = edges.select("doc", F.col("parent").alias("node"), F.lit("child_uuid").alias("key"), F.col("child").cast("string").alias("value"))
-    parent = edges.select("doc", F.col("child").alias("node"), F.lit("parent_uuid").alias("key"), F.col("parent").cast("string").alias("value"))
-    return fields.unionByName(child).unionByName(parent).unionByName(attrs.select("doc", "node", "key", "value"))
+    """One (doc, node, key, value, link) relation of node fields, extensions, children, parents and attributes; ``link`` is
+    where ids and extensions lead to, null for others. nodes(doc, node, lang, access, environ, exts), exts joined by commas."""
+    none = F.lit(None).cast("string")
+    fields = nodes.select("doc", "node", F.expr("stack(3, 'lang', lang, 'access', access, 'environ', environ) as (key, value)")).where("value is not null").withColumn("link", none)
+    page = lambda node: F.concat(F.lit("/UUID/"), F.col("doc"), F.lit("/"), int_to_id(node))
+    ext = nodes.select("doc", "node", F.explode(F.split("exts", ",")).alias("value"))
+    ext = ext.select("doc", "node", F.lit("extension").alias("key"), "value", F.concat(page(F.col("node")), F.lit("/?ext="), "value").alias("link"))
+    end = lambda a, b, key: edges.select("doc", F.col(a).alias("node"), F.lit(key).alias("key"), F.col(b).cast("string").alias("value"), page(F.col(b)).alias("link"))
+    rest = attrs.select("doc", "node", "key", "value", none.alias("link"))
+    return fields.unionByName(ext).unionByName(end("parent", "child", "child_uuid")).unionByName(end("child", "parent", "parent_uuid")).unionByName(rest)
 
 
 def split_citations(attrs: DataFrame, keys: tuple = ("M_cite",)) -> DataFrame:

@@ -218,13 +218,24 @@ def _seen(hits: DataFrame, rights: Rights) -> DataFrame:
 def search_text(catalog: DataFrame, entry: DataFrame, asked: DataFrame, rights: Rights) -> DataFrame:
     """(user_id, token, doc, node, lang, line, text): what users find of asked(user_id, token) in catalog(doc, node, lang,
     line, text), in nodes that they may view; and, once for each node and language with a hit, a line -1 for each key
-    under which the token also stands in the node's index (keys of no language count for every one)."""
+    under which the token also stands in the node's index (keys of no language count for every one).
+
+    Lines and keys go through the matcher together, each in the form that it is compared in. Rights are asked once for
+    each user and node with a hit."""
+    asked = asked.select("user_id", "token").distinct()
     tokens = asked.select("token").distinct()
-    found = search_catalog(catalog, tokens.select(F.col("token").alias("term"))).withColumnRenamed("term", "token")
-    seen = _seen(found.join(asked.select("user_id", "token").distinct(), "token").withColumn("perm", F.lit("view_view")), rights)
-    seen = seen.select("user_id", "token", "doc", "node", "lang", F.col("line").cast("long").alias("line"), "text")
-    keys = search_index(entry, tokens).withColumnRenamed("lang", "key_lang")
-    also = seen.select("user_id", "token", "doc", "node", "lang").distinct().join(keys, ["token", "doc", "node"]).where("key_lang = '' or key_lang = lang")
+    low = F.regexp_replace(F.lower("token"), r"\s+", " ")
+    forms = tokens.select("token", low.alias("term"), F.lit(True).alias("lines")).unionByName(tokens.select("token", F.col("token").alias("term"), F.lit(False).alias("lines")))
+    lines = catalog.select("doc", "node", "lang", F.col("line").cast("long").alias("line"), "text", F.lit(True).alias("lines"))
+    keys = entry.select("doc", "node", "lang", F.lit(-1).cast("long").alias("line"), F.col("key").alias("text"), F.lit(False).alias("lines")).distinct()
+    shown = F.when(F.col("lines"), F.lower("text")).otherwise(F.col("text"))
+    hits = find_terms(lines.unionByName(keys), shown, forms.select("term")).join(forms, ["term", "lines"]).drop("term")
+    hits = written(hits.join(asked, "token"), "hits")
+    found = hits.where("lines").drop("lines")
+    may = rights(found.select("user_id", F.lit("view_view").alias("perm"), "doc", "node").distinct()).where("ok").select("user_id", "doc", "node")
+    seen = found.join(may, ["user_id", "doc", "node"], "left_semi").select("user_id", "token", "doc", "node", "lang", "line", "text")
+    also = seen.select("user_id", "token", "doc", "node", "lang").distinct()
+    also = also.join(hits.where("not lines").select("user_id", "token", "doc", "node", F.col("lang").alias("key_lang"), F.col("text").alias("key")), ["user_id", "token", "doc", "node"]).where("key_lang = '' or key_lang = lang")
     also = also.select("user_id", "token", "doc", "node", "lang", F.lit(-1).cast("long").alias("line"), F.concat(F.lit("also indexed by key: "), "key").alias("text")).distinct()
     return seen.unionByName(also)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.operators import tree
 from quire.operators.numbering import last_before, number_within
 from quire.plans.rules import SECTIONS
+from quire.scratch import written
 
 COMMANDS = ("label", "ref", "eqref", "pageref", "index", "indexLeng", "indexLita", "cite", "author", "uuid", "replaces")
 INPUTS = ("input", "include", "includegraphics", "bibliography", "usepackage")
@@ -250,13 +251,23 @@ def graphic_nodes(found: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def zip_sections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc, parent, child, ordinal): edges after nodes without text of their own that hold a single child are left
-    out, one level of them; nodes(doc, node, text)."""
-    single = edges.groupBy("doc", "parent").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("only")).where("n = 1")
+    """(doc, parent, child, ordinal): edges after nodes without text of their own that hold a single child are left out, chains
+    of any length of them; nodes(doc, node, text). Each round doubles how far a chain is followed; chains that only lead
+    back into themselves have no end and go."""
+    single = edges.groupBy("doc", "parent").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("to")).where("n = 1")
     empty = nodes.where(~F.col("text").rlike(r"\S")).select("doc", F.col("node").alias("parent"))
-    gone = single.join(empty, ["doc", "parent"], "left_semi").select("doc", F.col("parent").alias("mid"), "only")
+    gone = written(single.join(empty, ["doc", "parent"], "left_semi").select("doc", F.col("parent").alias("mid"), "to"), "chains")
+    now, most = gone, gone.count()
+    for _ in range(most.bit_length() + 1):
+        far = now.select("doc", F.col("mid").alias("to"), F.col("to").alias("further"))
+        step = now.join(far, ["doc", "to"], "left")
+        if step.where("further is not null").isEmpty():
+            break
+        now = written(step.select("doc", "mid", F.coalesce("further", "to").alias("to")), "chains")
+    ends = now.join(gone.select("doc", F.col("mid").alias("to")), ["doc", "to"], "left_anti")
     kept = edges.join(gone.select("doc", F.col("mid").alias("parent")), ["doc", "parent"], "left_anti")
-    return kept.join(gone.withColumnRenamed("mid", "child"), ["doc", "child"], "left").select("doc", "parent", F.coalesce("only", "child").alias("child"), "ordinal")
+    found = kept.join(ends.withColumnRenamed("mid", "child"), ["doc", "child"], "left").join(gone.select("doc", F.col("mid").alias("child"), F.lit(True).alias("mid")), ["doc", "child"], "left")
+    return found.where("mid is null or to is not null").select("doc", "parent", F.coalesce("to", "child").alias("child"), "ordinal")
 
 
 #: Environs whose segments have no id on top.

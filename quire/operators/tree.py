@@ -110,8 +110,9 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
     long = lambda c: F.col(c).cast("long").alias(c)
     e = written(edges.select("doc", long("parent"), long("child"), long("ordinal")).distinct(), "edges")
     top = written(roots.select("doc", F.col("root").cast("long").alias("node")).distinct(), "roots")
-    once = e.groupBy("doc", "child").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(top.withColumnRenamed("node", "child"), ["doc", "child"], "left_anti").drop("n")
-    own, others = e.join(once, ["doc", "child"], "left_semi"), e.join(once, ["doc", "child"], "left_anti")
+    once = e.groupBy("doc", "child").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(top.withColumnRenamed("node", "child"), ["doc", "child"], "left_anti")
+    e = written(e.join(once, ["doc", "child"], "left").select(*e.columns, F.col("n").isNotNull().alias("single")), "edges")
+    own, others = (e.where(c).drop("single") for c in ("single", "not single"))
     nodes, visits = _preorder(own, others, top)
     if not others.isEmpty():
         links = written(visits.select("doc", F.col("top").alias("parent"), F.col("node").alias("child"), F.col("place").alias("ordinal"), F.col("parent").alias("from"), F.col("ordinal").alias("nth")), "links")
@@ -313,13 +314,14 @@ def dedup_content(files: DataFrame, key: str, text: str, name: str | None = None
 def rewrite_references(pages: DataFrame, aliases: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text): pages in which src="name" points at what aliases(name, stored) say is stored for that name; other names
     stay. A page is split at its references, so only names and places go through the join."""
-    pattern = r'src="([^"]*)"'
-    parts = pages.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.regexp_replace(F.translate(text_col, "\x01\x02", ""), pattern, 'src="\x01$1\x02"'), "\x01", -1)).alias("pos", "part"))
-    named = parts.withColumn("name", F.when(F.col("pos") > 0, F.substring_index("part", "\x02", 1)))
+    parts = pages.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, r'(?<=src=")(?=[^"]*")', -1)).alias("pos", "part"))
     one = aliases.groupBy("name").agg(F.min("stored").alias("stored"))
-    joined = named.join(one, "name", "left").withColumn("part", F.when(F.col("pos") > 0, F.concat(F.coalesce("stored", "name"), F.substring_index("part", "\x02", -1))).otherwise(F.col("part")))
+    named = parts.where("pos > 0").withColumn("name", F.substring_index("part", '"', 1)).join(one, "name", "left")
+    named = named.select("id", "pos", F.concat(F.coalesce("stored", "name"), F.substr("part", F.length("name") + 1)).alias("part"))
+    # what stands before a page's first reference has no name, and takes no part in the join
+    both = parts.where("pos = 0").unionByName(named)
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "")
-    return joined.groupBy("id").agg(whole.alias("text"))
+    return both.groupBy("id").agg(whole.alias("text"))
 
 
 def orphans(store: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.fixtures import cte, view
 from quire.operators import access, activity, attrs, index, tree
 from quire.plans.registry import query
+from quire.plans.tree_queries import _id_sql
 from quire.scratch import written
 
 
@@ -49,10 +50,15 @@ def attr_delete(spark: SparkSession, d: str) -> DataFrame:
     return attrs.delete(a, a.where("key = 'M_ref' AND node % 2 = 0").select("doc", "node", "key"))
 
 
-@query(f"""WITH {cte('fx_attr', 'fx_edge', 'fx_environ')} SELECT doc, node, 'lang' AS key, lang AS value FROM fx_environ UNION ALL SELECT doc, node, 'access', access FROM fx_environ UNION ALL SELECT doc, node, 'environ', environ FROM fx_environ
-UNION ALL SELECT doc, parent, 'child_uuid', CAST(child AS VARCHAR) FROM fx_edge UNION ALL SELECT doc, child, 'parent_uuid', CAST(parent AS VARCHAR) FROM fx_edge UNION ALL SELECT doc, node, key, value FROM fx_attr""")
+_PAGE = "'/UUID/' || doc || '/' || "
+
+
+@query(f"""WITH {cte('fx_attr', 'fx_edge', 'fx_environ')}, x AS (SELECT doc, node, unnest(string_split(exts, ',')) AS ext FROM fx_environ)
+SELECT doc, node, 'lang' AS key, lang AS value, CAST(NULL AS VARCHAR) AS link FROM fx_environ UNION ALL SELECT doc, node, 'access', access, NULL FROM fx_environ UNION ALL SELECT doc, node, 'environ', environ, NULL FROM fx_environ
+UNION ALL SELECT doc, node, 'extension', ext, {_PAGE}{_id_sql('node')} || '/?ext=' || ext FROM x UNION ALL SELECT doc, parent, 'child_uuid', CAST(child AS VARCHAR), {_PAGE}{_id_sql('child')} FROM fx_edge
+UNION ALL SELECT doc, child, 'parent_uuid', CAST(parent AS VARCHAR), {_PAGE}{_id_sql('parent')} FROM fx_edge UNION ALL SELECT doc, node, key, value, NULL FROM fx_attr""")
 def attr_flatten(spark: SparkSession, d: str) -> DataFrame:
-    """ATT-3: one key-value relation."""
+    """ATT-3: one key-value relation, with links for ids and extensions."""
     return attrs.flatten(view(spark, d, "fx_environ"), view(spark, d, "fx_edge"), view(spark, d, "fx_attr"))
 
 
@@ -414,13 +420,15 @@ def people_interested(spark: SparkSession, d: str) -> DataFrame:
     return access.interested(asked, view(spark, d, "fx_local_author"), users, view(spark, d, "fx_member"))
 
 
-@query(f"""WITH {cte('fx_edit')}, l AS (SELECT *, row_number() OVER (PARTITION BY doc, node, lang, user_id ORDER BY ts DESC, event_id DESC) AS k FROM (SELECT doc, node, event_id, user_id, ts, content, CASE WHEN event_id % 5 = 0 THEN 'xx' ELSE lang END AS lang FROM fx_edit) q)
-SELECT l.user_id, l.doc, l.node, l.lang, l.event_id FROM l JOIN fx_node n ON n.node = l.node AND n.lang = l.lang WHERE k = 1 AND l.content <> n.text""")
+@query(f"""WITH {cte('fx_edit')}, l AS (SELECT *, row_number() OVER (PARTITION BY doc, node, lang, ext, user_id ORDER BY ts DESC, event_id DESC) AS k FROM (SELECT doc, node, event_id, user_id, ts, content, CASE WHEN event_id % 5 = 0 THEN 'xx' ELSE lang END AS lang, CASE event_id % 3 WHEN 0 THEN '.tex' WHEN 1 THEN '.sty' ELSE '.bib' END AS ext FROM fx_edit) q)
+SELECT l.user_id, l.doc, l.node, l.lang, l.ext, l.event_id FROM l JOIN fx_node n ON n.node = l.node AND n.lang = l.lang WHERE k = 1 AND (ext = '.sty' AND l.content <> n.text || ' style' OR ext = '.tex' AND l.content <> n.text)""")
 def activity_uncompiled(spark: SparkSession, d: str) -> DataFrame:
-    """ACT-1: saved but never compiled, a row for each user and version; edits of languages that the node lacks are left
-    out."""
-    e = view(spark, d, "fx_edit").withColumn("lang", F.when(F.col("event_id") % 5 == 0, "xx").otherwise(F.col("lang")))
-    return activity.uncompiled_saves(e, view(spark, d, "fx_node"))
+    """ACT-1: saved but never compiled, a row for each user and version; edits of languages and extensions that the node
+    lacks are left out."""
+    k = F.col("event_id") % 3
+    e = view(spark, d, "fx_edit").withColumn("lang", F.when(F.col("event_id") % 5 == 0, "xx").otherwise(F.col("lang"))).withColumn("ext", F.when(k == 0, ".tex").when(k == 1, ".sty").otherwise(".bib"))
+    n = view(spark, d, "fx_node").select("doc", "node", "lang", "text", F.lit(".tex").alias("ext"))
+    return activity.uncompiled_saves(e, n.unionByName(n.withColumns({"ext": F.lit(".sty"), "text": F.concat("text", F.lit(" style"))})))
 
 
 @query(f"WITH {cte('fx_edit')} SELECT event_id, doc, node, user_id FROM fx_edit WHERE event_id % 4 = 0")
@@ -430,10 +438,12 @@ def activity_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {cte('fx_edit')}, l AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ts DESC, event_id DESC) AS k FROM fx_edit WHERE event_id % 4 <> 0)
-SELECT n.doc, n.node, n.lang, coalesce(l.content, n.text) AS text, CASE WHEN l.content <> n.text THEN n.text END AS previous, l.ts AS modified FROM fx_node n LEFT JOIN l ON l.node = n.node AND l.k = 1""")
+SELECT n.doc, n.node, n.lang, coalesce(l.content, n.text) AS text, CASE WHEN l.event_id % 2 = 0 THEN '[n' || l.event_id || ']' ELSE '[o' || n.r || ']' END AS optarg, CASE WHEN l.content <> n.text THEN n.text END AS previous, l.ts AS modified FROM fx_node n LEFT JOIN l ON l.node = n.node AND l.k = 1""")
 def activity_apply(spark: SparkSession, d: str) -> DataFrame:
-    """ACT-3: segments after the newest edit that isn't in conflict."""
-    return activity.apply_edits(view(spark, d, "fx_node"), view(spark, d, "fx_edit"))
+    """ACT-3: segments after the newest edit that isn't in conflict, some of which set an optional argument."""
+    n = view(spark, d, "fx_node").withColumn("optarg", F.format_string("[o%d]", "r"))
+    e = view(spark, d, "fx_edit").withColumn("optarg", F.when(F.col("event_id") % 2 == 0, F.format_string("[n%d]", "event_id")))
+    return activity.apply_edits(n, e)
 
 
 @query(f"""WITH {cte('fx_environ', 'fx_edit')}, c AS (SELECT n.doc, n.node, n.environ, max(e.ts) AS compiled FROM fx_environ n LEFT JOIN fx_edit e ON e.node = n.node AND e.event_type <> 'error' GROUP BY n.doc, n.node, n.environ)

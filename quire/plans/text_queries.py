@@ -167,12 +167,18 @@ def seg_graphic_nodes(spark: SparkSession, d: str) -> DataFrame:
     return segment.graphic_nodes(_pictures(spark, d), view(spark, d, "fx_node"))
 
 
-@query(f"""WITH {cte('fx_edge')}, s AS (SELECT doc, parent, min(child) AS only FROM fx_edge GROUP BY doc, parent HAVING count(*) = 1 AND parent % 2 = 0)
-SELECT e.doc, e.parent, coalesce(s.only, e.child) AS child, e.ordinal FROM fx_edge e LEFT JOIN s ON s.doc = e.doc AND s.parent = e.child WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.doc = e.doc AND x.parent = e.parent)""")
+@query(f"""WITH RECURSIVE {cte('fx_edge')}, t AS (SELECT doc, parent, child, ordinal FROM fx_edge UNION ALL SELECT doc, node, node + 1000000, 1 FROM fx_node n WHERE NOT EXISTS (SELECT 1 FROM fx_edge e WHERE e.parent = n.node) UNION ALL SELECT doc, node + 1000000, node + 2000000, 1 FROM fx_node n WHERE NOT EXISTS (SELECT 1 FROM fx_edge e WHERE e.parent = n.node)),
+s AS (SELECT doc, parent, min(child) AS only FROM t GROUP BY doc, parent HAVING count(*) = 1 AND parent % 2 = 0),
+f(doc, parent, ordinal, child) AS (SELECT doc, parent, ordinal, child FROM t WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.doc = t.doc AND x.parent = t.parent) UNION ALL SELECT f.doc, f.parent, f.ordinal, s.only FROM f JOIN s ON s.doc = f.doc AND s.parent = f.child)
+SELECT doc, parent, child, ordinal FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc = f.doc AND s.parent = f.child)""")
 def seg_zip(spark: SparkSession, d: str) -> DataFrame:
-    """SEG-12: nodes without words of their own that hold one child left out."""
-    n = view(spark, d, "fx_node")
-    return segment.zip_sections(n.withColumn("text", F.when(F.col("node") % 2 == 0, F.regexp_replace("text", r"\S", " ")).otherwise(F.concat("text", F.lit(".")))), view(spark, d, "fx_edge"))
+    """SEG-12: nodes without words of their own that hold one child left out, with chains of them at the leaves."""
+    n, e = view(spark, d, "fx_node"), view(spark, d, "fx_edge")
+    leaves = n.join(e.select(F.col("parent").alias("node")), "node", "left_anti")
+    more = lambda a, b: leaves.select("doc", (F.col("node") + a).alias("parent"), (F.col("node") + b).alias("child"), F.lit(1).cast("long").alias("ordinal"))
+    rows = n.select("doc", "node", "text").unionByName(leaves.select("doc", (F.col("node") + 1000000).alias("node"), "text"))
+    blank = F.when(F.col("node") % 2 == 0, F.regexp_replace("text", r"\S", " ")).otherwise(F.concat("text", F.lit(".")))
+    return segment.zip_sections(rows.withColumn("text", blank), e.unionByName(more(0, 1000000)).unionByName(more(1000000, 2000000)))
 
 
 @query(f"""WITH {cte('fx_environ')} SELECT doc, node, CASE WHEN environ IN ('main_file', 'graphic_file', 'E_document', 'input') THEN t ELSE chr(92) || 'uuid{{' || {_id_sql('node')} || '}}%' || chr(10) || t END AS text FROM (SELECT *, regexp_replace(text, '\\s+$', '') AS t FROM fx_environ) q""")

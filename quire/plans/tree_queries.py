@@ -61,11 +61,12 @@ def ids_validate(spark: SparkSession, d: str) -> DataFrame:
     return rejected.select("doc_id", F.col("pos").cast("long").alias("pos"), *[F.array_contains("reasons", x).alias(x) for x in ("reserved", "language", "slug")])
 
 
-@query("""SELECT doc_id, CASE lang WHEN 'de' THEN 'deu' WHEN 'en' THEN 'eng' WHEN 'es' THEN 'spa' WHEN 'fr' THEN 'fra' END AS lang3, '{' || source || '}' AS wrapped, source AS bare FROM documents""")
+@query("""SELECT doc_id, CASE lang WHEN 'de' THEN 'deu' WHEN 'en' THEN 'eng' WHEN 'es' THEN 'spa' WHEN 'fr' THEN 'fra' END AS lang3, CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang END AS lang2, CASE lang WHEN 'de' THEN 'German' WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' WHEN 'fr' THEN 'French' END AS name, '{' || source || '}' AS wrapped, source AS bare FROM documents""")
 def ids_languages(spark: SparkSession, d: str) -> DataFrame:
-    """IDS-8, IDS-9: three-letter codes of `ll-LL`; delimiters put on and taken off."""
+    """IDS-8, IDS-9: three-letter codes of `ll-LL`, their two-letter codes and names; delimiters put on and taken off."""
+    three = ids.normalize_lang(F.concat("lang", F.lit("-XX")))
     w = ids.parenthesize(F.col("source"))
-    return view(spark, d, "documents").select("doc_id", ids.normalize_lang(F.concat("lang", F.lit("-XX"))).alias("lang3"), w.alias("wrapped"), ids.strip_delims(w).alias("bare"))
+    return view(spark, d, "documents").select("doc_id", three.alias("lang3"), ids.two_letter_lang(three).alias("lang2"), ids.name_of_lang(three).alias("name"), w.alias("wrapped"), ids.strip_delims(w).alias("bare"))
 
 
 @query("SELECT doc_id, md5(text) AS md5 FROM documents")
