@@ -215,6 +215,13 @@ def _seen(hits: DataFrame, rights: Rights) -> DataFrame:
     return hits.join(rights(hits.select(*k).distinct()).where("ok").select(*k), k, "left_semi").drop("perm")
 
 
+def _forms(tokens: DataFrame) -> DataFrame:
+    """(token, term, lines): what a token is looked for by in catalog lines, without regard to case and number of spaces, and
+    in keys and values, as it is."""
+    low = F.regexp_replace(F.lower("token"), r"\s+", " ")
+    return tokens.select("token", low.alias("term"), F.lit(True).alias("lines")).unionByName(tokens.select("token", F.col("token").alias("term"), F.lit(False).alias("lines")))
+
+
 def search_text(catalog: DataFrame, entry: DataFrame, asked: DataFrame, rights: Rights) -> DataFrame:
     """(user_id, token, doc, node, lang, line, text): what users find of asked(user_id, token) in catalog(doc, node, lang,
     line, text), in nodes that they may view; and, once for each node and language with a hit, a line -1 for each key
@@ -224,8 +231,7 @@ def search_text(catalog: DataFrame, entry: DataFrame, asked: DataFrame, rights:
     each user and node with a hit."""
     asked = asked.select("user_id", "token").distinct()
     tokens = asked.select("token").distinct()
-    low = F.regexp_replace(F.lower("token"), r"\s+", " ")
-    forms = tokens.select("token", low.alias("term"), F.lit(True).alias("lines")).unionByName(tokens.select("token", F.col("token").alias("term"), F.lit(False).alias("lines")))
+    forms = _forms(tokens)
     lines = catalog.select("doc", "node", "lang", F.col("line").cast("long").alias("line"), "text", F.lit(True).alias("lines"))
     keys = entry.select("doc", "node", "lang", F.lit(-1).cast("long").alias("line"), F.col("key").alias("text"), F.lit(False).alias("lines")).distinct()
     shown = F.when(F.col("lines"), F.lower("text")).otherwise(F.col("text"))
@@ -247,16 +253,17 @@ def search(nodes: DataFrame, attrs: DataFrame, catalog: DataFrame, asked: DataFr
     has one hit alone, which is an id."""
     asked = asked.where(F.length("token") > 1).select("user_id", "token").distinct()
     tokens = asked.select("token").distinct()
-    refs = ("M_ref", "M_eqref", "M_pageref")
-    others = attrs.where(F.col("key").contains("M_") & ~F.col("key").rlike("M_(label|ref|eqref|pageref|index(L[a-z]{3})?)$"))
-    hit = lambda df, kind, perm: df.select("token", F.lit(kind).alias("kind"), F.lit(perm).alias("perm"), "doc", "node").distinct()
-    found = hit(search_index(entries(attrs), tokens), "index", "view_view")
-    found = found.unionByName(hit(search_catalog(catalog, tokens.select(F.col("token").alias("term"))).withColumnRenamed("term", "token"), "text", "view_view"))
-    for kind, rows, ends in (("label", attrs, ("M_label",)), ("ref", attrs, refs), ("meta", others, ("",))):
-        found = found.unionByName(hit(search_attrs(rows, tokens, ends), kind, "view_blob"))
-    wanted = found.join(asked, "token").join(users.select("user_id", "logged_in"), "user_id").where("perm = 'view_view' or logged_in").drop("logged_in")
-    ids = hit(search_ids(nodes, tokens), "id", "").drop("perm").join(asked, "token")
-    hits = _seen(wanted, rights).unionByName(ids)
+    ends = lambda *x: F.col("key").rlike(f"M_({'|'.join(x)})$")
+    kind = F.when(ends("label"), "label").when(ends("ref", "eqref", "pageref"), "ref").when(F.col("key").contains("M_") & ~ends("index(L[a-z]{3})?"), "meta")
+    rows = attrs.select("doc", "node", kind.alias("kind"), F.col("value").alias("shown")).where("kind is not null")
+    rows = rows.unionByName(entries(attrs).select("doc", "node", F.lit("index").alias("kind"), F.col("key").alias("shown")).distinct())
+    rows = rows.unionByName(catalog.select("doc", "node", F.lit("text").alias("kind"), F.lower("text").alias("shown")))
+    hits = find_terms(rows, F.col("shown"), _forms(tokens).select("term")).withColumn("lines", F.col("kind") == "text")
+    found = hits.join(_forms(tokens), ["term", "lines"]).select("token", "kind", "doc", "node").distinct()
+    perm = F.when(F.col("kind").isin("index", "text"), "view_view").otherwise("view_blob")
+    wanted = found.withColumn("perm", perm).join(asked, "token").join(users.select("user_id", "logged_in"), "user_id").where("perm = 'view_view' or logged_in").drop("logged_in")
+    ids = search_ids(nodes, tokens).select("token", F.lit("id").alias("kind"), "doc", "node").distinct().join(asked, "token")
+    hits = written(_seen(wanted, rights).select("user_id", "token", "kind", "doc", "node").unionByName(ids.select("user_id", "token", "kind", "doc", "node")), "hits")
     per = hits.groupBy("user_id", "token").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kind") == "id").alias("id"))
     return hits.join(per, ["user_id", "token"]).select("user_id", "token", "kind", "doc", "node", (F.col("id") & (F.col("n") == 1)).alias("jump"))
 

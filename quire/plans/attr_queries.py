@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.fixtures import cte, view
-from quire.operators import access, activity, attrs, index, tree
+from quire.operators import access, activity, attrs, index, tree, trigrams
 from quire.plans.registry import query
 from quire.plans.tree_queries import _id_sql
 from quire.scratch import written
@@ -242,6 +242,16 @@ def catalog_search(spark: SparkSession, d: str) -> DataFrame:
     return index.search_catalog(catalog, _terms(spark, d))
 
 
+@query(f"WITH {cte('fx_node')}, {_LINES}, {_TERMS} SELECT doc, node, lang, line, text, term FROM l JOIN (SELECT term FROM t UNION SELECT substr(term, 1, 2) FROM t UNION SELECT 'qqqqq' UNION SELECT upper(term) FROM t) t ON contains(lower(text), lower(term)) WHERE term <> ''")
+def search_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    """SRCH-3, SRCH-4: an index of all texts by trigrams, and lines looked up in it, by phrases in either case, by two
+    letters, and by what nothing contains."""
+    n = view(spark, d, "fx_node")
+    t = _terms(spark, d)
+    tokens = t.unionByName(t.select(F.substring("term", 1, 2).alias("term"))).unionByName(t.select(F.upper("term").alias("term"))).unionByName(t.limit(1).select(F.lit("qqqqq").alias("term"))).distinct()
+    return trigrams.search(trigrams.build(trigrams.postings(n)), n, tokens)
+
+
 _ASKED = f"{_TERMS}, a AS (SELECT CAST(u AS BIGINT) AS user_id, term FROM t, (VALUES (1), (2)) v(u) WHERE term <> '')"
 
 

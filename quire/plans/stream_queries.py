@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.fixtures import cte, view
-from quire.operators import audit, index, segment
+from quire.operators import audit, index, segment, trigrams
 from quire.plans.registry import query
 from quire.streaming import jobs
 
@@ -60,3 +60,14 @@ def stream_edit_state(spark: SparkSession, d: str) -> DataFrame:
     """STR-5: each user's newest edit of each version, repeated events left out."""
     once = _edits(spark, d).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
     return jobs.latest_stream(once, ["doc", "node", "lang", "user_id"], ["ts", "event_id"], "edits").drop("ts")
+
+
+@query(f"WITH {cte('fx_edit')}, {_LAST}, x AS (SELECT doc, node, unnest(string_split(content, chr(10))) AS x, unnest(range(len(string_split(content, chr(10))))) AS k FROM l) SELECT doc, node, CAST(k AS BIGINT) AS line, x AS text, 'edited ' || v AS term FROM x, (SELECT unnest(range(1, 10)) AS v) t WHERE contains(lower(x), 'edited ' || v)")
+def stream_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    """SRCH-4, STR-2: the trigram index of the newest versions, kept up by the nodes that change, and phrases looked up."""
+    edits = _edits(spark, d)
+    k = ("doc", "node")
+    kept = jobs.derived_stream(edits, [*k], ["ts", "event_id"], lambda t: trigrams.postings(t, k, "content"), "trigrams")
+    texts = jobs.latest_stream(_edits(spark, d), [*k], ["ts", "event_id"], "texts")
+    tokens = spark.range(1, 10).select(F.concat(F.lit("edited "), F.col("id").cast("string")).alias("term"))
+    return trigrams.search(trigrams.build(kept, k), texts, tokens, "content")
