@@ -1,24 +1,30 @@
 """Structured Streaming forms of the incremental jobs; each equals its batch twin once the stream has been read.
 
 A job has a folder: what the stream has been read to, and its state tables. Started again on the same folder, it goes on
-where it stopped. State tables are dealt out by keys over buckets; a batch rewrites the buckets that its keys fall into,
-next to the old ones, and a small list of the present files is written last. A batch that is repeated after a failure
-starts from the list before it and writes the same.
+where it stopped. A state table is a base, dealt out by keys over buckets, and a log of what later batches have changed:
+a batch writes the rows of its own keys alone, whatever the table's size. When the log has grown as large as the base,
+the two are written together as a new base, with as many buckets as its rows need. A small list that names the present
+base and log is written last, so a batch that is repeated after a failure starts from the list before it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quire.operators.activity import newest
 from quire.scratch import shared_path
 
-BUCKETS = 32
+#: Rows in a bucket of a base, about; the least size of a log that is worth a new base, and the most batches in one.
+BUCKET_ROWS, LOG_ROWS, LOG_BATCHES = 1_000_000, 20_000, 64
+#: Lists whose files are kept.
+GRACE = 3
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, after: Callable[[DataFrame, int], None] | None = None) -> None:
@@ -54,46 +60,88 @@ def changes(stream: DataFrame) -> DataFrame:
 
 
 class Table:
-    """A table of rows by key in buckets. ``merge`` replaces the rows of some keys and leaves the other buckets alone."""
-
-    def __init__(self, spark: SparkSession, keys: list[str], root: str, buckets: int = BUCKETS):
-        self.spark, self.keys, self.root, self.buckets = spark, keys, root, buckets
-
-    def _files(self, epoch: int | None = None) -> dict[int, str]:
-        """The present folder of each bucket, or that before an epoch; at most as many as there are buckets."""
-        store = self.spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        lists = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/lists")
-        if not store.exists(lists):
-            return {}
-        names = [s.getPath().getName() for s in store.listStatus(lists)]
-        done = sorted(int(n) for n in names if n.isdigit() and store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/lists/{n}/_SUCCESS")))
-        before = [n for n in done if epoch is None or n < epoch]
-        return {r.bucket: r.path for r in self.spark.read.schema("bucket int, path string").json(f"{self.root}/lists/{before[-1]}").collect()} if before else {}
-
-    def bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("__bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-
-    def rows(self, schema, touched: set[int] | None = None, epoch: int | None = None) -> DataFrame:
-        """The rows of all buckets, or of some; as they were before ``epoch``, if given."""
-        paths = [p for b, p in sorted(self._files(epoch).items()) if touched is None or b in touched]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def touched(self, changed: DataFrame) -> set[int]:
-        return {r[0] for r in self.bucket(changed.select(*self.keys)).select("__bucket").distinct().collect()}
+    """A table of rows by key: a base and a log of changes. ``merge`` replaces the rows of some keys."""
+
+    def __init__(self, spark: SparkSession, keys: list[str], root: str, log_rows: int = LOG_ROWS):
+        self.spark, self.keys, self.root, self.log_rows = spark, keys, root, log_rows
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._store = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _lists(self) -> list[int]:
+        folder = self._path(f"{self.root}/lists")
+        if not self._store.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._store.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit() and self._store.exists(self._path(f"{self.root}/lists/{n}/_SUCCESS")))
+
+    def state(self, epoch: int | None = None) -> dict:
+        """The present list, or that before an epoch: the base's epoch (null if none), buckets and rows, and the log's epochs
+        and rows."""
+        before = [n for n in self._lists() if epoch is None or n < epoch]
+        if not before:
+            return {"base": None, "buckets": 1, "rows": 0, "log": [], "logged": 0}
+        return json.loads(self.spark.read.text(f"{self.root}/lists/{before[-1]}").first()[0])
+
+    def _bucket(self, n: int) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
+
+    def _read(self, kind: str, epochs: list[int], schema) -> DataFrame:
+        """Files of some epochs, with ``__epoch``."""
+        whole = StructType([*schema.fields, StructField("__epoch", LongType())])
+        paths = [f"{self.root}/{kind}/__epoch={e}" for e in epochs]
+        return self.spark.read.schema(whole).option("basePath", f"{self.root}/{kind}").parquet(*paths)
+
+    def rows(self, schema, asked: DataFrame | None = None, epoch: int | None = None) -> DataFrame:
+        """The rows of all keys, or those of ``asked`` keys and some more; as they were before ``epoch``, if given."""
+        return self._at(self.state(epoch), schema, asked)
+
+    def _at(self, s: dict, schema, asked: DataFrame | None = None) -> DataFrame:
+        out = self.spark.createDataFrame([], schema)
+        if s["base"] is not None:
+            whole = StructType([*schema.fields, StructField("__bucket", IntegerType())])
+            out = self.spark.read.schema(whole).parquet(f"{self.root}/base/{s['base']}")
+            if asked is not None:
+                touched = [r[0] for r in asked.select(self._bucket(s["buckets"])).distinct().collect()]
+                out = out.where(F.col("__bucket").isin(touched))
+            out = out.drop("__bucket")
+        if s["log"]:
+            keys = StructType([schema[k] for k in self.keys])
+            last = self._read("keys", s["log"], keys).groupBy(*self.keys).agg(F.max("__epoch").alias("__epoch"))
+            logged = self._read("rows", s["log"], schema).join(last, [*self.keys, "__epoch"], "left_semi").select(*schema.names)
+            out = out.join(last, self.keys, "left_anti").select(*schema.names).unionByName(logged)
+        return out
 
     def merge(self, changed: DataFrame, new: DataFrame, epoch: int) -> None:
         """Put ``new`` in the place of the rows of the keys in ``changed``."""
-        touched = self.touched(changed)
-        kept = self.rows(new.schema, touched, epoch).join(changed.select(*self.keys).distinct(), self.keys, "left_anti").select(*new.columns)
-        path = f"{self.root}/epoch={epoch}"
-        self.bucket(kept.unionByName(new)).write.mode("overwrite").partitionBy("__bucket").parquet(path)
-        store = self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        now = {b: p for b, p in self._files(epoch).items() if b not in touched}
-        for b in touched:
-            place = f"{path}/__bucket={b}"
-            if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(place)):
-                now[b] = place
-        self.spark.createDataFrame(sorted(now.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").json(f"{self.root}/lists/{epoch}")
+        s, schema = self.state(epoch), new.schema
+        new.write.mode("overwrite").parquet(f"{self.root}/rows/__epoch={epoch}")
+        changed.select(*self.keys).distinct().write.mode("overwrite").parquet(f"{self.root}/keys/__epoch={epoch}")
+        size = sum(self.spark.read.schema(x).parquet(f"{self.root}/{kind}/__epoch={epoch}").count() for kind, x in (("rows", schema), ("keys", changed.select(*self.keys).schema)))
+        now = s | {"log": [*s["log"], epoch], "logged": s["logged"] + size}
+        if now["logged"] > max(self.log_rows, s["rows"]) or len(now["log"]) > LOG_BATCHES:
+            whole = self._at(now, schema)
+            n = max(1, -(-(s["rows"] + now["logged"]) // BUCKET_ROWS))
+            whole.withColumn("__bucket", self._bucket(n)).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.root}/base/{epoch}")
+            stored = StructType([*schema.fields, StructField("__bucket", IntegerType())])
+            now = {"base": epoch, "buckets": n, "rows": self.spark.read.schema(stored).parquet(f"{self.root}/base/{epoch}").count(), "log": [], "logged": 0}
+        self.spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/lists/{epoch}")
+        self._clean()
+
+    def _clean(self) -> None:
+        """Delete files that none of the last lists names."""
+        lists = self._lists()
+        if len(lists) <= GRACE:
+            return
+        kept = [self.state(n + 1) for n in lists[-GRACE:]]
+        named = {("base", str(s["base"])) for s in kept} | {(kind, f"__epoch={e}") for s in kept for e in s["log"] for kind in ("rows", "keys")}
+        for kind in ("base", "rows", "keys"):
+            folder = self._path(f"{self.root}/{kind}")
+            for f in self._store.listStatus(folder) if self._store.exists(folder) else ():
+                name = f.getPath().getName()
+                if (kind, name) not in named and int(name.rsplit("=", 1)[-1]) <= lists[-1]:
+                    self._store.delete(f.getPath(), True)
+        for n in lists[:-GRACE]:
+            self._store.delete(self._path(f"{self.root}/lists/{n}"), True)
 
 
 def latest_stream(stream: DataFrame, keys: list[str], order: list[str], tag: str, folder: str | None = None) -> DataFrame:
@@ -104,7 +152,7 @@ def latest_stream(stream: DataFrame, keys: list[str], order: list[str], tag: str
 
     def write(batch: DataFrame, epoch: int) -> None:
         changed = batch.select(*keys).distinct()
-        old = table.rows(stream.schema, table.touched(changed), epoch).join(changed, keys, "left_semi").select(*stream.columns)
+        old = table.rows(stream.schema, changed, epoch).join(changed, keys, "left_semi").select(*stream.columns)
         table.merge(changed, newest(old.unionByName(batch.select(*stream.columns)), keys, order).select(*stream.columns), epoch)
 
     run_available(stream, write, folder)
@@ -121,11 +169,11 @@ def derived_stream(stream: DataFrame, keys: list[str], order: list[str], derive:
 
     def write(batch: DataFrame, epoch: int) -> None:
         asked = batch.select(*keys).distinct()
-        old = latest.rows(stream.schema, latest.touched(asked), epoch).join(asked, keys, "left_semi").select(*stream.columns)
+        old = latest.rows(stream.schema, asked, epoch).join(asked, keys, "left_semi").select(*stream.columns)
         now = newest(old.unionByName(batch.select(*stream.columns)), keys, order).select(*stream.columns)
         latest.merge(asked, now, epoch)
         same = old.select(*keys, *order)
-        changed = latest.rows(stream.schema, latest.touched(asked)).join(asked, keys, "left_semi").join(same, [*keys, *order], "left_anti").select(*stream.columns)
+        changed = latest.rows(stream.schema, asked).join(asked, keys, "left_semi").join(same, [*keys, *order], "left_anti").select(*stream.columns)
         made.merge(changed, derive(changed), epoch)
 
     run_available(stream, write, folder)
