@@ -117,6 +117,7 @@ def check_corpus(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, versions
     """problems(doc, code, node, args) of whole documents: every check of this module over nodes(doc, node, environ, exts,
     access, text, langs), edges, inputs(doc, node, lang, macro, context, path, target), versions(doc, node, lang, environ,
     text) and replaced(doc, node, by). One walk gives what is reached, and its loops."""
+    nodes, inputs = written(nodes.drop("text"), "nodes"), written(inputs, "inputs")
     roots = tree.roots_of(nodes)
     visits = written(tree.walk(edges, roots), "visits")
     reached = visits.where("is_first").select("doc", "node")

@@ -25,7 +25,8 @@ def entries(attrs: DataFrame) -> DataFrame:
     are `a!b`, `sort@key`, `key|see{x}`, `key|textbf`, `key|(` and `key|)`; a quote protects ! @ and |. Formulas in keys
     are told by \\( and \\), and macros of symbols become the symbols."""
     rows = attrs.where(F.col("key").rlike("M_index(L[a-z]{3})?$"))
-    s = dedollarize(strip_delims(F.col("value")))
+    s = strip_delims(F.col("value"))
+    s = F.when(s.contains("$"), dedollarize(s)).otherwise(s)
     for a, b in _HIDDEN.items():
         s = F.replace(s, F.lit(a), F.lit(b))
 
@@ -37,8 +38,10 @@ def entries(attrs: DataFrame) -> DataFrame:
     # one step after the other, so that no expression is repeated in the next
     rows = rows.select("doc", "node", F.regexp_extract("key", "M_index(?:L([a-z]{3}))?$", 1).alias("lang"), F.split(s, r"\|", 2).alias("p"))
     rows = rows.select("doc", "node", "lang", F.split(F.get("p", F.lit(0)), "@", 2).alias("e"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("suffix"))
-    shown = lambda c: symbols_to_unicode(show(F.regexp_replace(c, "!", ", ")))
+    shown = lambda c: show(F.regexp_replace(c, "!", ", "))
     rows = rows.select("doc", "node", "lang", "suffix", shown(F.get("e", F.lit(0))).alias("sortkey"), shown(F.get("e", F.lit(1))).alias("key"))
+    named = lambda c: F.when(F.contains(c, F.lit("\\")), symbols_to_unicode(F.col(c))).otherwise(F.col(c))
+    rows = rows.select("doc", "node", "lang", "suffix", named("sortkey").alias("sortkey"), named("key").alias("key"))
     suffix = F.col("suffix")
     mark = F.when(suffix.isin("(", ")"), suffix).otherwise("")
     style = F.when(suffix == "textbf", "font-weight-bold").when(suffix.isin("emph", "textit", "textsl"), "font-italic").otherwise("")
@@ -49,8 +52,8 @@ def entries(attrs: DataFrame) -> DataFrame:
 def ranges(entry: DataFrame, visits: DataFrame) -> DataFrame:
     """(doc, node, lang, key): nodes below one that opens and closes a range of a key, by the visits of a walk."""
     k = ["doc", "node", "lang", "key"]
-    both = entry.where("value = '('").select(*k).distinct().join(entry.where("value = ')'").select(*k).distinct(), k)
-    both = written(both, "ranges")
+    marks = entry.where("value in ('(', ')')").groupBy(*k).agg(F.countDistinct("value").alias("n"))
+    both = written(marks.where("n = 2").drop("n"), "ranges")
     return both.join(tree.below(both, visits), ["doc", "node"]).select("doc", F.col("descendant").alias("node"), "lang", "key").distinct()
 
 
@@ -70,11 +73,10 @@ def range_attrs(attrs: DataFrame, visits: DataFrame) -> DataFrame:
     return attrs.where(~F.col("key").startswith("rangeindex")).select("doc", "node", "key", "value").unionByName(below.select("doc", "node", key.alias("key"), F.col("key").alias("value")))
 
 
-def range_entries(attrs: DataFrame) -> DataFrame:
-    """Entries like those of ``entries`` for rangeindex rows, with a dash for value."""
-    rows = attrs.where(F.col("key").startswith("rangeindex"))
+def range_entries(below: DataFrame) -> DataFrame:
+    """Entries like those of ``entries`` for the nodes within a range, as ``ranges`` gives them, with a dash for value."""
     none = F.lit("")
-    return rows.select("doc", "node", F.regexp_extract("key", "L([a-z]{3})$", 1).alias("lang"), F.col("value").alias("sortkey"), F.col("value").alias("key"), none.alias("see"), F.lit("\u2014").alias("value"), none.alias("text_class"))
+    return below.select("doc", "node", "lang", F.col("key").alias("sortkey"), "key", none.alias("see"), F.lit("\u2014").alias("value"), none.alias("text_class"))
 
 
 def book_index(entry: DataFrame, visible: DataFrame, lang: str | None = None) -> DataFrame:

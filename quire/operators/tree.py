@@ -53,13 +53,14 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return walk(edges, roots).where("is_first").select("doc", "node")
 
 
-def _doubled(vertices: DataFrame) -> DataFrame:
+def _doubled(vertices: DataFrame) -> tuple[DataFrame, int]:
     """(doc, node, top, dist, size) of vertices(doc, node, up, weight): the highest node above, how far it is, and the
-    weight of the node and all below it. Nodes on or below a cycle without a top are left out."""
+    weight of the node and all below it; and the number of rounds that took. Nodes on or below a cycle without a top are
+    left out: their way up is longer than there are nodes."""
     now = written(vertices.select("doc", "node", F.col("up").alias("anc"), F.col("node").alias("top"), F.lit(0).cast("long").alias("dist"), F.col("weight").cast("long").alias("size")), "doubled")
-    step, most = 1, 2 * now.count()
-    while step <= most:
-        if now.where("anc is not null").isEmpty():
+    step = 1
+    while not now.where("anc is not null").isEmpty():
+        if step >= 64 and step > 2 * now.count():
             break
         far = now.select("doc", F.col("node").alias("anc"), F.col("anc").alias("a2"), F.col("top").alias("t2"), F.col("dist").alias("d2"))
         more = now.where("anc is not null").groupBy("doc", F.col("anc").alias("node")).agg(F.sum("size").alias("more"))
@@ -67,13 +68,14 @@ def _doubled(vertices: DataFrame) -> DataFrame:
         dist = F.when(F.col("anc").isNotNull(), F.col("d2") + step).otherwise(F.col("dist"))
         now = written(joined.select("doc", "node", F.col("a2").alias("anc"), F.coalesce("t2", "top").alias("top"), dist.alias("dist"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "doubled")
         step *= 2
-    return now.where("anc is null").drop("anc")
+    return now.where("anc is null").drop("anc"), step.bit_length() - 1
 
 
-def _summed(vertices: DataFrame) -> DataFrame:
-    """(doc, node, pos) of vertices(doc, node, up, off): the sum of ``off`` from the top down to the node."""
+def _summed(vertices: DataFrame, rounds: int) -> DataFrame:
+    """(doc, node, pos) of vertices(doc, node, up, off): the sum of ``off`` from the top down to the node, which doubling
+    reaches in so many rounds."""
     now = written(vertices.select("doc", "node", F.col("up").alias("anc"), F.col("off").alias("pos")), "doubled")
-    while not now.where("anc is not null").isEmpty():
+    for _ in range(rounds):
         far = now.select("doc", F.col("node").alias("anc"), F.col("anc").alias("a2"), F.col("pos").alias("p2"))
         now = written(now.join(far, ["doc", "anc"], "left").select("doc", "node", F.col("a2").alias("anc"), (F.col("pos") + F.coalesce("p2", F.lit(0))).alias("pos")), "doubled")
     return now.drop("anc")
@@ -86,12 +88,12 @@ def _preorder(own: DataFrame, leaves: DataFrame, roots: DataFrame) -> tuple[Data
     extra = leaves.groupBy("doc", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("extra"))
     ends = roots.unionByName(own.select("doc", F.col("parent").alias("node"))).unionByName(leaves.select("doc", F.col("parent").alias("node"))).unionByName(up.select("doc", "node")).distinct()
     vertices = ends.join(up, ["doc", "node"], "left").join(extra, ["doc", "node"], "left")
-    sizes = _doubled(vertices.withColumn("weight", F.coalesce("extra", F.lit(0)) + 1))
+    sizes, rounds = _doubled(vertices.withColumn("weight", F.coalesce("extra", F.lit(0)) + 1))
     both = own.join(sizes.select("doc", F.col("node").alias("child"), "size"), ["doc", "child"]).withColumn("own", F.lit(True)).unionByName(leaves.withColumns({"size": F.lit(1).cast("long"), "own": F.lit(False)}))
     placed = written(running_sum(both, ["doc", "parent"], ["ordinal", "child"], "size").withColumn("off", F.col("before") + 1), "offsets")
     into = placed.where("own").select("doc", F.col("child").alias("node"), F.col("parent").alias("up"), "ordinal", "off")
     named = sizes.join(into, ["doc", "node"], "left").withColumn("off", F.coalesce("off", F.lit(0)))
-    nodes = named.join(_summed(named), ["doc", "node"]).select("doc", "node", F.col("up").alias("parent"), "ordinal", "top", F.col("dist").alias("depth"), "size", F.col("pos").alias("place"))
+    nodes = named.join(_summed(named, rounds), ["doc", "node"]).select("doc", "node", F.col("up").alias("parent"), "ordinal", "top", F.col("dist").alias("depth"), "size", F.col("pos").alias("place"))
     nodes = written(nodes, "places")
     above = nodes.select("doc", F.col("node").alias("parent"), "top", (F.col("depth") + 1).alias("depth"), F.col("place").alias("from"))
     visits = placed.where("not own").join(above, ["doc", "parent"]).select("doc", F.col("child").alias("node"), "parent", "ordinal", "top", "depth", (F.col("from") + F.col("off")).alias("place"))
@@ -109,7 +111,7 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
     which edge a walk takes to it first; with those edges all is one tree, numbered in the same way."""
     long = lambda c: F.col(c).cast("long").alias(c)
     e = written(edges.select("doc", long("parent"), long("child"), long("ordinal")).distinct(), "edges")
-    top = written(roots.select("doc", F.col("root").cast("long").alias("node")).distinct(), "roots")
+    top = roots.select("doc", F.col("root").cast("long").alias("node")).distinct()
     once = e.groupBy("doc", "child").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(top.withColumnRenamed("node", "child"), ["doc", "child"], "left_anti")
     e = written(e.join(once, ["doc", "child"], "left").select(*e.columns, F.col("n").isNotNull().alias("single")), "edges")
     own, others = (e.where(c).drop("single") for c in ("single", "not single"))
@@ -136,7 +138,7 @@ def below(marks: DataFrame, visits: DataFrame) -> DataFrame:
     """(doc, node, descendant): all other nodes that the nodes of marks(doc, node) lead to. What a walk has entered below a
     node is an interval of places; where it holds a visit to a node that was entered elsewhere, that one's interval
     belongs to it too, and so on. The work grows with what comes out, whatever the size of the tree."""
-    v = written(visits.select("doc", "node", "place", "size", "is_first"), "visits")
+    v = visits.select("doc", "node", "place", "size", "is_first")
     first = v.where("is_first").select("doc", F.col("node").alias("at"), F.col("place").alias("low"), "size")
     front = marks.select("doc", "node").distinct().withColumn("at", F.col("node"))
     found = entered = None

@@ -174,9 +174,8 @@ m AS (SELECT DISTINCT r.user_id, x.doc, x.lang, x.sortkey, x.key, r.r, x.node, C
 SELECT user_id, doc, lang, sortkey, key, row_number() OVER (PARTITION BY user_id, doc, lang, sortkey, key ORDER BY r, node, marker) AS place, node, marker FROM m""")
 def index_book(spark: SparkSession, d: str) -> DataFrame:
     """IDX-2, IDX-3: the index that each of three readers sees, ranges included, places in document order."""
-    a = view(spark, d, "fx_attr")
-    full = written(index.range_attrs(a, _walked(spark, d)), "ranges")
-    return index.book_index(index.entries(full).unionByName(index.range_entries(full)), _readers(spark, d))
+    parsed = written(index.entries(view(spark, d, "fx_attr")), "entries")
+    return index.book_index(parsed.unionByName(index.range_entries(index.ranges(parsed, _walked(spark, d)))), _readers(spark, d))
 
 
 @query(f"""WITH {_ENTRY}, h AS (SELECT DISTINCT doc FROM e WHERE lang = 'eng') SELECT DISTINCT e.doc, CASE WHEN e.lang = '' AND h.doc IS NOT NULL THEN 'eng' ELSE e.lang END AS lang, sortkey, key, CASE WHEN sortkey <> key THEN 'sorted as ' || sortkey END AS note
