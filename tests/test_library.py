@@ -143,13 +143,12 @@ def test_below_and_closure_on_random_graphs(spark):
     assert {tuple(x) for x in tree.below(marks, visits).collect()} == want
     assert {tuple(x) for x in tree.reachable(edges, roots).collect()} == {(g, d) for g, es in graphs.items() for d in reach(es, 0) | {0}}
     near = {(x.doc, x.node): x["at"] for x in tree.nearest(visits, marks.where("node = 1")).collect()}
-    for v in visits.where("is_first").collect():
-        up = {x.node: x.parent for x in visits.where((F.col("doc") == v.doc) & F.col("is_first")).collect()} if v.doc in ("g1", "g2", "g3") else None
-        if up:
-            k = v.node
-            while k is not None and k != 1:
-                k = up[k]
-            assert near[v.doc, v.node] == k
+    up = {(x.doc, x.node): x.parent for x in visits.where("is_first").collect()}
+    for doc, node in up:
+        k = node
+        while k is not None and k != 1:
+            k = up[doc, k]
+        assert near[doc, node] == k
 
 
 def test_subtree_hash(spark):
