@@ -24,8 +24,8 @@ def _edits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {cte('fx_edit')} SELECT doc, node, event_id, md5(content) AS md5 FROM (SELECT *, lag(md5(content)) OVER (PARTITION BY doc, node ORDER BY ts, event_id) AS b FROM fx_edit) q WHERE b IS NULL OR b <> md5(content)")
 def stream_changes(spark: SparkSession, d: str) -> DataFrame:
-    """STR-1: a feed of changed versions."""
-    return jobs.appended(jobs.changes(_edits(spark, d)), "changes").drop("epoch")
+    """STR-1: a feed of changed versions, and those that count after all that was read."""
+    return jobs.settled(jobs.appended(jobs.changes(_edits(spark, d)), "changes"))
 
 
 _LAST = "l AS (SELECT doc, node, content FROM (SELECT *, row_number() OVER (PARTITION BY doc, node ORDER BY ts DESC, event_id DESC) AS k FROM fx_edit) q WHERE k = 1)"

@@ -9,13 +9,15 @@ base and log is written last, so a batch that is repeated after a failure starts
 
 from __future__ import annotations
 
-import hashlib
 import json
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quire.operators.activity import newest
@@ -25,6 +27,8 @@ from quire.scratch import shared_path
 BUCKET_ROWS, LOG_ROWS, LOG_BATCHES = 1_000_000, 20_000, 64
 #: Lists whose files are kept.
 GRACE = 3
+#: Where keyed state stands.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, after: Callable[[DataFrame, int], None] | None = None) -> None:
@@ -36,27 +40,71 @@ def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], fo
         if after is not None:
             after(batch, epoch)
 
-    q = stream.writeStream.foreachBatch(both).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).outputMode("append").start()
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    given = conf.get(key)
+    conf.set(key, ROCKS)
+    try:
+        q = stream.writeStream.foreachBatch(both).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).outputMode("append").start()
+    finally:
+        conf.set(key, given)
     q.awaitTermination()
 
 
-def changes(stream: DataFrame) -> DataFrame:
-    """(doc, node, event_id, md5) of versions(doc, node, event_id, ts, content) whose fingerprint differs from the one
-    before; a key's first version counts as a change. State: the last fingerprint of each node."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event, content in zip(rows["event_id"], rows["content"], strict=True):
-            md5 = hashlib.md5((content or "").encode()).hexdigest()
-            if md5 != last:
-                out.append((key[0], key[1], event, md5))
-            last = md5
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["doc", "node", "event_id", "md5"])
-
-    return stream.groupBy("doc", "node").applyInPandasWithState(step, "doc string, node long, event_id long, md5 string", "md5 string", "append", "NoTimeout")
+class _Changes(StatefulProcessor):
+    """Of each key: the events that may still get others before them, in order, and the last one before those."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._held = handle.getListState("held", "ts long, event_id long, md5 string")
+
+    def _keep(self, rows: list[tuple], timers: TimerValues) -> None:
+        mark = timers.getCurrentWatermarkInMs() * 1000
+        settled = bisect_left(rows, True, key=lambda x: x[0] > mark)  # a later event can't come before these
+        rows = rows[max(0, settled - 1) :]
+        self._held.put(rows)
+        if len(rows) > 1:
+            self._handle.registerTimer(rows[-1][0] // 1000 + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = [tuple(x) for x in self._held.get()] if self._held.exists() else []
+        come = {x for part in rows for x in zip(part["ts"].tolist(), part["event_id"].tolist(), part["md5"], strict=True)}
+        if held and held[0][0] <= timerValues.getCurrentWatermarkInMs() * 1000:
+            come = {x for x in come if x > held[0]}  # what was before it may be gone
+        changed = lambda all_: {x for x, last in zip(all_, [None, *all_]) if last is None or x[2] != last[2]}
+        before = changed(held)
+        now = sorted(come.union(held))
+        after = changed(now)
+        out = [(*key, x[1], x[2], -1) for x in sorted(before - after)] + [(*key, x[1], x[2], 1) for x in sorted(after - before)]
+        self._keep(now, timerValues)
+        yield pd.DataFrame(out, columns=["key", "event_id", "md5", "change"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep([tuple(x) for x in self._held.get()], timerValues)
+        return iter(())
+
+
+def changes(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+    """(doc, node, event_id, md5, change) of versions(doc, node, event_id, ts, content): 1 for a version whose
+    fingerprint differs from that of the version before it by (ts, event_id), and -1 for one that was told so and isn't
+    any more, because an event in between came later. The sum of a version's changes is 1 or 0, as in the batch twin,
+    however the events are spread over batches, as long as none comes over ``delay`` after a later one; what comes after
+    that is left out. A first version counts as a change. Null contents count as empty, null ids as -1, and null times
+    as the first. Repeated events count once.
+
+    State: for each node the events within the delay, without their texts, and the one before them. They are kept by
+    RocksDB, which ``run_available`` sets; those of one node in one batch are in memory together (some 100 bytes each), so a
+    source that is far behind should be read with ``maxFilesPerTrigger``."""
+    known = stream.select("doc", "node", F.coalesce("event_id", F.lit(-1)).cast("long").alias("event_id"), "ts", F.md5(F.coalesce("content", F.lit(""))).alias("md5"))
+    timed = known.withColumnRenamed("ts", "at").withWatermark("at", delay)
+    # as one string, since a null among a batch's keys would turn whole numbers into floats
+    rows = timed.select(F.to_json(F.struct("doc", "node")).alias("key"), "event_id", F.coalesce(F.unix_micros("at"), F.lit(-(1 << 62))).alias("ts"), "md5", "at")
+    out = rows.groupBy("key").transformWithStateInPandas(_Changes(), "key string, event_id long, md5 string, change int", "append", "eventTime")
+    return out.withColumn("k", F.from_json("key", "doc string, node long")).select("k.doc", "k.node", "event_id", "md5", "change")
+
+
+def settled(feed: DataFrame) -> DataFrame:
+    """(doc, node, event_id, md5) of a feed of changes as it is now."""
+    return feed.groupBy("doc", "node", "event_id", "md5").agg(F.sum("change").alias("__n")).where("__n > 0").drop("__n")
 
 
 class Table:
