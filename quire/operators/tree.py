@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import hashes
 from quire.operators.numbering import running_sum
 from quire.scratch import written
 from quire.schema import NOT_IN_DOCUMENT
@@ -281,22 +282,8 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 def subtree_hash(nodes: DataFrame, edges: DataFrame, visits: DataFrame, content: str = "text") -> DataFrame:
     """(doc, node, hash): md5 over a node's own text hash and its children's hashes in order, bottom-up by depth over
-    the tree of first visits."""
-    tree = visits.where("is_first").select("doc", "node", "parent", "depth", "ordinal").join(nodes.select("doc", "node", F.md5(content).alias("own")), ["doc", "node"])
-    tree = written(tree, "merkle")
-    deepest = tree.agg(F.max("depth")).first()[0] or 0
-    below, out = None, None
-    for d in range(deepest, -1, -1):
-        level = tree.where(F.col("depth") == d)
-        if below is None:
-            made = level.withColumn("hash", F.md5(F.concat("own", F.lit(""))))
-        else:
-            kids = below.groupBy("doc", F.col("parent").alias("node")).agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "node", "hash"))), lambda x: x["hash"])).alias("kids"))
-            made = level.join(kids, ["doc", "node"], "left").withColumn("hash", F.md5(F.concat("own", F.coalesce("kids", F.lit(""))))).drop("kids")
-        below = written(made, "merkle")
-        part = below.select("doc", "node", "hash")
-        out = part if out is None else out.unionByName(part)
-    return out
+    the tree of first visits; ``hashes.Hashes`` keeps them up when nodes change."""
+    return hashes.subtree_hashes(hashes.tree_of(nodes, visits, content)).select("doc", "node", "hash")
 
 
 def dedup_content(files: DataFrame, key: str, text: str, name: str | None = None) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.fixtures import cte, view
 from quire.functions import ids
-from quire.operators import attrs, audit, tree
+from quire.operators import attrs, audit, hashes, tree
 from quire.plans.registry import query
 from quire.plans.rules import SECTIONS, child_rules, child_rules_sql, extension_rules, extension_rules_sql, kind_sql
+from quire.scratch import shared_path
 
 
 def _id_sql(x: str) -> str:
@@ -203,6 +204,22 @@ def tree_subtree_hash(spark: SparkSession, d: str) -> DataFrame:
     return tree.subtree_hash(n, e, tree.walk(e, tree.roots_of(n)))
 
 
+@query(f"""WITH RECURSIVE {cte('fx_node', 'fx_edge')}, up(doc, node) AS (SELECT doc, node FROM fx_node WHERE r % 50 = 3 UNION SELECT e.doc, e.parent FROM up u JOIN fx_edge e ON e.doc = u.doc AND e.child = u.node)
+SELECT up.doc, up.node, md5(n.text) AS before, md5(CASE WHEN n.r % 50 = 3 THEN n.text || ' new' ELSE n.text END) AS after FROM up JOIN fx_node n ON n.doc = up.doc AND n.node = up.node""")
+def tree_hash_changes(spark: SparkSession, d: str) -> DataFrame:
+    """TREE-15: kept hashes after some nodes have new texts: nodes whose hash is another, which are the changed ones and
+    those above them, with their own texts' hashes."""
+    n, e = view(spark, d, "fx_node"), view(spark, d, "fx_edge")
+    visits = tree.walk(e, tree.roots_of(n))
+    kept = hashes.Hashes(spark, shared_path(spark, "hashes"))
+    kept.update(hashes.tree_of(n, visits).withColumn("gone", F.lit(False)), 0)
+    old = kept.rows().select("doc", "node", F.col("own").alias("before"), F.col("hash").alias("h"))
+    now = n.withColumn("text", F.when(F.col("r") % 50 == 3, F.concat("text", F.lit(" new"))).otherwise(F.col("text")))
+    kept.update(kept.changes(hashes.tree_of(now, visits)), 1)
+    new = kept.rows().select("doc", "node", F.col("own").alias("after"), "hash")
+    return old.join(new, ["doc", "node"]).where("h <> hash").select("doc", "node", "before", "after")
+
+
 @query("SELECT doc_id AS key, md5(text) AS hash, min(doc_id) OVER (PARTITION BY md5(text)) AS canonical FROM documents")
 def tree_dedup_content(spark: SparkSession, d: str) -> DataFrame:
     """TREE-16: equal contents and their canonical member."""
