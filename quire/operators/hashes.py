@@ -108,7 +108,7 @@ class Hashes:
             if up is None and d not in own:
                 continue
             table, lower = self._level(d), self._level(d + 1)
-            here = whole.where(F.col("depth") == d)
+            here = whole.where(F.col("depth") == d)  # of partitions by depth, one
             asked = here.select(*KEY) if up is None else here.select(*KEY).unionByName(up).distinct()
             old = table.rows(self.schema, asked, epoch).join(asked, KEY, "left_semi")
             rows = here.where("not gone").select(*ROW).unionByName(old.join(here, KEY, "left_anti").select(*ROW))
@@ -121,8 +121,7 @@ class Hashes:
             both = old.select(*shape).withColumn("n", F.lit(-1)).unionByName(new.select(*shape).withColumn("n", F.lit(1)))
             moved = both.groupBy(*shape).agg(F.sum("n").alias("n")).where("n <> 0")
             moved.where("parent is not null").select("doc", F.col("parent").alias("node")).distinct().write.parquet(f"{folder}/up/{d}")
-            up = self.spark.read.schema("doc string, node bigint").parquet(f"{folder}/up/{d}")
             table.merge(asked, new, epoch)
-            if up.isEmpty():
-                up = None
+            up = self.spark.read.schema("doc string, node bigint").parquet(f"{folder}/up/{d}")
+            up = None if up.isEmpty() else up
         self._done(epoch)

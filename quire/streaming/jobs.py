@@ -10,6 +10,7 @@ base and log is written last, so a batch that is repeated after a failure starts
 from __future__ import annotations
 
 import json
+import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -115,12 +116,15 @@ class Table:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._store = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _list(self, epoch: int):
+        return self._path(f"{self.root}/lists/{epoch}/state.json")
+
     def _lists(self) -> list[int]:
         folder = self._path(f"{self.root}/lists")
         if not self._store.exists(folder):
             return []
         names = [s.getPath().getName() for s in self._store.listStatus(folder)]
-        return sorted(int(n) for n in names if n.isdigit() and self._store.exists(self._path(f"{self.root}/lists/{n}/_SUCCESS")))
+        return sorted(int(n) for n in names if n.isdigit() and self._store.exists(self._list(n)))
 
     def state(self, epoch: int | None = None) -> dict:
         """The present list, or that before an epoch: the base's epoch (null if none), buckets and rows, and the log's epochs
@@ -128,7 +132,22 @@ class Table:
         before = [n for n in self._lists() if epoch is None or n < epoch]
         if not before:
             return {"base": None, "buckets": 1, "rows": 0, "log": [], "logged": 0}
-        return json.loads(self.spark.read.text(f"{self.root}/lists/{before[-1]}").first()[0])
+        file = self._store.open(self._list(before[-1]))
+        try:
+            return json.loads(self.spark._jvm.java.util.Scanner(file, "UTF-8").useDelimiter("\\A").next())
+        finally:
+            file.close()
+
+    def _put(self, epoch: int, state: dict) -> None:
+        """A list appears whole, by renaming."""
+        draft = self._path(f"{self.root}/drafts/{uuid.uuid4().hex}")
+        out = self._store.create(draft)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        self._store.delete(self._path(f"{self.root}/lists/{epoch}"), True)
+        self._store.mkdirs(self._path(f"{self.root}/lists/{epoch}"))
+        if not self._store.rename(draft, self._list(epoch)):
+            raise OSError(f"no list for {epoch} in {self.root}")
 
     def _bucket(self, n: int) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
@@ -164,7 +183,9 @@ class Table:
         s, schema = self.state(epoch), new.schema
         new.write.mode("overwrite").parquet(f"{self.root}/rows/__epoch={epoch}")
         changed.select(*self.keys).distinct().write.mode("overwrite").parquet(f"{self.root}/keys/__epoch={epoch}")
-        size = sum(self.spark.read.schema(x).parquet(f"{self.root}/{kind}/__epoch={epoch}").count() for kind, x in (("rows", schema), ("keys", changed.select(*self.keys).schema)))
+        kinds = (("rows", schema), ("keys", changed.select(*self.keys).schema))
+        parts = [self.spark.read.schema(x).parquet(f"{self.root}/{kind}/__epoch={epoch}").select(F.lit(1)) for kind, x in kinds]
+        size = parts[0].union(parts[1]).count()
         now = s | {"log": [*s["log"], epoch], "logged": s["logged"] + size}
         if now["logged"] > max(self.log_rows, s["rows"]) or len(now["log"]) > LOG_BATCHES:
             whole = self._at(now, schema)
@@ -172,7 +193,7 @@ class Table:
             whole.withColumn("__bucket", self._bucket(n)).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.root}/base/{epoch}")
             stored = StructType([*schema.fields, StructField("__bucket", IntegerType())])
             now = {"base": epoch, "buckets": n, "rows": self.spark.read.schema(stored).parquet(f"{self.root}/base/{epoch}").count(), "log": [], "logged": 0}
-        self.spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/lists/{epoch}")
+        self._put(epoch, now)
         self._clean()
 
     def _clean(self) -> None:
