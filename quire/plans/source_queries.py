@@ -43,7 +43,7 @@ def src_files(spark: SparkSession, d: str) -> DataFrame:
     return files.read_sources(spark, root, ("tex",)).select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), "ext", F.md5("text").alias("md5"))
 
 
-_LINES = """x AS (SELECT doc, node, unnest(['lang=' || lang, 'access=' || access, 'environ=' || environ]) AS line FROM fx_environ UNION ALL SELECT doc, parent, 'child_uuid=' || child FROM fx_edge UNION ALL SELECT doc, child, 'parent_uuid=' || parent FROM fx_edge
+_LINES = """x AS (SELECT doc, node, unnest(['lang=' || lang, 'access=' || access, 'environ=' || environ]) AS line FROM fx_environ UNION ALL SELECT doc, node, 'extension=' || unnest(string_split(exts, ',')) FROM fx_environ UNION ALL SELECT doc, parent, 'child_uuid=' || child FROM fx_edge UNION ALL SELECT doc, child, 'parent_uuid=' || parent FROM fx_edge
 UNION ALL SELECT DISTINCT doc, node, key || '=' || value || CASE WHEN node % 3 = 0 THEN chr(9) || node ELSE '' END FROM fx_attr)"""
 
 

@@ -56,7 +56,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_metadata(nodes: DataFrame, edges: DataFrame, attrs: DataFrame, path: str) -> None:
-    """All fields, edges and attributes of nodes as key=value lines, second values of attrs(..., value2) after a tab; a
+    """All fields, extensions, edges and attributes of nodes as key=value lines, second values of attrs(..., value2) after a tab; a
     folder for each document and node."""
     second = attrs.select("doc", "node", "key", "value", "value2").distinct() if "value2" in attrs.columns else None
     rows = flatten(nodes, edges, attrs)
