@@ -32,7 +32,7 @@ def reparse(segments: DataFrame, stored: DataFrame, edges: DataFrame, files: Dat
     RANGE_CLOSE (without a partner), and UNCLOSED arguments. Attributes that don't come from texts stay as they are.
     """
     k = ["doc", "node", "key", "value"]
-    deep = written(segment.with_depth(segment.explode_markers(segments, rules=rules)), "deep")
+    deep = written(segment.explode_deep(segments, rules=rules), "deep")
     read = segments.where(~F.col("environ").isin(*NOT_READ)).select("doc", "node")
     found = segment.attributes(deep).join(read, ["doc", "node"], "left_semi").distinct()
     wrong = attrs.wrong_uuid(found)

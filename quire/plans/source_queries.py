@@ -118,7 +118,7 @@ def src_rules(spark: SparkSession, d: str) -> DataFrame:
     both = lambda c: F.concat(F.lit("\\mark{"), c, F.lit("}\\note{"), c, F.lit("}"))
     text = F.concat(both(F.col("lang")), F.lit("\\begin{asis}"), both(F.lit("x")), F.lit("\\end{asis}\\begin{raw}"), both(F.lit("y")), F.lit("\\end{raw}\\label{a}"), "text")
     rules = segment.document_rules(files.read_rules(spark, root))
-    deep = segment.with_depth(segment.explode_markers(n.select("doc", "node", text.alias("text")), rules=rules))
+    deep = segment.explode_deep(n.select("doc", "node", text.alias("text")), rules=rules)
     return deep.where("macro in ('mark', 'note', 'label')").select("doc", "node", "macro", "arg", "env")
 
 
@@ -129,7 +129,7 @@ def seg_discover_split(spark: SparkSession, d: str) -> DataFrame:
     declared = F.when(F.col("r") == 1, F.concat(F.lit("\\newtheorem{"), F.when(F.expr(_EVEN), "thm").otherwise("lem"), F.lit("}{Name}\n"))).otherwise("")
     text = F.concat(declared, F.lit("\\begin{thm}["), "lang", F.lit("]"), "doc", F.lit("a\\end{thm}\\begin{lem}"), "doc", F.lit("b\\end{lem}\n"), "text")
     n = view(spark, d, "fx_node").select("doc", "node", text.alias("text"))
-    return segment.environments(segment.with_depth(segment.explode_markers(n)), segment.discover_environments(n))
+    return segment.environments(segment.explode_deep(n), segment.discover_environments(n))
 
 
 @query(f"WITH {cte('fx_node')} SELECT doc, node, 'α' || text || '!' AS text FROM fx_node")

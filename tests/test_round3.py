@@ -1,12 +1,17 @@
 """Queries against their SQL, and jobs whose rows may not be multiplied or moved more than they need."""
 
+import contextlib
 import glob
+import io
 import os
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from quire.operators import segment
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -27,3 +32,23 @@ def against_sql(spark, name):
 def test_metadata_files_hold_extensions(spark):
     got, wanted = against_sql(spark, "src_metadata")
     assert got == wanted and any(key == "extension" for _, _, key, _, _ in wanted)
+
+
+def plan_of(df):
+    """The physical plan of a query, as text."""
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain("simple")
+    return out.getvalue()
+
+
+def test_pieces_of_a_text_move_nowhere(spark):
+    r = random.Random(7)
+    parts = ["\\begin{A}", "\\end{A}", "\\begin{B}[o]", "\\end{B}", "{", "}", "\\label{", "\\begin{verbatim}\\end{verbatim}", "\\item ", "é", "\\section*[s]{"]
+    texts = [(k, "".join(r.choice(parts) for _ in range(r.randrange(0, 30)))) for k in range(300)] + [(300, None), (301, "")]
+    files = spark.createDataFrame(texts, "node long, text string").withColumn("doc", F.lit("d"))
+    deep = segment.explode_deep(files)
+    plan = plan_of(deep)
+    assert "Window" not in plan and "Exchange" not in plan and "Sort" not in plan
+    windows = segment.with_depth(segment.explode_markers(files)).select(*deep.columns)
+    assert Counter(map(tuple, deep.collect())) == Counter(map(tuple, windows.collect()))
+    assert {r.node for r in deep.select("node").distinct().collect()} == set(range(300)) | {301}
