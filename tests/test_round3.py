@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quire.operators import segment
+from quire.operators import access, segment
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -52,3 +52,35 @@ def test_pieces_of_a_text_move_nowhere(spark):
     windows = segment.with_depth(segment.explode_markers(files)).select(*deep.columns)
     assert Counter(map(tuple, deep.collect())) == Counter(map(tuple, windows.collect()))
     assert {r.node for r in deep.select("node").distinct().collect()} == set(range(300)) | {301}
+
+
+def test_pairs_have_the_rights_of_requests_and_are_not_moved(spark):
+    r = random.Random(3)
+    perms = ["view_view", "view_blob", "download", "add_blob", "view_log"]
+    users = spark.createDataFrame([(u, r.random() < 0.8, r.random() < 0.1, u % 3) for u in range(40)], "user_id long, is_active boolean, is_superuser boolean, k long")
+    members = spark.createDataFrame([(r.randrange(45), r.choice("AB"), r.choice(["editors", "authors"])) for _ in range(20)], "user_id long, doc string, grp string")
+    nodes = spark.createDataFrame([(d, n, r.choice(["open", "public", "private"]), n % 3) for d in "ABC" for n in range(8)], "doc string, node long, access string, k long")
+    grants = spark.createDataFrame([(r.randrange(45), r.choice(perms), r.choice(["global", "doc", "node", "node", "node"]), r.choice("ABC"), r.randrange(9)) for _ in range(80)], "user_id long, perm string, scope string, doc string, node long")
+    authors = spark.createDataFrame([(r.choice("ABC"), r.randrange(9), r.randrange(45)) for _ in range(30)], "doc string, node long, user_id long")
+    pairs = access.paired(nodes, users, members, grants, authors, "k")
+    got = pairs.select("user_id", "doc", "node", F.explode(F.array(*[F.struct(F.lit(p).alias("perm"), access.may(F.lit(p)).alias("ok")) for p in perms])).alias("q")).select("user_id", "q.perm", "doc", "node", "q.ok")
+    asked = nodes.drop("access").join(users.select("user_id", "k"), "k").select("user_id", F.explode(F.array(*map(F.lit, perms))).alias("perm"), "doc", "node")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, access.allowed(asked, users, members, nodes, grants, authors).collect()))
+    # from the top of the plan to the join of pairs nothing is exchanged
+    assert "Exchange" not in plan_of(pairs).split("Join", 1)[0]
+    assert len({(x.user_id, x.doc, x.node) for x in pairs.collect()}) == pairs.count()
+
+    docs = spark.createDataFrame([("A", True), ("B", False), ("C", True)], "doc string, author_can_add boolean")
+    adds = access.paired_to_add(nodes, users, members, grants, authors, docs, "k").select("user_id", "doc", "node", access.may(F.lit("add_blob")).alias("ok"))
+    wanted = access.can_add(asked.drop("perm").distinct(), users, members, nodes, grants, authors, docs)
+    assert Counter(map(tuple, adds.collect())) == Counter(map(tuple, wanted.collect()))
+
+
+def test_people_to_tell_are_not_grouped_by_pair(spark):
+    users = spark.createDataFrame([(u, u != 4, True) for u in range(6)], "user_id long, is_active boolean, verified boolean")
+    members = spark.createDataFrame([(u, "A", "editors") for u in (1, 2, 2, 4)] + [(5, "A", "authors")], "user_id long, doc string, grp string")
+    authors = spark.createDataFrame([("A", 1, 2), ("A", 1, 3), ("A", 2, 4)], "doc string, node long, user_id long")
+    asked = spark.createDataFrame([("A", 1), ("A", 1), ("A", 2), ("B", 1)], "doc string, node long")
+    told = access.interested(asked, authors, users, members)
+    assert sorted(map(tuple, told.collect())) == [("A", 1, 1, 1), ("A", 1, 2, 0), ("A", 1, 3, 0), ("A", 2, 1, 1), ("A", 2, 2, 1)]
+    assert "Aggregate" not in plan_of(told).split("Union", 1)[0]
