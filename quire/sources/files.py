@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,11 +16,40 @@ from quire.operators import segment
 from quire.operators.attrs import flatten
 from quire.scratch import written
 
+#: Folders that are enough for Spark to list them in a job, and files of upper levels that are too many to name.
+LISTED, MANY = 128, 1000
+#: What Spark takes for a pattern in a path.
+GLOB = re.compile(r"[*?\[\]{}\\]")
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders and files that together hold what is below ``path``, some hundreds if there are. Of many paths Spark lists all
+    in one job; of a single one it lists a level of folders after the other, which takes long with a folder for each node."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if GLOB.search(path) or not store.exists(hadoop(path)):
+        return [path]
+    files, folders = [], [path]
+    while folders and len(folders) < LISTED:
+        below = []
+        for f in folders:
+            for x in store.listStatus(hadoop(f)):
+                name, whole = x.getPath().getName(), x.getPath().toString()
+                if name.startswith(("_", ".")):
+                    continue
+                if GLOB.search(whole):
+                    return [path]
+                (below if x.isDirectory() else files).append(whole)
+                if len(files) > MANY:  # a flat folder is listed at once anyway
+                    return [path]
+        folders = below
+    return [*folders, *files] or [path]
+
 
 def read_sources(spark: SparkSession, path: str, exts: tuple = ("tex",)) -> DataFrame:
     """(path, ext, text): one row per file of a folder tree."""
     glob = "*.{" + ",".join(exts) + "}"
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(_folders(spark, path), wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("_metadata.file_path", r"\.([^./]+)$", 1).alias("ext"), F.col("value").alias("text"))
 
 
@@ -68,7 +98,7 @@ def write_metadata(nodes: DataFrame, edges: DataFrame, attrs: DataFrame, path: s
 
 def read_segments(spark: SparkSession, root: str) -> DataFrame:
     """(doc, node, lang, ext, text) of segments stored as doc/UUID/a/b/rest/blob_LLL.ext."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "blob*").text(root, wholetext=True)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "blob*").text(_folders(spark, root), wholetext=True)
     p = F.col("_metadata.file_path")
     return raw.select(*_from_path(p), F.regexp_extract(p, r"/blob(?:_([a-z]{3}))?\.[^/]+$", 1).alias("lang"), F.regexp_extract(p, r"(\.[^./]+)$", 1).alias("ext"), F.col("value").alias("text"))
 
@@ -100,7 +130,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     r"""(path, doc, node, lang, key, value, value2) of \newlabel{label}{{a}{b}...} lines of .aux files and of those that
     they \@input, directly or not: key is AUX_label_LLL, value the label in braces, value2 what it stands for, joined by
     tabs. Files are known by their whole path; an input is looked for in the folder of the file that has it."""
-    found = read_sources(spark, path, ("aux",)).select("path", "text")
+    found = written(read_sources(spark, path, ("aux",)).select("path", "text"), "aux")
     braces = segment.braced()
     lines = found.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"\\newlabel\s*\{[^}]*\}\s*" + braces), 0)).alias("m"))
     parts = F.regexp_extract_all(F.regexp_extract("m", braces + "$", 1), F.lit(segment.braced()), 1)
@@ -124,7 +154,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_edits(spark: SparkSession, path: str) -> DataFrame:
     """(doc, node, lang, user_id, base_md5, content, ts) of edit states, blob_LLL_USER_editstate.json; ts is the file's
     time."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_editstate.json").option("multiLine", "true").schema("base_md5 string, content string").json(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_editstate.json").option("multiLine", "true").schema("base_md5 string, content string").json(_folders(spark, path))
     p = F.col("_metadata.file_path")
     user = F.regexp_extract(p, r"_(\d+)_editstate", 1).cast("long")
     return raw.select(*_from_path(p), F.regexp_extract(p, r"blob_([a-z]{3})_\d+_editstate", 1).alias("lang"), user.alias("user_id"), "base_md5", "content", F.col("_metadata.file_modification_time").alias("ts"))
@@ -145,7 +175,7 @@ def inverse_symbols(symbols: DataFrame) -> DataFrame:
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(path, doc, name, value): the rules that documents were segmented with, JSON objects of lists, lists exploded; a file
     is its folder's, which is the document. ``segment.document_rules`` makes them a table that segmentation joins."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(_folders(spark, path), wholetext=True)
     p = F.col("_metadata.file_path")
     lists = whole.select(p.alias("path"), F.regexp_extract(p, "([^/]+)/[^/]*$", 1).alias("doc"), F.explode(F.from_json("value", "map<string,array<string>>")).alias("name", "v"))
     return lists.select("path", "doc", "name", F.explode("v").alias("value"))

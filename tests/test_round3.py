@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quire.operators import access, segment
+from quire.plans import stream_queries
+from quire.sources import files
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -45,11 +47,11 @@ def test_pieces_of_a_text_move_nowhere(spark):
     r = random.Random(7)
     parts = ["\\begin{A}", "\\end{A}", "\\begin{B}[o]", "\\end{B}", "{", "}", "\\label{", "\\begin{verbatim}\\end{verbatim}", "\\item ", "é", "\\section*[s]{"]
     texts = [(k, "".join(r.choice(parts) for _ in range(r.randrange(0, 30)))) for k in range(300)] + [(300, None), (301, "")]
-    files = spark.createDataFrame(texts, "node long, text string").withColumn("doc", F.lit("d"))
-    deep = segment.explode_deep(files)
+    given = spark.createDataFrame(texts, "node long, text string").withColumn("doc", F.lit("d"))
+    deep = segment.explode_deep(given)
     plan = plan_of(deep)
     assert "Window" not in plan and "Exchange" not in plan and "Sort" not in plan
-    windows = segment.with_depth(segment.explode_markers(files)).select(*deep.columns)
+    windows = segment.with_depth(segment.explode_markers(given)).select(*deep.columns)
     assert Counter(map(tuple, deep.collect())) == Counter(map(tuple, windows.collect()))
     assert {r.node for r in deep.select("node").distinct().collect()} == set(range(300)) | {301}
 
@@ -84,3 +86,25 @@ def test_people_to_tell_are_not_grouped_by_pair(spark):
     told = access.interested(asked, authors, users, members)
     assert sorted(map(tuple, told.collect())) == [("A", 1, 1, 1), ("A", 1, 2, 0), ("A", 1, 3, 0), ("A", 2, 1, 1), ("A", 2, 2, 1)]
     assert "Aggregate" not in plan_of(told).split("Union", 1)[0]
+
+
+def test_folders_of_many_nodes_are_listed_in_a_job(spark, tmp_path):
+    for k in range(200):
+        folder = tmp_path / f"d{k % 3}" / "UUID" / str(k % 7) / str(k)
+        folder.mkdir(parents=True)
+        (folder / f"blob_eng_{k}_editstate.json").write_text('{"base_md5": "m", "content": "c"}')
+    (tmp_path / "d0" / "top.tex").write_text("a")
+    (tmp_path / "top.tex").write_text("b")
+    (tmp_path / "_hidden.tex").write_text("c")
+    given = files._folders(spark, str(tmp_path))
+    assert len(given) >= 200 and len(given) == len(set(given))
+    assert sorted(r.text for r in files.read_sources(spark, str(tmp_path)).collect()) == ["a", "b"]
+    assert sorted(r.user_id for r in files.read_edits(spark, str(tmp_path)).collect()) == list(range(200))
+    assert files._folders(spark, f"{tmp_path}/d*") == [f"{tmp_path}/d*"]
+
+
+@needs_data
+def test_state_of_edits_holds_no_texts(spark):
+    assert "content" not in stream_queries._events(spark, DATA).columns
+    got, wanted = against_sql(spark, "stream_edit_state")
+    assert got == wanted
