@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.protect import protect, restore, tokens
-from quire.operators.segment import NO_ID
+from quire.functions.protect import protect, protected_length, restore, tokens
+from quire.operators.segment import NO_ID, TEXTS
 
 HEADER = "\\CDL"
 
@@ -74,12 +75,16 @@ def lookahead(sources: list[list[str]], depth: int = 32, names: list[str] | None
     names = names or [f"{k:06d}" for k in range(len(sources))]
     at, out = [0] * len(sources), []
     live = [k for k, s in enumerate(sources) if s]
+    places: list[dict[str, list[int]]] = [{} for _ in sources]
+    for s, own in zip(sources, places, strict=True):
+        for i, line in enumerate(s):
+            own.setdefault(line, []).append(i)
     while live:
         heads = {k: sources[k][at[k]] for k in live}
         if len(live) == 1 or len(set(heads.values())) > 1:
             gives = live[0]
             if len(live) > 1:
-                gives = min((_distance(sources[z], at[z], heads[k], depth), names[z], names[k], z) for k in live for z in live if z != k)[3]
+                gives = min((_distance(places[z], at[z], heads[k], depth), names[z], names[k], z) for k in live for z in live if z != k)[3]
             owners = [k for k in live if heads[k] == heads[gives]] if together else [gives]
         else:
             owners = live
@@ -90,12 +95,37 @@ def lookahead(sources: list[list[str]], depth: int = 32, names: list[str] | None
     return out
 
 
-def _distance(lines: list[str], at: int, wanted: str, depth: int) -> int:
-    """How many lines stand before a copy of ``wanted`` after the next line; more than the depth if there is none."""
-    for i in range(at + 1, min(at + depth, len(lines))):
-        if lines[i] == wanted:
-            return i - at - 1
-    return depth + 1
+def _distance(places: dict[str, list[int]], at: int, wanted: str, depth: int) -> int:
+    """How many lines stand before a copy of ``wanted`` after the next line; more than the depth if there is none. The
+    lines' places are known, in order."""
+    own = places.get(wanted)
+    if own is None or own[-1] <= at:
+        return depth + 1
+    i = own[bisect_right(own, at)]
+    return i - at - 1 if i < at + depth else depth + 1
+
+
+def _by_node(texts: DataFrame) -> DataFrame:
+    """(doc, node, langs, texts): the language versions of each node, a few texts of one segment, by language."""
+    ordered = F.sort_array(F.collect_list(F.struct("lang", "text")))
+    return texts.groupBy("doc", "node").agg(ordered.alias("v")).select("doc", "node", F.transform("v", lambda x: x["lang"]).alias("langs"), F.transform("v", lambda x: x["text"]).alias("texts"))
+
+
+def _merged(per: DataFrame, of: Callable[[list[str], list[str]], list[tuple]], columns: str) -> DataFrame:
+    """(doc, node, columns...): the rows that ``of`` makes of each node's languages and texts, some nodes at a time."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                made = [of(langs, texts) for langs, texts in zip(batch.column("langs").to_pylist(), batch.column("texts").to_pylist(), strict=True)]
+                ids = batch.select(["doc", "node"]).take(pa.array([i for i, rows in enumerate(made) for _ in rows], pa.int64()))
+                cells = [pa.array([row[k] for rows in made for row in rows], kinds[kind]) for k, kind in enumerate(own.values())]
+                yield pa.RecordBatch.from_arrays([*ids.columns, *cells], names=["doc", "node", *own])
+
+    own = dict(x.split() for x in columns.split(","))
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    return per.mapInArrow(merge, f"doc {per.schema['doc'].dataType.simpleString()}, node {per.schema['node'].dataType.simpleString()}, {columns}")
 
 
 def multimerge_lookahead(texts: DataFrame, depth: int = 32, together: bool = False) -> DataFrame:
@@ -103,34 +133,33 @@ def multimerge_lookahead(texts: DataFrame, depth: int = 32, together: bool = Fal
     with common lines once; ``common`` tells that all versions of the node have the line. A node's versions are a few
     texts of one segment; a merge is sequential within a node."""
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc, node, langs, all_ in zip(batch["doc"], batch["node"], batch["langs"], batch["texts"], strict=True):
-                merged = lookahead([t.split("\n") for t in all_], depth, list(langs), together)
-                rows = [(doc, node, i, ",".join(langs[k] for k in own), line, len(own) == len(langs)) for i, (own, line) in enumerate(merged)]
-                yield pd.DataFrame(rows, columns=["doc", "node", "place", "langs", "text", "common"])
+    def rows(langs: list[str], all_: list[str]) -> list[tuple]:
+        merged = lookahead([t.split("\n") for t in all_], depth, langs, together)
+        return [(i, ",".join(langs[k] for k in own), line, len(own) == len(langs)) for i, (own, line) in enumerate(merged)]
 
-    ordered = F.sort_array(F.collect_list(F.struct("lang", "text")))
-    per = texts.groupBy("doc", "node").agg(ordered.alias("v")).select("doc", "node", F.transform("v", lambda x: x["lang"]).alias("langs"), F.transform("v", lambda x: x["text"]).alias("texts"))
-    return per.mapInPandas(merge, "doc string, node long, place long, langs string, text string, common boolean")
+    return _merged(_by_node(texts), rows, "place long, langs string, text string, common boolean")
 
 
 def to_mul(segments: DataFrame) -> DataFrame:
     """(doc, node, lang, text): all versions of each node as one mixed text, from which ``from_mul`` gets each version back.
     Of a node in one language, lines that aren't blank get its header; of several, they are merged: lines of all of
     them get no header, others come once with the header of each version that has them. Lines with a header of their own in
-    them always get one more. Input paths are pointed at the mixed versions."""
+    them always get one more. Input paths are pointed at the mixed versions. A node's versions come together once, and
+    its merged text is put together where they are merged."""
     own = segments.select("doc", "node", "lang", retarget_inputs(F.col("text"), F.col("lang"), F.lit("mul")).alias("text"))
-    count = own.groupBy("doc", "node").agg(F.count(F.lit(1)).alias("versions"))
-    own = own.join(count, ["doc", "node"])
-    header = lambda lang: F.concat(F.lit(HEADER), lang, F.lit(" "))
-    tagged = F.transform(F.split("text", "\n", -1), lambda x: F.when(F.trim(x) == "", x).otherwise(F.concat(header(F.col("lang")), x)))
-    one = own.where("versions = 1").select("doc", "node", F.array_join(tagged, "\n").alias("text"))
-    merged = multimerge_lookahead(own.where("versions > 1"), together=True)
-    each = F.array_join(F.transform(F.split("langs", ","), lambda lang: F.concat(header(lang), F.col("text"))), "\n")
-    line = F.when(F.col("common") & ~F.contains("text", F.lit(HEADER)), F.col("text")).otherwise(each)
-    lines = F.sort_array(F.collect_list(F.struct("place", line.alias("x"))))
-    many = merged.groupBy("doc", "node").agg(F.array_join(F.transform(lines, lambda s: s["x"]), "\n").alias("text"))
+    per = _by_node(own)
+    header = F.concat(F.lit(HEADER), F.get("langs", F.lit(0)), F.lit(" "))
+    tagged = F.transform(F.split(F.get("texts", F.lit(0)), "\n", -1), lambda x: F.when(F.trim(x) == "", x).otherwise(F.concat(header, x)))
+    one = per.where(F.size("langs") == 1).select("doc", "node", F.array_join(tagged, "\n").alias("text"))
+
+    def whole(langs: list[str], all_: list[str]) -> list[tuple]:
+        lines = []
+        for own, line in lookahead([t.split("\n") for t in all_], names=langs, together=True):
+            common = len(own) == len(langs) and HEADER not in line
+            lines += [line] if common else [f"{HEADER}{langs[k]} {line}" for k in own]
+        return [("\n".join(lines),)]
+
+    many = _merged(per.where(F.size("langs") > 1), whole, "text string")
     return one.unionByName(many).select("doc", "node", F.lit("mul").alias("lang"), "text")
 
 
@@ -214,9 +243,13 @@ def translate(segments: DataFrame, translator, old: str, new: str) -> DataFrame:
     that works on a worker; markup is protected on the way."""
     rows = segments.where(F.col("lang") == old).withColumn("toks", tokens(F.col("text"))).select("doc", "node", "toks", protect(F.col("text"), F.col("toks")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(text=[translator(t, old, new) for t in batch["text"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            at = whole.schema.get_field_index("text")
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                text = pa.array([translator(t, old, new) for t in batch.column(at).to_pylist()], whole.schema.field(at).type)
+                yield batch.set_column(at, whole.schema.field(at), text)
 
-    done = rows.mapInPandas(run, rows.schema)
+    done = rows.mapInArrow(run, rows.schema)
     return done.select("doc", "node", F.lit(new).alias("lang"), restore(F.col("text"), F.col("toks")).alias("text"))
