@@ -182,9 +182,8 @@ def untranslated_chars(nodes: DataFrame, languages: list[str]) -> DataFrame:
     """(doc, chars): characters to translate of each document: of a node's first version, with its markup as codes of
     private characters, times the languages it lacks."""
     lack = F.size(F.array_except(F.array(*map(F.lit, languages)), "langs"))
-    hidden = nodes.where(lack > 0).select("doc", lack.alias("lack"), "text", tokens(F.col("text")).alias("toks"))
-    hidden = hidden.select("doc", "lack", protect(F.col("text"), F.col("toks")).alias("text"))
-    found = hidden.groupBy("doc").agg(F.sum(F.length("text") * F.col("lack")).cast("long").alias("chars"))
+    hidden = nodes.where(lack > 0).select("doc", lack.alias("lack"), protected_length(F.col("text"), tokens(F.col("text"))).alias("size"))
+    found = hidden.groupBy("doc").agg(F.sum(F.col("size") * F.col("lack")).cast("long").alias("chars"))
     return nodes.select("doc").distinct().join(found, "doc", "left").select("doc", F.coalesce("chars", F.lit(0)).alias("chars"))
 
 
