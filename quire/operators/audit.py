@@ -11,7 +11,7 @@ from quire.functions.ids import RESERVED, SLUG, valid_language
 from quire.operators import tree
 from quire.operators.numbering import number_within
 from quire.plans.rules import PICTURE_COMMANDS, SECTIONS
-from quire.scratch import written
+from quire.scratch import moved, written
 
 CAP = 16
 
@@ -60,7 +60,7 @@ def wrong_access(nodes: DataFrame, private: tuple) -> DataFrame:
 def wrong_environ(nodes: DataFrame, environs: DataFrame) -> DataFrame:
     """(doc, node, n): nodes with none or several values in environs(doc, node, value)."""
     per = environs.groupBy("doc", "node").agg(F.count(F.lit(1)).alias("n"))
-    return nodes.select("doc", "node").join(per, ["doc", "node"], "left").select("doc", "node", F.coalesce("n", F.lit(0)).cast("long").alias("n")).where("n <> 1")
+    return nodes.select("doc", "node").join(moved(per), ["doc", "node"], "left").select("doc", "node", F.coalesce("n", F.lit(0)).cast("long").alias("n")).where("n <> 1")
 
 
 def wrong_header(segments: DataFrame) -> DataFrame:
@@ -80,8 +80,8 @@ def missing_input(inputs: DataFrame, versions: DataFrame) -> DataFrame:
     """(doc, node, lang, target): an input of the node that the text of one of its versions(doc, node, lang) lacks; a
     version without any input lacks them all."""
     targets = inputs.where("target is not null").select("doc", "node", "target").distinct()
-    wanted = versions.select("doc", "node", "lang").distinct().join(targets, ["doc", "node"])
-    return wanted.join(inputs.select("doc", "node", "lang", "target"), ["doc", "node", "lang", "target"], "left_anti").select("doc", "node", "lang", "target")
+    wanted = versions.select("doc", "node", "lang").distinct().join(moved(targets), ["doc", "node"])
+    return wanted.join(moved(inputs.select("doc", "node", "lang", "target")), ["doc", "node", "lang", "target"], "left_anti").select("doc", "node", "lang", "target")
 
 
 def untranslated(nodes: DataFrame, languages: list[str], cap: int = CAP) -> DataFrame:
@@ -117,12 +117,12 @@ def check_corpus(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, versions
     """problems(doc, code, node, args) of whole documents: every check of this module over nodes(doc, node, environ, exts,
     access, text, langs), edges, inputs(doc, node, lang, macro, context, path, target), versions(doc, node, lang, environ,
     text) and replaced(doc, node, by). One walk gives what is reached, and its loops."""
-    nodes, inputs = written(nodes.drop("text"), "nodes"), written(inputs, "inputs")
-    roots = tree.roots_of(nodes)
+    nodes, inputs, edges = written(nodes.drop("text"), "nodes"), written(inputs, "inputs"), written(edges, "edges")
+    roots = written(tree.roots_of(nodes), "roots")
     visits = written(tree.walk(edges, roots), "visits")
     reached = visits.where("is_first").select("doc", "node")
-    live = edges.join(reached.withColumnRenamed("node", "parent"), ["doc", "parent"], "left_semi")
-    again = live.groupBy("doc", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(roots, "doc").withColumn("n", F.col("n") - F.when(F.col("node") == F.col("root"), 0).otherwise(1))
+    live = edges.join(moved(reached.withColumnRenamed("node", "parent")), ["doc", "parent"], "left_semi")
+    again = live.groupBy("doc", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(moved(roots), "doc").withColumn("n", F.col("n") - F.when(F.col("node") == F.col("root"), 0).otherwise(1))
     links = tree.check_links(nodes, edges, rules, extensions)
     found = [
         problem(again.where("n > 0"), "DUPLICATE", "node", "n"),
@@ -162,4 +162,4 @@ def check_commands(inputs: DataFrame, nodes: DataFrame, parenthood: dict[str, tu
         .when(F.col("environ") == "graphic_file", F.col("macro").isin(*PICTURE_COMMANDS))
         .otherwise(F.col("macro").isin("input", "include") | by_name)
     )
-    return problem(inputs.join(child, ["doc", "target"]).where(~fits), "CMD_PARENT_CHILD", "node", "macro", "context", "environ")
+    return problem(inputs.join(moved(child), ["doc", "target"]).where(~fits), "CMD_PARENT_CHILD", "node", "macro", "context", "environ")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import hashes
 from quire.operators.numbering import running_sum
-from quire.scratch import written
+from quire.scratch import moved, written
 from quire.schema import NOT_IN_DOCUMENT
 
 #: Environments that rules name by themselves.
@@ -41,7 +41,7 @@ def min_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     best = front
     while True:
         up = front.select("doc", F.col("node").alias("parent"), F.col("path").alias("up"))
-        reach = up.join(e, ["doc", "parent"]).groupBy("doc", F.col("child").alias("node")).agg(F.min(F.concat("up", F.array(F.struct("ordinal", "child"))).cast(PATH)).alias("path"))
+        reach = up.join(moved(e), ["doc", "parent"]).groupBy("doc", F.col("child").alias("node")).agg(F.min(F.concat("up", F.array(F.struct("ordinal", "child"))).cast(PATH)).alias("path"))
         known = best.select("doc", "node", F.col("path").alias("old"))
         front = written(reach.join(known, ["doc", "node"], "left").where("old is null or path < old").select("doc", "node", "path"), "paths")
         if front.isEmpty():
@@ -65,7 +65,7 @@ def _doubled(vertices: DataFrame) -> tuple[DataFrame, int]:
             break
         far = now.select("doc", F.col("node").alias("anc"), F.col("anc").alias("a2"), F.col("top").alias("t2"), F.col("dist").alias("d2"))
         more = now.where("anc is not null").groupBy("doc", F.col("anc").alias("node")).agg(F.sum("size").alias("more"))
-        joined = now.join(far, ["doc", "anc"], "left").join(more, ["doc", "node"], "left")
+        joined = now.join(moved(far), ["doc", "anc"], "left").join(moved(more), ["doc", "node"], "left")
         dist = F.when(F.col("anc").isNotNull(), F.col("d2") + step).otherwise(F.col("dist"))
         now = written(joined.select("doc", "node", F.col("a2").alias("anc"), F.coalesce("t2", "top").alias("top"), dist.alias("dist"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "doubled")
         step *= 2
@@ -78,7 +78,7 @@ def _summed(vertices: DataFrame, rounds: int) -> DataFrame:
     now = written(vertices.select("doc", "node", F.col("up").alias("anc"), F.col("off").alias("pos")), "doubled")
     for _ in range(rounds):
         far = now.select("doc", F.col("node").alias("anc"), F.col("anc").alias("a2"), F.col("pos").alias("p2"))
-        now = written(now.join(far, ["doc", "anc"], "left").select("doc", "node", F.col("a2").alias("anc"), (F.col("pos") + F.coalesce("p2", F.lit(0))).alias("pos")), "doubled")
+        now = written(now.join(moved(far), ["doc", "anc"], "left").select("doc", "node", F.col("a2").alias("anc"), (F.col("pos") + F.coalesce("p2", F.lit(0))).alias("pos")), "doubled")
     return now.drop("anc")
 
 
@@ -88,16 +88,16 @@ def _preorder(own: DataFrame, leaves: DataFrame, roots: DataFrame) -> tuple[Data
     up = own.select("doc", F.col("child").alias("node"), F.col("parent").alias("up"), "ordinal")
     extra = leaves.groupBy("doc", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("extra"))
     ends = roots.unionByName(own.select("doc", F.col("parent").alias("node"))).unionByName(leaves.select("doc", F.col("parent").alias("node"))).unionByName(up.select("doc", "node")).distinct()
-    vertices = ends.join(up, ["doc", "node"], "left").join(extra, ["doc", "node"], "left")
+    vertices = ends.join(moved(up), ["doc", "node"], "left").join(moved(extra), ["doc", "node"], "left")
     sizes, rounds = _doubled(vertices.withColumn("weight", F.coalesce("extra", F.lit(0)) + 1))
-    both = own.join(sizes.select("doc", F.col("node").alias("child"), "size"), ["doc", "child"]).withColumn("own", F.lit(True)).unionByName(leaves.withColumns({"size": F.lit(1).cast("long"), "own": F.lit(False)}))
+    both = own.join(moved(sizes.select("doc", F.col("node").alias("child"), "size")), ["doc", "child"]).withColumn("own", F.lit(True)).unionByName(leaves.withColumns({"size": F.lit(1).cast("long"), "own": F.lit(False)}))
     placed = written(running_sum(both, ["doc", "parent"], ["ordinal", "child"], "size").withColumn("off", F.col("before") + 1), "offsets")
     into = placed.where("own").select("doc", F.col("child").alias("node"), F.col("parent").alias("up"), "ordinal", "off")
-    named = sizes.join(into, ["doc", "node"], "left").withColumn("off", F.coalesce("off", F.lit(0)))
-    nodes = named.join(_summed(named, rounds), ["doc", "node"]).select("doc", "node", F.col("up").alias("parent"), "ordinal", "top", F.col("dist").alias("depth"), "size", F.col("pos").alias("place"))
+    named = sizes.join(moved(into), ["doc", "node"], "left").withColumn("off", F.coalesce("off", F.lit(0)))
+    nodes = named.join(moved(_summed(named, rounds)), ["doc", "node"]).select("doc", "node", F.col("up").alias("parent"), "ordinal", "top", F.col("dist").alias("depth"), "size", F.col("pos").alias("place"))
     nodes = written(nodes, "places")
     above = nodes.select("doc", F.col("node").alias("parent"), "top", (F.col("depth") + 1).alias("depth"), F.col("place").alias("from"))
-    visits = placed.where("not own").join(above, ["doc", "parent"]).select("doc", F.col("child").alias("node"), "parent", "ordinal", "top", "depth", (F.col("from") + F.col("off")).alias("place"))
+    visits = placed.where("not own").join(moved(above), ["doc", "parent"]).select("doc", F.col("child").alias("node"), "parent", "ordinal", "top", "depth", (F.col("from") + F.col("off")).alias("place"))
     return nodes, visits
 
 
@@ -112,22 +112,23 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
     which edge a walk takes to it first; with those edges all is one tree, numbered in the same way."""
     long = lambda c: F.col(c).cast("long").alias(c)
     e = written(edges.select("doc", long("parent"), long("child"), long("ordinal")).distinct(), "edges")
-    top = roots.select("doc", F.col("root").cast("long").alias("node")).distinct()
-    once = e.groupBy("doc", "child").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(top.withColumnRenamed("node", "child"), ["doc", "child"], "left_anti")
-    e = written(e.join(once, ["doc", "child"], "left").select(*e.columns, F.col("n").isNotNull().alias("single")), "edges")
+    # read by each of the steps below: roots are asked for once, whatever they come from
+    top = written(roots.select("doc", F.col("root").cast("long").alias("node")).distinct(), "roots")
+    once = e.groupBy("doc", "child").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(moved(top.withColumnRenamed("node", "child")), ["doc", "child"], "left_anti")
+    e = written(e.join(moved(once), ["doc", "child"], "left").select(*e.columns, F.col("n").isNotNull().alias("single")), "edges")
     own, others = (e.where(c).drop("single") for c in ("single", "not single"))
     nodes, visits = _preorder(own, others, top)
     if not others.isEmpty():
         links = written(visits.select("doc", F.col("top").alias("parent"), F.col("node").alias("child"), F.col("place").alias("ordinal"), F.col("parent").alias("from"), F.col("ordinal").alias("nth")), "links")
-        paths = min_paths(links.select("doc", "parent", "child", "ordinal"), roots)
+        paths = min_paths(links.select("doc", "parent", "child", "ordinal"), top.withColumnRenamed("node", "root"))
         last = paths.where(F.size("path") > 0).select("doc", F.element_at("path", -1).alias("x"), F.when(F.size("path") > 1, F.try_element_at("path", F.lit(-2))["child"]).alias("before"))
-        last = last.join(top.withColumnRenamed("node", "root"), "doc").select("doc", F.coalesce("before", "root").alias("parent"), F.col("x.child").alias("child"), F.col("x.ordinal").alias("ordinal"))
-        taken = written(links.join(last, ["doc", "parent", "child", "ordinal"], "left_semi").select("doc", F.col("from").alias("parent"), "child", F.col("nth").alias("ordinal")), "taken")
-        reached = nodes.join(paths.select("doc", F.col("node").alias("top")), ["doc", "top"], "left_semi").select("doc", F.col("node").alias("parent"))
-        rest = others.join(reached, ["doc", "parent"], "left_semi").join(taken, ["doc", "parent", "child", "ordinal"], "left_anti")
-        nodes, visits = _preorder(own.join(reached, ["doc", "parent"], "left_semi").unionByName(taken), rest, top)
+        last = last.join(moved(top.withColumnRenamed("node", "root")), "doc").select("doc", F.coalesce("before", "root").alias("parent"), F.col("x.child").alias("child"), F.col("x.ordinal").alias("ordinal"))
+        taken = written(links.join(moved(last), ["doc", "parent", "child", "ordinal"], "left_semi").select("doc", F.col("from").alias("parent"), "child", F.col("nth").alias("ordinal")), "taken")
+        reached = nodes.join(moved(paths.select("doc", F.col("node").alias("top"))), ["doc", "top"], "left_semi").select("doc", F.col("node").alias("parent"))
+        rest = others.join(moved(reached), ["doc", "parent"], "left_semi").join(moved(taken), ["doc", "parent", "child", "ordinal"], "left_anti")
+        nodes, visits = _preorder(own.join(moved(reached), ["doc", "parent"], "left_semi").unionByName(taken), rest, top)
     found = nodes.withColumn("is_first", F.lit(True)).unionByName(visits.withColumns({"size": F.lit(1).cast("long"), "is_first": F.lit(False)}))
-    shown = found.join(top.withColumnRenamed("node", "top"), ["doc", "top"], "left_semi")
+    shown = found.join(moved(top.withColumnRenamed("node", "top")), ["doc", "top"], "left_semi")
     return shown.select("doc", "node", "parent", "ordinal", "place", "size", "depth", "is_first")
 
 
@@ -144,15 +145,15 @@ def below(marks: DataFrame, visits: DataFrame) -> DataFrame:
     front = marks.select("doc", "node").distinct().withColumn("at", F.col("node"))
     found = entered = None
     while True:
-        spans = front.join(first, ["doc", "at"]).select("doc", "node", F.col("low").alias("a"), (F.col("low") + F.col("size") - 1).alias("b"))
+        spans = front.join(moved(first), ["doc", "at"]).select("doc", "node", F.col("low").alias("a"), (F.col("low") + F.col("size") - 1).alias("b"))
         blocks = spans.select("doc", "node", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / STRETCH))).alias("k"))
         low = F.col("a") + F.col("k") * STRETCH
         places = blocks.select("doc", F.col("node").alias("mark"), F.explode(F.sequence(low, F.least(low + STRETCH - 1, F.col("b")))).alias("place"))
-        met = written(places.join(v, ["doc", "place"]).select("doc", F.col("mark").alias("node"), F.col("node").alias("descendant"), "is_first").distinct(), "below")
+        met = written(places.join(moved(v), ["doc", "place"]).select("doc", F.col("mark").alias("node"), F.col("node").alias("descendant"), "is_first").distinct(), "below")
         new, inside = met.drop("is_first").distinct(), met.where("is_first").drop("is_first")
         found = new if found is None else written(found.unionByName(new).distinct(), "below")
         entered = inside if entered is None else written(entered.unionByName(inside).distinct(), "below")
-        again = met.where("not is_first").drop("is_first").join(entered, ["doc", "node", "descendant"], "left_anti")
+        again = met.where("not is_first").drop("is_first").join(moved(entered), ["doc", "node", "descendant"], "left_anti")
         front = written(again.select("doc", "node", F.col("descendant").alias("at")), "below")
         if front.isEmpty():
             return found.where("node <> descendant")
@@ -162,12 +163,12 @@ def nearest(visits: DataFrame, marked: DataFrame) -> DataFrame:
     """(doc, node, at): for each node that a walk enters, the nearest of marked(doc, node) on the way up from it, itself
     included; null if there is none. Each round doubles how far nodes look up."""
     own = marked.select("doc", "node").distinct().withColumn("m", F.lit(True))
-    first = visits.where("is_first").select("doc", "node", "parent").join(own, ["doc", "node"], "left")
+    first = visits.where("is_first").select("doc", "node", "parent").join(moved(own), ["doc", "node"], "left")
     done = F.col("m").isNotNull() | F.col("parent").isNull()
     now = written(first.select("doc", "node", F.when(F.col("m"), F.col("node")).otherwise(F.col("parent")).alias("at"), done.alias("done")), "nearest")
     while not now.where("not done").isEmpty():
         up = now.select("doc", F.col("node").alias("at"), F.col("at").alias("a2"), F.col("done").alias("d2"))
-        open_ = now.where("not done").join(up, ["doc", "at"]).select("doc", "node", F.col("a2").alias("at"), F.col("d2").alias("done"))
+        open_ = now.where("not done").join(moved(up), ["doc", "at"]).select("doc", "node", F.col("a2").alias("at"), F.col("d2").alias("done"))
         now = written(now.where("done").unionByName(open_), "nearest")
     return now.drop("done")
 
@@ -175,7 +176,7 @@ def nearest(visits: DataFrame, marked: DataFrame) -> DataFrame:
 def order_in_document(nodes: DataFrame, visits: DataFrame) -> DataFrame:
     """(doc, node, order_in_document): the place of the last visit; nodes out of reach get 2147483647."""
     last = visits.groupBy("doc", "node").agg(F.max("place").alias("p"))
-    return nodes.select("doc", "node").join(last, ["doc", "node"], "left").select("doc", "node", F.coalesce("p", F.lit(NOT_IN_DOCUMENT)).alias("order_in_document"))
+    return nodes.select("doc", "node").join(moved(last), ["doc", "node"], "left").select("doc", "node", F.coalesce("p", F.lit(NOT_IN_DOCUMENT)).alias("order_in_document"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -186,9 +187,9 @@ def closure(edges: DataFrame) -> DataFrame:
     new = pairs
     while True:
         # a longer way begins with as many edges as the last round's pairs are apart at most
-        head = new.select("doc", "ancestor", F.col("descendant").alias("m")).join(pairs.select("doc", F.col("ancestor").alias("m"), "descendant"), ["doc", "m"])
+        head = new.select("doc", "ancestor", F.col("descendant").alias("m")).join(moved(pairs.select("doc", F.col("ancestor").alias("m"), "descendant")), ["doc", "m"])
         more = head.select("doc", "ancestor", "descendant").distinct()
-        new = written(more.join(pairs, ["doc", "ancestor", "descendant"], "left_anti"), "closure")
+        new = written(more.join(moved(pairs), ["doc", "ancestor", "descendant"], "left_anti"), "closure")
         if new.isEmpty():
             return pairs
         pairs = written(pairs.unionByName(new), "closure")
@@ -217,8 +218,8 @@ def loops(visits: DataFrame) -> DataFrame:
     """Visits to a node that is on its own branch: again, from a node within the interval of its first visit."""
     first = visits.where("is_first").select("doc", F.col("node").alias("at"), F.col("place").alias("from"), "size")
     again = visits.where("not is_first").select("doc", "node", "parent", "depth")
-    entered = again.join(first.select("doc", F.col("at").alias("node"), F.col("from").alias("low"), "size"), ["doc", "node"])
-    entered = entered.join(first.select("doc", F.col("at").alias("parent"), F.col("from").alias("here")), ["doc", "parent"])
+    entered = again.join(moved(first.select("doc", F.col("at").alias("node"), F.col("from").alias("low"), "size")), ["doc", "node"])
+    entered = entered.join(moved(first.select("doc", F.col("at").alias("parent"), F.col("from").alias("here"))), ["doc", "parent"])
     return entered.where("here >= low and here < low + size").select("doc", "node", "parent", "depth")
 
 
@@ -229,14 +230,14 @@ def duplicates(visits: DataFrame) -> DataFrame:
 
 def missing_children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges to nodes that don't exist."""
-    return edges.join(nodes.select("doc", F.col("node").alias("child")), ["doc", "child"], "left_anti").select("doc", "parent", "child")
+    return edges.join(moved(nodes.select("doc", F.col("node").alias("child"))), ["doc", "child"], "left_anti").select("doc", "parent", "child")
 
 
 def disconnected(nodes: DataFrame, reached: DataFrame, replaced: DataFrame) -> DataFrame:
     """(doc, node, replaced_by): nodes that aren't among reached(doc, node); replaced(doc, node, by) tells what took their place."""
-    gone = nodes.select("doc", "node").join(reached.select("doc", "node"), ["doc", "node"], "left_anti")
+    gone = nodes.select("doc", "node").join(moved(reached.select("doc", "node")), ["doc", "node"], "left_anti")
     by = replaced.groupBy("doc", "node").agg(F.min("by").alias("replaced_by"))
-    return gone.join(by, ["doc", "node"], "left")
+    return gone.join(moved(by), ["doc", "node"], "left")
 
 
 def kind(environ: Column) -> Column:
@@ -251,7 +252,7 @@ def check_links(nodes: DataFrame, edges: DataFrame, rules: DataFrame, extensions
     joined by commas. Every edge is tested once, leaves too."""
     p = nodes.select("doc", F.col("node").alias("parent"), F.col("environ").alias("parent_environ"))
     c = nodes.select("doc", F.col("node").alias("child"), F.col("environ").alias("child_environ"), "exts")
-    linked = edges.join(p, ["doc", "parent"]).join(c, ["doc", "child"])
+    linked = edges.join(moved(p), ["doc", "parent"]).join(moved(c), ["doc", "child"])
     allowed = F.broadcast(rules.select(F.col("parent").alias("rp"), F.col("child").alias("rc"), F.lit(True).alias("by_rule")))
     fitting = F.broadcast(extensions.select(F.col("ext").alias("exts"), F.col("child").alias("xc"), F.lit(True).alias("by_ext")))
     known = F.broadcast(extensions.select(F.col("ext").alias("exts"), F.lit(True).alias("known")).distinct())
