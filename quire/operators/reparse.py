@@ -32,7 +32,10 @@ def reparse(segments: DataFrame, stored: DataFrame, edges: DataFrame, files: Dat
     RANGE_CLOSE (without a partner), and UNCLOSED arguments. Attributes that don't come from texts stay as they are.
     """
     k = ["doc", "node", "key", "value"]
-    deep = written(segment.explode_deep(segments, rules=rules), "deep")
+    deep = segment.explode_deep(segments, rules=rules).select("doc", "node", "pos", "macro", "arg", "env", "unclosed")
+    # texts between markers aren't read again
+    asked = F.col("macro").isin(*segment.COMMANDS, "input", "include") | (F.col("unclosed") != "")
+    deep = written(deep.where(asked), "deep")
     read = segments.where(~F.col("environ").isin(*NOT_READ)).select("doc", "node")
     found = segment.attributes(deep).join(read, ["doc", "node"], "left_semi").distinct()
     wrong = attrs.wrong_uuid(found)
@@ -46,14 +49,14 @@ def reparse(segments: DataFrame, stored: DataFrame, edges: DataFrame, files: Dat
 
     old = attrs.derived(stored).select(*k)
     again = old.join(read, ["doc", "node"], "left_semi")
-    changed = attrs.diff(again, fresh, k)
+    changed = written(attrs.diff(again, fresh, k), "changed")
     kept = stored.select(*k).exceptAll(again) if stored.columns == k else stored.select(*k).join(again.distinct(), k, "left_anti")
 
     children = segment.resolve_inputs(deep, files).where("target is not null").groupBy("doc", "node", "target").agg(F.min("pos").alias("pos"))
     made = number_within(children, ["doc", "node"], ["pos", "target"], "ordinal").select("doc", F.col("node").alias("parent"), F.col("target").alias("child"), "ordinal")
     untouched = edges.join(segments.select("doc", F.col("node").alias("parent")), ["doc", "parent"], "left_anti")
     linked = written(made.unionByName(untouched.select(*made.columns)), "edges")
-    moved = attrs.diff(edges, linked, ["doc", "parent", "child"]).withColumnRenamed("parent", "node")
+    moved = written(attrs.diff(edges, linked, ["doc", "parent", "child"]).withColumnRenamed("parent", "node"), "moved")
 
     visits = written(tree.walk(linked, roots), "visits")
     ranged = index.range_attrs(kept.unionByName(fresh), visits)
