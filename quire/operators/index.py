@@ -153,8 +153,8 @@ def find_terms(rows: DataFrame, text: Column, terms: DataFrame) -> DataFrame:
     wanted = terms.select("term").where("term <> ''").distinct()
     size = wanted.agg(F.sum(F.length("term"))).first()[0] or 0
     blocks = size // TERM_BLOCK + 1
-    names = [*rows.columns, "term"]
-    fields = ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, ("term", "string")])
+    names = [*rows.columns, "__terms"]
+    fields = ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, ("__terms", "array<string>")])
     out = None
     for k in range(blocks):
         own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
@@ -170,11 +170,11 @@ def find_terms(rows: DataFrame, text: Column, terms: DataFrame) -> DataFrame:
                 automaton.make_automaton()
             for batch in batches if shared.value else ():
                 found = [sorted({t for _, t in automaton.iter(x)}) if x else [] for x in batch.column(batch.num_columns - 1).to_pylist()]
-                at = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
-                hits = batch.take(at)
-                yield pa.RecordBatch.from_arrays([*hits.columns[:-1], pa.array([t for own in found for t in own], pa.string())], names)
+                hits = batch.take(pa.array([i for i, own in enumerate(found) if own], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*hits.columns[:-1], pa.array([own for own in found if own], pa.list_(pa.string()))], names)
 
-        part = rows.withColumn("__text", text).mapInArrow(run, fields)
+        # a row goes back once, however many terms it has
+        part = rows.withColumn("__text", text).mapInArrow(run, fields).select(*rows.columns, F.explode("__terms").alias("term"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -29,3 +29,15 @@ def test_candidates_are_those_with_the_rarest_trigrams(spark):
     assert [(x.term, x.node) for x in trigrams.candidates(index, terms).collect()] == []
     terms = spark.createDataFrame([("e needle",), ("absent needle",), ("common",)], "term string")
     assert sorted((x.term, x.node) for x in trigrams.candidates(index, terms).collect()) == [("common", k) for k in range(40)] + [("e needle", 7)]
+
+
+def test_postings_are_lists_that_blocks_of_segments_share(spark):
+    segments = spark.createDataFrame([("d", k, "eng", "same words in each segment") for k in range(300)] + [("d", 900, "eng", None), ("e", 1, None, "x\nyes, each")], "doc string, node long, lang string, text string").coalesce(1)
+    index = trigrams.build(trigrams.postings(segments))
+    own = {"same words in each segment"[i : i + 3] for i in range(24)}
+    assert index.rows.count() == len(own | {"yes, each"[i : i + 3] for i in range(7)})
+    assert max(x.segments for x in index.counts.collect()) == 301
+    found = trigrams.search(index, segments, spark.createDataFrame([("Each",), ("EACH",), ("nothing",)], "term string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "contains(" not in plan.lower()
+    assert sorted((x.node, x.term) for x in found.collect()) == sorted((k, t) for k in [1, *range(300)] for t in ("Each", "EACH"))
