@@ -43,7 +43,7 @@ def min_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
         up = front.select("doc", F.col("node").alias("parent"), F.col("path").alias("up"))
         reach = up.join(moved(e), ["doc", "parent"]).groupBy("doc", F.col("child").alias("node")).agg(F.min(F.concat("up", F.array(F.struct("ordinal", "child"))).cast(PATH)).alias("path"))
         known = best.select("doc", "node", F.col("path").alias("old"))
-        front = written(reach.join(known, ["doc", "node"], "left").where("old is null or path < old").select("doc", "node", "path"), "paths")
+        front = written(reach.join(moved(known), ["doc", "node"], "left").where("old is null or path < old").select("doc", "node", "path"), "paths")
         if front.isEmpty():
             return best
         best = written(best.unionByName(front).groupBy("doc", "node").agg(F.min("path").alias("path")), "paths")

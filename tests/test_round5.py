@@ -1,11 +1,14 @@
-"""Pairs of large tables: neither side is copied more than it has to be."""
+"""Large tables are copied no more than they have to be, and don't go through the driver."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 from test_round3 import plan_of
 
+from quire.fixtures import view
 from quire.operators import access
+from quire.operators.numbering import running_sum
 
 
 def test_the_larger_side_of_pairs_is_copied_least(spark):
@@ -35,3 +38,22 @@ def test_users_without_need_of_lists_send_none(spark):
     assert {(x.user_id, p, x.doc, x.node): x[p] for x in got.collect() for p in perms} == wanted
     for x in pairs.collect():
         assert x.user_id in (1, 4) or (x["__anywhere"], x["__here"]) == (None, None)
+
+
+def test_nodes_and_edges_are_joined_without_the_driver(spark):
+    for name in ("fx_node", "fx_edge", "fx_local"):
+        assert "Broadcast" not in plan_of(view(spark, "/root/testdata/sf0.001", name))
+    # what stays are the roots, one for each document
+    assert plan_of(view(spark, "/root/testdata/sf0.001", "fx_edge_defect")).count("BroadcastHashJoin") <= 2
+
+
+def test_sums_carry_only_groups_that_begin_in_another_partition(spark):
+    r = random.Random(2)
+    rows = [(g, k, r.randrange(9) if r.random() < 0.9 else None) for g in [0] * 400 + list(range(1, 300)) for k in [r.random()]] + [(None, 0.5, 1), (None, 0.7, 2)]
+    got = running_sum(spark.createDataFrame(rows, "g long, k double, v long").repartition(7), ["g"], ["k"], "v")
+    seen, wanted = {}, []
+    for g, k, v in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        wanted.append((g, k, v, seen.get(g, 0)))
+        seen[g] = seen.get(g, 0) + (v or 0)
+    assert Counter(map(tuple, got.collect())) == Counter(wanted)
+    assert "LeftOuter" in plan_of(got)
