@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -16,41 +18,141 @@ from quire.operators import segment
 from quire.operators.attrs import flatten
 from quire.scratch import written
 
-#: Folders that are enough for Spark to list them in a job, and files of upper levels that are too many to name.
+#: Folders that are enough for tasks to list them, and entries of a folder that are too many to name.
 LISTED, MANY = 128, 1000
 #: What Spark takes for a pattern in a path.
 GLOB = re.compile(r"[*?\[\]{}\\]")
+#: Names that Spark takes for hidden ones.
+HIDDEN = re.compile(r"^\.|^_[^=]*$|\._COPYING_$")
+#: The end of a file's name that says that its text is null, and not empty.
+NULL = ".null-text"
+#: Files and bytes that a task has in memory together, one file more at most.
+FILES, BYTES = 1000, 1 << 23
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    """Folders and files that together hold what is below ``path``, some hundreds if there are. Of many paths Spark lists all
-    in one job; of a single one it lists a level of folders after the other, which takes long with a folder for each node."""
+@lru_cache(8)
+def _opened(head: str) -> tuple[fs.FileSystem, str]:
+    store, base = (fs.LocalFileSystem(), "/") if head == "file://" else fs.FileSystem.from_uri(f"{head}/")
+    return store, base.rstrip("/") + "/"
+
+
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store that a path with its scheme lies in, and the path there."""
+    head, inside = re.match("([^:/]+://[^/]*)/*(.*)", uri, re.S).groups()
+    store, base = _opened(head)
+    return store, base + inside
+
+
+def _known(uri: str) -> bool:
+    """Whether Arrow opens the store that a path lies in."""
+    try:
+        _store(uri)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
+def _whole(spark: SparkSession, path: str) -> list[str]:
+    """A path with its scheme, or those that a pattern stands for; none if there is nothing."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if GLOB.search(path) or not store.exists(hadoop(path)):
-        return [path]
-    files, folders = [], [path]
+    return [re.sub("^file:/+", "file:///", x.getPath().toString()) for x in store.globStatus(hadoop(path)) or []]
+
+
+def _entries(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """(name, whether it is a folder) of what is in a folder and not hidden; of a local one they come one by one."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            yield from ((x.name, x.is_dir()) for x in found if not HIDDEN.search(x.name))
+    else:
+        found = store.get_file_info(fs.FileSelector(folder))
+        yield from ((x.base_name, x.type == fs.FileType.Directory) for x in found if not HIDDEN.search(x.base_name))
+
+
+def _below(root: str) -> list[str]:
+    """Folders and files that together hold what is below a path, some hundreds if there are. Of a folder with many entries no
+    more are looked at: it is one of them."""
+    store, top = _store(root)
+    head, kept, folders = root.removesuffix(top), [], [top]
+    if store.get_file_info(top).type != fs.FileType.Directory:
+        return [root]
     while folders and len(folders) < LISTED:
         below = []
         for f in folders:
-            for x in store.listStatus(hadoop(f)):
-                name, whole = x.getPath().getName(), x.getPath().toString()
-                if name.startswith(("_", ".")):
-                    continue
-                if GLOB.search(whole):
-                    return [path]
-                (below if x.isDirectory() else files).append(whole)
-                if len(files) > MANY:  # a flat folder is listed at once anyway
-                    return [path]
+            found = list(islice(_entries(store, f), MANY + 1))
+            if len(found) > MANY:
+                kept.append(f)
+            else:
+                kept += [f"{f}/{name}" for name, inner in found if not inner]
+                below += [f"{f}/{name}" for name, inner in found if inner]
         folders = below
-    return [*folders, *files] or [path]
+    return [head + x for x in folders + kept] or [root]
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """What ``_below`` gives for a path; a pattern is given back, and so is what Arrow can't open."""
+    roots = [path] if GLOB.search(path) else _whole(spark, path)
+    return [path] if roots == [path] or not roots or not _known(roots[0]) else _below(roots[0])
+
+
+def read_files(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """(path, text, modified): a row for each file below ``path`` whose name matches ``names``. Empty files, which Spark's own
+    readers leave out, are empty texts, and what ``write_texts`` has written for null is null. Nothing of each file goes
+    through the driver: it names some hundreds of folders, tasks list them, the names are dealt out, and some files at a time
+    are read. Stores that Arrow can't open are listed and read by Spark."""
+    roots = _whole(spark, path)
+    if not roots or not all(map(_known, roots)):
+        raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+        p = F.col("_metadata.file_path")
+        return raw.where(F.regexp_extract(p, "([^/]*)$", 1).rlike(names)).select(p.alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
+    wanted = re.compile(names)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri in (x for batch in batches for x in batch.column(0).to_pylist()):
+            store, top = _store(uri)
+            head, folders = uri.removesuffix(top), []
+            if store.get_file_info(top).type == fs.FileType.Directory:
+                folders.append(top)
+            elif wanted.search(top.rpartition("/")[2].removesuffix(NULL)):
+                yield pa.RecordBatch.from_arrays([pa.array([uri])], ["path"])
+            while folders:
+                folder = folders.pop()
+                found = _entries(store, folder)
+                while some := list(islice(found, MANY)):
+                    folders += [f"{folder}/{name}" for name, inner in some if inner]
+                    own = [f"{head}{folder}/{name}" for name, inner in some if not inner and wanted.search(name.removesuffix(NULL))]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["path"])
+
+    kinds = pa.schema([("path", pa.string()), ("data", pa.binary()), ("modified", pa.timestamp("us", "UTC"))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for uri in (x for batch in batches for x in batch.column(0).to_pylist()):
+            store, at = _store(uri)
+            data, time = None, store.get_file_info(at).mtime_ns
+            if not at.endswith(NULL):
+                with store.open_input_stream(at, compression=None) as f:
+                    data = f.read()
+            rows.append((uri.removesuffix(NULL), data, time // 1000))
+            size += len(data or b"")
+            if len(rows) >= FILES or size >= BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    given = [x for root in roots for x in _below(root)]
+    width = spark.sparkContext.defaultParallelism
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * width)
+    units = spark.createDataFrame([(x,) for x in given], "path string").repartition(min(len(given), 4 * width), "path")
+    found = units.mapInArrow(listed, "path string").repartition(tasks, "path").mapInArrow(read, "path string, data binary, modified timestamp")
+    return found.select("path", F.col("data").cast("string").alias("text"), "modified")
 
 
 def read_sources(spark: SparkSession, path: str, exts: tuple = ("tex",)) -> DataFrame:
     """(path, ext, text): one row per file of a folder tree."""
-    glob = "*.{" + ",".join(exts) + "}"
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(_folders(spark, path), wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("_metadata.file_path", r"\.([^./]+)$", 1).alias("ext"), F.col("value").alias("text"))
+    raw = read_files(spark, path, rf"\.(?:{'|'.join(map(re.escape, exts))})$")
+    return raw.select("path", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ext"), "text")
 
 
 def _from_path(c: Column) -> list[Column]:
@@ -58,8 +160,9 @@ def _from_path(c: Column) -> list[Column]:
 
 
 def write_texts(rows: DataFrame, root: str) -> DataFrame:
-    """Write rows(path, text), a file each at its path below ``root``; gives (path, bytes). A task that runs again writes
-    the same files again."""
+    """Write rows(path, text), a file each at its path below ``root``; gives (path, bytes). For a null text an empty file is
+    written, whose name says so by ``NULL`` at its end. A task that runs again writes the same files again."""
+    old = any(map(_known, _whole(rows.sparkSession, root)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(root)
@@ -68,9 +171,12 @@ def write_texts(rows: DataFrame, root: str) -> DataFrame:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8")
                 store.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
-                with store.open_output_stream(f"{top}/{path}", compression=None) as f:
+                own, other = (f"{top}/{path}", f"{top}/{path}{NULL}") if text is not None else (f"{top}/{path}{NULL}", f"{top}/{path}")
+                with store.open_output_stream(own, compression=None) as f:
                     f.write(data)
-                sizes.append(len(data))
+                if old and store.get_file_info(other).type == fs.FileType.File:
+                    store.delete_file(other)
+                sizes.append(None if text is None else len(data))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["path", "bytes"])
 
     return written(rows.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).mapInArrow(run, "path string, bytes long"), "files")
@@ -98,9 +204,8 @@ def write_metadata(nodes: DataFrame, edges: DataFrame, attrs: DataFrame, path: s
 
 def read_segments(spark: SparkSession, root: str) -> DataFrame:
     """(doc, node, lang, ext, text) of segments stored as doc/UUID/a/b/rest/blob_LLL.ext."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "blob*").text(_folders(spark, root), wholetext=True)
-    p = F.col("_metadata.file_path")
-    return raw.select(*_from_path(p), F.regexp_extract(p, r"/blob(?:_([a-z]{3}))?\.[^/]+$", 1).alias("lang"), F.regexp_extract(p, r"(\.[^./]+)$", 1).alias("ext"), F.col("value").alias("text"))
+    raw, p = read_files(spark, root, "^blob"), F.col("path")
+    return raw.select(*_from_path(p), F.regexp_extract(p, r"/blob(?:_([a-z]{3}))?\.[^/]+$", 1).alias("lang"), F.regexp_extract(p, r"(\.[^./]+)$", 1).alias("ext"), "text")
 
 
 def segment_paths(segments: DataFrame) -> DataFrame:
@@ -154,10 +259,10 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_edits(spark: SparkSession, path: str) -> DataFrame:
     """(doc, node, lang, user_id, base_md5, content, ts) of edit states, blob_LLL_USER_editstate.json; ts is the file's
     time."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_editstate.json").option("multiLine", "true").schema("base_md5 string, content string").json(_folders(spark, path))
-    p = F.col("_metadata.file_path")
+    raw, p = read_files(spark, path, r"_editstate\.json$").where(r"text rlike '[^ \\t\\r\\n]'"), F.col("path")
     user = F.regexp_extract(p, r"_(\d+)_editstate", 1).cast("long")
-    return raw.select(*_from_path(p), F.regexp_extract(p, r"blob_([a-z]{3})_\d+_editstate", 1).alias("lang"), user.alias("user_id"), "base_md5", "content", F.col("_metadata.file_modification_time").alias("ts"))
+    raw = raw.withColumn("state", F.from_json("text", "base_md5 string, content string"))
+    return raw.select(*_from_path(p), F.regexp_extract(p, r"blob_([a-z]{3})_\d+_editstate", 1).alias("lang"), user.alias("user_id"), "state.base_md5", "state.content", F.col("modified").alias("ts"))
 
 
 def read_symbol_map(spark: SparkSession, path: str) -> DataFrame:
@@ -175,9 +280,8 @@ def inverse_symbols(symbols: DataFrame) -> DataFrame:
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(path, doc, name, value): the rules that documents were segmented with, JSON objects of lists, lists exploded; a file
     is its folder's, which is the document. ``segment.document_rules`` makes them a table that segmentation joins."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(_folders(spark, path), wholetext=True)
-    p = F.col("_metadata.file_path")
-    lists = whole.select(p.alias("path"), F.regexp_extract(p, "([^/]+)/[^/]*$", 1).alias("doc"), F.explode(F.from_json("value", "map<string,array<string>>")).alias("name", "v"))
+    whole, p = read_files(spark, path, r"\.json$"), F.col("path")
+    lists = whole.select(p, F.regexp_extract(p, "([^/]+)/[^/]*$", 1).alias("doc"), F.explode(F.from_json("text", "map<string,array<string>>")).alias("name", "v"))
     return lists.select("path", "doc", "name", F.explode("v").alias("value"))
 
 

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quire.sources import files
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-TEXTS = ["", None, " ", "\n\n", "\t.\x0b ; a] b", "\xa0a.  ", "x)  y} z;", ".", "é\r\nb. ", "　"]
+TEXTS = ["", None, " ", "\n\n", "\t.\x0b ; a] b", "\xa0a.  ", "x)  y} z;", ".", "é\r\nb. ", "\u3000", "c. "]
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +43,33 @@ def against_sql(spark, name, root):
 def test_an_empty_text_is_an_empty_catalog_line(spark, odd):
     got, wanted = against_sql(spark, "text_catalog_lines", odd)
     assert got == wanted and any(line == 0 and text == "" for _, line, text in got)
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["src_files"])
+def test_files_of_empty_and_null_texts_are_read(spark, odd, name):
+    got, wanted = against_sql(spark, name, odd)
+    assert got == wanted and {None, "d41d8cd98f00b204e9800998ecf8427e"} <= {x[-1] for x in got}
+
+
+def test_files_of_any_folders_are_read_as_they_are(spark, tmp_path):
+    rows = [(f"d{k % 3}/x {k}%2 [é]/f{k}.tex", t) for k, t in enumerate(["", None, "a", "\r\nb\n", "\ufeffé", "c" * 100] * 5)] + [(f"flat/{k}.tex", str(k)) for k in range(2 * files.MANY)]
+    root = f"file://{tmp_path}/all"
+    sizes = files.write_texts(spark.createDataFrame(rows, "path string, text string"), root).collect()
+    assert {x.path: x.bytes for x in sizes} == {p: None if t is None else len(t.encode()) for p, t in rows}
+    (tmp_path / "all" / "_hidden").mkdir()
+    (tmp_path / "all" / "_hidden" / "x.tex").write_text("x")
+    (tmp_path / "all" / "d0" / "other.log").write_text("x")
+    read = lambda path: sorted((x.path, x.text) for x in files.read_sources(spark, path).collect())
+    assert read(root) == read(str(tmp_path / "all")) == sorted((f"{root}/{p}", t) for p, t in rows)
+    assert read(f"{tmp_path}/a*/d?") == sorted((f"{root}/{p}", t) for p, t in rows if p.startswith("d"))
+    # a folder of many files is named once, and neither it nor its files are listed by the driver
+    assert len(files._folders(spark, root)) < 100
+    # what is written again takes the place of what was there, null or not
+    files.write_texts(spark.createDataFrame([(rows[1][0], "now"), (rows[2][0], None)], "path string, text string"), root)
+    assert [(p, t) for p, t in read(f"{root}/d1") if "f1." in p] == [(f"{root}/{rows[1][0]}", "now")]
+    assert [(p, t) for p, t in read(f"{root}/d2") if "f2." in p] == [(f"{root}/{rows[2][0]}", None)]
+    (tmp_path / "raw.tex").write_bytes(b"\xffz")
+    assert [bytes(x.b) for x in files.read_files(spark, f"{tmp_path}/raw.tex", "x$").select(F.col("text").cast("binary").alias("b")).collect()] == [b"\xffz"]
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        files.read_sources(spark, f"{tmp_path}/none").collect()
