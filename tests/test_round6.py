@@ -46,7 +46,7 @@ def test_an_empty_text_is_an_empty_catalog_line(spark, odd):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["src_files"])
+@pytest.mark.parametrize("name", ["src_files", "src_segments"])
 def test_files_of_empty_and_null_texts_are_read(spark, odd, name):
     got, wanted = against_sql(spark, name, odd)
     assert got == wanted and {None, "d41d8cd98f00b204e9800998ecf8427e"} <= {x[-1] for x in got}
