@@ -191,15 +191,34 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "pos", F.when(at > 0, F.substr("line", F.lit(1), at - 1)).alias("key"), F.get(both, F.lit(0)).alias("value"), F.get(both, F.lit(1)).alias("value2"), F.when(at == 0, F.col("line")).alias("bad"))
 
 
+#: What Spark escapes in the names of folders that stand for values.
+ESCAPED = "%" + "".join(map(chr, range(1, 32))) + "\"#'*/:=?\\\x7f{[]^"
+
+
+def _escaped(c: Column) -> Column:
+    """A value as Spark names its folder."""
+    s = c.cast("string")
+    named = reduce(lambda s, x: F.replace(s, F.lit(x), F.lit(f"%{ord(x):02X}")), ESCAPED, s)
+    return F.when(s.isNull() | (s == ""), "__HIVE_DEFAULT_PARTITION__").when(s.rlike(r"^[A-Za-z0-9_.-]*$"), s).otherwise(named)
+
+
 def write_metadata(nodes: DataFrame, edges: DataFrame, attrs: DataFrame, path: str) -> None:
     """All fields, extensions, edges and attributes of nodes as key=value lines, second values of attrs(..., value2) after a tab; a
-    folder for each document and node."""
-    second = attrs.select("doc", "node", "key", "value", "value2").distinct() if "value2" in attrs.columns else None
-    rows = flatten(nodes, edges, attrs)
-    if second is not None:
-        rows = rows.join(second, ["doc", "node", "key", "value"], "left").withColumn("value", F.concat_ws("\t", "value", "value2"))
-    lines = rows.select("doc", "node", F.concat_ws("=", "key", "value").alias("value"))
-    lines.repartition("doc", "node").write.mode("overwrite").partitionBy("doc", "node").text(path)
+    folder for each document and node, named as Spark names those of partitions. Tasks write the files in their place: with a
+    folder for each node, Spark's own writer would move them there one by one when all are written."""
+    if "value2" in attrs.columns:
+        attrs = attrs.withColumn("value", F.concat_ws("\t", F.coalesce("value", F.lit("")), "value2"))
+    lines = flatten(nodes, edges, attrs).select("doc", "node", F.concat_ws("=", "key", "value").alias("line"))
+    own = lines.groupBy("doc", "node").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("value"))
+    spark = nodes.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    root = re.sub("^file:/+", "file:///", store.makeQualified(hadoop(path)).toString())
+    if not _known(root):
+        return own.repartition("doc", "node").write.mode("overwrite").partitionBy("doc", "node").text(path)
+    store.delete(hadoop(path), True)  # what is there is replaced
+    name = F.concat(F.lit("doc="), _escaped(F.col("doc")), F.lit("/node="), _escaped(F.col("node")), F.lit("/metadata.txt"))
+    write_texts(own.select(name.alias("path"), F.concat("value", F.lit("\n")).alias("text")), root)
 
 
 def read_segments(spark: SparkSession, root: str) -> DataFrame:

@@ -73,3 +73,34 @@ def test_files_of_any_folders_are_read_as_they_are(spark, tmp_path):
     assert [bytes(x.b) for x in files.read_files(spark, f"{tmp_path}/raw.tex", "x$").select(F.col("text").cast("binary").alias("b")).collect()] == [b"\xffz"]
     with pytest.raises(Exception, match="(?i)not.exist"):
         files.read_sources(spark, f"{tmp_path}/none").collect()
+
+
+def test_metadata_of_a_node_is_a_file(spark, tmp_path):
+    nodes = spark.createDataFrame([("a/b", 1, "eng", "open", None, ".tex,.png"), ("a/b", 2, None, None, None, None), ("c", 1, "ita", None, "input", ".tex")], "doc string, node long, lang string, access string, environ string, exts string")
+    edges = spark.createDataFrame([("a/b", 1, 2)], "doc string, parent long, child long")
+    attrs = spark.createDataFrame([("a/b", 1, "k", "v=w", "x"), ("a/b", 1, "k", "v=w", None), ("c", 1, "k", None, None)], "doc string, node long, key string, value string, value2 string")
+    root = f"{tmp_path}/m"
+    for _ in range(2):
+        files.write_metadata(nodes, edges, attrs, root)
+        (tmp_path / "m" / "doc=old").mkdir()
+        (tmp_path / "m" / "doc=old" / "x.txt").write_text("k=v\n")
+    (tmp_path / "m" / "doc=old" / "x.txt").unlink()
+    told = {os.path.relpath(p, root): open(p).read() for p in glob.glob(f"{root}/*/*/*.txt")}
+    assert {p.rpartition("/")[0]: sorted(text.splitlines()) for p, text in told.items()} == {
+        "doc=a%2Fb/node=1": sorted(["lang=eng", "access=open", "extension=.tex", "extension=.png", "child_uuid=2", "k=v=w\tx", "k=v=w"]),
+        "doc=a%2Fb/node=2": ["parent_uuid=1"],
+        "doc=c/node=1": sorted(["lang=ita", "environ=input", "extension=.tex", "k="]),
+    }
+    assert len(told) == 3
+    assert {(x.doc, x.node) for x in spark.read.text(root).collect()} == {("a/b", 1), ("a/b", 2), ("c", 1)}
+    read = files.read_metadata(spark, root).where("key = 'k' and path like '%b/node=1/%'")
+    assert {(x.value, x.value2) for x in read.collect()} == {("v=w", None), ("v=w", "x")}
+
+
+@needs_data
+def test_metadata_is_not_moved_when_it_is_written(spark, odd):
+    root = f"file://{odd}/metadata"
+    nodes = spark.createDataFrame([("a", k, "eng", "open", "x", ".tex") for k in range(50)], "doc string, node long, lang string, access string, environ string, exts string")
+    files.write_metadata(nodes, nodes.select("doc", F.col("node").alias("parent"), F.col("node").alias("child")).limit(0), nodes.select("doc", "node", F.lit("k").alias("key"), F.lit("v").alias("value")), root)
+    # Spark's own writer leaves check sums of files that it has moved
+    assert not glob.glob(f"{odd}/metadata/*/*/.*.crc") and len(glob.glob(f"{odd}/metadata/*/*/*")) == 50
