@@ -2,12 +2,15 @@
 
 import glob
 import os
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from test_round3 import plan_of
 
 import __spark_entry__
+from quire.operators import access
 from quire.sources import files
 
 DATA = "/root/testdata/sf0.001"
@@ -104,3 +107,30 @@ def test_metadata_is_not_moved_when_it_is_written(spark, odd):
     files.write_metadata(nodes, nodes.select("doc", F.col("node").alias("parent"), F.col("node").alias("child")).limit(0), nodes.select("doc", "node", F.lit("k").alias("key"), F.lit("v").alias("value")), root)
     # Spark's own writer leaves check sums of files that it has moved
     assert not glob.glob(f"{odd}/metadata/*/*/.*.crc") and len(glob.glob(f"{odd}/metadata/*/*/*")) == 50
+
+
+def test_rights_that_no_pair_asks_for_are_not_moved(spark):
+    r = random.Random(4)
+    users = spark.createDataFrame([(u, r.random() < 0.8, u == 7) for u in range(40)], "user_id long, is_active boolean, is_superuser boolean").withColumn("k", F.col("user_id") % 5)
+    nodes = spark.createDataFrame([(d, n, r.choice(["open", "public", "private"])) for d in "AB" for n in range(20)], "doc string, node long, access string").withColumn("k", F.col("node") % 5)
+    members = spark.createDataFrame([(u, r.choice("AB"), r.choice(["editors", "authors"])) for u in range(40)], "user_id long, doc string, grp string")
+    given = [(r.randrange(44), r.choice(["view_view", "view_blob", "download", "add_blob"]), r.choice(["global", "doc", "node", "node"]), r.choice("ABC"), r.randrange(24)) for _ in range(300)] + [(None, "download", "node", "A", 1)]
+    grants = spark.createDataFrame(given, "user_id long, perm string, scope string, doc string, node long")
+    authors = spark.createDataFrame([(r.choice("AB"), r.randrange(20), r.randrange(40)) for _ in range(60)], "doc string, node long, user_id long")
+    perms = ("view_view", "view_blob", "download", "add_blob")
+    told = lambda pairs: Counter(map(tuple, pairs.select("user_id", "doc", "node", *[access.may(F.lit(p)).alias(p) for p in perms]).collect()))
+    meets = F.expr("user_id % 5 = node % 5")
+    assert told(access.paired(nodes, users, members, grants, authors, "k", meets)) == told(access.paired(nodes, users, members, grants, authors, "k"))
+    asked = nodes.select("doc", "node", "k").join(users.select("user_id", "k"), "k").select("user_id", F.explode(F.array(*map(F.lit, perms))).alias("perm"), "doc", "node")
+    wanted = {(x.user_id, x.perm, x.doc, x.node): x.ok for x in access.allowed(asked, users, members, nodes, grants, authors).collect()}
+    assert {(u, p, d, n): ok for u, d, n, *oks in told(access.paired(nodes, users, members, grants, authors, "k", meets)) for p, ok in zip(perms, oks, strict=True)} == wanted
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["access_allowed"])
+def test_pairs_leave_rights_out_where_they_are_read(spark, odd, name):
+    got, wanted = against_sql(spark, name, odd)
+    assert got == wanted
+    # grants of nodes are scanned with the condition that a user and a node meet by
+    plan = plan_of(__spark_entry__.queries()[name](spark, odd))
+    assert any("% 100" in x and "Filter" in x and "o_custkey" in x for x in plan.splitlines())
