@@ -134,3 +134,18 @@ def test_pairs_leave_rights_out_where_they_are_read(spark, odd, name):
     # grants of nodes are scanned with the condition that a user and a node meet by
     plan = plan_of(__spark_entry__.queries()[name](spark, odd))
     assert any("% 100" in x and "Filter" in x and "o_custkey" in x for x in plan.splitlines())
+
+
+def test_pairs_come_in_runs_of_one_row_and_value(spark):
+    left, right = spark.range(60).select("id", (F.col("id") % 2).alias("k")), spark.range(900).select(F.col("id").alias("other"), (F.col("id") % 3).alias("k"))
+    wanted = Counter((a % 2, a, b, e) for a in range(60) for b in range(900) if a % 2 == b % 3 for e in "xyz")
+    for n, lists in ((1, 1), (4, 1), (16, 1), (4, 3)):
+        pairs = access.meet(left, right, "k", ["id"], ["other"], n, lists, F.array(*map(F.lit, "xyz")))
+        plan = plan_of(pairs)
+        assert "Sort [" in plan and plan.count("Exchange") == 2
+        rows = [(x.k, x.id, x.other, x["__each"]) for x in pairs.collect()]
+        assert Counter(rows) == wanted
+        # a left row is in as many shares as the right rows of its key are dealt to
+        starts = sum(i == 0 or rows[i - 1][1] != x[1] or rows[i - 1][3] != x[3] for i, x in enumerate(rows))
+        assert starts <= 60 * 3 * (access.SHARES // n) * lists
+    assert (access.runs(900000, 100, 4), access.runs(15000, 100, 16), access.runs(10**9, 1, 1), access.runs(0, 0, 4)) == (4, 1, 8, 1)
