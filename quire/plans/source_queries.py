@@ -116,7 +116,7 @@ def src_rules(spark: SparkSession, d: str) -> DataFrame:
     rule = F.to_json(F.create_map(F.lit("metadata_command"), F.array(own[0]), F.lit("verbatim_environment"), F.array(own[1])))
     root = _written(spark, n.select(F.concat("doc", F.lit("/"), F.col("node").cast("string"), F.lit(".json")).alias("path"), rule.alias("text")))
     both = lambda c: F.concat(F.lit("\\mark{"), c, F.lit("}\\note{"), c, F.lit("}"))
-    text = F.concat(both(F.col("lang")), F.lit("\\begin{asis}"), both(F.lit("x")), F.lit("\\end{asis}\\begin{raw}"), both(F.lit("y")), F.lit("\\end{raw}\\label{a}"), "text")
+    text = F.concat(both(F.col("lang")), F.lit("\\begin{asis}"), both(F.lit("x")), F.lit("\\end{asis}\\begin{raw}"), both(F.lit("y")), F.lit("\\end{raw}\\label{a}"), F.coalesce("text", F.lit("")))
     rules = segment.document_rules(files.read_rules(spark, root))
     deep = segment.explode_deep(n.select("doc", "node", text.alias("text")), rules=rules)
     return deep.where("macro in ('mark', 'note', 'label')").select("doc", "node", "macro", "arg", "env")

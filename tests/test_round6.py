@@ -149,3 +149,18 @@ def test_pairs_come_in_runs_of_one_row_and_value(spark):
         starts = sum(i == 0 or rows[i - 1][1] != x[1] or rows[i - 1][3] != x[3] for i, x in enumerate(rows))
         assert starts <= 60 * 3 * (access.SHARES // n) * lists
     assert (access.runs(900000, 100, 4), access.runs(15000, 100, 16), access.runs(10**9, 1, 1), access.runs(0, 0, 4)) == (4, 1, 8, 1)
+
+
+@pytest.mark.parametrize("read", [files.read_rules], ids=["src_rules"])
+def test_files_are_listed_by_tasks(spark, tmp_path, read):
+    root = f"file://{tmp_path}"
+    files.write_texts(spark.createDataFrame([("d/UUID/0/0/1/blob_eng.tex", "a"), ("d/UUID/0/0/1/blob_eng_7_editstate.json", '{"base_md5": "m", "content": "c"}'), ("d/x.json", '{"name": ["v"]}')], "path string, text string"), root)
+    df = read(spark, root)
+    assert df.count() >= 1 and "FileScan" not in plan_of(df) and "MapInArrow" in plan_of(df)
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["src_rules"])
+def test_files_of_nodes_with_odd_texts(spark, odd, name):
+    got, wanted = against_sql(spark, name, odd)
+    assert got == wanted
