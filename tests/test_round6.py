@@ -151,7 +151,7 @@ def test_pairs_come_in_runs_of_one_row_and_value(spark):
     assert (access.runs(900000, 100, 4), access.runs(15000, 100, 16), access.runs(10**9, 1, 1), access.runs(0, 0, 4)) == (4, 1, 8, 1)
 
 
-@pytest.mark.parametrize("read", [files.read_segments, files.read_edits, files.read_rules], ids=["src_segments", "src_edits", "src_rules"])
+@pytest.mark.parametrize("read", [files.read_segments, files.read_sources, files.read_edits, files.read_rules], ids=["src_segments", "src_labels", "src_edits", "src_rules"])
 def test_files_are_listed_by_tasks(spark, tmp_path, read):
     root = f"file://{tmp_path}"
     files.write_texts(spark.createDataFrame([("d/UUID/0/0/1/blob_eng.tex", "a"), ("d/UUID/0/0/1/blob_eng_7_editstate.json", '{"base_md5": "m", "content": "c"}'), ("d/x.json", '{"name": ["v"]}')], "path string, text string"), root)
@@ -160,7 +160,7 @@ def test_files_are_listed_by_tasks(spark, tmp_path, read):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["src_rules", "src_edits"])
+@pytest.mark.parametrize("name", ["src_rules", "src_edits", "src_labels"])
 def test_files_of_nodes_with_odd_texts(spark, odd, name):
     got, wanted = against_sql(spark, name, odd)
     assert got == wanted
